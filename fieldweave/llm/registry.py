@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import chat_format, exact_dedup, line_dedup, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_exact_dedup": exact_dedup.op6_exact_dedup}
+    return {
+        "op3_chat_format": chat_format.op3_chat_format,
+        "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op10_hilbert_shards": sharding.op10_hilbert_shards,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op3_chat_format": chat_format.ORACLE,
+        "op6_exact_dedup": exact_dedup.ORACLE,
+        "op8_line_dedup": line_dedup.ORACLE,
+    }
