@@ -64,8 +64,9 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
         .select("_id", F.array_except(spread("later"), spread("kept")).alias("_cut"))
     )
     cut = scratch.keep(cut.select(F.col("_id.k").alias("_k"), F.col("_id.t").alias("_t"), "_cut"), "line-cuts")
+    # One plan at every size: the cuts grow with the corpus, so they are never broadcast.
     joined = docs.withColumn("_x", F.xxhash64(text)).join(
-        cut, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_x") == F.col("_t")), "left"
+        cut.hint("merge"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_x") == F.col("_t")), "left"
     )
     lines = F.split(text, "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_cut"))
