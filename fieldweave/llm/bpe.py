@@ -225,7 +225,7 @@ class Tokenizer:
             with open(own, "wb") as f:
                 f.write(blob)
             os.replace(own, name)
-        data = np.memmap(name, np.uint8, "r")
+        data = np.asarray(np.memmap(name, np.uint8, "r"))
         size = int.from_bytes(data[:8].tobytes(), "little")
         head = json.loads(data[8 : 8 + size].tobytes())
         arrays = {}

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, embed_dedup, exact_dedup, line_dedup, near_dedup, sharding
+from . import bpe, chat_format, embed_dedup, exact_dedup, line_dedup, near_dedup, packing, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_bpe_transducer": bpe.op2_bpe_transducer,
         "op3_chat_format": chat_format.op3_chat_format,
         "op4_minhash_near_dedup": near_dedup.op4_minhash_near_dedup,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_embed_dedup": embed_dedup.op9_embed_dedup,
         "op10_hilbert_shards": sharding.op10_hilbert_shards,
