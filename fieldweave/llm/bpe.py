@@ -31,7 +31,9 @@ OTHER, LETTER, NUMBER, SPACE, EDGE = range(5)
 #: Lone surrogates cannot occur in a text: they mark where a text ends and where a special token stood.
 END, SPECIAL = 0xD800, 0xD801
 #: Code points worked on at a time; a longer text is worked on alone.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
+#: Merged words each Python worker remembers, at most; a full memory starts anew.
+MEMORY = 1 << 20
 #: Words of more symbols are merged one by one with a heap.
 LONG = 200
 NONE = np.int64(1 << 40)
@@ -58,7 +60,7 @@ class PairMap:
     def build(left, right, value) -> PairMap:
         key = (np.asarray(left, np.int64) << np.int64(21)) | np.asarray(right, np.int64)
         value = np.asarray(value, np.int64)
-        bits = max(int(len(key) * 4).bit_length(), 4)
+        bits = max(int(len(key) * 2).bit_length(), 4)
         keys, values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
         slot = ((key.astype(np.uint64) * textvec._MULT) >> np.uint64(64 - bits)).astype(np.int64)
         left_over = np.arange(len(key))
@@ -136,6 +138,32 @@ def compile_lexicon(words: list[str]) -> tuple[np.ndarray, ...]:
     return table, np.array([f for f, _ in arcs], np.int64), np.array([root], np.int64)
 
 
+# ---------------------------------------------------------------- blocks of arrays
+
+LEXICON = ("arc_keys", "arc_values", "final", "root", "word_ids", "word_from")
+
+
+def _block(arrays: dict[str, np.ndarray], meta: dict) -> bytes:
+    head, parts, at = {"meta": meta, "arrays": {}}, [], 0
+    for name, x in arrays.items():
+        head["arrays"][name] = (str(x.dtype), len(x), at)
+        parts.append(x.tobytes() + b"\0" * (-x.nbytes % 8))
+        at += len(parts[-1])
+    text = json.dumps(head).encode()
+    text += b" " * (-len(text) % 8)
+    return len(text).to_bytes(8, "little") + text + b"".join(parts)
+
+
+def _arrays(data: np.ndarray) -> tuple[dict[str, np.ndarray], dict]:
+    size = int.from_bytes(data[:8].tobytes(), "little")
+    head = json.loads(data[8 : 8 + size].tobytes())
+    out = {}
+    for name, (dtype, n, at) in head["arrays"].items():
+        at += 8 + size
+        out[name] = data[at : at + n * np.dtype(dtype).itemsize].view(dtype)
+    return out, head["meta"]
+
+
 # ---------------------------------------------------------------- the tokenizer
 
 
@@ -146,6 +174,7 @@ class Tokenizer:
         self.a, self.meta = arrays, meta
         self.merges = PairMap(arrays["merge_keys"], arrays["merge_values"])
         self.new_id = arrays["merge_ids"]
+        self._forget()
         if "arc_keys" in arrays:
             self.arcs = PairMap(arrays["arc_keys"], arrays["arc_values"])
 
@@ -199,41 +228,28 @@ class Tokenizer:
         ids, counts = tok.merge_words(lexicon)
         arcs = PairMap.build(table[:, 0], table[:, 1], table[:, 2] << np.int64(21) | table[:, 3])
         arrays |= {
-            "arc_keys": arcs.keys, "arc_values": arcs.values, "final": final, "root": root,
-            "word_ids": ids, "word_from": np.concatenate([[0], np.cumsum(counts)]),
+            "arc_keys": arcs.keys, "arc_values": arcs.values, "final": final.astype(np.int8), "root": root,
+            "word_ids": ids.astype(np.int32), "word_from": np.concatenate([[0], np.cumsum(counts)]).astype(np.int32),
         }
         return Tokenizer(arrays, meta)
 
-    def blob(self) -> bytes:
-        """Everything as one block of bytes: a header and the arrays."""
-        head, parts, at = {"meta": self.meta, "arrays": {}}, [], 0
-        for name, x in self.a.items():
-            small = x.astype(np.int32) if x.dtype == np.int64 and len(x) and x.max() < 2**31 and x.min() >= -(2**31) else x
-            head["arrays"][name] = (str(small.dtype), str(x.dtype), len(x), at)
-            parts.append(small.tobytes() + b"\0" * (-small.nbytes % 8))
-            at += len(parts[-1])
-        text = json.dumps(head).encode()
-        text += b" " * (-len(text) % 8)
-        return len(text).to_bytes(8, "little") + text + b"".join(parts)
+    def blobs(self) -> tuple[bytes, bytes]:
+        """The lexicon, for a file to map, and everything else: each a header and arrays in one block of bytes."""
+        lexicon = {k: x for k, x in self.a.items() if k in LEXICON}
+        return _block(lexicon, {}), _block({k: x for k, x in self.a.items() if k not in LEXICON}, self.meta)
 
     @staticmethod
-    def mapped(blob: bytes) -> Tokenizer:
-        """A tokenizer over a memory-mapped file of the blob, written once per temporary folder."""
-        name = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.blake2b(blob, digest_size=12).hexdigest()}")
+    def mapped(blobs: tuple[bytes, bytes]) -> Tokenizer:
+        """A tokenizer whose lexicon is a memory-mapped file, written once per temporary folder."""
+        name = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.blake2b(blobs[0], digest_size=12).hexdigest()}")
         if not os.path.exists(name):
             own = f"{name}.{os.getpid()}"
             with open(own, "wb") as f:
-                f.write(blob)
+                f.write(blobs[0])
             os.replace(own, name)
-        data = np.asarray(np.memmap(name, np.uint8, "r"))
-        size = int.from_bytes(data[:8].tobytes(), "little")
-        head = json.loads(data[8 : 8 + size].tobytes())
-        arrays = {}
-        for key, (stored, dtype, n, at) in head["arrays"].items():
-            at += 8 + size
-            x = data[at : at + n * np.dtype(stored).itemsize].view(stored)
-            arrays[key] = x if key in ("arc_keys", "arc_values", "classes") and stored == dtype else x.astype(dtype)
-        return Tokenizer(arrays, head["meta"])
+        lexicon, _ = _arrays(np.asarray(np.memmap(name, np.uint8, "r")))
+        arrays, meta = _arrays(np.frombuffer(blobs[1], np.uint8))
+        return Tokenizer(arrays | lexicon, meta)
 
     # ---- encoding
 
@@ -297,8 +313,8 @@ class Tokenizer:
         closed = np.flatnonzero(cps == END)
         text_of = np.searchsorted(start, closed)
         with np.errstate(over="ignore"):
-            head, inverse = self._distinct(cps, start, end)
-        ids, counts = self._lookup(cps, start[head], end[head])
+            head, inverse, keys = self._distinct(cps, start, end)
+        ids, counts = self._lookup(cps, start[head], end[head], *(k[head] for k in keys))
         first = np.concatenate([[0], np.cumsum(counts)])
         size = counts[inverse]
         upto = np.concatenate([[0], np.cumsum(size)])
@@ -306,8 +322,8 @@ class Tokenizer:
         return flat, np.concatenate([[0], upto[text_of]])
 
     @staticmethod
-    def _distinct(cps, start, end) -> tuple[np.ndarray, np.ndarray]:
-        """One word of each kind, and the kind of every word.  Told apart by 128 bits of hash and the length."""
+    def _distinct(cps, start, end) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """One word of each kind, the kind of every word, and both hashes.  Told apart by 128 bits of hash and the length."""
         up, down = textvec.powers(len(cps) + 1)
         total = np.zeros(len(cps) + 1, np.uint64)
         keys = []
@@ -321,9 +337,40 @@ class Tokenizer:
             both = np.stack(keys, axis=1)
             _, head, inverse = np.unique(both, axis=0, return_index=True, return_inverse=True)
             inverse = inverse.ravel()
-        return head, inverse
-
-    def _lookup(self, cps, start, end) -> tuple[np.ndarray, np.ndarray]:
+        return head, inverse, keys
+
+    def _forget(self) -> None:
+        self.memory = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.memory_ids, self.memory_size = [np.zeros(0, np.int64)], 0
+
+    def _remembered(self, cps, start, end, h1, h2) -> tuple[np.ndarray, np.ndarray]:
+        """``_merge``, but words merged before (equal in both hashes) are taken from memory."""
+        known, check, at, size = self.memory
+        place = np.minimum(np.searchsorted(known, h1), max(len(known) - 1, 0))
+        hit = (known[place] == h1) & (check[place] == h2) if len(known) else np.zeros(len(h1), bool)
+        miss = np.flatnonzero(~hit)
+        own, own_counts = self._merge(cps, start[miss], end[miss])
+        counts, source = np.empty(len(h1), np.int64), np.empty(len(h1), np.int64)
+        old = np.flatnonzero(hit)
+        counts[old], source[old] = size[place[old]], at[place[old]]
+        base = self.memory_size
+        counts[miss], source[miss] = own_counts, base + np.cumsum(own_counts) - own_counts
+        store = np.concatenate([*self.memory_ids, own])
+        upto = np.cumsum(counts)
+        inside = np.arange(upto[-1] if len(upto) else 0) - np.repeat(upto - counts, counts)
+        out = store[np.repeat(source, counts) + inside]
+        if len(known) + len(miss) > MEMORY:
+            self._forget()
+        elif len(miss):
+            order = miss[np.argsort(h1[miss], kind="stable")]
+            fresh = np.searchsorted(known, h1[order])
+            taken = known[np.minimum(fresh, len(known) - 1)] == h1[order] if len(known) else np.zeros(len(order), bool)
+            order, fresh = order[~taken], fresh[~taken]
+            self.memory = [np.insert(x, fresh, y[order]) for x, y in zip(self.memory, (h1, h2, source, counts), strict=True)]
+            self.memory_ids, self.memory_size = [store], len(store)
+        return out, counts
+
+    def _lookup(self, cps, start, end, h1, h2) -> tuple[np.ndarray, np.ndarray]:
         """Ids and id counts of words given by their places in cps."""
         n = len(start)
         state = np.full(n, self.a["root"][0])
@@ -349,7 +396,7 @@ class Tokenizer:
         special = self.a["classes"][cps[start[rest]]] == EDGE
         marks, rest = rest[special], rest[~special]
         counts[marks] = 1
-        own, own_counts = self._merge(cps, start[rest], end[rest])
+        own, own_counts = self._remembered(cps, start[rest], end[rest], h1[rest], h2[rest])
         counts[rest] = own_counts
         upto = np.concatenate([[0], np.cumsum(counts)])
         ids = np.empty(upto[-1], np.int64)
@@ -521,7 +568,7 @@ def text_runs(column: pa.Array, size: int = CHUNK) -> Iterator[list[str]]:
 
 def share(spark, path: str, words: list[str] | None = None):
     """The tokenizer at ``path`` (read on the driver only), broadcast; its size is that of the vocabulary."""
-    return spark.sparkContext.broadcast(Tokenizer.load(path, words).blob())
+    return spark.sparkContext.broadcast(Tokenizer.load(path, words).blobs())
 
 
 def encode(docs: DataFrame, tokenizer, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -536,12 +583,13 @@ def encode(docs: DataFrame, tokenizer, key: str = "doc_id", text: str = "text")
     def run(batches):
         tok = tokenizer_of(tokenizer)
         for batch in batches:
-            out = []
+            at = 0
             for texts in text_runs(batch.column(1)):
                 flat, first = tok.encode(texts)
                 flat = flat.astype("<u4")
-                out += [flat[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["key", "ids"])
+                ids = pa.array([flat[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), ids], names=["key", "ids"])
+                at += len(texts)
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, f"key {kind}, ids binary").withColumnRenamed("key", key)
@@ -554,8 +602,10 @@ def decode(encoded: DataFrame, tokenizer, key: str = "doc_id", ids: str = "ids")
     def run(batches):
         read = tokenizer_of(tokenizer).decoder()
         for batch in batches:
-            texts = [read(np.frombuffer(x or b"", "<u4")) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["key", "ids", "text"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = pa.array([read(np.frombuffer(x or b"", "<u4")) for x in part.column(1).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], names=["key", "ids", "text"])
 
     rows = encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
     return rows.mapInArrow(run, f"key {kind}, ids binary, text string").withColumnRenamed("key", key)
