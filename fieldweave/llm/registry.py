@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, embed_dedup, exact_dedup, line_dedup, near_dedup, packing, sharding
+from . import bpe, chat_format, embed_dedup, exact_dedup, line_dedup, near_dedup, packing, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe_transducer": bpe.op2_bpe_transducer,
         "op3_chat_format": chat_format.op3_chat_format,
         "op4_minhash_near_dedup": near_dedup.op4_minhash_near_dedup,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_line_dedup": line_dedup.op8_line_dedup,
