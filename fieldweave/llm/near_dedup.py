@@ -26,7 +26,7 @@ from . import graph, scratch, textvec
 
 KEYS, ROWS = 12, 2
 #: Leaders per table and round after the first.
-LEADERS = 32
+LEADERS = 128
 #: Up to so many rows (about 50 bytes each) a side is broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 200_000
 #: A pair whose signatures agree in fewer of the 2 * KEYS * ROWS minhashes than this share of the
@@ -130,8 +130,7 @@ def near_dedup(
     nodes = base.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     nodes = scratch.keep(nodes, "classes")
     tables = _tables(nodes, m)
-    links = _links(docs, key, text, nodes, tables, k, percent, 2 * m * r)
-    parts = graph.components(links)
+    parts = _parts(docs, key, text, nodes, tables, k, percent, 2 * m * r)
     named = nodes.select("node", "key").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("key").alias("component_id"))
     of_node = named.select("node", "component").join(least, "component").select("node", "component_id")
@@ -159,8 +158,8 @@ def _tables(nodes: DataFrame, m: int) -> DataFrame:
     return scratch.keep(rows.join(full, "t"), "tables")
 
 
-def _links(docs, key, text, nodes, tables, k, percent, width) -> DataFrame:
-    """Verified links (a, b) that connect all classes which a table brings together."""
+def _parts(docs, key, text, nodes, tables, k, percent, width) -> DataFrame:
+    """(node, component) of the verified links between all classes which a table brings together."""
     involved = scratch.keep(tables.select("node").distinct(), "involved")
     reps = nodes.join(involved, "node").select("node", F.col("key").alias("_key"))
     small = involved.count() <= BROADCAST_ROWS
@@ -186,23 +185,30 @@ def _links(docs, key, text, nodes, tables, k, percent, width) -> DataFrame:
     done = scratch.keep(pairs, "compared")
     links = verify(done)
     members = tables.join(leader, "t").where("a != node").select("t", "node")
+    parts = graph.components(links)
     while True:
-        parts = graph.components(links)
         now = members.join(parts.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
         sizes = now.groupBy("t", "c").agg(F.count(F.lit(1)).alias("s"))
         torn = sizes.groupBy("t").agg(F.max_by("c", F.struct("s", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
         now = scratch.keep(now.join(torn.select("t", "top"), "t"), "torn-tables")
         if now.isEmpty():
-            return links
+            return parts
         order = Window.partitionBy("t").orderBy("node")
-        heads = now.where("c != top").withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEADERS).drop("r", "top")
-        heads = scratch.keep(heads, "leaders")
+        heads = now.where("c != top").withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEADERS).select("t", "node", "c")
         a, b = heads.select("t", F.col("node").alias("a"), F.col("c").alias("ca")), now.select("t", F.col("node").alias("b"), F.col("c").alias("cb"))
         pairs = a.join(b, "t").where("ca != cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = scratch.keep(pairs.join(done, ["a", "b"], "left_anti"), "compared")
-        links = links.unionByName(verify(fresh))
+        found = verify(fresh)
+        # Tables of at most LEADERS members outside their largest component are finished now.
+        members = now.where("c != top").groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEADERS).select("t")
+        members = now.join(members, "t").join(heads.select("t", "node"), ["t", "node"], "left_anti").select("t", "node")
+        if found.isEmpty():
+            if members.isEmpty():
+                return parts
+        else:
+            links = links.unionByName(found)
+            parts = graph.components(links)
         done = done.unionByName(fresh)
-        members = now.join(heads.select("t", "node"), ["t", "node"], "left_anti").select("t", "node")
 
 
 def _same_set(k: int):
