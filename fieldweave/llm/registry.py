@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, embed_dedup, exact_dedup, line_dedup, near_dedup, packing, sharding, toxicity
+from . import bpe, chat_format, embed_dedup, exact_dedup, line_dedup, near_dedup, packing, sharding, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_bpe_transducer": bpe.op2_bpe_transducer,
         "op3_chat_format": chat_format.op3_chat_format,
         "op4_minhash_near_dedup": near_dedup.op4_minhash_near_dedup,
