@@ -9,7 +9,9 @@ A key that no second class has cannot fill a table, so its tables are never buil
 table pairs are not all emitted: members are compared with a leader, verified links are merged
 into components, and only members of different components meet again, until each table holds
 one component or all its pairs across components have been compared.  So no link is lost that
-a table shows, and a table of thousands of copies costs thousands of comparisons.
+a table shows, and a table of thousands of copies costs thousands of comparisons.  Before texts are
+compared, pairs whose one-permutation sketches lie Z standard deviations below the threshold are
+passed over.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ from . import graph, scratch, textvec
 
 KEYS, ROWS = 12, 2
 #: Leaders per table and round after the first.
-LEADERS = 128
+LEADERS = 256
+#: A table's members are dealt to tasks in parts of about so many, each with all leaders.
+PART = 4096
+#: Bins of a class's sketch; a pair at the threshold is passed over about once in 5e7.
+BINS, Z = 256, 5.5
 #: Up to so many rows (about 50 bytes each) a side is broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 200_000
-#: A pair whose signatures agree in fewer of the 2 * KEYS * ROWS minhashes than this share of the
-#: threshold is not verified; at similarity 0.8 that happens about once in 1e9.
-SCREEN = 0.5
 
 
 def _minhashes(sets: list[np.ndarray], count: int) -> np.ndarray:
@@ -49,12 +52,12 @@ def _minhashes(sets: list[np.ndarray], count: int) -> np.ndarray:
 
 
 def _sketch(k: int, m: int, r: int):
-    """mapInArrow: (key, text) -> (key, n_shingles, node, keys of both collections, signature)."""
+    """mapInArrow: (key, text) -> (key, n_shingles, node, keys of both collections)."""
 
     def run(batches):
         for batch in batches:
             data, offsets = textvec.text_buffer(batch.column(1))
-            node, sizes, keys, sigs = [], [], [], []
+            node, sizes, keys = [], [], []
             for _, sets in textvec.shingle_sets(data, offsets, k):
                 mins = _minhashes(sets, 2 * m * r)
                 with np.errstate(over="ignore"):
@@ -63,29 +66,99 @@ def _sketch(k: int, m: int, r: int):
                         own = textvec.mix(own * np.uint64(31) + mins[:, j::r])
                     own = textvec.mix(own + np.arange(1, 2 * m + 1, dtype=np.uint64))
                 keys.append(own.astype(np.uint64).view(np.int64))
-                sigs += [x.tobytes() for x in (mins >> np.uint64(40)).astype(np.uint8)]
                 sizes += [len(s) for s in sets]
                 node += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             flat = np.concatenate(keys).ravel() if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1) * 2 * m, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(node, pa.binary()), lists, pa.array(sigs, pa.binary())],
-                names=["key", "n", "node", "keys", "sig"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(node, pa.binary()), lists],
+                names=["key", "n", "node", "keys"],
             )
 
     return run
 
 
-def _screened(least: int, width: int):
-    """mapInArrow: keeps the pairs whose signatures agree in at least ``least`` places."""
+def bin_sketch(shingles: np.ndarray) -> bytes:
+    """One byte for each of BINS ranges of hash values, from the least shingle in it; 0: none."""
+    at = np.searchsorted(shingles, np.arange(BINS + 1, dtype=np.uint64) * np.uint64((1 << 64) // BINS - 1))
+    at[-1] = len(shingles)
+    out = np.zeros(BINS, np.uint8)
+    full = at[:-1] < at[1:]
+    out[full] = shingles[at[:-1][full]] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def plausible(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, share: float, z: float = Z) -> np.ndarray:
+    """Which pairs of sketches (broadcast, bins last) are at most z deviations below that similarity.
+
+    ``sizes`` are the sums of the sizes of both sets.  The bins in use draw from the union without
+    replacement: the agreeing ones are hypergeometric, and certain where each member has a bin.
+    """
+    used = ((a | b) > 0).sum(axis=-1, dtype=np.int32)
+    same = ((a == b) & (a > 0)).sum(axis=-1, dtype=np.int32)
+    union = np.maximum(sizes / (1 + share), used + 1)
+    spread = np.sqrt(share * (1 - share) * used * (1 - used / union))
+    return same >= share * used - z * spread - 1
+
+
+def _screened(share: float):
+    """mapInArrow: (a, b, na, nb, sa, sb) -> the pairs (a, b) that are plausible."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, width) for c in ("sa", "sb"))
-            keep = pa.array((a == b).sum(axis=1) >= least)
-            yield batch.select(["a", "b"]).filter(keep)
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
+            sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(plausible(a, b, sizes, share)))
+
+    return run
+
+
+def _led(share: float, z: float):
+    """mapInArrow over rows (t, part, rank, node, c, n, sketch) sorted by (t, part, rank): plausible pairs
+    of the leaders of a part (rank 0) with its members (rank 1) in other components.
+
+    Only the leaders of one part are held; members stream past.
+    """
+
+    def run(batches):
+        now, leaders = None, []
+        for batch in batches:
+            left, right = [], []
+            heads = None
+            columns = [batch.column(c).to_pylist() for c in ("t", "part", "rank", "node", "c", "n", "sketch")]
+            group: list[tuple] = []
+
+            def flush(left=left, right=right):
+                nonlocal heads
+                if not group or not leaders:
+                    group.clear()
+                    return
+                if heads is None:
+                    heads = (np.frombuffer(b"".join(x[3] for x in leaders), np.uint8).reshape(-1, BINS), np.array([x[2] for x in leaders]), np.array([x[1] for x in leaders], object))
+                sketch, size, comp = heads
+                own = np.frombuffer(b"".join(x[3] for x in group), np.uint8).reshape(-1, BINS)
+                sizes, comps = np.array([x[2] for x in group]), np.array([x[1] for x in group], object)
+                for i in range(len(leaders)):
+                    low, high = np.minimum(sizes, size[i]), np.maximum(sizes, size[i])
+                    near = np.flatnonzero((low >= share * high - 1e-9) & (comps != comp[i]))
+                    if len(near):
+                        near = near[plausible(sketch[i], own[near], sizes[near] + size[i], share, z)]
+                        left.extend([leaders[i][0]] * len(near))
+                        right.extend(group[j][0] for j in near)
+                group.clear()
+
+            for t, part, rank, *row in zip(*columns, strict=True):
+                if (t, part) != now:
+                    flush()
+                    now, leaders, heads = (t, part), [], None
+                if rank == 0:
+                    leaders.append(row)
+                else:
+                    group.append(row)
+            flush()
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
     return run
 
@@ -124,13 +197,13 @@ def near_dedup(
     """
     kind = docs.schema[key].dataType.simpleString()
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
-        _sketch(k, m, r), f"key {kind}, n long, node binary, keys array<long>, sig binary"
+        _sketch(k, m, r), f"key {kind}, n long, node binary, keys array<long>"
     )
     base = scratch.keep(base, "sketches")
-    nodes = base.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    nodes = base.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = scratch.keep(nodes, "classes")
     tables = _tables(nodes, m)
-    parts = _parts(docs, key, text, nodes, tables, k, percent, 2 * m * r)
+    parts = _parts(docs, key, text, nodes, tables, k, percent, m)
     named = nodes.select("node", "key").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("key").alias("component_id"))
     of_node = named.select("node", "component").join(least, "component").select("node", "component_id")
@@ -158,7 +231,7 @@ def _tables(nodes: DataFrame, m: int) -> DataFrame:
     return scratch.keep(rows.join(full, "t"), "tables")
 
 
-def _parts(docs, key, text, nodes, tables, k, percent, width) -> DataFrame:
+def _parts(docs, key, text, nodes, tables, k, percent, m) -> DataFrame:
     """(node, component) of the verified links between all classes which a table brings together."""
     involved = scratch.keep(tables.select("node").distinct(), "involved")
     reps = nodes.join(involved, "node").select("node", F.col("key").alias("_key"))
@@ -166,60 +239,69 @@ def _parts(docs, key, text, nodes, tables, k, percent, width) -> DataFrame:
     reps = F.broadcast(reps) if small else reps
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("text"))
     texts = rows.join(reps, F.col("_k").eqNullSafe(F.col("_key"))).select("node", "text")
-    texts = texts.mapInArrow(_same_set(k), "node binary, text string").dropDuplicates(["node"])
+    texts = texts.mapInArrow(_same_set(k), "node binary, n int, text string, sketch binary").dropDuplicates(["node"])
     texts = scratch.keep(texts, "texts")
-    facts = scratch.keep(nodes.join(involved, "node").select("node", "n", "sig"), "facts")
+    facts, share = texts.select("node", "n", "sketch"), percent / 100
+    own_keys = nodes.select("node", F.slice("keys", 1, m).alias("us"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        for side, s, n in (("a", "sa", "na"), ("b", "sb", "nb")):
-            pairs = pairs.join(facts.select(F.col("node").alias(side), F.col("sig").alias(s), F.col("n").alias(n)), side)
-        near = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb")
-        least = int(SCREEN * percent / 100 * width)
-        near = near.mapInArrow(_screened(least, width), "a binary, b binary")
         for side, t in (("a", "ta"), ("b", "tb")):
-            near = near.join(texts.select(F.col("node").alias(side), F.col("text").alias(t)), side)
-        return scratch.keep(near.select("a", "b", "ta", "tb").mapInArrow(_verified(k, percent), "a binary, b binary"), "links")
+            pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(t)), side)
+        return scratch.keep(pairs.select("a", "b", "ta", "tb").mapInArrow(_verified(k, percent), "a binary, b binary"), "links")
 
     leader = tables.groupBy("t").agg(F.min("node").alias("a"))
     pairs = tables.join(leader, "t").where("a != node").select("a", F.col("node").alias("b")).distinct()
-    done = scratch.keep(pairs, "compared")
+    for side, x, n in (("a", "sa", "na"), ("b", "sb", "nb")):
+        pairs = pairs.join(facts.select(F.col("node").alias(side), F.col("sketch").alias(x), F.col("n").alias(n)), side)
+    near = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb", "sa", "sb")
+    done = scratch.keep(near.mapInArrow(_screened(share), "a binary, b binary"), "compared")
     links = verify(done)
-    members = tables.join(leader, "t").where("a != node").select("t", "node")
     parts = graph.components(links)
+    # All tables (u, v) of one u are gone through together.  First the likely pairs, which join most
+    # of what belongs together; then all plausible ones.
+    every = scratch.keep(facts.join(own_keys, "node").select("node", F.explode("us").alias("t")), "members")
+    members, z = every, 0.0
     while True:
         now = members.join(parts.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
         sizes = now.groupBy("t", "c").agg(F.count(F.lit(1)).alias("s"))
-        torn = sizes.groupBy("t").agg(F.max_by("c", F.struct("s", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        now = scratch.keep(now.join(torn.select("t", "top"), "t"), "torn-tables")
+        torn = sizes.groupBy("t").agg(F.max_by("c", F.struct("s", "c")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("s").alias("size"))
+        now = scratch.keep(now.join(torn.where("parts > 1").select("t", "top", "size"), "t"), "torn-tables")
         if now.isEmpty():
             return parts
         order = Window.partitionBy("t").orderBy("node")
-        heads = now.where("c != top").withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEADERS).select("t", "node", "c")
-        a, b = heads.select("t", F.col("node").alias("a"), F.col("c").alias("ca")), now.select("t", F.col("node").alias("b"), F.col("c").alias("cb"))
-        pairs = a.join(b, "t").where("ca != cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        heads = now.where("c != top").withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEADERS).select("t", "node", "c", "size")
+        split = F.ceil(F.col("size") / PART).cast("int")
+        dealt = heads.withColumns({"part": F.explode(F.sequence(F.lit(0), split - 1)), "rank": F.lit(0)}).unionByName(
+            now.select("t", "node", "c", "size").withColumns({"part": F.pmod(F.xxhash64("node"), split).cast("int"), "rank": F.lit(1)})
+        )
+        dealt = dealt.join(facts, "node").select("t", "part", "rank", "node", "c", "n", "sketch")
+        dealt = dealt.repartition("t", "part").sortWithinPartitions("t", "part", "rank")
+        pairs = dealt.mapInArrow(_led(share, z), "a binary, b binary")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = scratch.keep(pairs.join(done, ["a", "b"], "left_anti"), "compared")
         found = verify(fresh)
-        # Tables of at most LEADERS members outside their largest component are finished now.
-        members = now.where("c != top").groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEADERS).select("t")
-        members = now.join(members, "t").join(heads.select("t", "node"), ["t", "node"], "left_anti").select("t", "node")
-        if found.isEmpty():
-            if members.isEmpty():
-                return parts
-        else:
+        if z == Z:
+            # Keys of at most LEADERS members outside their largest component are finished now.
+            rest = now.where("c != top").groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEADERS).select("t")
+            members = now.join(rest, "t").join(heads.select("t", "node"), ["t", "node"], "left_anti").select("t", "node")
+        if not found.isEmpty():
             links = links.unionByName(found)
             parts = graph.components(links)
-        done = done.unionByName(fresh)
+        if z == Z and members.isEmpty():
+            return parts
+        done, z = done.unionByName(fresh), Z
 
 
 def _same_set(k: int):
-    """mapInArrow: keeps the (node, text) rows whose shingle set has the digest ``node``."""
+    """mapInArrow: the (node, text) rows whose shingle set has the digest ``node``, with its size and sketch."""
 
     def run(batches):
         for batch in batches:
             data, offsets = textvec.text_buffer(batch.column(1))
-            own = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for _, sets in textvec.shingle_sets(data, offsets, k) for s in sets]
-            keep = [x == y for x, y in zip(own, batch.column(0).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            sets = [s for _, part in textvec.shingle_sets(data, offsets, k) for s in part]
+            keep = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == x for s, x in zip(sets, batch.column(0).to_pylist(), strict=True)]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), batch.column(1), pa.array([bin_sketch(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "text", "sketch"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 

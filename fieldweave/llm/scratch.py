@@ -26,13 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def write(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Writes df below ``folder`` under a new name and returns it as a plain scan; ``sweep`` leaves it."""
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder once and returns it as a plain scan."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fieldweave/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/fieldweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
