@@ -33,13 +33,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     Nodes without an edge do not appear; an edge from a node to itself is no edge.
     """
-    now = scratch.keep(edges.select("a", "b").where("a != b").distinct(), "edges")
-    seen = None
+    now = edges.select("a", "b").where("a != b")
     while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            break
-        seen = state
         now = scratch.keep(_star(_star(now, True), False), "edges")
+        ends = now.select(F.col("a").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("root")).unionByName(
+            now.select(F.col("b").alias("n"), F.lit(0).alias("child"), F.lit(1).alias("root"))
+        )
+        # Done when every node has one parent at most, and no parent has one: a forest of stars.
+        open_ = ends.groupBy("n").agg(F.sum("child").alias("child"), F.max("root").alias("root"))
+        if open_.where("child > 1 or (child = 1 and root = 1)").isEmpty():
+            break
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

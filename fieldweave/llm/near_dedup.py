@@ -28,11 +28,11 @@ from . import graph, scratch, textvec
 
 KEYS, ROWS = 12, 2
 #: Leaders per table and round after the first.
-LEADERS = 256
+LEADERS = 1024
 #: A table's members are dealt to tasks in parts of about so many, each with all leaders.
 PART = 4096
-#: Bins of a class's sketch; a pair at the threshold is passed over about once in 5e7.
-BINS, Z = 256, 5.5
+#: Bins of a class's sketch; a pair at the threshold is passed over about once in 3e6.
+BINS, Z = 512, 5.0
 #: Up to so many rows (about 50 bytes each) a side is broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 200_000
 
