@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textvec
+from . import scratch, textvec
 
 OTHER, LETTER, NUMBER, SPACE, EDGE = range(5)
 #: Lone surrogates cannot occur in a text: they mark where a text ends and where a special token stood.
@@ -33,7 +33,7 @@ END, SPECIAL = 0xD800, 0xD801
 #: Code points worked on at a time; a longer text is worked on alone.
 CHUNK = 1 << 21
 #: Merged words each Python worker remembers, at most; a full memory starts anew.
-MEMORY = 1 << 20
+MEMORY = 1 << 18
 #: Words of more symbols are merged one by one with a heap.
 LONG = 200
 NONE = np.int64(1 << 40)
@@ -578,6 +578,7 @@ def encode(docs: DataFrame, tokenizer, key: str = "doc_id", text: str = "text")
     Defined cases: null and empty texts give no ids; rows with equal keys stay apart; other
     columns are not read; an empty table gives no rows.
     """
+    scratch.prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):

@@ -116,49 +116,50 @@ def _screened(share: float):
 
 
 def _led(share: float, z: float):
-    """mapInArrow over rows (t, part, rank, node, c, n, sketch) sorted by (t, part, rank): plausible pairs
-    of the leaders of a part (rank 0) with its members (rank 1) in other components.
+    """mapInArrow over rows (t, part, rank, node, c, n, i, us, sketch) sorted by (t, part, rank): plausible
+    pairs of the leaders of a part (rank 0) with its members (rank 1) in other components.
 
+    A pair that shares several keys is told by the first of them, a pair of leaders by the smaller.
     Only the leaders of one part are held; members stream past.
     """
 
+    def arrays(rows):
+        nodes = np.array([r[0] for r in rows], object)
+        comps = np.array([r[1] for r in rows], object)
+        keys = np.frombuffer(b"".join(r[4] for r in rows), np.int64).reshape(len(rows), -1)
+        sketches = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, BINS)
+        return nodes, comps, np.array([r[2] for r in rows]), keys, sketches
+
+    def compare(leaders, group, left, right):
+        heads, comp, size, key, sketch = arrays(leaders)
+        own, comps, sizes, keys, sketches = arrays(group)
+        first, chief = leaders[0][3], {n: j for j, n in enumerate(heads)}
+        led = np.array([n in chief for n in own])
+        for j in range(len(heads)):
+            low, high = np.minimum(sizes, size[j]), np.maximum(sizes, size[j])
+            near = np.flatnonzero((low >= share * high - 1e-9) & (comps != comp[j]) & ~(led & (own < heads[j])))
+            if first and len(near):
+                near = near[~(keys[near, :first] == key[j, :first]).any(axis=1)]
+            if len(near):
+                near = near[plausible(sketch[j], sketches[near], sizes[near] + size[j], share, z)]
+                left.extend([heads[j]] * len(near))
+                right.extend(own[near])
+
     def run(batches):
         now, leaders = None, []
-        for batch in batches:
-            left, right = [], []
-            heads = None
-            columns = [batch.column(c).to_pylist() for c in ("t", "part", "rank", "node", "c", "n", "sketch")]
-            group: list[tuple] = []
-
-            def flush(left=left, right=right):
-                nonlocal heads
-                if not group or not leaders:
-                    group.clear()
-                    return
-                if heads is None:
-                    heads = (np.frombuffer(b"".join(x[3] for x in leaders), np.uint8).reshape(-1, BINS), np.array([x[2] for x in leaders]), np.array([x[1] for x in leaders], object))
-                sketch, size, comp = heads
-                own = np.frombuffer(b"".join(x[3] for x in group), np.uint8).reshape(-1, BINS)
-                sizes, comps = np.array([x[2] for x in group]), np.array([x[1] for x in group], object)
-                for i in range(len(leaders)):
-                    low, high = np.minimum(sizes, size[i]), np.maximum(sizes, size[i])
-                    near = np.flatnonzero((low >= share * high - 1e-9) & (comps != comp[i]))
-                    if len(near):
-                        near = near[plausible(sketch[i], own[near], sizes[near] + size[i], share, z)]
-                        left.extend([leaders[i][0]] * len(near))
-                        right.extend(group[j][0] for j in near)
-                group.clear()
-
-            for t, part, rank, *row in zip(*columns, strict=True):
-                if (t, part) != now:
-                    flush()
-                    now, leaders, heads = (t, part), [], None
-                if rank == 0:
-                    leaders.append(row)
-                else:
-                    group.append(row)
-            flush()
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch, left, right, group = whole.slice(at, 2000), [], [], []
+                names = ("t", "part", "rank", "node", "c", "n", "i", "us", "sketch")
+                for t, part, rank, *row in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
+                    if (t, part) != now:
+                        if group and leaders:
+                            compare(leaders, group, left, right)
+                        now, leaders, group = (t, part), [], []
+                    (group if rank else leaders).append(row)
+                if group and leaders:
+                    compare(leaders, group, left, right)
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
     return run
 
@@ -167,17 +168,18 @@ def _verified(k: int, percent: int):
     """mapInArrow: (a, b, ta, tb) -> the pairs with 100 * intersection >= percent * union."""
 
     def run(batches):
-        for batch in batches:
-            sides = []
-            for c in ("ta", "tb"):
-                data, offsets = textvec.text_buffer(batch.column(c))
-                sides.append([s for _, sets in textvec.shingle_sets(data, offsets, k) for s in sets])
-            keep = []
-            for x, y in zip(*sides, strict=True):
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(len(x) > 0 and len(y) > 0 and 100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch, sides = whole.slice(at, 200), []
+                for c in ("ta", "tb"):
+                    data, offsets = textvec.text_buffer(batch.column(c))
+                    sides.append([s for _, sets in textvec.shingle_sets(data, offsets, k) for s in sets])
+                keep = []
+                for x, y in zip(*sides, strict=True):
+                    both = np.sort(np.concatenate([x, y]))
+                    common = int((both[1:] == both[:-1]).sum())
+                    keep.append(len(x) > 0 and len(y) > 0 and 100 * common >= percent * (len(x) + len(y) - common))
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -195,6 +197,7 @@ def near_dedup(
     are linked by their texts only, and all rows that carry the component's key are kept; other
     columns are not read; an empty table gives no rows.
     """
+    scratch.prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
         _sketch(k, m, r), f"key {kind}, n long, node binary, keys array<long>"
@@ -242,7 +245,7 @@ def _parts(docs, key, text, nodes, tables, k, percent, m) -> DataFrame:
     texts = texts.mapInArrow(_same_set(k), "node binary, n int, text string, sketch binary").dropDuplicates(["node"])
     texts = scratch.keep(texts, "texts")
     facts, share = texts.select("node", "n", "sketch"), percent / 100
-    own_keys = nodes.select("node", F.slice("keys", 1, m).alias("us"))
+    own_keys = nodes.select("node", F.slice("keys", 1, m).alias("us")).join(involved, "node")
 
     def verify(pairs: DataFrame) -> DataFrame:
         for side, t in (("a", "ta"), ("b", "tb")):
@@ -259,7 +262,10 @@ def _parts(docs, key, text, nodes, tables, k, percent, m) -> DataFrame:
     parts = graph.components(links)
     # All tables (u, v) of one u are gone through together.  First the likely pairs, which join most
     # of what belongs together; then all plausible ones.
-    every = scratch.keep(facts.join(own_keys, "node").select("node", F.explode("us").alias("t")), "members")
+    key_bytes = F.unhex(F.array_join(F.transform("us", lambda u: F.lpad(F.hex(u), 16, "0")), ""))
+    facts = scratch.keep(facts.join(own_keys, "node").withColumn("key_bytes", key_bytes), "facts")
+    every = scratch.keep(facts.select("node", F.posexplode("us").alias("i", "t")), "members")
+    facts = facts.select("node", "n", F.col("key_bytes").alias("us"), "sketch")
     members, z = every, 0.0
     while True:
         now = members.join(parts.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
@@ -269,12 +275,12 @@ def _parts(docs, key, text, nodes, tables, k, percent, m) -> DataFrame:
         if now.isEmpty():
             return parts
         order = Window.partitionBy("t").orderBy("node")
-        heads = now.where("c != top").withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEADERS).select("t", "node", "c", "size")
+        heads = now.where("c != top").withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEADERS).select("t", "node", "i", "c", "size")
         split = F.ceil(F.col("size") / PART).cast("int")
         dealt = heads.withColumns({"part": F.explode(F.sequence(F.lit(0), split - 1)), "rank": F.lit(0)}).unionByName(
-            now.select("t", "node", "c", "size").withColumns({"part": F.pmod(F.xxhash64("node"), split).cast("int"), "rank": F.lit(1)})
+            now.select("t", "node", "i", "c", "size").withColumns({"part": F.pmod(F.xxhash64("node"), split).cast("int"), "rank": F.lit(1)})
         )
-        dealt = dealt.join(facts, "node").select("t", "part", "rank", "node", "c", "n", "sketch")
+        dealt = dealt.join(facts, "node").select("t", "part", "rank", "node", "c", "n", "i", "us", "sketch")
         dealt = dealt.repartition("t", "part").sortWithinPartitions("t", "part", "rank")
         pairs = dealt.mapInArrow(_led(share, z), "a binary, b binary")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -283,7 +289,7 @@ def _parts(docs, key, text, nodes, tables, k, percent, m) -> DataFrame:
         if z == Z:
             # Keys of at most LEADERS members outside their largest component are finished now.
             rest = now.where("c != top").groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEADERS).select("t")
-            members = now.join(rest, "t").join(heads.select("t", "node"), ["t", "node"], "left_anti").select("t", "node")
+            members = now.join(rest, "t").join(heads.select("t", "node"), ["t", "node"], "left_anti").select("t", "node", "i")
         if not found.isEmpty():
             links = links.unionByName(found)
             parts = graph.components(links)

@@ -88,6 +88,7 @@ def pieces(docs: DataFrame, tokenizer, end_id: int, capacity: int = CAPACITY, ke
 
     All pieces but the first are full.
     """
+    scratch.prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):

@@ -55,5 +55,16 @@ def sweep(spark: SparkSession) -> None:
         drop(spark, _written.pop())
 
 
+#: Rows that Arrow hands to Python at once: some texts have megabytes.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows, where they are larger; operators with Python stages call it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

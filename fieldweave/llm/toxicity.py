@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     keys are passed over.  Without rows of both classes every score is the share of label 1 (0.5
     without any).
     """
-    spark = docs.sparkSession
+    scratch.prepare(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     share = known.agg(F.avg("y").alias("p")).first()["p"]
     part = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(sample)
@@ -213,6 +213,7 @@ def _dense(lists: list[list[int]], width: int) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) for every row; null and empty texts get the score of a text without features."""
+    scratch.prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -226,6 +227,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def reject(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text scores below ``limit``, unchanged; all columns pass through."""
+    scratch.prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
