@@ -165,7 +165,7 @@ def embed_dedup(
     dealt = classes.withColumn("d", F.size("vec")).join(sizes.select("label", "d", "tiles"), ["label", "d"])
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
     tiles = dealt.groupBy("label", "d", "tile").applyInPandas(_pack(kind), f"label {kind}, tile int, members binary, data binary")
-    tiles = tiles.withColumn("d", F.octet_length("data") / (F.octet_length("members") / 16))
+    tiles = tiles.withColumn("d", F.octet_length("data") / (F.octet_length("members") / 4))
     tiles = scratch.keep(tiles, "tiles").join(sizes.select("label", F.col("d").cast("double").alias("d"), "tiles"), ["label", "d"])
     tiles = tiles.withColumn("block", F.floor(F.col("tile") / square).cast("int"))
     blocks = F.ceil(F.col("tiles") / square).cast("int")
