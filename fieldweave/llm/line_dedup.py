@@ -37,9 +37,11 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     First means the smallest (key, hash of the text, line).  Defined cases: a null text stays null
     and has no lines; a text of fewer lines than a window is left alone; rows equal in key and
     text count as one document, so they get the same result; null keys come first; the line
-    separator is ``\\n``; other columns pass through; an empty table gives an empty one.
+    separator is ``\\n``; other columns pass through, but one named as an added
+    column is replaced; an empty table gives an empty one.
     """
-    named = {c: f"__{c}" for c in docs.columns if c.lower() in {"n_lines", "n_removed", "_id", "_cut", "_l"}}
+    docs = docs.drop("n_lines", "n_removed")
+    named = {c: f"__{c}" for c in docs.columns if c.lower() in {"_id", "_cut", "_l", "_x", "_k", "_t"}}
     docs = docs.withColumnsRenamed(named)
     found = scratch.keep(windows(docs, key, text, size), "line-windows")
     repeated = (
@@ -78,7 +80,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     joined = joined.withColumn("n_removed", F.coalesce(F.size("_cut"), F.lit(0)).cast("long"))
     joined = joined.withColumn("n_removed", F.when(F.col("_cut").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_removed")))
     out = joined.withColumn(text, cleaned).drop("_x", "_k", "_t", "_cut")
-    return out.withColumnsRenamed({v: k for k, v in named.items() if k.lower() not in {"n_lines", "n_removed"}})
+    return out.withColumnsRenamed({v: k for k, v in named.items()})
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

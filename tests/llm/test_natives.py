@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from fieldweave.llm import chat_format, exact_dedup, line_dedup, sharding
 
-DOCS = "doc_id long, text string, lang string, source string, _row string, name string"
+DOCS = "doc_id long, text string, lang string, source string, _row string, name string, kept string, n_lines string, _id string"
 TEXTS = ["", None, "a", "a", "b" * 9, "b" * 9, "b" * 10, "é" * 40, "é" * 40, "x" * 5000, "x" * 5000, "x" * 4999 + "y", "a" * 8 + "b" * 8, "b" * 8 + "a" * 8]
 
 
 def table(spark, rows):
-    return spark.createDataFrame([(k, t, "en" if i % 2 else None, None, "r", "n") for i, (k, t) in enumerate(rows)], DOCS)
+    return spark.createDataFrame([(k, t, "en" if i % 2 else None, None, "r", "n", "x", "y", "z") for i, (k, t) in enumerate(rows)], DOCS)
 
 
 def brute(rows):
