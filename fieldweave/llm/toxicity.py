@@ -29,7 +29,11 @@ FEATURES = 512
 #: A feature must be in so many texts of the sample.
 LEAST_TEXTS = 3
 PREFIXES = (3, 4, 5, 6, 7)
-L2, COUNTERFACTUAL, STEPS = 1e-4, 1.0, 400
+L2, COUNTERFACTUAL, STEPS = 1e-4, 1.0, 500
+#: A feature must raise the log likelihood of the sample by so much.
+LEAST_GAIN = 5.0
+#: How far the bias moves from equal classes towards their real share.
+SHARE = 0.5
 #: Pairs of sentences kept for each sampled text.
 PAIRS = 8
 
@@ -183,7 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     fits = lambda k, n, p: k * F.log(F.greatest(p, F.lit(1e-9))) + (n - k) * F.log(F.greatest(1 - p, F.lit(1e-9)))
     pos, neg, both = F.col("pos"), F.col("neg"), (F.col("pos") + F.col("neg")) / (size[0] + size[1])
     gain = fits(pos, size[1], pos / size[1]) + fits(neg, size[0], neg / size[0]) - fits(pos, size[1], both) - fits(neg, size[0], both)
-    top = counts.where(F.col("pos") + F.col("neg") >= LEAST_TEXTS).orderBy(gain.desc(), "h").limit(features).select("h").collect()
+    told = counts.withColumn("gain", gain).where((F.col("pos") + F.col("neg") >= LEAST_TEXTS) & (F.col("gain") >= LEAST_GAIN))
+    top = told.orderBy(F.desc("gain"), "h").limit(features).select("h").collect()
     draft = Model(np.sort(np.array([r["h"] for r in top], np.int64).view(np.uint64)), np.zeros(len(top)), 0.0)
 
     def rows(batches):
@@ -199,8 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     order = [r for r in found if r["kind"] < 2]
     before, after = (dense([r["cols"] for r in found if r["kind"] == k]) for k in (2, 3))
     weights, bias = train(dense([r["cols"] for r in order]), np.array([r["kind"] for r in order]), before - after, counterfactual=counterfactual)
-    # The classes weighed the same in the fit; the bias is moved to their real share.
-    bias += float(np.log(share / (1 - share)))
+    # The classes weighed the same in the fit.
+    bias += SHARE * float(np.log(share / (1 - share)))
     return Model(draft.hashes, weights, bias)
 
 
