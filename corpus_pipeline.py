@@ -16,6 +16,7 @@ from fieldweave.llm import bpe, exact_dedup, near_dedup, packing, scratch, subst
 def _fresh(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs``; tables that earlier stages kept are deleted, as their results are written by now."""
     scratch.sweep(spark)
+    scratch.release(spark)
     return docs
 
 

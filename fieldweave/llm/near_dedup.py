@@ -268,6 +268,7 @@ def _parts(docs, key, text, nodes, tables, k, percent, m) -> DataFrame:
     facts = facts.select("node", "n", F.col("key_bytes").alias("us"), "sketch")
     members, z = every, 0.0
     while True:
+        scratch.release(docs.sparkSession)
         now = members.join(parts.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
         sizes = now.groupBy("t", "c").agg(F.count(F.lit(1)).alias("s"))
         torn = sizes.groupBy("t").agg(F.max_by("c", F.struct("s", "c")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("s").alias("size"))

@@ -7,6 +7,7 @@ is called (or the folder is removed), because a lazy result may still read them.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -66,5 +67,14 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def release(spark: SparkSession) -> None:
+    """Collects garbage on the driver, so that Spark deletes shuffle files and broadcasts of finished rounds.
+
+    Loops over jobs call it once a round: otherwise those files stay until the driver's heap is full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

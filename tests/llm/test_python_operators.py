@@ -294,7 +294,7 @@ def test_packing_places_every_token_once(spark, library):
     rest = [x for x in ids if x not in whole]
     assert len(whole) + len(rest) >= len(rows) - 1 and len(rest) <= 2
     total = sum(r.length for r in out)
-    assert total == sum(map(len, ids)) and len(by_bin) <= 1.1 * len(packing.best_fit(np.array([r.length for r in out]), 256)) + 1
+    assert total == sum(map(len, ids)) and len(by_bin) <= 1.2 * len(packing.best_fit(np.array([r.length for r in out]), 256)) + 2
     assert packing.pack_documents(table(spark, []), shared).count() == 0
 
 
