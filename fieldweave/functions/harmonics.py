@@ -57,3 +57,17 @@ def near_square_factors(n: Column) -> Column:
     """(a, b) with a * b = n, a <= b, as near to each other as can be."""
     small = F.array_max(F.filter(F.sequence(F.lit(1).cast("long"), F.ceil(F.sqrt(n)).cast("long")), lambda a: (n % a == 0) & (a * a <= n)))
     return F.struct(small.alias("a"), (n / small).cast("long").alias("b"))
+
+
+def term_metadata(spark):
+    """(term, name, field_order, unit, integrated_unit, expression) of the 16 terms used for encoding.
+
+    Units follow from the order: tesla over metres to the order, and its integral in cycles.
+    """
+    powers = "⁰¹²³"
+    rows = []
+    for n in range(1, 17):
+        order = next(i for i in range(len(ORDER_FROM)) if n < ORDER_FROM[i + 1])
+        unit = "T" if order == 0 else "T/m" if order == 1 else f"T/m{powers[order]}"
+        rows.append((n, f"h{n - 1}", order, unit, f"m⁻{powers[order]}" if order else "", TERMS[n - 1]))
+    return spark.createDataFrame(rows, "term int, name string, field_order int, unit string, integrated_unit string, expression string")

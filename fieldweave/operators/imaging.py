@@ -78,6 +78,17 @@ def center_window(df: DataFrame, sizes: tuple[int, int], want: tuple[int, int],
     return frame.join(moved, keys, "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
+def reorient(df: DataFrame, size: tuple[int, int], shift: tuple[int, int] = (0, 0), reverse_i: bool = True, swap: bool = True) -> DataFrame:
+    """Pixels rolled by ``shift``, reversed along i, and with both axes swapped: index arithmetic only.
+
+    Maps, fields and masks take the same call, so they stay aligned.
+    """
+    i, j = (F.pmod(F.col(c) + s, F.lit(n)).cast("int") for c, s, n in zip("ij", shift, size, strict=True))
+    i = F.lit(size[0] - 1) - i if reverse_i else i
+    moved = df.withColumns({"_i": j if swap else i, "_j": i if swap else j})
+    return moved.withColumns({"i": F.col("_i"), "j": F.col("_j")}).drop("_i", "_j")
+
+
 def mosaic(df: DataFrame, size: tuple[int, int], rows: int, cols: int, index: str = "n", value: str = "x") -> DataFrame:
     """(row, col, value): images 0..rows*cols-1 tiled row by row; missing ones are zero."""
     h, w = size

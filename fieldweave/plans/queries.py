@@ -152,6 +152,15 @@ def recon_terms_select(spark, sf_dir):
     return rows.select("p", *[snapped(F.col("k")[i]).alias(f"k{i + 1}") for i in range(9)])
 
 
+_ORDER = "CASE WHEN t = 1 THEN 0 WHEN t <= 4 THEN 1 WHEN t <= 9 THEN 2 ELSE 3 END"
+
+
+@query(f"""SELECT t::INT AS term, 'h' || (t - 1) AS name, o::INT AS field_order, 'T' || ['', '/m', '/m²', '/m³'][o + 1] AS unit,
+ ['', 'm⁻¹', 'm⁻²', 'm⁻³'][o + 1] AS integrated_unit FROM (SELECT t, {_ORDER} AS o FROM range(1, 17) s(t)) q""")
+def term_metadata(spark, sf_dir):
+    return harmonics.term_metadata(spark).drop("expression")
+
+
 @query(f"SELECT v, {r('z*z')} AS c1, {r('x*x+y*y')} AS c2, {r('x*z')} AS c3, {r('y*z')} AS c4 FROM {_VOX}")
 def concomitant_terms(spark, sf_dir):
     vox = roles.voxels(spark, sf_dir)
@@ -306,6 +315,12 @@ def coil_energy(spark, sf_dir):
     return rounded(ch.channel_energy(roles.coils(spark, sf_dir)), ["energy"])
 
 
+@query(f"""WITH e AS (SELECT v, sqrt(sum(re * re + im * im)) + 1e-8 AS rss FROM ({roles.COIL_SQL}) q GROUP BY v)
+SELECT q.v, c, {r('re / rss')} AS re, {r('im / rss')} AS im FROM ({roles.COIL_SQL}) q JOIN e ON e.v = q.v""")
+def normalized_maps(spark, sf_dir):
+    return rounded(geometry.normalize_maps(roles.coils(spark, sf_dir), ["v"]), ["re", "im"])
+
+
 @query("SELECT p_partkey, ntile(7) OVER (ORDER BY p_partkey) - 1 AS part FROM part")
 def balanced_ranges(spark, sf_dir):
     return ch.balanced_ranges(roles.read(spark, sf_dir, "part").select("p_partkey"), 7, "p_partkey")
@@ -429,6 +444,11 @@ def mosaic(spark, sf_dir):
     return imaging.mosaic(roles.images(spark, sf_dir), (8, 8), 4, 5)
 
 
+@query(f"SELECT n, ((j + 7) % 8)::INT AS i, (7 - i)::INT AS j, x FROM {_IMG} q")
+def reorient(spark, sf_dir):
+    return imaging.reorient(roles.images(spark, sf_dir), (8, 8), (0, -1))
+
+
 _STENCIL = """SELECT o, (least(floor(u), 6) + k)::INT AS at, CASE WHEN k = 1 THEN u - least(floor(u), 6) ELSE 1 - (u - least(floor(u), 6)) END AS w
 FROM (SELECT o, least(greatest((o + 0.5e0) * (8 / {n}e0) - 0.5e0, 0), 7) AS u FROM range({n}) t(o)) s, range(2) d(k)"""
 
@@ -580,6 +600,17 @@ def adaptive_basis_report(spark, sf_dir):
     return rounded(spark.createDataFrame([(x["snapshots"], x["bound"], x.get("rank")) for x in report], "snapshots int, bound double, rank int"), ["bound"])
 
 
+@query()
+def paired_prefix_error(spark, sf_dir):
+    """Mean loss and standard error of every prefix of the ranks on uniform pairs of rows and voxels."""
+    g, readouts = _features(spark, sf_dir)
+    f = np.concatenate(readouts)
+    q, basis = factors.rsvd(g, f, min(20, len(f) - 5))
+    points = basis.join(g, "v").orderBy(F.xxhash64("v"), "v").limit(2048).select("g", "s").toPandas()
+    rows = factors.paired_errors(f, q, points, np.random.default_rng(1234))
+    return rounded(spark.createDataFrame([(int(a), float(b), float(c)) for a, b, c in rows], "rank int, loss double, error double"), ["loss", "error"])
+
+
 @query()
 def recompress_error(spark, sf_dir):
     g, readouts = _features(spark, sf_dir)
