@@ -46,7 +46,8 @@ def identities(
     """``docs`` without its text, plus ``_level``, ``_name`` and ``_row``.
 
     Rows have equal (_level, _name) exactly when their texts are equal; a null text counts as
-    empty.  ``_row`` numbers the rows.
+    empty.  ``_row`` numbers the rows in the order of the scan; only where two contents share a hash
+    is ``docs`` scanned for it again, so docs should then be a table that reads alike twice.
     """
     spark = docs.sparkSession
     buckets = buckets or max(NAME_BUCKETS, 2 * scratch.partitions(spark))

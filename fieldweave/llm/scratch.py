@@ -18,7 +18,7 @@ _written: list[str] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; a local temporary one only if none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         found = spark.conf.get("spark.fieldweave.scratch", None)
     if not found:
