@@ -146,6 +146,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", block_
         F.max(F.struct(F.col(key).alias("k"), F.col("_row").alias("r"))).alias("_top"),
         F.count(F.lit(1)).alias("group_size"),
     )
+    # As a table of its own: adaptive execution splits a hot group only where both sides are plain shuffles.
+    groups = scratch.keep(groups, "groups")
     out = (
         named.join(groups, ["_level", "_name"])
         .withColumn("keep_id", F.col("_top.k"))

@@ -50,6 +50,8 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
         .where("n > 1")
         .drop("n")
     )
+    # As a table of its own: adaptive execution splits a hot window only where both sides are plain shuffles.
+    repeated = scratch.keep(repeated, "repeated-windows")
     marked = found.join(repeated, ["h1", "h2"]).select(
         "_id", "_at", (F.struct("_id", "_at") == F.col("first")).alias("first")
     )
