@@ -541,15 +541,15 @@ def code_point_tables() -> tuple[np.ndarray, np.ndarray]:
 
 # ---------------------------------------------------------------- DataFrames
 
-_loaded: dict[int, Tokenizer] = {}
+_loaded: dict[str, Tokenizer] = {}
 
 
 def tokenizer_of(shared) -> Tokenizer:
-    """The tokenizer of a broadcast blob, mapped once per Python worker."""
-    key = getattr(shared, "id", id(shared))
-    if key not in _loaded:
-        _loaded[key] = Tokenizer.mapped(shared.value)
-    return _loaded[key]
+    """The tokenizer of ``share``, mapped once per Python worker and told apart by its content."""
+    name, *blobs = shared.value
+    if name not in _loaded:
+        _loaded[name] = Tokenizer.mapped(tuple(blobs))
+    return _loaded[name]
 
 
 def text_runs(column: pa.Array, size: int = CHUNK) -> Iterator[list[str]]:
@@ -568,7 +568,9 @@ def text_runs(column: pa.Array, size: int = CHUNK) -> Iterator[list[str]]:
 
 def share(spark, path: str, words: list[str] | None = None):
     """The tokenizer at ``path`` (read on the driver only), broadcast; its size is that of the vocabulary."""
-    return spark.sparkContext.broadcast(Tokenizer.load(path, words).blobs())
+    blobs = Tokenizer.load(path, words).blobs()
+    name = hashlib.blake2b(blobs[0] + blobs[1], digest_size=16).hexdigest()
+    return spark.sparkContext.broadcast((name, *blobs))
 
 
 def encode(docs: DataFrame, tokenizer, key: str = "doc_id", text: str = "text") -> DataFrame:

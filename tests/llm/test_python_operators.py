@@ -251,6 +251,16 @@ def test_encode_and_decode_tables(spark, library):
     assert bpe.encode(table(spark, []), shared).count() == 0
 
 
+def test_workers_tell_tokenizers_apart(spark, library):
+    import public_tokenizers
+
+    rows = [(1, "Hello World's café 123")]
+    for _ in range(4):
+        for name, (lib, _) in library.items():
+            ids = bpe.encode(table(spark, rows), bpe.share(spark, public_tokenizers.path(name))).first()["ids"]
+            assert np.frombuffer(ids, "<u4").tolist() == lib.encode(rows[0][1], add_special_tokens=False).ids
+
+
 # ---------------------------------------------------------------- packing
 
 
