@@ -142,11 +142,24 @@ class Fenwick:
         return value, who
 
 
+def _nearby(p: int, q: int, ending: list[int], done: int, score: list[float], end_p: list[int], end_q: list[int]) -> tuple[float, int]:
+    """The best predecessor of (p, q) within MAX_GAP on both sides, where the best of all lies too far off."""
+    value, who = float("-inf"), -1
+    while done > 0:
+        done -= 1
+        e = ending[done]
+        if end_p[e] < p - MAX_GAP:
+            break
+        if q - MAX_GAP <= end_q[e] <= q and score[e] + GAP_COST * (end_p[e] + end_q[e]) > value:
+            value, who = score[e] + GAP_COST * (end_p[e] + end_q[e]), e
+    return value, who
+
+
 def chains(segs: np.ndarray) -> list[np.ndarray]:
     """Collinear chains of segments (p, q, length), best first, each segment in one chain.
 
     A chain's value is the words in its segments less GAP_COST for each word in a gap on either
-    side; it is cut where a gap is longer than MAX_GAP.
+    side; no gap is longer than MAX_GAP.
     """
     n = len(segs)
     if n == 1:
@@ -170,8 +183,10 @@ def chains(segs: np.ndarray) -> list[np.ndarray]:
         score[i] = float(length[i])
         if slot[i] >= 0:
             value, who = tree.upto(int(slot[i]))
+            if who >= 0 and (start_p[i] - end_p[who] > MAX_GAP or start_q[i] - end_q[who] > MAX_GAP):
+                value, who = _nearby(start_p[i], start_q[i], ending, done, score, end_p, end_q)
             value -= GAP_COST * (start_p[i] + start_q[i])
-            if who >= 0 and value > 0 and start_p[i] - end_p[who] <= MAX_GAP and start_q[i] - end_q[who] <= MAX_GAP:
+            if who >= 0 and value > 0:
                 score[i], back[i] = score[i] + value, who
     used, out = [False] * n, []
     for i in sorted(range(n), key=lambda i: -score[i]):

@@ -175,6 +175,12 @@ def test_chains_are_collinear_and_use_each_segment_once(segs):
     assert best >= segs[:, 2].max()
 
 
+def test_a_chain_goes_on_from_a_weaker_predecessor_in_reach():
+    # A long run far before, then a passage in two halves.
+    segs = np.array([(0, 0, 500), (560, 560, 26), (587, 586, 26)], np.int64)
+    assert sorted(map(len, substring_dedup.chains(segs))) == [1, 2]
+
+
 # ---------------------------------------------------------------- tokens
 
 
