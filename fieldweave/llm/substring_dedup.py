@@ -5,7 +5,7 @@ so two texts that share W + 4 words in a row share a seed.  Every later occurren
 matched with its first one, never with all others.  The matches of two documents are merged along
 diagonals, and the segments are chained by a Fenwick tree over prefix maxima with a cost for every
 word that a gap leaves out.  Chains are aligned word by word; what is long and similar enough is a
-passage.
+passage.  Of a chain that is not, the longest parts that are similar enough are looked at.
 """
 
 from __future__ import annotations
@@ -313,6 +313,80 @@ def align(x: np.ndarray, y: np.ndarray, x0: int, y0: int, segs: np.ndarray, span
     return [a - left, b + right, c - left, d + right], same
 
 
+def _pieces(x: np.ndarray, y: np.ndarray, x0: int, y0: int, segs: np.ndarray) -> np.ndarray:
+    """The runs of equal words in a chain: rows (p, q, length), none overlapping on either side."""
+    out, at_p, at_q = [], 0, 0
+    for p, q, n in segs.tolist():
+        skip = max(at_p - p, at_q - q, 0)
+        p, q, n = p + skip, q + skip, n - skip
+        if n <= 0:
+            continue
+        same = np.concatenate([[False], x[p - x0 : p + n - x0] == y[q - y0 : q + n - y0], [False]])
+        edge = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2)
+        out += [(p + int(i), q + int(i), int(j - i)) for i, j in edge]
+        at_p, at_q = p + n, q + n
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+def _most(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far two runs of words may be grown so that they end on a word that agrees, and how many agree up to there."""
+    n, _ = _grown(x, y)
+    same = x[:n] == y[:n]
+    return np.append(0, np.flatnonzero(same) + 1), np.append(0, np.cumsum(same)[same])
+
+
+def _grow(x, y, x0, y0, span, same, least, percent) -> tuple[list[int], int] | None:
+    """The longest growth of a span with ``same`` equal words that is long and similar enough."""
+    a, b, c, d = span
+    left, more = _most(x[: a - x0][::-1], y[: c - y0][::-1])
+    right, rest = _most(x[b - x0 :], y[d - y0 :])
+    total = same + more[:, None] + rest[None, :]
+    grown = left[:, None] + right[None, :]
+    fits = (100 * total >= percent * (max(b - a, d - c) + grown)) & (b - a + grown >= least)
+    if not fits.any():
+        return None
+    i, j = np.unravel_index(int(np.where(fits, grown, -1).argmax()), fits.shape)
+    return [a - int(left[i]), b + int(right[j]), c - int(left[i]), d + int(right[j])], int(total[i, j])
+
+
+def found_in(x: np.ndarray, y: np.ndarray, x0: int, y0: int, segs: np.ndarray, span: list[int], least: int, percent: int) -> list[tuple[list[int], int]]:
+    """The passages in a chain: itself, or else its longest parts that are long and similar enough."""
+    whole, same = align(x, y, x0, y0, segs, span)
+    if whole[1] - whole[0] >= least and 100 * same >= percent * max(whole[1] - whole[0], whole[3] - whole[2]):
+        return [(whole, same)]
+    runs, out = _pieces(x, y, x0, y0, segs), []
+    if not len(runs):
+        return out
+    p, q, n = runs.T
+    gaps = zip((p + n)[:-1].tolist(), p[1:].tolist(), (q + n)[:-1].tolist(), q[1:].tolist(), strict=True)
+    between = [0 if b - a == d - c == 1 else _common(x[a - x0 : b - x0], y[c - y0 : d - y0]) for a, b, c, d in gaps]
+    upto = np.cumsum(n)
+    upto[1:] += np.cumsum(np.array(between, np.int64))
+    todo = [(0, len(runs))]
+    while todo:
+        lo, hi = todo.pop()
+        # The longest similar stretch of runs; its rests are looked at on their own.
+        best, at = 0, None
+        for i in range(lo, hi):
+            if max(p[hi - 1] + n[hi - 1] - p[i], q[hi - 1] + n[hi - 1] - q[i]) <= best:
+                break
+            longest = np.maximum(p[i:hi] + n[i:hi] - p[i], q[i:hi] + n[i:hi] - q[i])
+            fits = np.flatnonzero(100 * (upto[i:hi] - upto[i] + n[i]) >= percent * longest)
+            if longest[fits[-1]] > best:
+                best, at = int(longest[fits[-1]]), (i, i + int(fits[-1]) + 1)
+        if at is None:
+            continue
+        i, j = at
+        span = [int(p[i]), int(p[j - 1] + n[j - 1]), int(q[i]), int(q[j - 1] + n[j - 1])]
+        grown = _grow(x, y, x0, y0, span, int(upto[j - 1] - upto[i] + n[i]), least, percent)
+        if grown is not None:
+            out.append(grown)
+        todo += [part for part in ((lo, i), (j, hi)) if part[0] < part[1]]
+    # Growth may take in the rests' passages.
+    out.sort(key=lambda o: (o[0][0], -o[0][1]))
+    return [o for i, o in enumerate(out) if not any(w[0][0] <= o[0][0] and o[0][1] <= w[0][1] for w in out[:i])]
+
+
 def _windows(batches):
     """mapInArrow: (k, t, text, wants) -> (k, t, lo, hi, words): hashes of the words lo..hi of a text."""
     for batch in batches:
@@ -347,12 +421,10 @@ def _aligned(least: int, percent: int):
             for i, r in enumerate(batch.select(["a", "b", "c", "d", "segs", "lo", "clo", "x", "y"]).to_pylist()):
                 x, y = np.frombuffer(r["x"], np.uint64), np.frombuffer(r["y"], np.uint64)
                 segs = np.frombuffer(r["segs"], "<i4").reshape(-1, 3)
-                span, same = align(x, y, max(r["lo"], 0), max(r["clo"], 0), segs, [r["a"], r["b"], r["c"], r["d"]])
-                longest = max(span[1] - span[0], span[3] - span[2])
-                if span[1] - span[0] >= least and 100 * same >= percent * longest:
+                for span, same in found_in(x, y, max(r["lo"], 0), max(r["clo"], 0), segs, [r["a"], r["b"], r["c"], r["d"]], least, percent):
                     rows.append(i)
                     spans.append(span)
-                    share.append(same / longest)
+                    share.append(same / max(span[1] - span[0], span[3] - span[2]))
             at, spans = pa.array(rows, pa.int64()), np.array(spans, np.int32).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c).take(at) for c in ("k", "t", "ck", "ct")], *[pa.array(spans[:, j]) for j in range(4)], pa.array(share, pa.float64())],

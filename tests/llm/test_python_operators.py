@@ -175,6 +175,20 @@ def test_chains_are_collinear_and_use_each_segment_once(segs):
     assert best >= segs[:, 2].max()
 
 
+def test_a_chain_that_is_not_similar_enough_is_split_at_its_gaps(spark):
+    rng = random.Random(21)
+    got = set()
+    for first in range(0, 80, 2):
+        base = prose(rng, 110, 10**6)
+        docs = [(first, " ".join(base)), (first + 1, " ".join(base[:55] + prose(rng, 30, 10**6) + base[55:]))]
+        got |= {(r.doc_id, r.start, r.end) for r in substring_dedup.shared_passages(table(spark, docs)).collect()} if first < 2 else set()
+        x, y = (np.array([hash(w) for w in d.split()]).view(np.uint64) for d in (docs[1][1], docs[0][1]))
+        segs = np.array([(4, 4, 45), (93, 63, 40)], np.int64)
+        parts = substring_dedup.found_in(x, y, 0, 0, segs, [4, 133, 4, 103], 50, 80)
+        assert [(span, same) for span, same in parts] == [([0, 55, 0, 55], 55), ([85, 140, 55, 110], 55)]
+    assert got == {(1, 0, 55), (1, 85, 140)}
+
+
 def test_a_chain_goes_on_from_a_weaker_predecessor_in_reach():
     # A long run far before, then a passage in two halves.
     segs = np.array([(0, 0, 500), (560, 560, 26), (587, 586, 26)], np.int64)
