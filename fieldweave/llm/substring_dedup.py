@@ -20,6 +20,8 @@ from . import scratch, textvec
 
 K, W = 5, 10
 MIN_WORDS, PERCENT = 50, 80
+#: A seed that comes again after so many words is no self-repetition.
+BREAK = 50
 #: A gap of more words, on either side, ends a chain.
 MAX_GAP = 40
 GAP_COST = 0.1
@@ -70,23 +72,28 @@ def seeds(words: textvec.Words, k: int = K, w: int = W) -> tuple[np.ndarray, np.
     return at, run[at]
 
 
-def _turns(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """How often each seed has stood in its document before."""
-    order = np.lexsort((h, doc))
-    d, x = doc[order], h[order]
+def _turns(doc: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each seed has stood in its document before, and how often since it last stayed away for BREAK words."""
+    order = np.lexsort((at, h, doc))
+    d, x, p = doc[order], h[order], at[order]
     new = np.ones(len(x), bool)
     new[1:] = (d[1:] != d[:-1]) | (x[1:] != x[:-1])
-    start = np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
-    out = np.empty(len(x), np.uint64)
-    out[order] = (np.arange(len(x)) - start).astype(np.uint64)
-    return out
+    out = []
+    for _ in range(2):
+        start = np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+        turn = np.empty(len(x), np.uint64)
+        turn[order] = (np.arange(len(x)) - start).astype(np.uint64)
+        out.append(turn)
+        new[1:] |= p[1:] - p[:-1] >= BREAK
+    return out[0], out[1]
 
 
 def _seed_rows(batches):
     """mapInArrow: (k, t, text) -> (h, k, t, p), one row for each seed.
 
     The n-th time a seed stands in a document, it is a seed of its own: so a text that repeats
-    itself is matched turn by turn.
+    itself is matched turn by turn.  Turns are also counted anew after BREAK words without the seed,
+    so every copy of a passage is matched with the first one, too.
     """
     for batch in batches:
         data, offsets = textvec.text_buffer(batch.column(2))
@@ -94,8 +101,11 @@ def _seed_rows(batches):
             with np.errstate(over="ignore"):
                 words = textvec.Words(data, offsets[i : j + 1])
                 at, h = seeds(words)
+                turn, anew = _turns(words.doc[at], h, at)
+                more = np.flatnonzero(turn != anew)
+                h = textvec.mix(np.concatenate([h + turn * textvec._MULT, h[more] + anew[more] * textvec._MULT]))
+                at = np.concatenate([at, at[more]])
                 doc = words.doc[at]
-                h = textvec.mix(h + _turns(doc, h) * textvec._MULT)
             rows = pa.array(doc + i)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at - words.first[doc]).astype(np.int32))],

@@ -175,6 +175,18 @@ def test_chains_are_collinear_and_use_each_segment_once(segs):
     assert best >= segs[:, 2].max()
 
 
+def test_every_copy_of_a_passage_in_a_later_document_is_found(spark):
+    rng = random.Random(22)
+    p, own = prose(rng, 70, 10**6), lambda: prose(rng, 60, 10**6)
+    docs = [(1, own() + p + own()), (2, own() + p + own() + p + own() + p), (3, own() + p[20:35] + own() + p), (4, own() + p[:40] + p)]
+    docs += [(8, "go on " * 80), (9, "go on " * 80)]
+    docs = [(k, w if isinstance(w, str) else " ".join(w)) for k, w in docs]
+    got = {(r.doc_id, r.start, r.end) for r in substring_dedup.shared_passages(table(spark, docs)).collect()}
+    assert got >= {(2, 60, 130), (2, 190, 260), (2, 320, 390), (3, 135, 205), (4, 100, 170), (9, 0, 160)}
+    cut = {r.doc_id: words_of(r.text) for r in substring_dedup.cut_passages(table(spark, docs)).collect()}
+    assert len(cut[2]) == 180 and len(cut[3]) == 135 and len(cut[4]) in range(95, 101) and cut[9] == []
+
+
 def test_a_chain_that_is_not_similar_enough_is_split_at_its_gaps(spark):
     rng = random.Random(21)
     got = set()
