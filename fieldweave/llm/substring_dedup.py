@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from . import scratch, textvec
 
-K, W = 5, 10
+K, W = 5, 4
 MIN_WORDS, PERCENT = 50, 80
 #: A seed that comes again after so many words is no self-repetition.
 BREAK = 50
@@ -30,6 +30,8 @@ GAP_COST = 0.1
 DROP = 6
 #: Words beyond a chain's ends that are looked at.
 MARGIN = 48
+#: Seeds handed on at once.
+SEED_ROWS = 1 << 16
 #: Gaps of more cells than this are aligned at their ends only.
 MAX_CELLS = 1 << 14
 
@@ -106,11 +108,14 @@ def _seed_rows(batches):
                 h = textvec.mix(np.concatenate([h + turn * textvec._MULT, h[more] + anew[more] * textvec._MULT]))
                 at = np.concatenate([at, at[more]])
                 doc = words.doc[at]
-            rows = pa.array(doc + i)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at - words.first[doc]).astype(np.int32))],
-                names=["h", "k", "t", "p"],
-            )
+            p = (at - words.first[doc]).astype(np.int32)
+            for a in range(0, len(at), SEED_ROWS):
+                part = slice(a, a + SEED_ROWS)
+                rows = pa.array(doc[part] + i)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[part].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(p[part])],
+                    names=["h", "k", "t", "p"],
+                )
 
 
 # ---------------------------------------------------------------- chaining
@@ -210,24 +215,20 @@ def chains(segs: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _chain_rows(least: int):
+def _chain_rows(batches):
     """mapInArrow over matches sorted by (k, t, ck, ct): candidate chains of each pair of documents."""
-
-    def run(batches):
-        tail = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if tail is not None and tail.num_rows:
-                table = pa.concat_tables([tail, table])
-            table = table.combine_chunks()
-            edge = _borders(table)
-            # The last pair may go on in the next batch.
-            yield from _pairs(table.slice(0, edge[-2]), edge[:-1], least)
-            tail = table.slice(edge[-2])
+    tail = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
         if tail is not None and tail.num_rows:
-            yield from _pairs(tail, np.array([0, tail.num_rows]), least)
-
-    return run
+            table = pa.concat_tables([tail, table])
+        table = table.combine_chunks()
+        edge = _borders(table)
+        # The last pair may go on in the next batch.
+        yield from _pairs(table.slice(0, edge[-2]), edge[:-1])
+        tail = table.slice(edge[-2])
+    if tail is not None and tail.num_rows:
+        yield from _pairs(tail, np.array([0, tail.num_rows]))
 
 
 def _borders(table: pa.Table) -> np.ndarray:
@@ -240,21 +241,18 @@ def _borders(table: pa.Table) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
-def _pairs(table: pa.Table, edge: np.ndarray, least: int):
+def _pairs(table: pa.Table, edge: np.ndarray):
     if not table.num_rows:
         return
     p, q = table.column("p").to_numpy().astype(np.int64), table.column("q").to_numpy().astype(np.int64)
     rows, spans, segs = [], [], []
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        if b - a == 1 and K < least:
-            continue
         for chain in chains(segments(p[a:b], q[a:b])):
             end = chain[-1]
             span = [chain[0][0], end[0] + end[2], chain[0][1], end[1] + end[2]]
-            if span[1] - span[0] >= least:
-                rows.append(a)
-                spans.append(span)
-                segs.append(chain.astype("<i4").tobytes())
+            rows.append(a)
+            spans.append(span)
+            segs.append(chain.astype("<i4").tobytes())
     if rows:
         at, spans = pa.array(rows, pa.int64()), np.array(spans, np.int32)
         yield pa.RecordBatch.from_arrays(
@@ -412,7 +410,8 @@ def _windows(batches):
                     row.append(d)
                     lo.append(want["lo"])
                     hi.append(want["hi"])
-                    out.append(own[max(want["lo"], 0) : want["hi"]].tobytes())
+                    # Half of each hash is enough to compare two words, and half the bytes.
+                    out.append(own[max(want["lo"], 0) : want["hi"]].astype("<u4").tobytes())
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(out, pa.binary())],
@@ -429,7 +428,7 @@ def _aligned(least: int, percent: int):
                 continue
             rows, spans, share = [], [], []
             for i, r in enumerate(batch.select(["a", "b", "c", "d", "segs", "lo", "clo", "x", "y"]).to_pylist()):
-                x, y = np.frombuffer(r["x"], np.uint64), np.frombuffer(r["y"], np.uint64)
+                x, y = np.frombuffer(r["x"], "<u4"), np.frombuffer(r["y"], "<u4")
                 segs = np.frombuffer(r["segs"], "<i4").reshape(-1, 3)
                 for span, same in found_in(x, y, max(r["lo"], 0), max(r["clo"], 0), segs, [r["a"], r["b"], r["c"], r["d"]], least, percent):
                     rows.append(i)
@@ -468,9 +467,8 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     )
     sorted_ = matches.repartition("k", "t").sortWithinPartitions("k", "t", "ck", "ct")
     names = f"k {kind}, t int, ck {kind}, ct int"
-    # Seeds reach to within W + K words of a passage's ends.
-    least = max(min_words - 2 * (W + K), K + 1)
-    candidates = sorted_.mapInArrow(_chain_rows(least), f"{names}, a int, b int, c int, d int, segs binary")
+    # One seed is a chain: what it grows to is measured after the growth only.
+    candidates = sorted_.mapInArrow(_chain_rows, f"{names}, a int, b int, c int, d int, segs binary")
     margin = MARGIN
     candidates = candidates.withColumns(
         {"lo": F.col("a") - margin, "hi": F.col("b") + margin, "clo": F.col("c") - margin, "chi": F.col("d") + margin}

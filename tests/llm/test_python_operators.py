@@ -175,6 +175,20 @@ def test_chains_are_collinear_and_use_each_segment_once(segs):
     assert best >= segs[:, 2].max()
 
 
+def test_passages_with_a_word_changed_every_few_are_found(spark):
+    rng = random.Random(23)
+    docs, pairs = [], 0
+    for every in (6, 7, 8):
+        for at in range(20):
+            p = prose(rng, 60, 10**6)
+            q = [f"x{rng.randrange(10**6)}" if i % every == at % every else w for i, w in enumerate(p)]
+            for words in (p, q):
+                docs.append((len(docs), " ".join(prose(rng, 40, 10**6) + words + prose(rng, 40, 10**6))))
+            pairs += 1
+    got = {(r.doc_id, r.source_doc_id) for r in substring_dedup.shared_passages(table(spark, docs)).collect()}
+    assert all(a == b + 1 and b % 2 == 0 for a, b in got) and len(got) >= 0.95 * pairs
+
+
 def test_every_copy_of_a_passage_in_a_later_document_is_found(spark):
     rng = random.Random(22)
     p, own = prose(rng, 70, 10**6), lambda: prose(rng, 60, 10**6)
