@@ -14,8 +14,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 CHUNK = 4096
+#: Pairs of rows and voxels that choose a rank, and that confirm it.
+SELECTION_PAIRS, ACCEPTANCE_PAIRS = 100_000, 400_000
 
 
 def phase_block(f: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -210,20 +213,49 @@ def fit_coefficients(f: np.ndarray, points: pd.DataFrame) -> np.ndarray:
     return np.linalg.lstsq(s.conj(), phase_block(f, g).T, rcond=None)[0].T
 
 
-def paired_errors(f: np.ndarray, q: np.ndarray, points: pd.DataFrame, rng: np.random.Generator, pairs: int = 4096) -> np.ndarray:
-    """(rank, mean loss, standard error) for every prefix of the ranks on uniform (row, voxel) pairs."""
-    i, j = rng.integers(len(f), size=pairs), rng.integers(len(points), size=pairs)
-    s, g = unpack(points["s"])[j], np.stack(points["g"].to_numpy())[j]
-    exact = np.exp(2j * np.pi * (f[i] * g).sum(axis=1))
-    loss = np.abs(exact[:, None] - np.cumsum(q[i] * s.conj(), axis=1)) ** 2
-    return np.stack([np.arange(1, q.shape[1] + 1), loss.mean(axis=0), loss.std(axis=0, ddof=1) / np.sqrt(pairs)], axis=1)
+def numbered(voxels: DataFrame, buckets: int = 1024) -> tuple[DataFrame, int]:
+    """(v, j): the voxels numbered from 0, in the same way however they are dealt out, and their count."""
+    own = voxels.select("v", F.pmod(F.xxhash64("v"), F.lit(buckets)).alias("b"))
+    counts = own.groupBy("b").count().toPandas().sort_values("b")
+    first = counts.assign(first=counts["count"].cumsum() - counts["count"])[["b", "first"]]
+    bases = F.broadcast(voxels.sparkSession.createDataFrame(first.astype("int64"), "b long, first long"))
+    place = F.row_number().over(Window.partitionBy("b").orderBy("v")) - 1
+    return own.withColumn("place", place).join(bases, "b").select("v", (F.col("first") + F.col("place")).alias("j")), int(counts["count"].sum())
+
+
+def paired_errors(f: np.ndarray, q: np.ndarray, voxels: DataFrame, basis: DataFrame, seed: int, pairs: int) -> np.ndarray:
+    """(rank, mean loss, standard error) for every prefix of the ranks on uniform (row, voxel) pairs.
+
+    The pairs are drawn from all rows and all voxels, with repeats.
+    """
+    rng = np.random.default_rng(seed)
+    places, count = numbered(voxels)
+    drawn = pd.DataFrame({"i": rng.integers(len(f), size=pairs), "j": rng.integers(count, size=pairs)})
+    drawn = voxels.sparkSession.createDataFrame(drawn, "i long, j long").groupBy("j").agg(F.collect_list("i").alias("i"))
+    both = drawn.join(places, "j").join(voxels, "v").join(basis, "v").select("i", "g", "s")
+
+    def sums(pdf):
+        i, at = np.concatenate(pdf["i"].to_numpy()), np.repeat(np.arange(len(pdf)), pdf["i"].map(len))
+        s, g, out = unpack(pdf["s"]), np.stack(pdf["g"].to_numpy()), np.zeros((2, q.shape[1]))
+        for a in range(0, len(i), CHUNK):
+            r, v = i[a : a + CHUNK], at[a : a + CHUNK]
+            exact = np.exp(2j * np.pi * (f[r] * g[v]).sum(axis=1))
+            loss = np.abs(exact[:, None] - np.cumsum(q[r] * s[v].conj(), axis=1)) ** 2
+            out += [loss.sum(axis=0), (loss**2).sum(axis=0)]
+        return out
+
+    total, squares = summed(both, sums, (2, q.shape[1])).real
+    mean = total / pairs
+    spread = np.maximum(squares - pairs * mean**2, 0) / (pairs - 1)
+    return np.stack([np.arange(1, q.shape[1] + 1), mean, np.sqrt(spread / pairs)], axis=1)
 
 
 def adaptive_factors(voxels: DataFrame, f: np.ndarray, eps: float, snapshots: int = 8, most: int = 128, pool: int = 2048, seed: int = 1234):
     """Snapshots doubled until a prefix of the ranks passes sqrt(mean + 4 se) < eps on two sets of pairs.
 
-    Returns (q, basis, report); q and basis are None when the budget of snapshots runs out.  The
-    pool of voxels for fitting and checking is bounded by ``pool``.
+    Returns (q, basis, report); q and basis are None when the budget of snapshots runs out.  Only
+    the voxels for fitting come from a pool, which is bounded by ``pool``; the pairs of the audit
+    come from all voxels.
     """
     rng = np.random.default_rng(seed)
     dims = f.shape[1]
@@ -232,13 +264,11 @@ def adaptive_factors(voxels: DataFrame, f: np.ndarray, eps: float, snapshots: in
     while snapshots <= most:
         chosen = k_centers(f, total, snapshots)
         basis = snapshot_basis(voxels, f, chosen, snapshots)
-        points = basis.join(voxels, "v").orderBy(F.xxhash64("v"), "v").limit(pool).select("g", "s").toPandas()
-        half = len(points) // 2
-        fit_on, check_on = points.iloc[:half], points.iloc[half:]
+        fit_on = basis.join(voxels, "v").orderBy(F.xxhash64("v"), "v").limit(pool).select("g", "s").toPandas()
         anchors = pivot_rows(unpack(fit_on["s"]), snapshots)
-        rest = rng.permutation(half)[: 4 * snapshots]
+        rest = rng.permutation(len(fit_on))[: 4 * snapshots]
         q = fit_coefficients(f, fit_on.iloc[np.unique(np.concatenate([anchors, rest]))])
-        sets = [paired_errors(f, q, check_on, rng) for _ in range(2)]
+        sets = [paired_errors(f, q, voxels, basis, seed + 2 * len(report) + n, pairs) for n, pairs in ((1, SELECTION_PAIRS), (2, ACCEPTANCE_PAIRS))]
         bound = np.maximum(*[np.sqrt(x[:, 1] + 4 * x[:, 2]) for x in sets])
         report.append({"snapshots": snapshots, "bound": float(bound[-1])})
         passed = np.flatnonzero(bound < eps)

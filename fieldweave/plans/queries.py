@@ -606,8 +606,7 @@ def paired_prefix_error(spark, sf_dir):
     g, readouts = _features(spark, sf_dir)
     f = np.concatenate(readouts)
     q, basis = factors.rsvd(g, f, min(20, len(f) - 5))
-    points = basis.join(g, "v").orderBy(F.xxhash64("v"), "v").limit(2048).select("g", "s").toPandas()
-    rows = factors.paired_errors(f, q, points, np.random.default_rng(1234))
+    rows = factors.paired_errors(f, q, g, basis, 1234, factors.ACCEPTANCE_PAIRS)
     return rounded(spark.createDataFrame([(int(a), float(b), float(c)) for a, b, c in rows], "rank int, loss double, error double"), ["loss", "error"])
 
 

@@ -167,6 +167,22 @@ def test_adaptive_factors_pass_their_audit_or_are_none(spark):
     assert factors.adaptive_factors(table, rows, 1e-9, snapshots=4, most=4)[0] is None
 
 
+def test_paired_errors_draw_from_all_voxels(spark):
+    table, g, f = features(spark, 5000)
+    rows = np.concatenate(f)
+    places, count = factors.numbered(table)
+    assert count == 5000 and sorted(r.j for r in places.collect()) == list(range(5000))
+    # The factors are wrong in the one half of the voxels that a small pool in hash order would leave out.
+    order = [r.v for r in table.select("v").orderBy(F.xxhash64("v"), "v").collect()]
+    bad = set(order[2048:])
+    basis = spark.createDataFrame([(v, [0.0, 0.0] if v in bad else [1.0, 0.0]) for v in order], "v long, s array<double>")
+    q = np.ones((len(rows), 1), complex)
+    s = np.array([0.0 if v in bad else 1.0 for v in range(5000)])
+    exact = (np.abs(factors.phase_block(rows, g) - s) ** 2).mean()
+    _, loss, error = factors.paired_errors(rows, q, table, basis, 1, 20_000)[0]
+    assert abs(loss - exact) < 5 * error
+
+
 def test_covariance_whitening_and_compression(spark):
     x = RNG.normal(size=(101, 3)) + 1j * RNG.normal(size=(101, 3))
     rows = spark.createDataFrame(pd.DataFrame([(o, c, z.real, z.imag) for (o, c), z in np.ndenumerate(x)], columns=["obs", "c", "re", "im"]))
