@@ -30,6 +30,8 @@ GAP_COST = 0.1
 DROP = 6
 #: Words beyond a chain's ends that are looked at.
 MARGIN = 48
+#: So many chains may ask for their windows by a broadcast.
+FEW = 50_000
 #: Seeds handed on at once.
 SEED_ROWS = 1 << 16
 #: Gaps of more cells than this are aligned at their ends only.
@@ -217,25 +219,30 @@ def chains(segs: np.ndarray) -> list[np.ndarray]:
 
 def _chain_rows(batches):
     """mapInArrow over matches sorted by (k, t, ck, ct): candidate chains of each pair of documents."""
+    return _by_group(batches, ("k", "t", "ck", "ct"), _pairs)
+
+
+def _by_group(batches, names: tuple[str, ...], of):
+    """What ``of`` makes of whole groups of rows with equal ``names`` in sorted batches."""
     tail = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         if tail is not None and tail.num_rows:
             table = pa.concat_tables([tail, table])
         table = table.combine_chunks()
-        edge = _borders(table)
-        # The last pair may go on in the next batch.
-        yield from _pairs(table.slice(0, edge[-2]), edge[:-1])
+        edge = _borders(table, names)
+        # The last group may go on in the next batch.
+        yield from of(table.slice(0, edge[-2]), edge[:-1])
         tail = table.slice(edge[-2])
     if tail is not None and tail.num_rows:
-        yield from _pairs(tail, np.array([0, tail.num_rows]))
+        yield from of(tail, np.array([0, tail.num_rows]))
 
 
-def _borders(table: pa.Table) -> np.ndarray:
+def _borders(table: pa.Table, names: tuple[str, ...]) -> np.ndarray:
     n = table.num_rows
     new = np.zeros(n, bool)
     new[0] = True
-    for name in ("k", "t", "ck", "ct"):
+    for name in names:
         codes = table.column(name).combine_chunks().dictionary_encode("encode").indices.to_numpy()
         new[1:] |= codes[1:] != codes[:-1]
     return np.append(np.flatnonzero(new), n)
@@ -449,12 +456,53 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("k"), F.hash(value).alias("t"), value.alias("text"))
 
 
+def _rare(least: int):
+    """mapInArrow over (k, t, p, h, n) sorted so, n earlier documents having the seed -> the rarest seed of every window of ``least`` words.
+
+    Every window all of whose seeds stand in earlier documents has one, (k, t, p, h, lo, hi); lo..hi
+    is the run of such seeds.  A copy of so many words lies in a window like that.
+    """
+
+    def of(table: pa.Table, edge: np.ndarray):
+        p, h, n = (table.column(c).to_numpy() for c in ("p", "h", "n"))
+        rows, lo, hi = [], [], []
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            # A place may have two seeds: the commoner one is that of its words.
+            last = np.flatnonzero(np.append(p[a + 1 : b] != p[a : b - 1], True)) + a
+            at, far = p[last].astype(np.int64), n[last]
+            cuts = np.flatnonzero(at[1:] - at[:-1] > W) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
+                if at[j - 1] + K - at[i] < least - 2 * (W - 1):
+                    continue
+                done = -1
+                for u in range(i, j):
+                    # The window from the seed u on: its last seed is the last that ends inside.
+                    v = int(np.searchsorted(at[i:j], at[u] + least - 2 * (W - 1) - K, "right")) + i
+                    if v < j or u == i or at[v - 1] + K - at[u] >= least - 2 * (W - 1):
+                        if done < u:
+                            done = u + int(far[u:v].argmin())
+                            rows.append(int(last[done]))
+                            lo.append(int(at[i]))
+                            hi.append(int(at[j - 1]) + K)
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [*[table.column(c).combine_chunks().take(at) for c in ("k", "t", "p", "h")], pa.array(lo, pa.int32()), pa.array(hi, pa.int32())],
+            names=["k", "t", "p", "h", "lo", "hi"],
+        )
+
+    return lambda batches: _by_group(batches, ("k", "t"), of)
+
+
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
     """Passages of at least ``min_words`` words that an earlier document has too, by at least ``percent``.
 
     Columns: k, t (the document), start, end (its words, from 0), ck, ct, source_start, source_end
     (the earlier one), similarity (words that agree, over the longer side).  Earlier means a
     smaller key.  Words are runs without ASCII white space, lower-cased in A-Z.
+
+    Seeds meet their first occurrence.  What that leaves unexplained and may yet be a copy is
+    looked at again: of every window of ``min_words`` words whose seeds are all repeated the rarest
+    seed meets the last document before and, while unexplained, all documents before.
     """
     scratch.prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
@@ -462,25 +510,78 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     found = rows.mapInArrow(_seed_rows, f"h long, k {kind}, t int, p int")
     order = Window.partitionBy("h").orderBy("k", "t", "p")
     first = found.withColumn("f", F.first(F.struct("k", "t", "p")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    first = first.withColumn("n", F.dense_rank().over(Window.partitionBy("h").orderBy("k", "t")) - 1)
     matches = first.where(~(F.struct("k", "t").eqNullSafe(F.struct(F.col("f.k").alias("k"), F.col("f.t").alias("t"))))).select(
-        "k", "t", F.col("f.k").alias("ck"), F.col("f.t").alias("ct"), "p", F.col("f.p").alias("q")
+        "k", "t", F.col("f.k").alias("ck"), F.col("f.t").alias("ct"), "p", F.col("f.p").alias("q"), "h", "n"
     )
-    sorted_ = matches.repartition("k", "t").sortWithinPartitions("k", "t", "ck", "ct")
+    matches = scratch.keep(matches, "matches")
+    sorted_ = matches.drop("h", "n").repartition("k", "t").sortWithinPartitions("k", "t", "ck", "ct")
     names = f"k {kind}, t int, ck {kind}, ct int"
+    shape = f"{names}, a int, b int, c int, d int, segs binary"
     # One seed is a chain: what it grows to is measured after the growth only.
-    candidates = sorted_.mapInArrow(_chain_rows, f"{names}, a int, b int, c int, d int, segs binary")
-    margin = MARGIN
+    candidates = sorted_.mapInArrow(_chain_rows, shape)
     candidates = candidates.withColumns(
-        {"lo": F.col("a") - margin, "hi": F.col("b") + margin, "clo": F.col("c") - margin, "chi": F.col("d") + margin}
+        {"lo": F.col("a") - MARGIN, "hi": F.col("b") + MARGIN, "clo": F.col("c") - MARGIN, "chi": F.col("d") + MARGIN}
     )
-    candidates = scratch.keep(candidates, "chains")
+    one = scratch.keep(_verified(rows, scratch.keep(candidates, "chains"), kind, min_words, percent), "passages")
+
+    rare = matches.select("k", "t", "p", "h", "n").repartition("k", "t").sortWithinPartitions("k", "t", "p", "n")
+    rare = rare.mapInArrow(_rare(min_words), f"k {kind}, t int, p int, h long, lo int, hi int")
+    rare = scratch.keep(_open(rare, one, min_words), "rare")
+    # The places of those seeds: later ones are in matches, and their first ones in what these point to.
+    own = rare.select("h").distinct()
+    places = matches.select("h", F.col("k").alias("ck"), F.col("t").alias("ct"), F.col("p").alias("q")).join(own, "h", "left_semi").distinct()
+    places = scratch.keep(places.unionByName(matches.select("h", "ck", "ct", "q").join(own, "h", "left_semi").distinct()), "places")
+    # The last document before comes first: it explains all copies of a copy, at one meeting each.
+    last = places.groupBy("h", "ck", "ct").agg(F.min("q").alias("q"))
+    last = last.withColumn("at", F.lag(F.struct("ck", "ct", "q")).over(Window.partitionBy("h").orderBy("ck", "ct"))).where("at is not null")
+    last = last.select(F.col("h").alias("_h"), F.col("ck").alias("_k"), F.col("ct").alias("_t"), "at.*")
+    again = rare.join(last, (F.col("h") == F.col("_h")) & F.col("k").eqNullSafe(F.col("_k")) & (F.col("t") == F.col("_t"))).drop("_h", "_k", "_t")
+    two = _verified(rows, scratch.keep(_single(again), "again"), kind, min_words, percent)
+    two = scratch.keep(two.dropDuplicates(["k", "t", "ck", "ct", "start", "end", "source_start"]), "passages")
+    before = F.struct(F.col("ck").alias("k"), F.col("ct").alias("t")) < F.struct("k", "t")
+    again = _open(rare, two, min_words).join(places, "h").where(before)
+    three = _verified(rows, scratch.keep(_single(again), "again"), kind, min_words, percent)
+    return _longest(one.unionByName(two).unionByName(three))
+
+
+def _longest(found: DataFrame) -> DataFrame:
+    """Of passages of the same two documents, one in the other, the longer; of equal ones the first in the source."""
+    order = Window.partitionBy("k", "t", "ck", "ct").orderBy("start", F.desc("end"), "source_start")
+    upto = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return found.withColumn("upto", upto).where("upto is null or upto < end").drop("upto")
+
+
+def _open(rare: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
+    """The seeds whose windows, as far as their runs go, are not in one passage."""
+    reach = min_words - K
+    spans = found.select(F.col("k").alias("_k"), F.col("t").alias("_t"), "start", "end")
+    inside = (F.col("start") <= F.greatest(F.col("lo"), F.col("p") - reach)) & (F.col("end") >= F.least(F.col("hi"), F.col("p") + K + reach))
+    return rare.join(spans.hint("merge"), F.col("k").eqNullSafe(F.col("_k")) & (F.col("t") == F.col("_t")) & inside, "left_anti")
+
+
+def _single(pairs: DataFrame) -> DataFrame:
+    """Seeds p and q of two documents as chains, with the words of the whole run lo..hi, so that a copy grows to its ends."""
+    by = F.col("p") - F.col("q")
+    little = lambda x: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(x), 8, "0"), i, 2) for i in (7, 5, 3, 1)]))
+    return pairs.select(
+        "k", "t", "ck", "ct", F.col("p").alias("a"), (F.col("p") + K).alias("b"), F.col("q").alias("c"), (F.col("q") + K).alias("d"),
+        F.concat(little(F.col("p")), little(F.col("q")), little(F.lit(K))).alias("segs"), (F.col("lo") - MARGIN).alias("lo"),
+        (F.col("hi") + MARGIN).alias("hi"), (F.col("lo") - by - MARGIN).alias("clo"), (F.col("hi") - by + MARGIN).alias("chi"),
+    )
+
+
+def _verified(rows: DataFrame, candidates: DataFrame, kind: str, min_words: int, percent: int) -> DataFrame:
+    """The passages in candidate chains (k, t, ck, ct, a, b, c, d, segs), by the words lo..hi and clo..chi of both sides."""
+    names = f"k {kind}, t int, ck {kind}, ct int"
     wants = candidates.select("k", "t", "lo", "hi").unionByName(
         candidates.select(F.col("ck").alias("k"), F.col("ct").alias("t"), F.col("clo").alias("lo"), F.col("chi").alias("hi"))
     )
     wants = wants.distinct().groupBy("k", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("wants"))
+    few = candidates.limit(FEW + 1).count() <= FEW
     same = lambda a, b: a["k"].eqNullSafe(b["k"]) & (a["t"] == b["t"])
-    # One plan at every size: the wanted windows grow with the corpus.
-    texts = rows.join(wants.hint("merge"), same(rows, wants)).select(rows["k"], rows["t"], "text", "wants")
+    # The wanted windows grow with the corpus; few of them are not worth a shuffle of all texts.
+    texts = rows.join(wants.hint("broadcast" if few else "merge"), same(rows, wants)).select(rows["k"], rows["t"], "text", "wants")
     windows = texts.mapInArrow(_windows, f"k {kind}, t int, lo int, hi int, words binary").dropDuplicates(["k", "t", "lo", "hi"])
     windows = scratch.keep(windows, "windows")
     for names_of, out in ((("k", "t", "lo", "hi"), "x"), (("ck", "ct", "clo", "chi"), "y")):

@@ -175,6 +175,18 @@ def test_chains_are_collinear_and_use_each_segment_once(segs):
     assert best >= segs[:, 2].max()
 
 
+def test_a_copy_whose_seeds_first_stand_in_several_documents_is_found(spark):
+    rng = random.Random(24)
+    own = lambda: prose(rng, 60, 10**6)
+    docs = []
+    for _ in range(10):
+        p = prose(rng, 70, 10**6)
+        for words in (p[:40], p[30:], p, p):  # no seed stands first in the third
+            docs.append((len(docs), " ".join(own() + words + own())))
+    got = {(r.doc_id, r.source_doc_id, r.start, r.end) for r in substring_dedup.shared_passages(table(spark, docs)).collect()}
+    assert got == {(4 * i + 3, 4 * i + 2, 60, 130) for i in range(10)}
+
+
 def test_passages_with_a_word_changed_every_few_are_found(spark):
     rng = random.Random(23)
     docs, pairs = [], 0
