@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import cplx, harmonics
 from ..functions.cplx import snapped
 from ..operators import channels as ch
@@ -567,20 +568,10 @@ def incremental_shared_error(spark, sf_dir):
     width = min(len(f) for f in readouts)
     over = min(5, max(width - 1, 0))
     rank = max(min(15, width - over), 1)
-    q, basis = factors.shared_factors(g, readouts, rank, oversample=min(over, width - rank), cut=lambda df: _cut(df))
+    q, basis = factors.shared_factors(g, readouts, rank, oversample=min(over, width - rank), cut=shared.cut)
     return _figures(spark, rank=q.shape[1], error=factors.relative_error(g, basis, np.concatenate(readouts), q))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a basis in the session's checkpoint folder."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fieldweave-"))
-    return df.checkpoint()
-
-
 @query()
 def snapshot_basis_error(spark, sf_dir):
     g, readouts = _features(spark, sf_dir)
