@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-The driver compiles words and their ids into an automaton in which equal suffixes share states;
-each arc carries a number, and the sum along a word's path is the word's place in the table of
+The words of the corpus are counted, and the driver compiles the frequent ones, the vocabulary's own
+words and their ids into an automaton in which equal suffixes share states; each arc carries a number, and the sum along a word's path is the word's place in the table of
 ids.  The automaton is one blob of arrays that each executor writes to a file once and all its
 Python workers map into memory.
 
@@ -34,6 +34,12 @@ END, SPECIAL = 0xD800, 0xD801
 CHUNK = 1 << 21
 #: Merged words each Python worker remembers, at most; a full memory starts anew.
 MEMORY = 1 << 18
+#: The most frequent words of a corpus that the lexicon holds beside the vocabulary's own.
+FREQUENT = 1 << 16
+#: Words that one task counts before it hands its counts on.
+COUNTED = 1 << 19
+#: Longer words (in code points) are not compiled.
+WORD_CHARS = 64
 #: Words of more symbols are merged one by one with a heap.
 LONG = 200
 NONE = np.int64(1 << 40)
@@ -164,6 +170,11 @@ def _arrays(data: np.ndarray) -> tuple[dict[str, np.ndarray], dict]:
     return out, head["meta"]
 
 
+def _digest(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.blake2b(f.read(), digest_size=12).hexdigest()
+
+
 # ---------------------------------------------------------------- the tokenizer
 
 
@@ -212,37 +223,42 @@ class Tokenizer:
         if word_split:
             arrays["lower"] = lower
         meta = {"specials": specials, "tokens": tokens, "word_split": word_split, "plain": spec["decoder"] is None}
-        tok = Tokenizer(arrays, meta)
         # The vocabulary's own words, spelled as they stand in texts.
-        byte_of = {c: b for b, c in enumerate(chars)}
-        lexicon = set(words or ())
+        byte_of, own = {c: b for b, c in enumerate(chars)}, set()
         for t in vocab:
             if suffix and not t.endswith(suffix):
                 continue
             try:
-                lexicon.add(bytes(byte_of[c] for c in t.removesuffix(suffix)).decode())
+                own.add(bytes(byte_of[c] for c in t.removesuffix(suffix)).decode())
             except (KeyError, UnicodeDecodeError):
                 continue
-        lexicon = sorted(w for w in lexicon if w)
+        meta["words"] = sorted(w for w in own if w)
+        return Tokenizer(arrays, meta).with_words(words or [])
+
+    def with_words(self, words: list[str]) -> Tokenizer:
+        """This tokenizer with a lexicon of the vocabulary's own words and ``words``."""
+        lexicon = sorted({w for w in (*self.meta["words"], *words) if w})
         table, final, root = compile_lexicon(lexicon)
-        ids, counts = tok.merge_words(lexicon)
+        ids, counts = self.merge_words(lexicon)
         arcs = PairMap.build(table[:, 0], table[:, 1], table[:, 2] << np.int64(21) | table[:, 3])
-        arrays |= {
+        arrays = self.a | {
             "arc_keys": arcs.keys, "arc_values": arcs.values, "final": final.astype(np.int8), "root": root,
             "word_ids": ids.astype(np.int32), "word_from": np.concatenate([[0], np.cumsum(counts)]).astype(np.int32),
         }
-        return Tokenizer(arrays, meta)
+        return Tokenizer(arrays, self.meta)
 
     def blobs(self) -> tuple[bytes, bytes]:
         """The lexicon, for a file to map, and everything else: each a header and arrays in one block of bytes."""
         lexicon = {k: x for k, x in self.a.items() if k in LEXICON}
-        return _block(lexicon, {}), _block({k: x for k, x in self.a.items() if k not in LEXICON}, self.meta)
+        meta = {k: x for k, x in self.meta.items() if k != "words"}
+        return _block(lexicon, {}), _block({k: x for k, x in self.a.items() if k not in LEXICON}, meta)
 
     @staticmethod
     def mapped(blobs: tuple[bytes, bytes]) -> Tokenizer:
         """A tokenizer whose lexicon is a memory-mapped file, written once per temporary folder."""
-        name = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.blake2b(blobs[0], digest_size=12).hexdigest()}")
-        if not os.path.exists(name):
+        digest = hashlib.blake2b(blobs[0], digest_size=12).hexdigest()
+        name = os.path.join(tempfile.gettempdir(), f"lexicon-{digest}")
+        if not os.path.exists(name) or _digest(name) != digest:
             own = f"{name}.{os.getpid()}"
             with open(own, "wb") as f:
                 f.write(blobs[0])
@@ -306,6 +322,28 @@ class Tokenizer:
         start[quote[two] + 1] = False
         start[quote[two] + 3] = True
 
+    def words(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The distinct words of the texts, without special tokens and overlong ones, and how often each stands there."""
+        cps = self.code_points(texts)
+        start, end = self.spans(cps)
+        with np.errstate(over="ignore"):
+            head, inverse, _ = self._distinct(cps, start, end)
+        counts, size = np.bincount(inverse, minlength=len(head)), end[head] - start[head]
+        fine = (size <= WORD_CHARS) & (self.a["classes"][cps[start[head]]] != EDGE)
+        out = [cps[a:b].tobytes().decode("utf-32-le") for a, b in zip(start[head][fine].tolist(), end[head][fine].tolist(), strict=True)]
+        return out, counts[fine]
+
+    def served(self, texts: list[str]) -> tuple[int, int]:
+        """Of how many word occurrences the lexicon knows the word, and of how many there are."""
+        cps = self.code_points(texts)
+        start, end = self.spans(cps)
+        state = np.full(len(start), self.a["root"][0])
+        for step in range(int((end - start).max(initial=0))):
+            live = np.flatnonzero((state >= 0) & (end - start > step))
+            got = self.arcs.find(state[live], cps[start[live] + step].astype(np.int64))
+            state[live] = np.where(got < 0, -1, got >> np.int64(21))
+        return int(((state >= 0) & (self.a["final"][np.maximum(state, 0)] == 1)).sum()), len(start)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids start (with the end)."""
         cps = self.code_points(texts)
@@ -566,13 +604,52 @@ def text_runs(column: pa.Array, size: int = CHUNK) -> Iterator[list[str]]:
         yield run
 
 
-def share(spark, path: str, words: list[str] | None = None):
-    """The tokenizer at ``path`` (read on the driver only), broadcast; its size is that of the vocabulary."""
-    blobs = Tokenizer.load(path, words).blobs()
+def _shared(spark, tokenizer: Tokenizer):
+    blobs = tokenizer.blobs()
     name = hashlib.blake2b(blobs[0] + blobs[1], digest_size=16).hexdigest()
     return spark.sparkContext.broadcast((name, *blobs))
 
 
+def share(spark, path: str, words: list[str] | None = None):
+    """The tokenizer at ``path`` (read on the driver only), broadcast; its size is that of the vocabulary and ``words``."""
+    return _shared(spark, Tokenizer.load(path, words))
+
+
+def share_for(docs: DataFrame, path: str, text: str = "text", frequent: int = FREQUENT):
+    """The tokenizer at ``path`` with the ``frequent`` most frequent words of ``docs`` in its lexicon, broadcast.
+
+    All words of all texts are counted (ties go by the word); only the chosen ones reach the driver.
+    """
+    spark, plain = docs.sparkSession, Tokenizer.load(path)
+    counts = word_counts(docs, _shared(spark, plain), text)
+    top = counts.orderBy(F.desc("n"), "word").limit(frequent).select("word").collect()
+    return _shared(spark, plain.with_words([r["word"] for r in top]))
+
+
+def word_counts(docs: DataFrame, tokenizer, text: str = "text") -> DataFrame:
+    """(word, n): the words of all texts, as ``tokenizer`` splits them, of at most WORD_CHARS code points."""
+    scratch.prepare(docs.sparkSession)
+
+    def run(batches):
+        tok, count = tokenizer_of(tokenizer), {}
+        for batch in batches:
+            for texts in text_runs(batch.column(0)):
+                for word, n in zip(*tok.words(texts), strict=True):
+                    count[word] = count.get(word, 0) + int(n)
+                if len(count) > COUNTED:
+                    yield from rows(count)
+                    count = {}
+        yield from rows(count)
+
+    def rows(count):
+        words, sizes = list(count), np.fromiter(count.values(), np.int64, len(count))
+        for at in range(0, len(words), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(words[at : at + (1 << 16)], pa.string()), pa.array(sizes[at : at + (1 << 16)])], names=["word", "n"])
+
+    counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word string, n long")
+    return counts.groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def encode(docs: DataFrame, tokenizer, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids): ids as little-endian unsigned 32-bit numbers, for every row of ``docs``.
 
@@ -599,7 +676,11 @@ def encode(docs: DataFrame, tokenizer, key: str = "doc_id", text: str = "text")
 
 
 def decode(encoded: DataFrame, tokenizer, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(key, ids, text) of a table (key, ids) as ``encode`` makes it."""
+    """(key, ids, text) of a table (key, ids) as ``encode`` makes it.
+
+    Defined cases: null and empty ids give an empty text; null and repeated keys pass through row by
+    row; other columns are not read; an empty table gives no rows.
+    """
     kind = encoded.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -617,8 +698,8 @@ def decode(encoded: DataFrame, tokenizer, key: str = "doc_id", ids: str = "ids")
 def op2_bpe_transducer(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    tokenizer = share(spark, public_tokenizers.path("word_bpe_49k.json"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    tokenizer = share_for(docs, public_tokenizers.path("word_bpe_49k.json"))
     out = decode(encode(docs, tokenizer), tokenizer)
     return out.select(
         "doc_id",

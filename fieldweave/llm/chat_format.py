@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 
 RESETS = ("message", "edit", "regenerate", "delete")
 OPEN, MID, CLOSE = "<s>[INST] ", " [/INST]\n", "</s>\n"
+#: Code points of a delta where rows are turned into a log, and deltas of a text at most.
+CHUNK, MOST_DELTAS = 256, 64
 #: Escape codes; the backslash comes first when escaping and last when restoring.
 ESCAPES = (("\\", "\\0"), ("<", "\\1"), ("[", "\\2"))
 
@@ -113,6 +115,35 @@ def rows_as_events(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.col("turn").alias("seq"), "turn", F.lit("message").alias("kind"), "role", "text")
 
 
+def rows_as_stream(rows: DataFrame, chunk: int = CHUNK, most: int = MOST_DELTAS) -> DataFrame:
+    """Each row (conv_id, turn, role, text) as the events that streaming it leaves in a log.
+
+    A text comes in deltas of ``chunk`` code points, longer ones where there would be more than
+    ``most`` of them.  By a hash of the row, a third of the turns just stream; a third stream a draft
+    first, which a regeneration throws away; a third stream wrong words that an edit corrects half
+    way.  Folding the log gives back the rows in the order of ``rows_as_events``, wherever the events lie.
+    """
+    whole = rows_as_events(rows).drop("kind", "seq").withColumn("text", F.coalesce("text", F.lit("")))
+    size = F.greatest(F.lit(chunk), F.ceil(F.char_length("text") / most).cast("int"))
+    whole = whole.withColumn("_size", size).withColumn("_n", F.ceil(F.char_length("text") / F.col("_size")).cast("int"))
+    part = lambda i: F.substring(F.col("text"), i * F.col("_size") + 1, F.col("_size"))
+    deltas = F.transform(F.sequence(F.lit(1), F.col("_n")), lambda i: part(i - 1))
+    whole = whole.withColumn("_parts", F.when(F.col("_n") > 0, deltas).otherwise(F.array().cast("array<string>")))
+    event = lambda kind, role, text: F.struct(F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    none, role = F.lit(None).cast("string"), F.coalesce("role", F.lit(""))
+    stream = lambda parts: F.transform(parts, lambda t: event("delta", none, t))
+    half = F.floor(F.col("_n") / 2).cast("int")
+    start, rest = F.slice("_parts", F.lit(1), half), F.slice("_parts", half + 1, F.col("_n"))
+    opening = F.array(event("message", role, F.lit("")))
+    plain = F.concat(opening, stream(F.col("_parts")))
+    again = F.concat(opening, stream(F.transform(start, lambda t: F.reverse(t))), F.array(event("delta", none, F.lit("...")), event("regenerate", none, none)), stream(F.col("_parts")))
+    edited = F.concat(F.array(event("message", F.lit("draft"), F.lit("wrong "))), stream(start), F.array(event("edit", role, F.array_join(start, ""))), stream(rest))
+    case = F.pmod(F.xxhash64("conv_id", "turn", "role", "text"), F.lit(3))
+    events = F.when(case == 0, plain).when(case == 1, again).otherwise(edited)
+    log = whole.select("conv_id", "turn", F.posexplode(events).alias("at", "e"))
+    return log.select("conv_id", (F.shiftleft("turn", 20) + F.col("at")).alias("seq"), "turn", "e.kind", "e.role", "e.text")
+
+
 def format_chat(events: DataFrame, learn: str = "assistant") -> DataFrame:
     """Folds a log of events and renders each conversation; see ``fold`` and ``render``.
 
@@ -130,7 +161,7 @@ def op3_chat_format(spark, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
-    out = format_chat(rows_as_events(rows.unionByName(probe)))
+    out = format_chat(rows_as_stream(rows.unionByName(probe)))
     said = F.array_join(
         F.transform(parse(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""
     )

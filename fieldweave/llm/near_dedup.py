@@ -5,13 +5,16 @@ keyed by the pair (u_i, v_j), so 2 * M * R minhashes serve M * M tables of 2 * R
 A pair of similarity s meets in some table with probability (1 - (1 - s**R)**M) ** 2.
 
 Documents of equal shingle sets form one class beforehand; only classes are hashed into tables.
-A key that no second class has cannot fill a table, so its tables are never built.  Within a
-table pairs are not all emitted: members are compared with a leader, verified links are merged
-into components, and only members of different components meet again, until each table holds
-one component or all its pairs across components have been compared.  So no link is lost that
-a table shows, and a table of thousands of copies costs thousands of comparisons.  Before texts are
-compared, pairs whose one-permutation sketches lie Z standard deviations below the threshold are
-passed over.
+A key that no second class has cannot fill a table, so its tables are never built.  Pairs are
+taken from the tables (u, v) alone, but within a table they are not all emitted: members are
+compared with a leader, verified links are merged into components, and only members of different
+components meet again, until each table holds one component or all its pairs across components
+have been compared.  So no link is lost that a table shows, and a table of thousands of copies
+costs thousands of comparisons.  Before texts are compared, pairs whose one-permutation sketches
+lie Z standard deviations below the threshold are passed over.
+
+Sets are compared as 64-bit hashes of their shingles: two sets of n shingles together are counted
+wrongly with a probability below n * n / 2**64 (2e-11 for 20,000 shingles).
 """
 
 from __future__ import annotations
@@ -27,14 +30,12 @@ from pyspark.sql.window import Window
 from . import graph, scratch, textvec
 
 KEYS, ROWS = 12, 2
-#: Leaders per table and round after the first.
-LEADERS = 1024
+#: Leaders per table and round after the first; up to 1000 the choice is cut short before its shuffle.
+LEADERS = 1000
 #: A table's members are dealt to tasks in parts of about so many, each with all leaders.
 PART = 4096
 #: Bins of a class's sketch; a pair at the threshold is passed over about once in 3e6.
 BINS, Z = 512, 5.0
-#: Up to so many rows (about 50 bytes each) a side is broadcast; beyond, it is shuffled.
-BROADCAST_ROWS = 200_000
 
 
 def _minhashes(sets: list[np.ndarray], count: int) -> np.ndarray:
@@ -116,30 +117,32 @@ def _screened(share: float):
 
 
 def _led(share: float, z: float):
-    """mapInArrow over rows (t, part, rank, node, c, n, i, us, sketch) sorted by (t, part, rank): plausible
+    """mapInArrow over rows (t, part, rank, node, c, n, i, j, keys, sketch) sorted by (t, part, rank): plausible
     pairs of the leaders of a part (rank 0) with its members (rank 1) in other components.
 
-    A pair that shares several keys is told by the first of them, a pair of leaders by the smaller.
-    Only the leaders of one part are held; members stream past.
+    ``keys`` holds both collections, and the table is that of the i-th key of the first and the j-th of
+    the second.  A pair that shares several tables is told by the first of them, a pair of leaders
+    by the smaller.  Only the leaders of one part are held; members stream past.
     """
 
     def arrays(rows):
         nodes = np.array([r[0] for r in rows], object)
         comps = np.array([r[1] for r in rows], object)
-        keys = np.frombuffer(b"".join(r[4] for r in rows), np.int64).reshape(len(rows), -1)
-        sketches = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, BINS)
+        keys = np.frombuffer(b"".join(r[5] for r in rows), np.int64).reshape(len(rows), -1)
+        sketches = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(-1, BINS)
         return nodes, comps, np.array([r[2] for r in rows]), keys, sketches
 
     def compare(leaders, group, left, right):
         heads, comp, size, key, sketch = arrays(leaders)
         own, comps, sizes, keys, sketches = arrays(group)
-        first, chief = leaders[0][3], {n: j for j, n in enumerate(heads)}
+        chief, half = {n: j for j, n in enumerate(heads)}, keys.shape[1] // 2
+        before = np.r_[0 : leaders[0][3], half : half + leaders[0][4]]
         led = np.array([n in chief for n in own])
         for j in range(len(heads)):
             low, high = np.minimum(sizes, size[j]), np.maximum(sizes, size[j])
             near = np.flatnonzero((low >= share * high - 1e-9) & (comps != comp[j]) & ~(led & (own < heads[j])))
-            if first and len(near):
-                near = near[~(keys[near, :first] == key[j, :first]).any(axis=1)]
+            if len(before) and len(near):
+                near = near[~(keys[near][:, before] == key[j, before]).any(axis=1)]
             if len(near):
                 near = near[plausible(sketch[j], sketches[near], sizes[near] + size[j], share, z)]
                 left.extend([heads[j]] * len(near))
@@ -150,7 +153,7 @@ def _led(share: float, z: float):
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch, left, right, group = whole.slice(at, 2000), [], [], []
-                names = ("t", "part", "rank", "node", "c", "n", "i", "us", "sketch")
+                names = ("t", "part", "rank", "node", "c", "n", "i", "j", "keys", "sketch")
                 for t, part, rank, *row in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
                     if (t, part) != now:
                         if group and leaders:
@@ -206,7 +209,7 @@ def near_dedup(
     nodes = base.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = scratch.keep(nodes, "classes")
     tables = _tables(nodes, m)
-    parts = _parts(docs, key, text, nodes, tables, k, percent, m)
+    parts = _parts(docs, key, text, nodes, tables, k, percent)
     named = nodes.select("node", "key").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("key").alias("component_id"))
     of_node = named.select("node", "component").join(least, "component").select("node", "component_id")
@@ -221,38 +224,39 @@ def near_dedup(
 
 
 def _tables(nodes: DataFrame, m: int) -> DataFrame:
-    """(t, node, n): members of each table key that two classes at least share."""
+    """(t, i, j, node): members of each table, keyed by the i-th u and the j-th v, that two classes at least share."""
     each = nodes.select("node", F.posexplode("keys").alias("i", "u"))
-    shared = each.groupBy("u").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("u")
+    # As a table of its own: adaptive execution splits a hot key only where both sides are plain shuffles.
+    shared = scratch.keep(each.groupBy("u").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("u"), "shared-keys")
     live = each.join(shared, "u").groupBy("node").agg(
-        F.collect_list(F.when(F.col("i") < m, F.col("u"))).alias("us"),
-        F.collect_list(F.when(F.col("i") >= m, F.col("u"))).alias("vs"),
+        F.collect_list(F.when(F.col("i") < m, F.struct("i", "u"))).alias("us"),
+        F.collect_list(F.when(F.col("i") >= m, F.struct((F.col("i") - m).alias("j"), F.col("u").alias("v")))).alias("vs"),
     )
     rows = live.where("size(us) > 0 and size(vs) > 0").select("node", F.explode("us").alias("u"), "vs")
-    rows = rows.select("node", F.explode("vs").alias("v"), "u").select(F.xxhash64("u", "v").alias("t"), "node")
+    rows = rows.select("node", "u", F.explode("vs").alias("v")).select(F.xxhash64("u.u", "v.v").alias("t"), "u.i", "v.j", "node")
+    rows = scratch.keep(rows, "all-tables")
     full = rows.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t")
-    return scratch.keep(rows.join(full, "t"), "tables")
+    return scratch.keep(rows.join(scratch.keep(full, "full-tables"), "t"), "tables")
 
 
-def _parts(docs, key, text, nodes, tables, k, percent, m) -> DataFrame:
+def _parts(docs, key, text, nodes, tables, k, percent) -> DataFrame:
     """(node, component) of the verified links between all classes which a table brings together."""
     involved = scratch.keep(tables.select("node").distinct(), "involved")
-    reps = nodes.join(involved, "node").select("node", F.col("key").alias("_key"))
-    small = involved.count() <= BROADCAST_ROWS
-    reps = F.broadcast(reps) if small else reps
+    reps = nodes.join(involved, "node").select("node", F.col("key").alias("_key"), "keys")
+    # The representatives grow with the corpus, so they are never broadcast.
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("text"))
-    texts = rows.join(reps, F.col("_k").eqNullSafe(F.col("_key"))).select("node", "text")
+    texts = rows.join(reps.drop("keys").hint("merge"), F.col("_k").eqNullSafe(F.col("_key"))).select("node", "text")
     texts = texts.mapInArrow(_same_set(k), "node binary, n int, text string, sketch binary").dropDuplicates(["node"])
     texts = scratch.keep(texts, "texts")
     facts, share = texts.select("node", "n", "sketch"), percent / 100
-    own_keys = nodes.select("node", F.slice("keys", 1, m).alias("us")).join(involved, "node")
 
     def verify(pairs: DataFrame) -> DataFrame:
         for side, t in (("a", "ta"), ("b", "tb")):
             pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(t)), side)
         return scratch.keep(pairs.select("a", "b", "ta", "tb").mapInArrow(_verified(k, percent), "a binary, b binary"), "links")
 
-    leader = tables.groupBy("t").agg(F.min("node").alias("a"))
+    # As tables of their own: adaptive execution splits a hot table only where both sides are plain shuffles.
+    leader = scratch.keep(tables.groupBy("t").agg(F.min("node").alias("a")), "leaders")
     pairs = tables.join(leader, "t").where("a != node").select("a", F.col("node").alias("b")).distinct()
     for side, x, n in (("a", "sa", "na"), ("b", "sb", "nb")):
         pairs = pairs.join(facts.select(F.col("node").alias(side), F.col("sketch").alias(x), F.col("n").alias(n)), side)
@@ -260,37 +264,36 @@ def _parts(docs, key, text, nodes, tables, k, percent, m) -> DataFrame:
     done = scratch.keep(near.mapInArrow(_screened(share), "a binary, b binary"), "compared")
     links = verify(done)
     parts = graph.components(links)
-    # All tables (u, v) of one u are gone through together.  First the likely pairs, which join most
-    # of what belongs together; then all plausible ones.
-    key_bytes = F.unhex(F.array_join(F.transform("us", lambda u: F.lpad(F.hex(u), 16, "0")), ""))
-    facts = scratch.keep(facts.join(own_keys, "node").withColumn("key_bytes", key_bytes), "facts")
-    every = scratch.keep(facts.select("node", F.posexplode("us").alias("i", "t")), "members")
-    facts = facts.select("node", "n", F.col("key_bytes").alias("us"), "sketch")
-    members, z = every, 0.0
+    # The tables that are torn between components are gone through to the end.  First the likely pairs,
+    # which join most of what belongs together; then all plausible ones.
+    key_bytes = F.unhex(F.array_join(F.transform("keys", lambda u: F.lpad(F.hex(u), 16, "0")), ""))
+    facts = scratch.keep(facts.join(reps.select("node", key_bytes.alias("keys")), "node"), "facts")
+    members, z = tables, 0.0
     while True:
         scratch.release(docs.sparkSession)
         now = members.join(parts.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
         sizes = now.groupBy("t", "c").agg(F.count(F.lit(1)).alias("s"))
         torn = sizes.groupBy("t").agg(F.max_by("c", F.struct("s", "c")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("s").alias("size"))
-        now = scratch.keep(now.join(torn.where("parts > 1").select("t", "top", "size"), "t"), "torn-tables")
+        torn = scratch.keep(torn.where("parts > 1").select("t", "top", "size"), "torn")
+        now = scratch.keep(now.join(torn, "t"), "torn-tables")
         if now.isEmpty():
             return parts
         order = Window.partitionBy("t").orderBy("node")
-        heads = now.where("c != top").withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEADERS).select("t", "node", "i", "c", "size")
+        heads = now.where("c != top").withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEADERS).select("t", "node", "i", "j", "c", "size")
         split = F.ceil(F.col("size") / PART).cast("int")
         dealt = heads.withColumns({"part": F.explode(F.sequence(F.lit(0), split - 1)), "rank": F.lit(0)}).unionByName(
-            now.select("t", "node", "i", "c", "size").withColumns({"part": F.pmod(F.xxhash64("node"), split).cast("int"), "rank": F.lit(1)})
+            now.select("t", "node", "i", "j", "c", "size").withColumns({"part": F.pmod(F.xxhash64("node"), split).cast("int"), "rank": F.lit(1)})
         )
-        dealt = dealt.join(facts, "node").select("t", "part", "rank", "node", "c", "n", "i", "us", "sketch")
+        dealt = dealt.join(facts, "node").select("t", "part", "rank", "node", "c", "n", "i", "j", "keys", "sketch")
         dealt = dealt.repartition("t", "part").sortWithinPartitions("t", "part", "rank")
         pairs = dealt.mapInArrow(_led(share, z), "a binary, b binary")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = scratch.keep(pairs.join(done, ["a", "b"], "left_anti"), "compared")
         found = verify(fresh)
         if z == Z:
-            # Keys of at most LEADERS members outside their largest component are finished now.
+            # Tables of at most LEADERS members outside their largest component are finished now.
             rest = now.where("c != top").groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEADERS).select("t")
-            members = now.join(rest, "t").join(heads.select("t", "node"), ["t", "node"], "left_anti").select("t", "node", "i")
+            members = now.join(rest, "t").join(heads.select("t", "node"), ["t", "node"], "left_anti").select("t", "node", "i", "j")
         if not found.isEmpty():
             links = links.unionByName(found)
             parts = graph.components(links)

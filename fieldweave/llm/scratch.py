@@ -1,30 +1,34 @@
 """Intermediate tables in the folder all executors share.
 
 ``keep`` writes a DataFrame as Parquet below ``spark.checkpoint.dir`` and reads it back: lineage
-is cut, the work is done once, and a lost executor loses nothing.  Tables stay until ``sweep``
-is called (or the folder is removed), because a lazy result may still read them.
+is cut, the work is done once, and a lost executor loses nothing.  A lazy result may still read
+such tables, so they stay until whoever owns them calls ``sweep``: tables kept within
+``owned("name")`` belong to that name, all others to the session's user, whose sweep has no name.
 """
 
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
+from ..shared import shared_dir
 
+_written: dict[str, list[str]] = {}
+_owner: ContextVar[str] = ContextVar("owner", default="")
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local temporary one only if none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = spark.conf.get("spark.fieldweave.scratch", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="fieldweave-")
-        spark.conf.set("spark.fieldweave.scratch", found)
-    return found.rstrip("/")
+
+@contextmanager
+def owned(name: str):
+    """Tables kept within belong to ``name``."""
+    before = _owner.set(name)
+    try:
+        yield
+    finally:
+        _owner.reset(before)
 
 
 def write(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -38,7 +42,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder once and returns it as a plain scan."""
     path = f"{shared_dir(df.sparkSession)}/fieldweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    _written.setdefault(_owner.get(), []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -50,10 +54,17 @@ def drop(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes every table kept so far; results that still read them become invalid."""
-    while _written:
-        drop(spark, _written.pop())
+def sweep(spark: SparkSession, name: str = "") -> None:
+    """Deletes the tables kept so far for ``name``; results that still read them become invalid."""
+    drop(spark, *_written.pop(name, []))
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as keep it apart from all columns of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 #: Rows that Arrow hands to Python at once: some texts have megabytes.

@@ -6,6 +6,12 @@ matched with its first one, never with all others.  The matches of two documents
 diagonals, and the segments are chained by a Fenwick tree over prefix maxima with a cost for every
 word that a gap leaves out.  Chains are aligned word by word; what is long and similar enough is a
 passage.  Of a chain that is not, the longest parts that are similar enough are looked at.
+
+The first occurrences of a passage's seeds may lie in documents that hold only parts of it.  So
+where all seeds are repeated and no passage explains them, the whole windows of ``min_words`` words
+around the rarest seeds become seeds themselves, which again meet their first occurrence: every
+run of ``min_words`` words that an earlier document has is found, at a cost that grows with the
+occurrences, not with their pairs.
 """
 
 from __future__ import annotations
@@ -30,12 +36,12 @@ GAP_COST = 0.1
 DROP = 6
 #: Words beyond a chain's ends that are looked at.
 MARGIN = 48
-#: So many chains may ask for their windows by a broadcast.
-FEW = 50_000
+#: So many wanted places (under 100 bytes each) may be broadcast to the texts.
+FEW = 100_000
 #: Seeds handed on at once.
 SEED_ROWS = 1 << 16
-#: Gaps of more cells than this are aligned at their ends only.
-MAX_CELLS = 1 << 14
+#: Occurrences of a seed in one text that are nearer than this are one occurrence of a window.
+APART = 50
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -120,19 +126,63 @@ def _seed_rows(batches):
                 )
 
 
+def _changed(column: pa.Array) -> np.ndarray:
+    """Where a column's value differs from the one before; the first counts as different."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if pa.types.is_integer(column.type) and not column.null_count:
+        codes = column.to_numpy(zero_copy_only=False)
+    else:
+        codes = column.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+    new = np.ones(len(codes), bool)
+    new[1:] = codes[1:] != codes[:-1]
+    return new
+
+
+def _linked(batches):
+    """mapInArrow over (h, k, t, p) sorted so -> (k, t, ck, ct, p, q, h, n): every later occurrence with the first
+    one of its seed, n earlier documents having it.
+
+    Rows stream past: only the first and the last occurrence of a seed are held from batch to batch.
+    """
+    held, before = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        table = table.combine_chunks()
+        new = _changed(table.column("h"))
+        doc = new | _changed(table.column("k")) | _changed(table.column("t"))
+        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        rank = np.cumsum(doc)
+        n = rank - rank[first]
+        later = n > 0
+        if held is not None:
+            later[:2] = False
+            n[first == 0] += before - n[1]
+        at = np.flatnonzero(later)
+        rows, firsts = table.take(pa.array(at)), table.take(pa.array(first[at]))
+        columns = [rows.column("k"), rows.column("t"), firsts.column("k"), firsts.column("t"), rows.column("p"), firsts.column("p"), rows.column("h")]
+        columns = [c.combine_chunks() for c in columns]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(n[at].astype(np.int64))], names=["k", "t", "ck", "ct", "p", "q", "h", "n"])
+        held, before = pa.concat_tables([table.slice(int(first[-1]), 1), table.slice(len(new) - 1, 1)]), int(n[-1])
+
+
 # ---------------------------------------------------------------- chaining
 
 
-def segments(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Matches (p, q) of one pair of texts merged along diagonals: rows (p, q, length), by p."""
+def segments(p: np.ndarray, q: np.ndarray, size: int = K) -> np.ndarray:
+    """Matches (p, q) of ``size`` words of one pair of texts merged along diagonals: rows (p, q, length), by p."""
     order = np.lexsort((p, p - q))
     p, q = p[order], q[order]
     diagonal = p - q
     new = np.ones(len(p), bool)
-    new[1:] = (diagonal[1:] != diagonal[:-1]) | (p[1:] - p[:-1] > W + K)
+    new[1:] = (diagonal[1:] != diagonal[:-1]) | (p[1:] - p[:-1] > W + size)
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(p)) - 1
-    out = np.stack([p[at], q[at], p[last] - p[at] + K], axis=1)
+    out = np.stack([p[at], q[at], p[last] - p[at] + size], axis=1)
     return out[np.argsort(out[:, 0], kind="stable")]
 
 
@@ -217,11 +267,6 @@ def chains(segs: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _chain_rows(batches):
-    """mapInArrow over matches sorted by (k, t, ck, ct): candidate chains of each pair of documents."""
-    return _by_group(batches, ("k", "t", "ck", "ct"), _pairs)
-
-
 def _by_group(batches, names: tuple[str, ...], of):
     """What ``of`` makes of whole groups of rows with equal ``names`` in sorted batches."""
     tail = None
@@ -239,33 +284,131 @@ def _by_group(batches, names: tuple[str, ...], of):
 
 
 def _borders(table: pa.Table, names: tuple[str, ...]) -> np.ndarray:
-    n = table.num_rows
-    new = np.zeros(n, bool)
-    new[0] = True
+    new = np.zeros(table.num_rows, bool)
     for name in names:
-        codes = table.column(name).combine_chunks().dictionary_encode("encode").indices.to_numpy()
-        new[1:] |= codes[1:] != codes[:-1]
-    return np.append(np.flatnonzero(new), n)
-
-
-def _pairs(table: pa.Table, edge: np.ndarray):
-    if not table.num_rows:
-        return
-    p, q = table.column("p").to_numpy().astype(np.int64), table.column("q").to_numpy().astype(np.int64)
-    rows, spans, segs = [], [], []
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        for chain in chains(segments(p[a:b], q[a:b])):
-            end = chain[-1]
-            span = [chain[0][0], end[0] + end[2], chain[0][1], end[1] + end[2]]
-            rows.append(a)
-            spans.append(span)
-            segs.append(chain.astype("<i4").tobytes())
-    if rows:
-        at, spans = pa.array(rows, pa.int64()), np.array(spans, np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [*[table.column(c).combine_chunks().take(at) for c in ("k", "t", "ck", "ct")], *[pa.array(spans[:, i]) for i in range(4)], pa.array(segs, pa.binary())],
-            names=["k", "t", "ck", "ct", "a", "b", "c", "d", "segs"],
-        )
+        new |= _changed(table.column(name))
+    return np.append(np.flatnonzero(new), table.num_rows)
+
+
+CHAINS = "a int, b int, c int, d int, segs binary"
+
+
+def _blocks(rows: np.ndarray, cols: np.ndarray) -> pa.Array:
+    """Equally long rows of numbers as binaries."""
+    data = np.ascontiguousarray(rows)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * (cols * data.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _chained(size: int, least: int):
+    """mapInArrow over matches sorted by (k, t, ck, ct): chains of each pair of documents, kind 0, and the places
+    of kind 1 that ``_rare`` picks (least > 0): a the place, c and d the run's ends, h the seed."""
+
+    def of(table: pa.Table, edge: np.ndarray):
+        if not table.num_rows:
+            return
+        p, q = (table.column(c).to_numpy().astype(np.int64) for c in ("p", "q"))
+        pair = np.flatnonzero(np.logical_or.reduce([_changed(table.column(c)) for c in ("k", "t", "ck", "ct")]))
+        pair = np.append(pair, table.num_rows)
+        lone = np.diff(pair) == 1
+        # One match is a chain: what it grows to is measured after the growth only.
+        at = pair[:-1][lone]
+        yield chain_rows(table, at, np.stack([p[at], p[at] + size, q[at], q[at] + size], axis=1), _blocks(np.stack([p[at], q[at], np.full(len(at), size)], axis=1).astype("<i4"), 3))
+        rows, spans, segs = [], [], []
+        for a, b in zip(pair[:-1][~lone].tolist(), pair[1:][~lone].tolist(), strict=True):
+            for chain in chains(segments(p[a:b], q[a:b], size)):
+                end = chain[-1]
+                rows.append(a)
+                spans.append([chain[0][0], end[0] + end[2], chain[0][1], end[1] + end[2]])
+                segs.append(chain.astype("<i4").tobytes())
+        yield chain_rows(table, np.array(rows, np.int64), np.array(spans, np.int64).reshape(-1, 4), pa.array(segs, pa.binary()))
+        if least:
+            doc = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+            at, lo, hi = _rare(doc, p, table.column("n").to_numpy(), least)
+            rows = table.take(pa.array(at))
+            none = pa.nulls(len(at), pa.int32())
+            of_run = [pa.array(x.astype(np.int32)) for x in (lo, hi)]
+            columns = [*[rows.column(c).combine_chunks() for c in ("k", "t", "ck", "ct", "p")], none, *of_run, pa.nulls(len(at), pa.binary()), rows.column("h").combine_chunks()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), *columns], names=NAMES)
+
+    def chain_rows(table, at, spans, segs):
+        rows = table.take(pa.array(at))
+        columns = [rows.column(c).combine_chunks() for c in ("k", "t", "ck", "ct")]
+        spans = [pa.array(spans[:, i].astype(np.int32)) for i in range(4)]
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int32)), *columns, *spans, segs, pa.nulls(len(at), pa.int64())], names=NAMES)
+
+    return lambda batches: _by_group(batches, ("k", "t"), of)
+
+
+NAMES = ["kind", "k", "t", "ck", "ct", "a", "b", "c", "d", "segs", "h"]
+
+
+def _rare(doc: np.ndarray, p: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of matches (document, place, earlier documents that have the seed): which to look at again, and their runs.
+
+    A run is a stretch of seeds that all are repeated.  A window of ``least`` words that an earlier
+    document has lies in one, less W - 1 words at each end whose seeds depend on what is beyond.
+    The words are cut into blocks so short that such a window holds a whole one, and the rarest
+    seed of every block is told.
+    """
+    sure = least - 2 * (W - 1)
+    block = (sure + 1) // 2
+    if block < K + W - 1:
+        raise ValueError(f"passages of {least} words are too short to be found by their seeds")
+    order = np.lexsort((n, p, doc))
+    d, at = doc[order], p[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (d[1:] != d[:-1]) | (at[1:] - at[:-1] > W)
+    head = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    lo, hi = at[head][run], at[np.append(head[1:], len(at)) - 1][run] + K
+    fine = (hi - lo >= sure) & (at % block <= block - K)
+    order, run, lo, hi, number = order[fine], run[fine], lo[fine], hi[fine], at[fine] // block
+    pick = np.lexsort((p[order], n[order], number, run))
+    first = np.ones(len(pick), bool)
+    first[1:] = (run[pick][1:] != run[pick][:-1]) | (number[pick][1:] != number[pick][:-1])
+    pick = pick[first]
+    return order[pick], lo[pick], hi[pick]
+
+
+def _window_rows(least: int):
+    """mapInArrow: (k, t, text, places) -> (h, k, t, p): the runs of ``least`` words that hold a seed at one of the places.
+
+    Equal runs of a text less than APART words apart are told once: so a text that repeats itself has few.
+    """
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = textvec.text_buffer(batch.column(2))
+            places = batch.column(3).to_pylist()
+            for i, j in textvec.chunks(offsets):
+                with np.errstate(over="ignore"):
+                    words = textvec.Words(data, offsets[i : j + 1])
+                    at, h, doc = [], [], []
+                    up, down = textvec.powers(len(words.hash) + 1)
+                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hash * up[: len(words.hash)], dtype=np.uint64)])
+                    for d in range(i, j):
+                        a, b = int(words.first[d - i]), int(words.first[d - i + 1])
+                        starts = (np.array(places[d], np.int64)[:, None] - np.arange(least - K + 1)).ravel()
+                        starts = np.unique(starts[(starts >= 0) & (starts <= b - a - least)]) + a
+                        own = textvec.mix((total[starts + least] - total[starts]) * down[starts])
+                        order = np.lexsort((starts, own))
+                        keep, last, value = [], -APART, None
+                        for o in order.tolist():
+                            if own[o] != value or starts[o] - last >= APART:
+                                keep.append(o)
+                                last, value = starts[o], own[o]
+                        at.append(starts[keep] - a)
+                        h.append(own[keep])
+                        doc.append(np.full(len(keep), d))
+                at, h, doc = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, h, doc))
+                rows = pa.array(doc.astype(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.astype(np.uint64).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.astype(np.int32))],
+                    names=["h", "k", "t", "p"],
+                )
+
+    return run
 
 
 # ---------------------------------------------------------------- alignment
@@ -275,12 +418,6 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     """Length of the longest common subsequence of two short runs of words."""
     if not len(x) or not len(y):
         return 0
-    if len(x) * len(y) > MAX_CELLS:
-        n = min(len(x), len(y))
-        same = x[:n] == y[:n]
-        head = int(same.argmin()) if not same.all() else n
-        back = x[len(x) - n + head :][::-1] == y[len(y) - n + head :][::-1]
-        return head + (int(back.argmin()) if not back.all() else len(back))
     row = np.zeros(len(y) + 1, np.int64)
     for w in x:
         new = row.copy()
@@ -426,6 +563,33 @@ def _windows(batches):
             )
 
 
+def _likely(batch: pa.RecordBatch, least: int, percent: int) -> np.ndarray:
+    """Which chains may hold a passage: of those of one segment, the ones with enough equal words on its diagonal.
+
+    Such a chain only grows along its diagonal, so a passage in it has percent * least / 100 equal words there.
+    """
+    n = batch.num_rows
+    sides = []
+    for name in ("x", "y"):
+        column = batch.column(name)
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1]
+        data = column.buffers()[2]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        sides.append((np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), "<u4"), (offsets - offsets[0]) // 4))
+    (x, xs), (y, ys) = sides
+    a, c, lo, clo = (batch.column(name).to_numpy().astype(np.int64) for name in ("a", "c", "lo", "clo"))
+    x0, y0 = np.maximum(lo, 0), np.maximum(clo, 0)
+    start = np.maximum(x0, y0 + a - c)
+    size = np.maximum(np.minimum(x0 + np.diff(xs), y0 + np.diff(ys) + a - c) - start, 0)
+    upto = np.concatenate([[0], np.cumsum(size)])
+    inside = np.arange(upto[-1]) - np.repeat(upto[:-1], size)
+    left = np.repeat(xs[:-1] + start - x0, size) + inside
+    right = np.repeat(ys[:-1] + start - (a - c) - y0, size) + inside
+    same = np.concatenate([[0], np.cumsum(x[left] == y[right])])
+    one = np.diff(np.frombuffer(batch.column("segs").buffers()[1], np.int32)[batch.column("segs").offset :][: n + 1]) == 12
+    return np.flatnonzero(~one | (100 * (same[upto[1:]] - same[upto[:-1]]) >= percent * least))
+
+
 def _aligned(least: int, percent: int):
     """mapInArrow: chains with the words of both sides -> passages."""
 
@@ -433,6 +597,8 @@ def _aligned(least: int, percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
+            likely = pa.array(_likely(batch, least, percent))
+            batch = pa.Table.from_batches([batch]).take(likely).combine_chunks()
             rows, spans, share = [], [], []
             for i, r in enumerate(batch.select(["a", "b", "c", "d", "segs", "lo", "clo", "x", "y"]).to_pylist()):
                 x, y = np.frombuffer(r["x"], "<u4"), np.frombuffer(r["y"], "<u4")
@@ -443,7 +609,7 @@ def _aligned(least: int, percent: int):
                     share.append(same / max(span[1] - span[0], span[3] - span[2]))
             at, spans = pa.array(rows, pa.int64()), np.array(spans, np.int32).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c).take(at) for c in ("k", "t", "ck", "ct")], *[pa.array(spans[:, j]) for j in range(4)], pa.array(share, pa.float64())],
+                [*[batch.column(c).combine_chunks().take(at) for c in ("k", "t", "ck", "ct")], *[pa.array(spans[:, j]) for j in range(4)], pa.array(share, pa.float64())],
                 names=["k", "t", "ck", "ct", "start", "end", "source_start", "source_end", "similarity"],
             )
 
@@ -456,41 +622,17 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("k"), F.hash(value).alias("t"), value.alias("text"))
 
 
-def _rare(least: int):
-    """mapInArrow over (k, t, p, h, n) sorted so, n earlier documents having the seed -> the rarest seed of every window of ``least`` words.
+def _meetings(found: DataFrame, kind: str) -> DataFrame:
+    """(k, t, ck, ct, p, q, h, n) of seeds (h, k, t, p): the later occurrences, each with the first one."""
+    found = found.repartition("h").sortWithinPartitions("h", "k", "t", "p")
+    return scratch.keep(found.mapInArrow(_linked, f"k {kind}, t int, ck {kind}, ct int, p int, q int, h long, n long"), "matches")
 
-    Every window all of whose seeds stand in earlier documents has one, (k, t, p, h, lo, hi); lo..hi
-    is the run of such seeds.  A copy of so many words lies in a window like that.
-    """
 
-    def of(table: pa.Table, edge: np.ndarray):
-        p, h, n = (table.column(c).to_numpy() for c in ("p", "h", "n"))
-        rows, lo, hi = [], [], []
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            # A place may have two seeds: the commoner one is that of its words.
-            last = np.flatnonzero(np.append(p[a + 1 : b] != p[a : b - 1], True)) + a
-            at, far = p[last].astype(np.int64), n[last]
-            cuts = np.flatnonzero(at[1:] - at[:-1] > W) + 1
-            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
-                if at[j - 1] + K - at[i] < least - 2 * (W - 1):
-                    continue
-                done = -1
-                for u in range(i, j):
-                    # The window from the seed u on: its last seed is the last that ends inside.
-                    v = int(np.searchsorted(at[i:j], at[u] + least - 2 * (W - 1) - K, "right")) + i
-                    if v < j or u == i or at[v - 1] + K - at[u] >= least - 2 * (W - 1):
-                        if done < u:
-                            done = u + int(far[u:v].argmin())
-                            rows.append(int(last[done]))
-                            lo.append(int(at[i]))
-                            hi.append(int(at[j - 1]) + K)
-        at = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [*[table.column(c).combine_chunks().take(at) for c in ("k", "t", "p", "h")], pa.array(lo, pa.int32()), pa.array(hi, pa.int32())],
-            names=["k", "t", "p", "h", "lo", "hi"],
-        )
-
-    return lambda batches: _by_group(batches, ("k", "t"), of)
+def _chains(matches: DataFrame, kind: str, size: int, least: int) -> DataFrame:
+    """Chains (kind 0) and rare places (kind 1) of matches, by document."""
+    sorted_ = matches.repartition("k", "t").sortWithinPartitions("k", "t", "ck", "ct")
+    shape = f"kind int, k {kind}, t int, ck {kind}, ct int, {CHAINS}, h long"
+    return scratch.keep(sorted_.mapInArrow(_chained(size, least), shape), "chains")
 
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -498,51 +640,34 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
 
     Columns: k, t (the document), start, end (its words, from 0), ck, ct, source_start, source_end
     (the earlier one), similarity (words that agree, over the longer side).  Earlier means a
-    smaller key.  Words are runs without ASCII white space, lower-cased in A-Z.
-
-    Seeds meet their first occurrence.  What that leaves unexplained and may yet be a copy is
-    looked at again: of every window of ``min_words`` words whose seeds are all repeated the rarest
-    seed meets the last document before and, while unexplained, all documents before.
+    smaller key.  Words are runs without ASCII white space, lower-cased in A-Z.  ``min_words`` is 22 at least.
     """
     scratch.prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rows = _keyed(docs, key, text)
-    found = rows.mapInArrow(_seed_rows, f"h long, k {kind}, t int, p int")
-    order = Window.partitionBy("h").orderBy("k", "t", "p")
-    first = found.withColumn("f", F.first(F.struct("k", "t", "p")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    first = first.withColumn("n", F.dense_rank().over(Window.partitionBy("h").orderBy("k", "t")) - 1)
-    matches = first.where(~(F.struct("k", "t").eqNullSafe(F.struct(F.col("f.k").alias("k"), F.col("f.t").alias("t"))))).select(
-        "k", "t", F.col("f.k").alias("ck"), F.col("f.t").alias("ct"), "p", F.col("f.p").alias("q"), "h", "n"
-    )
-    matches = scratch.keep(matches, "matches")
-    sorted_ = matches.drop("h", "n").repartition("k", "t").sortWithinPartitions("k", "t", "ck", "ct")
-    names = f"k {kind}, t int, ck {kind}, ct int"
-    shape = f"{names}, a int, b int, c int, d int, segs binary"
-    # One seed is a chain: what it grows to is measured after the growth only.
-    candidates = sorted_.mapInArrow(_chain_rows, shape)
-    candidates = candidates.withColumns(
-        {"lo": F.col("a") - MARGIN, "hi": F.col("b") + MARGIN, "clo": F.col("c") - MARGIN, "chi": F.col("d") + MARGIN}
-    )
-    one = scratch.keep(_verified(rows, scratch.keep(candidates, "chains"), kind, min_words, percent), "passages")
-
-    rare = matches.select("k", "t", "p", "h", "n").repartition("k", "t").sortWithinPartitions("k", "t", "p", "n")
-    rare = rare.mapInArrow(_rare(min_words), f"k {kind}, t int, p int, h long, lo int, hi int")
-    rare = scratch.keep(_open(rare, one, min_words), "rare")
-    # The places of those seeds: later ones are in matches, and their first ones in what these point to.
-    own = rare.select("h").distinct()
-    places = matches.select("h", F.col("k").alias("ck"), F.col("t").alias("ct"), F.col("p").alias("q")).join(own, "h", "left_semi").distinct()
-    places = scratch.keep(places.unionByName(matches.select("h", "ck", "ct", "q").join(own, "h", "left_semi").distinct()), "places")
-    # The last document before comes first: it explains all copies of a copy, at one meeting each.
-    last = places.groupBy("h", "ck", "ct").agg(F.min("q").alias("q"))
-    last = last.withColumn("at", F.lag(F.struct("ck", "ct", "q")).over(Window.partitionBy("h").orderBy("ck", "ct"))).where("at is not null")
-    last = last.select(F.col("h").alias("_h"), F.col("ck").alias("_k"), F.col("ct").alias("_t"), "at.*")
-    again = rare.join(last, (F.col("h") == F.col("_h")) & F.col("k").eqNullSafe(F.col("_k")) & (F.col("t") == F.col("_t"))).drop("_h", "_k", "_t")
-    two = _verified(rows, scratch.keep(_single(again), "again"), kind, min_words, percent)
-    two = scratch.keep(two.dropDuplicates(["k", "t", "ck", "ct", "start", "end", "source_start"]), "passages")
-    before = F.struct(F.col("ck").alias("k"), F.col("ct").alias("t")) < F.struct("k", "t")
-    again = _open(rare, two, min_words).join(places, "h").where(before)
-    three = _verified(rows, scratch.keep(_single(again), "again"), kind, min_words, percent)
-    return _longest(one.unionByName(two).unionByName(three))
+    matches = _meetings(rows.mapInArrow(_seed_rows, f"h long, k {kind}, t int, p int"), kind)
+    chained = _chains(matches, kind, K, min_words)
+    one = scratch.keep(_verified(rows, chained.where("kind = 0"), kind, min_words, percent), "passages")
+
+    rare = chained.where("kind = 1").select("k", "t", F.col("a").alias("p"), "h", F.col("c").alias("lo"), F.col("d").alias("hi"))
+    own = scratch.keep(_open(rare, one, min_words).select("h").distinct(), "open-seeds")
+    if own.isEmpty():
+        return _longest(one)
+    # Where those seeds stand: later places are in matches, and the first ones in what these point to.
+    places = matches.select("h", "k", "t", "p").unionByName(matches.select("h", F.col("ck").alias("k"), F.col("ct").alias("t"), F.col("q").alias("p")))
+    places = places.join(own.hint("merge"), "h", "left_semi").groupBy("k", "t").agg(F.collect_set("p").alias("places"))
+    texts = _texts(rows, scratch.keep(places, "places"), "places")
+    whole = _meetings(texts.mapInArrow(_window_rows(min_words), f"h long, k {kind}, t int, p int"), kind)
+    two = _verified(rows, _chains(whole, kind, min_words, 0), kind, min_words, percent)
+    return _longest(one.unionByName(scratch.keep(two, "passages")))
+
+
+def _texts(rows: DataFrame, wanted: DataFrame, places: str) -> DataFrame:
+    """(k, t, text) of the documents in ``wanted`` (k, t and a list of places), with that list."""
+    # What is wanted grows with the corpus; little of it is not worth a shuffle of all texts.
+    few = (wanted.agg(F.sum(F.size(places) + 1).alias("n")).first()["n"] or 0) <= FEW
+    wanted = wanted.select(F.col("k").alias("_k"), F.col("t").alias("_t"), places).hint("broadcast" if few else "merge")
+    return rows.join(wanted, F.col("k").eqNullSafe(F.col("_k")) & (F.col("t") == F.col("_t"))).select("k", "t", "text", places)
 
 
 def _longest(found: DataFrame) -> DataFrame:
@@ -560,29 +685,17 @@ def _open(rare: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
     return rare.join(spans.hint("merge"), F.col("k").eqNullSafe(F.col("_k")) & (F.col("t") == F.col("_t")) & inside, "left_anti")
 
 
-def _single(pairs: DataFrame) -> DataFrame:
-    """Seeds p and q of two documents as chains, with the words of the whole run lo..hi, so that a copy grows to its ends."""
-    by = F.col("p") - F.col("q")
-    little = lambda x: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(x), 8, "0"), i, 2) for i in (7, 5, 3, 1)]))
-    return pairs.select(
-        "k", "t", "ck", "ct", F.col("p").alias("a"), (F.col("p") + K).alias("b"), F.col("q").alias("c"), (F.col("q") + K).alias("d"),
-        F.concat(little(F.col("p")), little(F.col("q")), little(F.lit(K))).alias("segs"), (F.col("lo") - MARGIN).alias("lo"),
-        (F.col("hi") + MARGIN).alias("hi"), (F.col("lo") - by - MARGIN).alias("clo"), (F.col("hi") - by + MARGIN).alias("chi"),
-    )
-
-
 def _verified(rows: DataFrame, candidates: DataFrame, kind: str, min_words: int, percent: int) -> DataFrame:
-    """The passages in candidate chains (k, t, ck, ct, a, b, c, d, segs), by the words lo..hi and clo..chi of both sides."""
+    """The passages in candidate chains (k, t, ck, ct, a, b, c, d, segs), by the words around them on both sides."""
     names = f"k {kind}, t int, ck {kind}, ct int"
+    candidates = candidates.select("k", "t", "ck", "ct", "a", "b", "c", "d", "segs").withColumns(
+        {"lo": F.col("a") - MARGIN, "hi": F.col("b") + MARGIN, "clo": F.col("c") - MARGIN, "chi": F.col("d") + MARGIN}
+    )
     wants = candidates.select("k", "t", "lo", "hi").unionByName(
         candidates.select(F.col("ck").alias("k"), F.col("ct").alias("t"), F.col("clo").alias("lo"), F.col("chi").alias("hi"))
     )
-    wants = wants.distinct().groupBy("k", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("wants"))
-    few = candidates.limit(FEW + 1).count() <= FEW
-    same = lambda a, b: a["k"].eqNullSafe(b["k"]) & (a["t"] == b["t"])
-    # The wanted windows grow with the corpus; few of them are not worth a shuffle of all texts.
-    texts = rows.join(wants.hint("broadcast" if few else "merge"), same(rows, wants)).select(rows["k"], rows["t"], "text", "wants")
-    windows = texts.mapInArrow(_windows, f"k {kind}, t int, lo int, hi int, words binary").dropDuplicates(["k", "t", "lo", "hi"])
+    wants = scratch.keep(wants.groupBy("k", "t").agg(F.collect_set(F.struct("lo", "hi")).alias("wants")), "wants")
+    windows = _texts(rows, wants, "wants").mapInArrow(_windows, f"k {kind}, t int, lo int, hi int, words binary").dropDuplicates(["k", "t", "lo", "hi"])
     windows = scratch.keep(windows, "windows")
     for names_of, out in ((("k", "t", "lo", "hi"), "x"), (("ck", "ct", "clo", "chi"), "y")):
         side = windows.select(*[F.col(w).alias(f"_{w}") for w in ("k", "t", "lo", "hi")], F.col("words").alias(out))
@@ -641,13 +754,15 @@ def _cut(at: int, wants: int):
 def cut_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the passages that an earlier document has; every row and column stays.
 
-    A text that is one such passage becomes empty.  Rows equal in key and text are cut alike.
+    A text that is one such passage becomes empty, a null text stays null.  Rows equal in key and
+    text are cut alike.  Columns may have any names; an empty table gives an empty one.
     """
     found = passages(docs, key, text, min_words, percent)
-    cuts = found.groupBy("k", "t").agg(F.collect_set(F.struct("start", "end")).alias("_cut_spans")).withColumnsRenamed({"k": "_cut_key", "t": "_cut_text"})
+    k, t, spans = (scratch.unused(docs, n) for n in ("cut_key", "cut_text", "cut_spans"))
+    cuts = found.groupBy("k", "t").agg(F.collect_set(F.struct("start", "end")).alias(spans)).withColumnsRenamed({"k": k, "t": t})
     cuts = scratch.keep(cuts, "cuts")
     own = F.hash(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    joined = docs.join(cuts.hint("merge"), F.col(key).eqNullSafe(F.col("_cut_key")) & (own == F.col("_cut_text")), "left").drop("_cut_key", "_cut_text")
+    joined = docs.join(cuts.hint("merge"), F.col(key).eqNullSafe(F.col(k)) & (own == F.col(t)), "left").drop(k, t)
     return joined.mapInArrow(_cut(docs.columns.index(text), len(docs.columns)), docs.schema)
 
 

@@ -13,6 +13,8 @@ parameters; scoring reads every whole text once.
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,8 +36,6 @@ L2, COUNTERFACTUAL, STEPS = 1e-4, 1.0, 500
 LEAST_GAIN = 5.0
 #: How far the bias moves from equal classes towards their real share.
 SHARE = 0.5
-#: Pairs of sentences kept for each sampled text.
-PAIRS = 8
 
 # Names of groups; within a line, one can stand for another.
 GROUPS = (
@@ -49,9 +49,9 @@ GROUPS = (
 )
 
 
-def swaps() -> dict[str, str]:
+def swaps(groups: tuple[str, ...] = GROUPS) -> dict[str, str]:
     """Each group name and the next one of its line."""
-    return {a: b for line in map(str.split, GROUPS) for a, b in zip(line, line[1:] + line[:1], strict=True)}
+    return {a: b for line in map(str.split, groups) for a, b in zip(line, line[1:] + line[:1], strict=True)}
 
 
 def feature_hashes(words: textvec.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -79,11 +79,16 @@ def text_features(column: pa.Array):
 
 @dataclass
 class Model:
-    """hashes (sorted), their weights, and the bias of a text without any of them."""
+    """hashes (sorted), their weights, and the bias of a text without any of them.
+
+    ``pairs`` counts the rewritten sentences of the fit, ``changed`` those with a change in any feature of the model.
+    """
 
     hashes: np.ndarray
     weights: np.ndarray
     bias: float
+    pairs: int = 0
+    changed: int = 0
 
     def __post_init__(self):
         self.maybe = np.zeros(1 << 20, bool)
@@ -109,8 +114,9 @@ class Model:
 
 
 def train(x: np.ndarray, y: np.ndarray, change: np.ndarray, l2=L2, counterfactual=COUNTERFACTUAL, steps=STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias minimising log loss + l2 |w|^2 / 2 + counterfactual * mean((change w)^2) / 2.
+    """Weights and bias minimising log loss + l2 |w|^2 / 2 + counterfactual * w^T change w / 2.
 
+    ``change`` is the mean of c c^T over the changes c of the features in rewritten sentences.
     Accelerated gradient descent with a step from the largest curvature; classes weigh the same.
     """
     n, k = x.shape
@@ -118,16 +124,17 @@ def train(x: np.ndarray, y: np.ndarray, change: np.ndarray, l2=L2, counterfactua
         return np.zeros(k), 0.0
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     x1 = np.concatenate([x, np.ones((n, 1), x.dtype)], axis=1)
-    c1 = np.concatenate([change, np.zeros((len(change), 1), x.dtype)], axis=1)
+    penalty = np.zeros((k + 1, k + 1))
+    penalty[:k, :k] = counterfactual * change
     v = np.ones(k + 1) / np.sqrt(k + 1)
     for _ in range(12):  # power iteration for a bound of the curvature
-        v = x1.T @ (weight * (x1 @ v)) / 4 + (counterfactual / max(len(c1), 1)) * (c1.T @ (c1 @ v)) + l2 * v
+        v = x1.T @ (weight * (x1 @ v)) / 4 + penalty @ v + l2 * v
         top = np.linalg.norm(v)
         v /= top
     w = look = np.zeros(k + 1)
     for t in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x1 @ look, -500, 500)))
-        grad = x1.T @ (weight * (p - y)) + (counterfactual / max(len(c1), 1)) * (c1.T @ (c1 @ look))
+        grad = x1.T @ (weight * (p - y)) + penalty @ look
         grad[:k] += l2 * look[:k]
         step = look - grad / (1.1 * top)
         look = step + t / (t + 3) * (step - w)
@@ -135,23 +142,75 @@ def train(x: np.ndarray, y: np.ndarray, change: np.ndarray, l2=L2, counterfactua
     return w[:k], float(w[k])
 
 
-def swapped_sentences(text: str, most: int = PAIRS) -> list[tuple[str, str]]:
-    """Sentences of a text that name a group, each with the names exchanged."""
-    table, out = swaps(), []
+def rewritten(text: str, groups: tuple[str, ...] = GROUPS) -> Iterator[tuple[str, str]]:
+    """Every sentence of a text as a pair that differs in the names of groups only.
+
+    A sentence that names groups stands beside itself with the names exchanged; into any other one
+    two names of one line are put in turn, line and place going by a checksum of the sentence.
+    """
+    table, lines = swaps(groups), [line.split() for line in groups if len(line.split()) > 1]
     word = re.compile(r"[^\W\d_]+")
     for sentence in re.split(r"[.!?\n]+", text.lower()):
+        words = sentence.split()
+        if not words:
+            continue
         other = word.sub(lambda m: table.get(m[0], m[0]), sentence)
         if other != sentence:
-            out.append((sentence, other))
-            if len(out) == most:
-                break
-    return out
+            yield sentence, other
+        elif lines:
+            seed = zlib.crc32(sentence.encode())
+            names, at = lines[seed % len(lines)], seed // len(lines) % (len(words) + 1)
+            turn = seed // len(lines) % len(names)
+            first, second = names[turn], names[(turn + 1) % len(names)]
+            yield tuple(" ".join([*words[:at], name, *words[at:]]) for name in (first, second))
+
+
+def _changes(draft: Model, groups: tuple[str, ...]):
+    """mapInArrow: (text, ...) -> (i, j, x): sums of products of the changes of features i and j; i = -1 counts
+    all pairs (j = 0) and those with a change (j = 1)."""
+
+    def run(batches):
+        k = len(draft.hashes)
+        total, count, changed = np.zeros((k, k)), 0, 0
+
+        def flush(pairs):
+            nonlocal total, count, changed
+            change = np.zeros((len(pairs), k), np.float32)
+            for side, sign in ((0, 1), (1, -1)):
+                for i, _, values, docs in text_features(pa.array([p[side] for p in pairs], pa.string())):
+                    row, col = draft.columns(values, docs)
+                    change[row + i, col] += sign
+            some = change.any(axis=1)
+            count, changed = count + len(pairs), changed + int(some.sum())
+            total += (change[some].T @ change[some]).astype(np.float64)
+
+        for batch in batches:
+            pairs, size = [], 0
+            for text in batch.column(0).to_pylist():
+                for pair in rewritten(text or "", groups):
+                    pairs.append(pair)
+                    size += len(pair[0])
+                    if len(pairs) >= 4096 or size >= 1 << 20:
+                        flush(pairs)
+                        pairs, size = [], 0
+            if pairs:
+                flush(pairs)
+        i, j = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(i, [-1, -1]).astype(np.int32)), pa.array(np.append(j, [0, 1]).astype(np.int32)), pa.array(np.append(total[i, j], [count, changed]).astype(np.float64))],
+            names=["i", "j", "x"],
+        )
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE,
-        features: int = FEATURES, counterfactual: float = COUNTERFACTUAL) -> Model:
+        features: int = FEATURES, counterfactual: float = COUNTERFACTUAL, groups: tuple[str, ...] = GROUPS) -> Model:
     """Fits the classifier on at most ``sample`` labelled texts of each class (in order of a hash of the key).
 
+    ``groups`` holds lines of names that can stand for one another; every sentence of the sample is
+    rewritten with them, and ``counterfactual`` weighs the penalty on the change of the score.
+
     ``labels`` holds (key, label) of the rows to learn from; labels other than 0 and 1 and null
     keys are passed over.  Without rows of both classes every score is the share of label 1 (0.5
     without any).
@@ -193,20 +252,26 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def rows(batches):
         for batch in batches:
-            for y, t in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True):
-                pairs = swapped_sentences(t or "")
-                cols = [list(map(int, draft.columns(v, d)[1])) for s in [t or "", *[s for p in pairs for s in p]] for _, _, v, d in text_features(pa.array([s]))]
-                kinds = [y, *[2, 3] * len(pairs)]
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(cols, pa.list_(pa.int32()))], names=["kind", "cols"])
-
-    found = texts.mapInArrow(rows, "kind int, cols array<int>").collect()
-    dense = lambda lists: _dense(lists, len(top))
-    order = [r for r in found if r["kind"] < 2]
-    before, after = (dense([r["cols"] for r in found if r["kind"] == k]) for k in (2, 3))
-    weights, bias = train(dense([r["cols"] for r in order]), np.array([r["kind"] for r in order]), before - after, counterfactual=counterfactual)
+            y = batch.column(1).to_pylist()
+            for i, n, values, docs in text_features(batch.column(0)):
+                row, col = draft.columns(values, docs)
+                cut = np.searchsorted(row, np.arange(n + 1))
+                cols = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(col, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(y[i : i + n], pa.int32()), cols], names=["y", "cols"])
+
+    found = texts.mapInArrow(rows, "y int, cols array<int>").collect()  # 2 * sample rows at most
+    sums = texts.mapInArrow(_changes(draft, groups), "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x"))
+    change, seen = np.zeros((len(top), len(top))), {0: 0, 1: 0}
+    for r in sums.collect():  # features ** 2 rows at most
+        if r["i"] < 0:
+            seen[r["j"]] = int(r["x"])
+        else:
+            change[r["i"], r["j"]] = r["x"]
+    x = _dense([r["cols"] for r in found], len(top))
+    weights, bias = train(x, np.array([r["y"] for r in found]), change / max(seen[0], 1), counterfactual=counterfactual)
     # The classes weighed the same in the fit.
     bias += SHARE * float(np.log(share / (1 - share)))
-    return Model(draft.hashes, weights, bias)
+    return Model(draft.hashes, weights, bias, seen[0], seen[1])
 
 
 def _dense(lists: list[list[int]], width: int) -> np.ndarray:
@@ -231,7 +296,12 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def reject(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text scores below ``limit``, unchanged; all columns pass through."""
+    """The rows of ``docs`` whose text scores below ``limit``, unchanged.
+
+    Defined cases: null and empty texts have the score of a text without features; repeated rows
+    are judged alike and all stay or go; all columns pass through whatever their names; an empty
+    table gives an empty one.
+    """
     scratch.prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)

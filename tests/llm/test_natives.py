@@ -126,6 +126,21 @@ def test_chat_round_trip_and_mask(spark):
             assert r.formatted[s.start : s.end].encode() == r.formatted.encode()[s.byte_start : s.byte_end]
 
 
+def test_a_streamed_log_folds_back_to_its_rows(spark):
+    texts = ["", None, "a", "é" * 700, "<s>[INST] x", "0123456789" * 3000, "\n\n", "😀" * 300]
+    rows = [(c, t, ["user", "assistant", None][(c + t) % 3], texts[(c * 3 + t) % len(texts)]) for c in range(12) for t in range(6)]
+    rows += [(3, 2, "user", "twice"), (3, 2, "user", "twice"), (None, 1, "user", "n"), (None, 0, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat_format.rows_as_stream(df, chunk=16)
+    kinds = {r.kind: r.n for r in log.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and min(kinds.values()) >= 10 and kinds["delta"] > 500
+    assert log.groupBy("conv_id", "turn").count().agg(F.max("count")).first()[0] <= 2 * chat_format.MOST_DELTAS + 4
+    told = lambda events: sorted(
+        (str(r.conv_id), r.turn, r.role, r.text) for r in chat_format.fold(events.orderBy(F.rand(3))).collect()
+    )
+    assert told(log) == told(chat_format.rows_as_events(df)) and len(told(log)) == len(rows)
+
+
 @pytest.mark.parametrize(("dims", "bits"), [(2, 4), (3, 3), (4, 2)])
 def test_the_curve_visits_every_cell_by_unit_steps(spark, dims, bits):
     cells = list(itertools.product(range(1 << bits), repeat=dims))
@@ -159,7 +174,29 @@ def test_no_shards_of_nothing_and_one_row(spark):
 
 
 def test_written_shards_hold_every_row(spark, tmp_path):
-    rows = [(i, f"text {i}") for i in range(40)]
+    rows = [(i, f"text {i}") for i in range(40)] + [(None, "n"), (None, None), (7, "again"), (7, "again")]
     sharding.write_shards(table(spark, rows), str(tmp_path / "out"), shards=4)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == 40 and {r["count"] for r in back.groupBy("shard").count().collect()} == {10}
+    assert {r["count"] for r in back.groupBy("shard").count().collect()} == {11}
+    assert sorted(((r.doc_id, r.text) for r in back.collect()), key=str) == sorted(rows, key=str)
+    assert set(back.columns) == set(table(spark, rows).columns) | {"shard"}
+
+
+def test_cells_keep_the_order_and_are_about_equally_full(spark):
+    rows = spark.createDataFrame([(float(i % 97) ** 3, "abcde"[i % 5] if i % 9 else None) for i in range(3000)] + [(1e18, "z")], "x double, s string")
+    cell = sharding.number_cells(rows, ["x"], 4)[0]
+    got = rows.select("x", cell.alias("c")).groupBy("c").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("c").collect()
+    assert len(got) == 16 and all(a.hi < b.lo for a, b in itertools.pairwise(got)) and max(r.n for r in got) < 260
+    names = {r.s: r.cell for r in sharding.name_cells(rows, "s", 4).collect()}
+    assert names[None] == 0 and [names[c] for c in "abcdez"] == sorted(names[c] for c in "abcdez") and len(set(names.values())) >= 5
+
+
+def test_shards_are_pruned_on_every_dimension(spark):
+    """A search for one value reads far fewer shards than all, on each of the four dimensions."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    facts = docs.select("doc_id", "lang", "source")
+    placed = sharding.shard_by_curve(docs, shards=64).join(facts, "doc_id")
+    for name in ("doc_id", "size", "lang", "source"):
+        ranges = placed.groupBy("shard").agg(F.min(name).alias("lo"), F.max(name).alias("hi"))
+        hit = placed.select(F.col(name).alias("x")).join(ranges, F.col("x").between(F.col("lo"), F.col("hi")))
+        assert hit.count() / placed.count() < 0.6 * 64, name

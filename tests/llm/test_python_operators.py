@@ -187,6 +187,65 @@ def test_a_copy_whose_seeds_first_stand_in_several_documents_is_found(spark):
     assert got == {(4 * i + 3, 4 * i + 2, 60, 130) for i in range(10)}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_every_shared_run_of_50_words_is_covered_against_brute_force(spark, seed):
+    # Documents are pasted from slices of a few texts: first occurrences lie scattered, and most slices are too short.
+    rng = random.Random(seed)
+    bases = [prose(rng, 120, 10**6) for _ in range(3)] + [prose(rng, 7, 9) * 12, ["la"] * 90]
+    docs = []
+    for i in range(60):
+        words = []
+        for _ in range(rng.randrange(1, 5)):
+            base, size = rng.choice(bases), rng.choice([8, 20, 35, 44, 49, 50, 51, 55, 62, 80])
+            at = rng.randrange(max(len(base) - size, 0) + 1)
+            words += prose(rng, rng.choice([0, 1, 3, 30]), 10**6) + base[at : at + size]
+        docs.append((i, words))
+    seen, missed, shared = set(), [], 0
+    covered = {}
+    for r in substring_dedup.shared_passages(table(spark, [(k, " ".join(w)) for k, w in docs])).collect():
+        assert r.source_doc_id < r.doc_id and r.n_words >= 50
+        covered.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    for k, w in docs:
+        grams = [tuple(w[i : i + 50]) for i in range(len(w) - 49)]
+        for i, g in enumerate(grams):
+            if g in seen:
+                shared += 1
+                if len(set(g)) > 7 and not covered.get(k, set()).issuperset(range(i, i + 50)):
+                    missed.append((k, i))
+                elif not covered.get(k, set()) & set(range(i, i + 50)):
+                    missed.append((k, i))
+        seen.update(grams)
+    assert shared > 50 and not missed
+
+
+def test_both_ways_of_fetching_texts_agree(spark, monkeypatch):
+    rng = random.Random(3)
+    p = prose(rng, 60)
+    docs = table(spark, [(i, " ".join(prose(rng, 30) + p + prose(rng, 30))) for i in range(4)] + [(None, " ".join(p))])
+    got = []
+    for few in (0, substring_dedup.FEW):
+        monkeypatch.setattr(substring_dedup, "FEW", few)
+        got.append({(r.doc_id, r.source_doc_id, r.start, r.end) for r in substring_dedup.shared_passages(docs).collect()})
+    assert got[0] == got[1] >= {(i, None, 30, 90) for i in range(4)}
+
+
+def test_links_do_not_depend_on_batches():
+    rng = random.Random(2)
+    rows = sorted((rng.randrange(6), rng.randrange(8), rng.randrange(2), rng.randrange(50)) for _ in range(300))
+    cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+    whole = pa.RecordBatch.from_arrays(cols, names=["h", "k", "t", "p"])
+    want = []
+    for h, k, t, p in rows:
+        own = [r for r in rows if r[0] == h]
+        docs = sorted({r[1:3] for r in own})
+        if (k, t) != docs[0]:
+            want.append((k, t, own[0][1], own[0][2], p, own[0][3], h, docs.index((k, t))))
+    for size in (1, 2, 7, 300):
+        parts = [whole.slice(i, size) for i in range(0, 300, size)]
+        got = [tuple(r.values()) for b in substring_dedup._linked(parts) for r in b.to_pylist()]
+        assert got == want
+
+
 def test_passages_with_a_word_changed_every_few_are_found(spark):
     rng = random.Random(23)
     docs, pairs = [], 0
@@ -426,6 +485,45 @@ def test_the_penalty_frees_group_names_from_blame(spark):
     assert gap[10.0] < 0.5 * gap[0.0]
 
 
+def test_every_sentence_of_a_text_is_rewritten():
+    text = "The muslims met. Nothing here! A\n\nblack cat? " + "More words. " * 50
+    got = list(toxicity.rewritten(text))
+    assert len(got) == 54 and got[0] == ("the muslims met", "the christians met")
+    assert got[3] == ("black cat", "white cat")
+    for a, b in got:
+        assert a != b and len(set(a.split()) ^ set(b.split())) == 2
+    names = {n for line in toxicity.GROUPS for n in line.split()}
+    assert all(set(a.split()) ^ set(b.split()) <= names for a, b in got)
+    assert list(toxicity.rewritten("one. two", ())) == [] and list(toxicity.rewritten("")) == []
+    assert list(toxicity.rewritten("the red team", ("red blue",))) == [("the red team", "the blue team")]
+
+
+def test_the_regulariser_works_on_the_fixture(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.fit(docs, labels.where(toxicity.fold("doc_id") != 0))
+    assert model.pairs > 1000
+    # A name of the tables' own toxic words can stand for another: then the penalty has something to hold.
+    words = [w for w, n in toxic_words(spark) if n >= 3][:4]
+    bound = toxicity.fit(docs, labels.where(toxicity.fold("doc_id") != 0), groups=(" ".join(words),), counterfactual=1e3)
+    free = toxicity.fit(docs, labels.where(toxicity.fold("doc_id") != 0), groups=(" ".join(words),), counterfactual=0.0)
+    assert bound.changed > 0
+    spread = lambda m: np.ptp(np.log(m.scores(pa.array(words)) / (1 - m.scores(pa.array(words)))))
+    assert spread(bound) < 0.3 * spread(free)
+
+
+def toxic_words(spark):
+    """Words of toxic rows of the small tables that no other labelled row has, most frequent first."""
+    both = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
+    texts = [(r.toxic, set(re.findall(r"[a-z]{4,}", (r.text or "").lower()))) for r in both.select("toxic", "text").collect()]
+    clean = set().union(*[w for t, w in texts if t == 0])
+    count = {}
+    for t, own in texts:
+        for w in own - clean if t else ():
+            count[w] = count.get(w, 0) + 1
+    return sorted(count.items(), key=lambda x: (-x[1], x[0]))
+
+
 # ---------------------------------------------------------------- embeddings
 
 
@@ -457,13 +555,36 @@ def test_embeddings_against_brute_force(spark, tile):
 
 def test_error_bounds_hold():
     x = np.random.default_rng(1).normal(size=(200, 64))
-    q, s, long, rest = embed_dedup.quantise(x)
+    q, facts = embed_dedup.quantise(x)
+    assert q.dtype == np.int8
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     exact = unit @ unit.T
-    rough = (q @ q.T) * s[:, None] * s[None, :]
-    assert (np.abs(exact - rough) <= np.outer(long, rest) + rest[:, None] + embed_dedup.SLACK).all()
-    i, j = embed_dedup.linked_pairs(x, x, 0.2, same=True)
-    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(a, b) for a in range(200) for b in range(a + 1, 200) if exact[a, b] >= 0.2]
+    rough = (q.astype(float) @ q.T.astype(float)) * facts[:, :1] * facts[None, :, 0]
+    assert (np.abs(exact - rough) <= np.outer(facts[:, 1], facts[:, 2]) + facts[:, 2:] + embed_dedup.SLACK).all()
+    sure, open_ = embed_dedup.settled_pairs(q, facts, q, facts, 0.2, same=True)
+    i, j = open_
+    keep = embed_dedup.exact_pairs(x[i], x[j], 0.2)
+    got = [*zip(*map(np.ndarray.tolist, sure), strict=True), *zip(i[keep].tolist(), j[keep].tolist(), strict=True)]
+    assert sorted(got) == [(a, b) for a in range(200) for b in range(a + 1, 200) if exact[a, b] >= 0.2]
+    assert len(i) < 2000 and len(sure[0])
+
+
+def test_only_quantised_tiles_travel(spark, monkeypatch):
+    seen = {}
+    keep = embed_dedup.scratch.keep
+    monkeypatch.setattr(embed_dedup.scratch, "keep", lambda df, name: seen.setdefault(name, keep(df, name)))
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.normal(size=64).tolist(), 0) for i in range(300)], "vec_id long, embedding array<double>, label int")
+    embed_dedup.embed_dedup(df, tile=64).collect()
+    sizes = seen["tiles"].selectExpr("sum(octet_length(q)) AS q", "sum(octet_length(facts)) AS f").first()
+    assert (sizes.q, sizes.f) == (300 * 64, 300 * 24) and "vec" not in seen["tiles"].columns
+
+
+def test_doubles_keep_their_precision(spark):
+    # Single precision would make these vectors equal, or infinite.
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 1e-12], 0), (3, [1e300, 1e300], 0), (4, [2e300, 2e300], 0), (5, [1e-300, -1e-300], 0), (6, [1.0, 2.3], 0)]
+    got = embed_dedup.embed_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 2, 3), (4, 2, 3), (5, 0, 5), (6, 2, 3)]
 
 
 def test_digests_are_of_the_bytes():
