@@ -6,6 +6,9 @@ Parquet in the shared folder and reads them back as the next stage's documents.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,54 +16,87 @@ from pyspark.sql import functions as F
 from fieldweave.llm import bpe, exact_dedup, near_dedup, packing, scratch, substring_dedup, toxicity
 
 
-def _fresh(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs``; tables that earlier stages kept are deleted, as their results are written by now."""
-    scratch.sweep(spark)
-    scratch.release(spark)
-    return docs
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage owns the tables it keeps; those of earlier stages go, as their results are written by now."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scratch.sweep(spark, "pipeline")
+        scratch.release(spark)
+        with scratch.owned("pipeline"):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from the labels of these documents."""
-    docs = _fresh(spark, docs)
+    """Documents that the classifier rejects go; it learns from the labels of these documents.
+
+    Defined cases: null and empty texts have the score of a text without features; repeated rows are
+    judged alike; without labels of both classes nothing is learnt and all stay unless the share of
+    toxic labels is over a half; columns pass through whatever their names; an empty table gives an empty one.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels.where(toxicity.fold("doc_id") != 0))
     return toxicity.reject(docs, model)
 
 
+@stage
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row of the largest doc_id stays."""
-    docs = _fresh(spark, docs)
-    kept = exact_dedup.exact_dedup(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_id"), "text_sha256")
+    """Of equal texts the row of the largest doc_id stays.
+
+    Defined cases: a null text counts as empty; a null doc_id is smaller than any other; of rows equal
+    in doc_id and text one stays; columns pass through whatever their names; an empty table gives an
+    empty one.
+    """
+    own, sha, key = (scratch.unused(docs, n) for n in ("own_sha", "kept_sha", "kept_id"))
+    kept = exact_dedup.exact_dedup(docs.select("doc_id", "text")).where("kept")
+    kept = kept.select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha))
     # Of rows equal in id and text one is kept, so the join must not bring back its twins.
-    once = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).dropDuplicates(["doc_id", "text_sha256"])
-    joined = once.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (once["text_sha256"] == kept["text_sha256"]), "left_semi")
-    return joined.select(*docs.columns)
+    once = docs.withColumn(own, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).dropDuplicates(["doc_id", own])
+    joined = once.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(sha)), "left_semi")
+    return joined.drop(own)
 
 
+@stage
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the smallest doc_id."""
-    docs = _fresh(spark, docs)
+    """One document of each group of near duplicates stays: the smallest doc_id.
+
+    Defined cases: texts without words or null stay; rows equal in doc_id and text stay or go
+    together, of those equal in doc_id alone each is judged by its text; a null doc_id is smaller
+    than any other; columns pass through whatever their names; an empty table gives an empty one.
+    """
+    name, key, h = (scratch.unused(docs, n) for n in ("own_name", "gone_id", "gone_hash"))
     # Ids may repeat: a document is named by id and text, ordered by id first.
-    named = docs.withColumn("_name", F.struct("doc_id", F.xxhash64("text").alias("h")))
-    found = near_dedup.near_dedup(named.select("_name", "text"), key="_name")
-    gone = found.where(~F.col("kept")).select(F.col("_name.doc_id").alias("_id"), F.col("_name.h").alias("_h")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
-    return docs.join(gone.hint("merge"), same, "left_anti").select(*docs.columns)
+    named = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias(name), "text")
+    found = near_dedup.near_dedup(named, key=name)
+    gone = found.where(~F.col("kept")).select(F.col(name)["doc_id"].alias(key), F.col(name)["h"].alias(h)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(h))
+    return docs.join(gone.hint("merge"), same, "left_anti")
 
 
+@stage
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that an earlier document has are cut; all documents stay."""
-    docs = _fresh(spark, docs)
+    """Passages of 50 words or more that an earlier document has are cut; all documents stay.
+
+    Defined cases: a null text stays null; rows equal in doc_id and text are cut alike; n_chars, where
+    present, is counted anew, and other columns pass through whatever their names; an empty table
+    gives an empty one.
+    """
     out = substring_dedup.cut_passages(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places every document's tokens in sequences of at most 2048."""
-    docs = _fresh(spark, docs)
+    """Places every document's tokens in sequences of at most 2048.
+
+    Defined cases: null and empty texts are one piece of the closing id; rows with equal doc_id are
+    packed one by one; other columns are not read; an empty table gives no rows.
+    """
     tokenizer = bpe.share(spark, public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack_documents(docs.select("doc_id", "text"), tokenizer).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
@@ -83,8 +119,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over all documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{scratch.shared_dir(spark)}/fieldweave/pipeline"
-    for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), folder, name)
+    for name, f in STAGES:
+        docs = scratch.write(f(spark, docs, sf_dir), folder, name)
     return docs
 
 
