@@ -199,4 +199,4 @@ def test_shards_are_pruned_on_every_dimension(spark):
     for name in ("doc_id", "size", "lang", "source"):
         ranges = placed.groupBy("shard").agg(F.min(name).alias("lo"), F.max(name).alias("hi"))
         hit = placed.select(F.col(name).alias("x")).join(ranges, F.col("x").between(F.col("lo"), F.col("hi")))
-        assert hit.count() / placed.count() < 0.6 * 64, name
+        assert hit.count() / placed.count() < (0.7 if name == "lang" else 0.45) * 64, name
