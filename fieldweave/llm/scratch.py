@@ -67,15 +67,14 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
-#: Rows that Arrow hands to Python at once: some texts have megabytes.
-BATCH_ROWS = 1000
+#: Bytes and rows that Arrow hands to Python at once: some texts have megabytes, and some rows few bytes.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 50_000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to BATCH_ROWS rows, where they are larger; operators with Python stages call it."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Sets the session's Arrow batches to BATCH_BYTES and BATCH_ROWS; operators with Python stages call it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def release(spark: SparkSession) -> None:

@@ -40,6 +40,8 @@ MARGIN = 48
 FEW = 100_000
 #: Seeds handed on at once.
 SEED_ROWS = 1 << 16
+#: Words on either side of a seed of which its row tells two bits each.
+NEAR = 16
 #: Occurrences of a seed in one text that are nearer than this are one occurrence of a window.
 APART = 50
 
@@ -98,8 +100,28 @@ def _turns(doc: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     return out[0], out[1]
 
 
+def surroundings(words: textvec.Words, at: np.ndarray) -> np.ndarray:
+    """Two bits of each of the NEAR words before and after the seeds at ``at``, packed in 64 bits."""
+    code = np.concatenate([np.zeros(NEAR, np.uint64), words.hash >> np.uint64(62), np.zeros(NEAR + K, np.uint64)])
+    for step in (1, 2, 4, 8):
+        code = code[: len(code) - step] | code[step:] << np.uint64(2 * step)
+    return code[at + NEAR + K] << np.uint64(32) | code[at]
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether two seeds' surroundings let a passage grow over NEAR words on a side.
+
+    Growth over so many words leaves at most DROP behind: with e words that differ,
+    (NEAR - e) - 2 * e >= -DROP.
+    """
+    x = a ^ b
+    x = (x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)
+    sides = np.bitwise_count(x & np.uint64(0xFFFFFFFF)), np.bitwise_count(x >> np.uint64(32))
+    return np.minimum(*sides) <= (NEAR + DROP) // 3
+
+
 def _seed_rows(batches):
-    """mapInArrow: (k, t, text) -> (h, k, t, p), one row for each seed.
+    """mapInArrow: (k, t, text) -> (h, k, t, p, near), one row for each seed.
 
     The n-th time a seed stands in a document, it is a seed of its own: so a text that repeats
     itself is matched turn by turn.  Turns are also counted anew after BREAK words without the seed,
@@ -115,17 +137,42 @@ def _seed_rows(batches):
                 more = np.flatnonzero(turn != anew)
                 h = textvec.mix(np.concatenate([h + turn * textvec._MULT, h[more] + anew[more] * textvec._MULT]))
                 at = np.concatenate([at, at[more]])
-                doc = words.doc[at]
+                doc, near = words.doc[at], surroundings(words, at)
             p = (at - words.first[doc]).astype(np.int32)
             for a in range(0, len(at), SEED_ROWS):
                 part = slice(a, a + SEED_ROWS)
                 rows = pa.array(doc[part] + i)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[part].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(p[part])],
-                    names=["h", "k", "t", "p"],
+                    [pa.array(h[part].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(p[part]), pa.array(near[part].view(np.int64))],
+                    names=SEED,
                 )
 
 
+SEED = ["h", "k", "t", "p", "near"]
+
+
+def _repeated(batches):
+    """mapInArrow over rows sorted by h: those whose h another row has."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held[0], table])
+        h = table.column("h").to_numpy()
+        same = np.concatenate([[False], h[1:] == h[:-1], [False]])
+        keep = same[1:] | same[:-1]
+        # The last row may be met by the next batch.
+        last = keep[-1]
+        if held is not None:
+            last |= held[1] and len(h) == 1
+            keep[0] = keep[0] and not held[1]
+        told = np.flatnonzero(keep)
+        yield from table.take(pa.array(told)).combine_chunks().to_batches()
+        held = table.slice(len(h) - 1, 1), bool(last)
+
+
 def _changed(column: pa.Array) -> np.ndarray:
     """Where a column's value differs from the one before; the first counts as different."""
     if isinstance(column, pa.ChunkedArray):
@@ -140,8 +187,8 @@ def _changed(column: pa.Array) -> np.ndarray:
 
 
 def _linked(batches):
-    """mapInArrow over (h, k, t, p) sorted so -> (k, t, ck, ct, p, q, h, n): every later occurrence with the first
-    one of its seed, n earlier documents having it.
+    """mapInArrow over (h, k, t, p, near) sorted so -> (k, t, ck, ct, p, q, h, n, near): every later occurrence with
+    the first one of its seed, n earlier documents having it; near: their surroundings are alike.
 
     Rows stream past: only the first and the last occurrence of a seed are held from batch to batch.
     """
@@ -166,7 +213,9 @@ def _linked(batches):
         rows, firsts = table.take(pa.array(at)), table.take(pa.array(first[at]))
         columns = [rows.column("k"), rows.column("t"), firsts.column("k"), firsts.column("t"), rows.column("p"), firsts.column("p"), rows.column("h")]
         columns = [c.combine_chunks() for c in columns]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(n[at].astype(np.int64))], names=["k", "t", "ck", "ct", "p", "q", "h", "n"])
+        near = table.column("near").to_numpy().view(np.uint64)
+        more = [pa.array(n[at].astype(np.int64)), pa.array(_alike(near[at], near[first[at]]))]
+        yield pa.RecordBatch.from_arrays([*columns, *more], names=["k", "t", "ck", "ct", "p", "q", "h", "n", "near"])
         held, before = pa.concat_tables([table.slice(int(first[-1]), 1), table.slice(len(new) - 1, 1)]), int(n[-1])
 
 
@@ -301,8 +350,13 @@ def _blocks(rows: np.ndarray, cols: np.ndarray) -> pa.Array:
 
 
 def _chained(size: int, least: int):
-    """mapInArrow over matches sorted by (k, t, ck, ct): chains of each pair of documents, kind 0, and the places
-    of kind 1 that ``_rare`` picks (least > 0): a the place, c and d the run's ends, h the seed."""
+    """mapInArrow over matches sorted by (k, t, ck, ct): chains of each pair of documents, kind 0, and, for
+    seeds of K words, the places of kind 1 that ``_rare`` picks: a the place, c and d the run's ends, h the seed.
+
+    A chain of one seed grows along its diagonal only, so of the words on one side it takes NEAR or
+    more: it is passed over where the surroundings are not alike.
+    """
+    screened = size == K and least - K >= 2 * NEAR
 
     def of(table: pa.Table, edge: np.ndarray):
         if not table.num_rows:
@@ -311,18 +365,22 @@ def _chained(size: int, least: int):
         pair = np.flatnonzero(np.logical_or.reduce([_changed(table.column(c)) for c in ("k", "t", "ck", "ct")]))
         pair = np.append(pair, table.num_rows)
         lone = np.diff(pair) == 1
+        near = table.column("near").combine_chunks().to_numpy(zero_copy_only=False) if screened else np.ones(len(p), bool)
         # One match is a chain: what it grows to is measured after the growth only.
         at = pair[:-1][lone]
+        at = at[near[at]]
         yield chain_rows(table, at, np.stack([p[at], p[at] + size, q[at], q[at] + size], axis=1), _blocks(np.stack([p[at], q[at], np.full(len(at), size)], axis=1).astype("<i4"), 3))
         rows, spans, segs = [], [], []
         for a, b in zip(pair[:-1][~lone].tolist(), pair[1:][~lone].tolist(), strict=True):
             for chain in chains(segments(p[a:b], q[a:b], size)):
                 end = chain[-1]
+                if len(chain) == 1 and end[2] == size and not near[a:b][(p[a:b] == end[0]) & (q[a:b] == end[1])].any():
+                    continue
                 rows.append(a)
                 spans.append([chain[0][0], end[0] + end[2], chain[0][1], end[1] + end[2]])
                 segs.append(chain.astype("<i4").tobytes())
         yield chain_rows(table, np.array(rows, np.int64), np.array(spans, np.int64).reshape(-1, 4), pa.array(segs, pa.binary()))
-        if least:
+        if size == K:
             doc = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
             at, lo, hi = _rare(doc, p, table.column("n").to_numpy(), least)
             rows = table.take(pa.array(at))
@@ -372,7 +430,7 @@ def _rare(doc: np.ndarray, p: np.ndarray, n: np.ndarray, least: int) -> tuple[np
 
 
 def _window_rows(least: int):
-    """mapInArrow: (k, t, text, places) -> (h, k, t, p): the runs of ``least`` words that hold a seed at one of the places.
+    """mapInArrow: (k, t, text, places) -> (h, k, t, p, near): the runs of ``least`` words that hold a seed at one of the places.
 
     Equal runs of a text less than APART words apart are told once: so a text that repeats itself has few.
     """
@@ -404,8 +462,8 @@ def _window_rows(least: int):
                 at, h, doc = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, h, doc))
                 rows = pa.array(doc.astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.astype(np.uint64).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.astype(np.int32))],
-                    names=["h", "k", "t", "p"],
+                    [pa.array(h.astype(np.uint64).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(np.zeros(len(at), np.int64))],
+                    names=SEED,
                 )
 
     return run
@@ -623,16 +681,22 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _meetings(found: DataFrame, kind: str) -> DataFrame:
-    """(k, t, ck, ct, p, q, h, n) of seeds (h, k, t, p): the later occurrences, each with the first one."""
-    found = found.repartition("h").sortWithinPartitions("h", "k", "t", "p")
-    return scratch.keep(found.mapInArrow(_linked, f"k {kind}, t int, ck {kind}, ct int, p int, q int, h long, n long"), "matches")
+    """(k, t, ck, ct, p, q, h, n, near) of seeds (h, k, t, p, near): the later occurrences, each with the first one."""
+    # Most seeds stand once: they go before the rows are put in the order of documents.
+    again = found.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, found.schema)
+    again = again.sortWithinPartitions("h", "k", "t", "p")
+    out = scratch.keep(again.mapInArrow(_linked, f"k {kind}, t int, ck {kind}, ct int, p int, q int, h long, n long, near boolean"), "matches")
+    scratch.release(found.sparkSession)
+    return out
 
 
 def _chains(matches: DataFrame, kind: str, size: int, least: int) -> DataFrame:
     """Chains (kind 0) and rare places (kind 1) of matches, by document."""
     sorted_ = matches.repartition("k", "t").sortWithinPartitions("k", "t", "ck", "ct")
     shape = f"kind int, k {kind}, t int, ck {kind}, ct int, {CHAINS}, h long"
-    return scratch.keep(sorted_.mapInArrow(_chained(size, least), shape), "chains")
+    out = scratch.keep(sorted_.mapInArrow(_chained(size, least), shape), "chains")
+    scratch.release(matches.sparkSession)
+    return out
 
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -645,7 +709,7 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     scratch.prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rows = _keyed(docs, key, text)
-    matches = _meetings(rows.mapInArrow(_seed_rows, f"h long, k {kind}, t int, p int"), kind)
+    matches = _meetings(rows.mapInArrow(_seed_rows, f"h long, k {kind}, t int, p int, near long"), kind)
     chained = _chains(matches, kind, K, min_words)
     one = scratch.keep(_verified(rows, chained.where("kind = 0"), kind, min_words, percent), "passages")
 
@@ -657,8 +721,8 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     places = matches.select("h", "k", "t", "p").unionByName(matches.select("h", F.col("ck").alias("k"), F.col("ct").alias("t"), F.col("q").alias("p")))
     places = places.join(own.hint("merge"), "h", "left_semi").groupBy("k", "t").agg(F.collect_set("p").alias("places"))
     texts = _texts(rows, scratch.keep(places, "places"), "places")
-    whole = _meetings(texts.mapInArrow(_window_rows(min_words), f"h long, k {kind}, t int, p int"), kind)
-    two = _verified(rows, _chains(whole, kind, min_words, 0), kind, min_words, percent)
+    whole = _meetings(texts.mapInArrow(_window_rows(min_words), f"h long, k {kind}, t int, p int, near long"), kind)
+    two = _verified(rows, _chains(whole, kind, min_words, min_words), kind, min_words, percent)
     return _longest(one.unionByName(scratch.keep(two, "passages")))
 
 

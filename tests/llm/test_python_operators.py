@@ -231,19 +231,39 @@ def test_both_ways_of_fetching_texts_agree(spark, monkeypatch):
 
 def test_links_do_not_depend_on_batches():
     rng = random.Random(2)
-    rows = sorted((rng.randrange(6), rng.randrange(8), rng.randrange(2), rng.randrange(50)) for _ in range(300))
-    cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
-    whole = pa.RecordBatch.from_arrays(cols, names=["h", "k", "t", "p"])
-    want = []
-    for h, k, t, p in rows:
+    rows = sorted((rng.choice([0, 1, 2, 3, 4, *range(50, 500)]), rng.randrange(8), rng.randrange(2), rng.randrange(50), 0) for _ in range(300))
+    cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))]
+    whole = pa.RecordBatch.from_arrays(cols, names=substring_dedup.SEED)
+    want, count = [], {}
+    for h, k, t, p, _ in rows:
         own = [r for r in rows if r[0] == h]
+        count[h] = len(own)
         docs = sorted({r[1:3] for r in own})
         if (k, t) != docs[0]:
-            want.append((k, t, own[0][1], own[0][2], p, own[0][3], h, docs.index((k, t))))
+            want.append((k, t, own[0][1], own[0][2], p, own[0][3], h, docs.index((k, t)), True))
     for size in (1, 2, 7, 300):
         parts = [whole.slice(i, size) for i in range(0, 300, size)]
-        got = [tuple(r.values()) for b in substring_dedup._linked(parts) for r in b.to_pylist()]
-        assert got == want
+        again = list(substring_dedup._repeated(parts))
+        assert [tuple(r.values()) for b in again for r in b.to_pylist()] == [r for r in rows if count[r[0]] > 1]
+        assert [tuple(r.values()) for b in substring_dedup._linked(again) for r in b.to_pylist()] == want
+
+
+def test_surroundings_rule_out_only_what_cannot_grow():
+    rng, passed = np.random.default_rng(4), 0
+    for _ in range(400):
+        x = rng.integers(0, 2**63, 120, dtype=np.uint64)
+        y = np.where(rng.random(120) < rng.choice([0.1, 0.3, 0.5, 1.0]), rng.integers(0, 2**63, 120, dtype=np.uint64), x)
+        y[50:55] = x[50:55]
+        class Words:  # noqa: E306
+            pass
+        a, b = Words(), Words()
+        a.hash, b.hash = x << np.uint64(1), y << np.uint64(1)
+        at = np.array([50])
+        alike = substring_dedup._alike(substring_dedup.surroundings(a, at), substring_dedup.surroundings(b, at))[0]
+        left, right = substring_dedup._grown(x[:50][::-1], y[:50][::-1])[0], substring_dedup._grown(x[55:], y[55:])[0]
+        assert alike or max(left, right) < substring_dedup.NEAR
+        passed += not alike
+    assert passed > 80
 
 
 def test_passages_with_a_word_changed_every_few_are_found(spark):
