@@ -16,6 +16,8 @@ occurrences, not with their pairs.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +42,8 @@ MARGIN = 48
 FEW = 100_000
 #: Seeds handed on at once.
 SEED_ROWS = 1 << 16
+#: Texts are read so many times, each time for a part of the seeds: so the seeds on their way take less disk.
+PASSES = 2
 #: Words on either side of a seed of which its row tells two bits each.
 NEAR = 16
 #: Occurrences of a seed in one text that are nearer than this are one occurrence of a window.
@@ -120,32 +124,38 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(*sides) <= (NEAR + DROP) // 3
 
 
-def _seed_rows(batches):
-    """mapInArrow: (k, t, text) -> (h, k, t, p, near), one row for each seed.
+def _seed_rows(turn_of: int):
+    """mapInArrow: (k, t, text) -> (h, k, t, p, near), one row for each seed whose h is ``turn_of`` modulo PASSES.
 
     The n-th time a seed stands in a document, it is a seed of its own: so a text that repeats
     itself is matched turn by turn.  Turns are also counted anew after BREAK words without the seed,
     so every copy of a passage is matched with the first one, too.
     """
-    for batch in batches:
-        data, offsets = textvec.text_buffer(batch.column(2))
-        for i, j in textvec.chunks(offsets):
-            with np.errstate(over="ignore"):
-                words = textvec.Words(data, offsets[i : j + 1])
-                at, h = seeds(words)
-                turn, anew = _turns(words.doc[at], h, at)
-                more = np.flatnonzero(turn != anew)
-                h = textvec.mix(np.concatenate([h + turn * textvec._MULT, h[more] + anew[more] * textvec._MULT]))
-                at = np.concatenate([at, at[more]])
-                doc, near = words.doc[at], surroundings(words, at)
-            p = (at - words.first[doc]).astype(np.int32)
-            for a in range(0, len(at), SEED_ROWS):
-                part = slice(a, a + SEED_ROWS)
-                rows = pa.array(doc[part] + i)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[part].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(p[part]), pa.array(near[part].view(np.int64))],
-                    names=SEED,
-                )
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = textvec.text_buffer(batch.column(2))
+            for i, j in textvec.chunks(offsets):
+                with np.errstate(over="ignore"):
+                    words = textvec.Words(data, offsets[i : j + 1])
+                    at, h = seeds(words)
+                    turn, anew = _turns(words.doc[at], h, at)
+                    more = np.flatnonzero(turn != anew)
+                    h = textvec.mix(np.concatenate([h + turn * textvec._MULT, h[more] + anew[more] * textvec._MULT]))
+                    at = np.concatenate([at, at[more]])
+                    own = h % np.uint64(PASSES) == turn_of
+                    at, h = at[own], h[own]
+                    doc, near = words.doc[at], surroundings(words, at)
+                p = (at - words.first[doc]).astype(np.int32)
+                for a in range(0, len(at), SEED_ROWS):
+                    part = slice(a, a + SEED_ROWS)
+                    rows = pa.array(doc[part] + i)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h[part].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(p[part]), pa.array(near[part].view(np.int64))],
+                        names=SEED,
+                    )
+
+    return run
 
 
 SEED = ["h", "k", "t", "p", "near"]
@@ -709,7 +719,9 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     scratch.prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rows = _keyed(docs, key, text)
-    matches = _meetings(rows.mapInArrow(_seed_rows, f"h long, k {kind}, t int, p int, near long"), kind)
+    shape = f"h long, k {kind}, t int, p int, near long"
+    parts = [_meetings(rows.mapInArrow(_seed_rows(i), shape), kind) for i in range(PASSES)]
+    matches = functools.reduce(DataFrame.unionByName, parts)
     chained = _chains(matches, kind, K, min_words)
     one = scratch.keep(_verified(rows, chained.where("kind = 0"), kind, min_words, percent), "passages")
 
@@ -721,7 +733,7 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     places = matches.select("h", "k", "t", "p").unionByName(matches.select("h", F.col("ck").alias("k"), F.col("ct").alias("t"), F.col("q").alias("p")))
     places = places.join(own.hint("merge"), "h", "left_semi").groupBy("k", "t").agg(F.collect_set("p").alias("places"))
     texts = _texts(rows, scratch.keep(places, "places"), "places")
-    whole = _meetings(texts.mapInArrow(_window_rows(min_words), f"h long, k {kind}, t int, p int, near long"), kind)
+    whole = _meetings(texts.mapInArrow(_window_rows(min_words), shape), kind)
     two = _verified(rows, _chains(whole, kind, min_words, min_words), kind, min_words, percent)
     return _longest(one.unionByName(scratch.keep(two, "passages")))
 
