@@ -224,7 +224,11 @@ def near_dedup(
 
 
 def _tables(nodes: DataFrame, m: int) -> DataFrame:
-    """(t, i, j, node): members of each table, keyed by the i-th u and the j-th v, that two classes at least share."""
+    """(t, i, j, node): members of each table, keyed by the i-th u and the j-th v, that two classes at least share.
+
+    Of tables with the same members the one of least (i, j) stands for all: near copies share most
+    of their tables.  So the first table that two classes share is always there.
+    """
     each = nodes.select("node", F.posexplode("keys").alias("i", "u"))
     # As a table of its own: adaptive execution splits a hot key only where both sides are plain shuffles.
     shared = scratch.keep(each.groupBy("u").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("u"), "shared-keys")
@@ -235,8 +239,10 @@ def _tables(nodes: DataFrame, m: int) -> DataFrame:
     rows = live.where("size(us) > 0 and size(vs) > 0").select("node", F.explode("us").alias("u"), "vs")
     rows = rows.select("node", "u", F.explode("vs").alias("v")).select(F.xxhash64("u.u", "v.v").alias("t"), "u.i", "v.j", "node")
     rows = scratch.keep(rows, "all-tables")
-    full = rows.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t")
-    return scratch.keep(rows.join(scratch.keep(full, "full-tables"), "t"), "tables")
+    members = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("c")]
+    full = rows.groupBy("t").agg(*members, F.min(F.struct("i", "j", "t")).alias("at")).where("c > 1")
+    one = full.groupBy("x", "y", "c").agg(F.min("at").alias("at")).select("at.t")
+    return scratch.keep(rows.join(scratch.keep(one, "full-tables"), "t"), "tables")
 
 
 def _parts(docs, key, text, nodes, tables, k, percent) -> DataFrame:
