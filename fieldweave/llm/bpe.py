@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-The words of the corpus are counted, and the driver compiles the frequent ones, the vocabulary's own
-words and their ids into an automaton in which equal suffixes share states; each arc carries a number, and the sum along a word's path is the word's place in the table of
+The words of the corpus are counted, and the driver compiles the frequent ones and their ids (or,
+without a corpus, the vocabulary's own words) into an automaton in which equal suffixes share states; each arc carries a number, and the sum along a word's path is the word's place in the table of
 ids.  The automaton is one blob of arrays that each executor writes to a file once and all its
 Python workers map into memory.
 
@@ -34,10 +34,10 @@ END, SPECIAL = 0xD800, 0xD801
 CHUNK = 1 << 21
 #: Merged words each Python worker remembers, at most; a full memory starts anew.
 MEMORY = 1 << 18
-#: The most frequent words of a corpus that the lexicon holds beside the vocabulary's own.
+#: The most frequent words of a corpus that the lexicon holds.
 FREQUENT = 1 << 16
 #: Words that one task counts before it hands its counts on.
-COUNTED = 1 << 19
+COUNTED = 1 << 17
 #: Longer words (in code points) are not compiled.
 WORD_CHARS = 64
 #: Words of more symbols are merged one by one with a heap.
@@ -66,7 +66,7 @@ class PairMap:
     def build(left, right, value) -> PairMap:
         key = (np.asarray(left, np.int64) << np.int64(21)) | np.asarray(right, np.int64)
         value = np.asarray(value, np.int64)
-        bits = max(int(len(key) * 2).bit_length(), 4)
+        bits = max(int(len(key) * 5 // 4).bit_length(), 4)
         keys, values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
         slot = ((key.astype(np.uint64) * textvec._MULT) >> np.uint64(64 - bits)).astype(np.int64)
         left_over = np.arange(len(key))
@@ -192,8 +192,8 @@ class Tokenizer:
     # ---- compiling, on the driver
 
     @staticmethod
-    def load(path: str, words: list[str] | None = None) -> Tokenizer:
-        """Compiles the tokenizer at ``path``; its lexicon holds the vocabulary's words and ``words``."""
+    def load(path: str) -> Tokenizer:
+        """Compiles the tokenizer at ``path``, without a lexicon."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, vocab = spec["model"], spec["model"]["vocab"]
@@ -233,11 +233,11 @@ class Tokenizer:
             except (KeyError, UnicodeDecodeError):
                 continue
         meta["words"] = sorted(w for w in own if w)
-        return Tokenizer(arrays, meta).with_words(words or [])
+        return Tokenizer(arrays, meta)
 
-    def with_words(self, words: list[str]) -> Tokenizer:
-        """This tokenizer with a lexicon of the vocabulary's own words and ``words``."""
-        lexicon = sorted({w for w in (*self.meta["words"], *words) if w})
+    def with_words(self, words: list[str] | None = None) -> Tokenizer:
+        """This tokenizer with a lexicon of ``words``; without them, of the vocabulary's own."""
+        lexicon = sorted({w for w in (self.meta["words"] if words is None else words) if w})
         table, final, root = compile_lexicon(lexicon)
         ids, counts = self.merge_words(lexicon)
         arcs = PairMap.build(table[:, 0], table[:, 1], table[:, 2] << np.int64(21) | table[:, 3])
@@ -251,11 +251,14 @@ class Tokenizer:
         """The lexicon, for a file to map, and everything else: each a header and arrays in one block of bytes."""
         lexicon = {k: x for k, x in self.a.items() if k in LEXICON}
         meta = {k: x for k, x in self.meta.items() if k != "words"}
-        return _block(lexicon, {}), _block({k: x for k, x in self.a.items() if k not in LEXICON}, meta)
+        return _block(lexicon, {}) if lexicon else b"", _block({k: x for k, x in self.a.items() if k not in LEXICON}, meta)
 
     @staticmethod
     def mapped(blobs: tuple[bytes, bytes]) -> Tokenizer:
         """A tokenizer whose lexicon is a memory-mapped file, written once per temporary folder."""
+        arrays, meta = _arrays(np.frombuffer(blobs[1], np.uint8))
+        if not blobs[0]:
+            return Tokenizer(arrays, meta)
         digest = hashlib.blake2b(blobs[0], digest_size=12).hexdigest()
         name = os.path.join(tempfile.gettempdir(), f"lexicon-{digest}")
         if not os.path.exists(name) or _digest(name) != digest:
@@ -264,7 +267,6 @@ class Tokenizer:
                 f.write(blobs[0])
             os.replace(own, name)
         lexicon, _ = _arrays(np.asarray(np.memmap(name, np.uint8, "r")))
-        arrays, meta = _arrays(np.frombuffer(blobs[1], np.uint8))
         return Tokenizer(arrays | lexicon, meta)
 
     # ---- encoding
@@ -322,17 +324,6 @@ class Tokenizer:
         start[quote[two] + 1] = False
         start[quote[two] + 3] = True
 
-    def words(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """The distinct words of the texts, without special tokens and overlong ones, and how often each stands there."""
-        cps = self.code_points(texts)
-        start, end = self.spans(cps)
-        with np.errstate(over="ignore"):
-            head, inverse, _ = self._distinct(cps, start, end)
-        counts, size = np.bincount(inverse, minlength=len(head)), end[head] - start[head]
-        fine = (size <= WORD_CHARS) & (self.a["classes"][cps[start[head]]] != EDGE)
-        out = [cps[a:b].tobytes().decode("utf-32-le") for a, b in zip(start[head][fine].tolist(), end[head][fine].tolist(), strict=True)]
-        return out, counts[fine]
-
     def served(self, texts: list[str]) -> tuple[int, int]:
         """Of how many word occurrences the lexicon knows the word, and of how many there are."""
         cps = self.code_points(texts)
@@ -604,6 +595,39 @@ def text_runs(column: pa.Array, size: int = CHUNK) -> Iterator[list[str]]:
         yield run
 
 
+class Counter:
+    """Word counts of texts, words told apart by 64 bits of hash; special tokens and overlong words are left out."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tok, self.words, self.hashes = tokenizer, [], np.zeros(0, np.uint64)
+        self.place, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, texts: list[str]) -> None:
+        cps = self.tok.code_points(texts)
+        start, end = self.tok.spans(cps)
+        with np.errstate(over="ignore"):
+            head, inverse, keys = self.tok._distinct(cps, start, end)
+        n, size = np.bincount(inverse, minlength=len(head)), end[head] - start[head]
+        fine = (size <= WORD_CHARS) & (self.tok.a["classes"][cps[start[head]]] != EDGE)
+        head, n = head[fine], n[fine]
+        h, first = np.unique(keys[0][head], return_index=True)
+        n = np.bincount(np.searchsorted(h, keys[0][head]), n, len(h)).astype(np.int64)
+        at = np.searchsorted(self.hashes, h)
+        known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == h if len(self.hashes) else np.zeros(len(h), bool)
+        np.add.at(self.counts, self.place[at[known]], n[known])
+        fresh = np.flatnonzero(~known)
+        whole = cps.tobytes().decode("utf-32-le", "surrogatepass")
+        self.place = np.insert(self.place, at[fresh], len(self.words) + np.arange(len(fresh)))
+        self.hashes = np.insert(self.hashes, at[fresh], h[fresh])
+        self.counts = np.concatenate([self.counts, n[fresh]])
+        own = head[first[fresh]]
+        self.words += [whole[a:b] for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True)]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(self.words), 1 << 14):
+            yield pa.RecordBatch.from_arrays([pa.array(self.words[a : a + (1 << 14)], pa.string()), pa.array(self.counts[a : a + (1 << 14)])], names=["word", "n"])
+
+
 def _shared(spark, tokenizer: Tokenizer):
     blobs = tokenizer.blobs()
     name = hashlib.blake2b(blobs[0] + blobs[1], digest_size=16).hexdigest()
@@ -611,12 +635,12 @@ def _shared(spark, tokenizer: Tokenizer):
 
 
 def share(spark, path: str, words: list[str] | None = None):
-    """The tokenizer at ``path`` (read on the driver only), broadcast; its size is that of the vocabulary and ``words``."""
-    return _shared(spark, Tokenizer.load(path, words))
+    """The tokenizer at ``path`` (read on the driver only), broadcast, with a lexicon of ``words`` (the vocabulary's own)."""
+    return _shared(spark, Tokenizer.load(path).with_words(words))
 
 
 def share_for(docs: DataFrame, path: str, text: str = "text", frequent: int = FREQUENT):
-    """The tokenizer at ``path`` with the ``frequent`` most frequent words of ``docs`` in its lexicon, broadcast.
+    """The tokenizer at ``path`` with the ``frequent`` most frequent words of ``docs`` as its lexicon, broadcast.
 
     All words of all texts are counted (ties go by the word); only the chosen ones reach the driver.
     """
@@ -631,20 +655,14 @@ def word_counts(docs: DataFrame, tokenizer, text: str = "text") -> DataFrame:
     scratch.prepare(docs.sparkSession)
 
     def run(batches):
-        tok, count = tokenizer_of(tokenizer), {}
+        count = Counter(tokenizer_of(tokenizer))
         for batch in batches:
             for texts in text_runs(batch.column(0)):
-                for word, n in zip(*tok.words(texts), strict=True):
-                    count[word] = count.get(word, 0) + int(n)
-                if len(count) > COUNTED:
-                    yield from rows(count)
-                    count = {}
-        yield from rows(count)
-
-    def rows(count):
-        words, sizes = list(count), np.fromiter(count.values(), np.int64, len(count))
-        for at in range(0, len(words), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(words[at : at + (1 << 16)], pa.string()), pa.array(sizes[at : at + (1 << 16)])], names=["word", "n"])
+                count.add(texts)
+                if len(count.words) > COUNTED:
+                    yield from count.rows()
+                    count = Counter(count.tok)
+        yield from count.rows()
 
     counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word string, n long")
     return counts.groupBy("word").agg(F.sum("n").alias("n"))
