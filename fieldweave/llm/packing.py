@@ -1,10 +1,11 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
 Documents become pieces of at most ``capacity`` tokens.  Every partition packs its own pieces
-best fit, longest first; bins that are nearly full are final.  The underfull bins travel on as
-items and are packed again in fewer partitions, round by round, until a round joins hardly
-anything or one partition holds them all.  A round moves only bins that are still open, and a
-task never gets more of them than ``MOST_ITEMS``.
+best fit, longest first; bins with less room than the least bin of all would take are final, as
+nothing can join them any more.  The others travel on as items and are packed again in fewer
+partitions, round by round, until one partition holds them all, or, where they are too many for
+one, a round of as few partitions joins nothing.  A round moves only bins that are still open,
+and a task gets about ``MOST_ITEMS`` of them at most.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ from pyspark.sql import functions as F
 from . import bpe, scratch
 
 CAPACITY = 2048
-#: A bin with at most this share of its capacity free is final at once.
-FREE = 1 / 128
 #: Open bins one task packs at most, except in the first round, where it packs its split.
 MOST_ITEMS = 400_000
 #: Partitions shrink by this factor from round to round.
@@ -131,31 +130,31 @@ def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
     """The rows of ``items`` with sequence_id and offset: where each stands in a sequence of at most ``capacity``.
 
     Defined cases: lengths are from 1 to capacity; equal rows are placed one by one; other columns
-    pass through; an empty table gives an empty one.
+    pass through, but ones named sequence_id and offset are replaced; an empty table gives an empty one.
     """
-    spark = items.sparkSession
-    items = scratch.keep(items.withColumn("_item", F.monotonically_increasing_id()), "items")
-    bins = items.select(F.array("_item").alias("items"), F.array(F.col(length).cast("int")).alias("lens"), F.col(length).cast("int").alias("load"))
+    spark, item = items.sparkSession, scratch.unused(items, "item")
+    items = scratch.keep(items.drop("sequence_id", "offset").withColumn(item, F.monotonically_increasing_id()), "items")
+    bins = items.select(F.array(item).alias("items"), F.array(F.col(length).cast("int")).alias("lens"), F.col(length).cast("int").alias("load"))
     schema = "items array<bigint>, lens array<int>, load int"
     final, parts, before = [], None, None
     while True:
         packed = scratch.keep(bins.mapInArrow(_packed(capacity), schema), "bins")
-        nearly = F.col("load") >= int(capacity * (1 - FREE))
-        final.append(packed.where(nearly))
-        open_ = packed.where(~nearly)
+        least = packed.agg(F.min("load").alias("m")).first()["m"] or 1
+        full = F.col("load") > capacity - least
+        final.append(packed.where(full))
+        open_ = packed.where(~full)
         count = open_.count()
-        parts = scratch.partitions(spark) if parts is None else parts
-        stuck = before is not None and count > 0.99 * before
-        if count <= 1 or parts == 1 or stuck:
+        fewer = max((scratch.partitions(spark) if parts is None else parts) // FAN, -(-count // MOST_ITEMS), 1)
+        if count <= 1 or parts == 1 or (fewer == parts and count == before):
             final.append(open_)
             break
-        parts = max(parts // FAN, -(-count // MOST_ITEMS), 1)
-        before = count
+        parts, before = fewer, count
         bins = open_.repartition(parts)
     done = final[0]
     for more in final[1:]:
         done = done.unionByName(more)
-    return items.join(done.mapInArrow(_placed, "_item long, sequence_id long, offset long"), "_item").drop("_item")
+    placed = done.mapInArrow(_placed, "_item long, sequence_id long, offset long").withColumnRenamed("_item", item)
+    return items.join(placed, item).drop(item)
 
 
 def _placed(batches):

@@ -44,6 +44,9 @@ FEW = 100_000
 SEED_ROWS = 1 << 16
 #: Texts are read so many times, each time for a part of the seeds: so the seeds on their way take less disk.
 PASSES = 2
+#: Of one document in SAMPLE the seeds are counted.  Those that HOT of them have, MOST_HOT at most, are dealt
+#: to SALTS tasks: that spreads the work and changes nothing else.
+SAMPLE, HOT, MOST_HOT, SALTS = 64, 100, 4096, 32
 #: Words on either side of a seed of which its row tells two bits each.
 NEAR = 16
 #: Occurrences of a seed in one text that are nearer than this are one occurrence of a window.
@@ -124,8 +127,46 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(*sides) <= (NEAR + DROP) // 3
 
 
-def _seed_rows(turn_of: int):
-    """mapInArrow: (k, t, text) -> (h, k, t, p, near), one row for each seed whose h is ``turn_of`` modulo PASSES.
+class Hot:
+    """Seeds that very many documents have, and the seeds that stand for them, one for each of SALTS parts of the documents."""
+
+    def __init__(self, seeds_: np.ndarray):
+        salts = np.arange(SALTS, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            parts = self.salted(np.repeat(seeds_, SALTS), np.tile(salts, len(seeds_)))
+        order = np.argsort(parts)
+        self.seeds, self.parts, self.of = np.sort(seeds_), parts[order], np.repeat(seeds_, SALTS)[order]
+
+    @staticmethod
+    def salted(h: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        return textvec.mix(h + (salt.astype(np.uint64) + np.uint64(1)) * textvec._MULT)
+
+    @staticmethod
+    def _among(values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(values, x), max(len(values) - 1, 0))
+        return at, values[at] == x if len(values) else np.zeros(len(x), bool)
+
+    def spread(self, h: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """The seeds, hot ones by their parts."""
+        if not len(self.seeds):
+            return h
+        hot = np.flatnonzero(self._among(self.seeds, h)[1])
+        h = h.copy()
+        h[hot] = self.salted(h[hot], salt[hot])
+        return h
+
+    def is_part(self, h: np.ndarray) -> np.ndarray:
+        return self._among(self.parts, h)[1]
+
+    def whole(self, h: np.ndarray) -> np.ndarray:
+        """The seeds that parts stand for; others as they are."""
+        at, part = self._among(self.parts, h)
+        return np.where(part, self.of[at], h) if len(self.parts) else h
+
+
+def _seed_rows(turn_of: int | None, hot: Hot):
+    """mapInArrow: (k, t, text, salt) -> (h, k, t, p, near), one row for each seed whose h is ``turn_of`` modulo
+    PASSES (all where it is None).
 
     The n-th time a seed stands in a document, it is a seed of its own: so a text that repeats
     itself is matched turn by turn.  Turns are also counted anew after BREAK words without the seed,
@@ -143,9 +184,11 @@ def _seed_rows(turn_of: int):
                     more = np.flatnonzero(turn != anew)
                     h = textvec.mix(np.concatenate([h + turn * textvec._MULT, h[more] + anew[more] * textvec._MULT]))
                     at = np.concatenate([at, at[more]])
-                    own = h % np.uint64(PASSES) == turn_of
-                    at, h = at[own], h[own]
+                    if turn_of is not None:
+                        own = h % np.uint64(PASSES) == turn_of
+                        at, h = at[own], h[own]
                     doc, near = words.doc[at], surroundings(words, at)
+                    h = hot.spread(h, batch.column(3).to_numpy()[i:j][doc])
                 p = (at - words.first[doc]).astype(np.int32)
                 for a in range(0, len(at), SEED_ROWS):
                     part = slice(a, a + SEED_ROWS)
@@ -161,26 +204,28 @@ def _seed_rows(turn_of: int):
 SEED = ["h", "k", "t", "p", "near"]
 
 
-def _repeated(batches):
-    """mapInArrow over rows sorted by h: those whose h another row has."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        if held is not None:
-            table = pa.concat_tables([held[0], table])
-        h = table.column("h").to_numpy()
-        same = np.concatenate([[False], h[1:] == h[:-1], [False]])
-        keep = same[1:] | same[:-1]
-        # The last row may be met by the next batch.
-        last = keep[-1]
-        if held is not None:
-            last |= held[1] and len(h) == 1
-            keep[0] = keep[0] and not held[1]
-        told = np.flatnonzero(keep)
-        yield from table.take(pa.array(told)).combine_chunks().to_batches()
-        held = table.slice(len(h) - 1, 1), bool(last)
+def _repeated(hot: Hot):
+    """mapInArrow over rows sorted by h: those whose h another row has, and all of parts of hot seeds."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held[0], table])
+            h = table.column("h").to_numpy()
+            same = np.concatenate([[False], h[1:] == h[:-1], [False]])
+            keep = same[1:] | same[:-1] | hot.is_part(h.view(np.uint64))
+            # The last row may be met by the next batch.
+            last = bool(keep[-1])
+            if held is not None:
+                keep[0] = keep[0] and not held[1]
+            yield from table.take(pa.array(np.flatnonzero(keep))).combine_chunks().to_batches()
+            held = table.slice(len(h) - 1, 1), last
+
+    return run
 
 
 def _changed(column: pa.Array) -> np.ndarray:
@@ -196,37 +241,44 @@ def _changed(column: pa.Array) -> np.ndarray:
     return new
 
 
-def _linked(batches):
+def _linked(hot: Hot):
     """mapInArrow over (h, k, t, p, near) sorted so -> (k, t, ck, ct, p, q, h, n, near): every later occurrence with
     the first one of its seed, n earlier documents having it; near: their surroundings are alike.
 
     Rows stream past: only the first and the last occurrence of a seed are held from batch to batch.
+    The first occurrence of each part of a hot seed is told with itself, n holding its surroundings.
     """
-    held, before = None, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        if held is not None:
-            table = pa.concat_tables([held, table])
-        table = table.combine_chunks()
-        new = _changed(table.column("h"))
-        doc = new | _changed(table.column("k")) | _changed(table.column("t"))
-        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        rank = np.cumsum(doc)
-        n = rank - rank[first]
-        later = n > 0
-        if held is not None:
-            later[:2] = False
-            n[first == 0] += before - n[1]
-        at = np.flatnonzero(later)
-        rows, firsts = table.take(pa.array(at)), table.take(pa.array(first[at]))
-        columns = [rows.column("k"), rows.column("t"), firsts.column("k"), firsts.column("t"), rows.column("p"), firsts.column("p"), rows.column("h")]
-        columns = [c.combine_chunks() for c in columns]
-        near = table.column("near").to_numpy().view(np.uint64)
-        more = [pa.array(n[at].astype(np.int64)), pa.array(_alike(near[at], near[first[at]]))]
-        yield pa.RecordBatch.from_arrays([*columns, *more], names=["k", "t", "ck", "ct", "p", "q", "h", "n", "near"])
-        held, before = pa.concat_tables([table.slice(int(first[-1]), 1), table.slice(len(new) - 1, 1)]), int(n[-1])
+
+    def run(batches):
+        held, before = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            table = table.combine_chunks()
+            new = _changed(table.column("h"))
+            doc = new | _changed(table.column("k")) | _changed(table.column("t"))
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            rank = np.cumsum(doc)
+            n = rank - rank[first]
+            later = n > 0
+            h, near = (table.column(c).to_numpy().view(np.uint64) for c in ("h", "near"))
+            alone = new & hot.is_part(h)
+            if held is not None:
+                later[:2] = alone[:2] = False
+                n[first == 0] += before - n[1]
+            at = np.flatnonzero(later | alone)
+            rows, firsts = table.take(pa.array(at)), table.take(pa.array(first[at]))
+            columns = [rows.column("k"), rows.column("t"), firsts.column("k"), firsts.column("t"), rows.column("p"), firsts.column("p")]
+            columns = [c.combine_chunks() for c in columns]
+            told = np.where(alone[at], near[at].view(np.int64), n[at])
+            more = [pa.array(hot.whole(h[at]).view(np.int64)), pa.array(told), pa.array(_alike(near[at], near[first[at]]) & ~alone[at])]
+            yield pa.RecordBatch.from_arrays([*columns, *more], names=["k", "t", "ck", "ct", "p", "q", "h", "n", "near"])
+            held, before = pa.concat_tables([table.slice(int(first[-1]), 1), table.slice(len(new) - 1, 1)]), int(n[-1])
+
+    return run
 
 
 # ---------------------------------------------------------------- chaining
@@ -690,14 +742,29 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("k"), F.hash(value).alias("t"), value.alias("text"))
 
 
-def _meetings(found: DataFrame, kind: str) -> DataFrame:
-    """(k, t, ck, ct, p, q, h, n, near) of seeds (h, k, t, p, near): the later occurrences, each with the first one."""
+def _hot_seeds(rows: DataFrame, shape: str) -> Hot:
+    sample = rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(SAMPLE)) == 0)
+    counts = sample.mapInArrow(_seed_rows(None, Hot(np.zeros(0, np.uint64))), shape).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.where(F.col("n") >= HOT).orderBy(F.desc("n"), "h").limit(MOST_HOT).collect()
+    return Hot(np.array([r["h"] for r in top], np.int64).view(np.uint64))
+
+
+def _meetings(found: DataFrame, kind: str, hot: Hot) -> DataFrame:
+    """(k, t, ck, ct, p, q, h, n, near) of seeds (h, k, t, p, near): the later occurrences, each with the first one.
+
+    Occurrences of hot seeds meet the first one of their part, and those meet the first one of all.
+    """
+    shape = f"k {kind}, t int, ck {kind}, ct int, p int, q int, h long, n long, near boolean"
     # Most seeds stand once: they go before the rows are put in the order of documents.
-    again = found.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, found.schema)
-    again = again.sortWithinPartitions("h", "k", "t", "p")
-    out = scratch.keep(again.mapInArrow(_linked, f"k {kind}, t int, ck {kind}, ct int, p int, q int, h long, n long, near boolean"), "matches")
+    again = found.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated(hot), found.schema)
+    out = scratch.keep(again.sortWithinPartitions("h", "k", "t", "p").mapInArrow(_linked(hot), shape), "matches")
     scratch.release(found.sparkSession)
-    return out
+    if not len(hot.seeds):
+        return out
+    alone = F.col("k").eqNullSafe(F.col("ck")) & (F.col("t") == F.col("ct"))
+    firsts = out.where(alone).select("h", "k", "t", "p", F.col("n").alias("near"))
+    firsts = firsts.repartition("h").sortWithinPartitions("h", "k", "t", "p").mapInArrow(_linked(Hot(np.zeros(0, np.uint64))), shape)
+    return out.where(~alone).unionByName(scratch.keep(firsts, "hot-matches"))
 
 
 def _chains(matches: DataFrame, kind: str, size: int, least: int) -> DataFrame:
@@ -720,7 +787,9 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     kind = docs.schema[key].dataType.simpleString()
     rows = _keyed(docs, key, text)
     shape = f"h long, k {kind}, t int, p int, near long"
-    parts = [_meetings(rows.mapInArrow(_seed_rows(i), shape), kind) for i in range(PASSES)]
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("t", "k"), F.lit(SALTS)).cast("int"))
+    hot = _hot_seeds(salted, shape)
+    parts = [_meetings(salted.mapInArrow(_seed_rows(i, hot), shape), kind, hot) for i in range(PASSES)]
     matches = functools.reduce(DataFrame.unionByName, parts)
     chained = _chains(matches, kind, K, min_words)
     one = scratch.keep(_verified(rows, chained.where("kind = 0"), kind, min_words, percent), "passages")
@@ -733,7 +802,7 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     places = matches.select("h", "k", "t", "p").unionByName(matches.select("h", F.col("ck").alias("k"), F.col("ct").alias("t"), F.col("q").alias("p")))
     places = places.join(own.hint("merge"), "h", "left_semi").groupBy("k", "t").agg(F.collect_set("p").alias("places"))
     texts = _texts(rows, scratch.keep(places, "places"), "places")
-    whole = _meetings(texts.mapInArrow(_window_rows(min_words), shape), kind)
+    whole = _meetings(texts.mapInArrow(_window_rows(min_words), shape), kind, Hot(np.zeros(0, np.uint64)))
     two = _verified(rows, _chains(whole, kind, min_words, min_words), kind, min_words, percent)
     return _longest(one.unionByName(scratch.keep(two, "passages")))
 

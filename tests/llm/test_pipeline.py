@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from fieldweave.llm import near_dedup
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, kept string"
 VILE = ("scumbag", "moron", "vilewort")
@@ -119,6 +120,46 @@ def test_the_run_packs_what_the_stages_leave(spark, folder):
     assert corpus_pipeline.queries().keys() == {"pipeline"}
 
 
+CLASHES = ("_id", "_h", "_name", "_key", "_cut_key", "_cut_text", "_cut_spans", "cut_key", "text_sha256", "own_sha", "kept_sha", "gone_id", "own_name", "keep_id", "kept_id", "score",
+           "_row", "component_id", "k", "t", "h", "node", "item", "sequence_id", "group_size", "label", "toxic", "y")
+
+
+def test_clashing_columns_repeated_rows_nulls_and_very_long_texts_pass_through(spark, folder):
+    rng = random.Random(77)
+    words = lambda n: " ".join(f"q{rng.randrange(10**6)}" for _ in range(n))
+    long, passage = words(120_000), words(60)
+    rows = [(1, long), (2, f"{long} more"), (2, f"{long} more"), (3, None), (3, None), (None, words(20)), (None, ""), (4, ""), (5, "same"), (6, "same"), (6, "same"),
+            (7, passage), (8, f"{words(30)} {passage}"), (9, "x" * 300_000), (10, "la " * 150_000)]
+    schema = "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHES)
+    base = spark.createDataFrame([(*r, *CLASHES) for r in rows], schema)
+    want = {
+        "toxicity": sorted([(k, t) for k, t in rows], key=str),
+        # Of equal texts the largest key stays, of equal rows one; a null text is an empty one.
+        "exact_dedup": sorted([rows[0], rows[1], (4, ""), (None, rows[5][1]), (6, "same"), *rows[11:]], key=str),
+        "near_dedup": sorted([r for r in rows if r[0] != 2 and r != (6, "same")], key=str),
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, base, folder)
+        if name == "packing":
+            assert out.agg(F.countDistinct("doc_id")).first()[0] == 10 and out.where("length > 2048").isEmpty()
+            continue
+        got = out.collect()
+        assert out.columns == base.columns and all(tuple(r)[2:] == CLASHES for r in got), name
+        if name in want:
+            assert sorted([(r.doc_id, r.text) for r in got], key=str) == want[name], name
+        else:
+            assert len(got) == len(rows) and {r.text for r in got if r.doc_id == 2} == {"more"}
+            assert all(passage not in r.text for r in got if r.doc_id == 8) and {r.text for r in got if r.doc_id == 3} == {None}
+
+
+def test_a_lazy_result_outlives_the_stages(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    lazy = near_dedup.near_dedup(docs.select("doc_id", "text"))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        stage(spark, docs, folder).collect()
+    assert lazy.count() == docs.count()
+
+
 def test_stages_on_nothing(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         empty = spark.createDataFrame([], COLUMNS)
