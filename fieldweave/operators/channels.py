@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shared
+
 
 def covariance(obs: DataFrame, center: bool = True, complex_: bool = True) -> DataFrame:
     """(i, j, re, im) of E[conj(n_i) n_j] over observations (obs, c, re[, im]).
@@ -103,6 +105,22 @@ def apply_compression(df: DataFrame, matrix: DataFrame, keys: list[str]) -> Data
     return joined.groupBy(*keys, F.col("out").alias("c")).agg(re, im)
 
 
+def inferred_scale(matrix: np.ndarray, cov: np.ndarray | None = None) -> float:
+    """The noise level of virtual channels: the mean of the diagonal of C^H Psi C, 1 without a covariance."""
+    return 1.0 if cov is None else float(np.trace(matrix.conj().T @ cov @ matrix).real / matrix.shape[1])
+
+
+def compress_coils(data: DataFrame, csm: DataFrame, channels: int, keys: list[str], count: int | None = None, energy: float | None = None,
+                   noise: np.ndarray | None = None, scale: float = 1.0) -> tuple[DataFrame, DataFrame, Compression]:
+    """Data (keys, c, re, im) and maps (v, c, re, im) on virtual channels that are fitted to the data, and the fit."""
+    key = F.xxhash64(*keys) if len(keys) > 1 else F.col(keys[0])
+    moments = covariance(data.select(key.alias("obs"), "c", "re", "im"), center=False)
+    white = None if noise is None else whitening(noise, scale)
+    fit = fit_compression(collected(moments, channels), count, energy, white)
+    table = fit.table(data.sparkSession)
+    return apply_compression(data, table, keys), apply_compression(csm, table, ["v"]), fit
+
+
 def root_sum_of_squares(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.sqrt(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).alias("rss"))
 
@@ -116,11 +134,12 @@ def balanced_ranges(df: DataFrame, parts: int, order: str) -> DataFrame:
 
     Ranks come from counts of ranges of ``order``, so no task sorts the whole table.
     """
-    ranged = df.repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id()).persist()
+    # Written once: rows of a lost executor come back in the same ranges.
+    ranged = shared.cut(df.repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id()))
     counts = ranged.groupBy("_range").count()
     base = counts.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1 + F.col("_before")
-    n = df.count()
+    n = ranged.count()
     size, more = n // parts, n % parts
     placed = ranged.join(F.broadcast(base.drop("count")), "_range").withColumn("_at", rank)
     edge = more * (size + 1)

@@ -2,21 +2,38 @@
 
 y[p, c] = n^-1/2 sum_v x[v] csm[v, c] exp(2 pi i (t_p b0_v + sum_l k_lp b_lv))
 
-Samples are (p, t, k array) and voxels (v, b0, b array).  A voxel table under ``BROADCAST_VOXELS``
-rows goes to every task, where the phase is evaluated inside whole-stage code and summed before
-the shuffle.  A larger one is cut into blocks, every sample is sent to each block, and partial sums
-by block meet in the aggregation: neither side is ever held whole.
+Samples are (p, t, k array) and voxels (v, b0, b array).  There are two implementations.
+
+``block`` (the default) packs both sides into blocks of numbers, lets every sample block meet every
+voxel block by an equi-join, and multiplies matrices: a real product for the phases, one complex
+product over all coils.  A task adds up the blocks of one output before it hands on anything, so
+neither side is ever held whole and only partial sums of outputs are shuffled.  With a cache the
+blocks of phase factors are written once and serve all products.
+
+``sql`` evaluates the phase inside whole-stage code: a voxel table of a proven size goes to every
+task, a larger one is cut into parts which every sample meets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import cplx
 
-BROADCAST_VOXELS = 200_000
-BLOCK = 50_000
+#: Bytes of a voxel table that may go to every task of ``sql``.
+BROADCAST_BYTES = 64 << 20
+#: Voxels of a part where ``sql`` cannot broadcast them.
+PART = 50_000
+#: Samples and voxels of a block, at most and at least.
+SAMPLES, VOXELS, LEAST = 1024, 8192, 64
+#: Bytes of cached phase factors, at most, unless the caller allows more.
+CACHE_BYTES = 8 << 30
 
 
 def dot(k: str, b: str, n: int) -> Column:
@@ -26,34 +43,195 @@ def dot(k: str, b: str, n: int) -> Column:
     return total
 
 
-def meet(samples: DataFrame, voxels: DataFrame, count: int) -> DataFrame:
-    """Every sample beside every voxel (``count`` of them)."""
-    if count <= BROADCAST_VOXELS:
+def meet(samples: DataFrame, voxels: DataFrame, count: int, row_bytes: int) -> DataFrame:
+    """Every sample beside every voxel (``count`` of them, of ``row_bytes`` each)."""
+    if count * row_bytes <= BROADCAST_BYTES:
         return samples.crossJoin(F.broadcast(voxels))
-    blocks = -(-count // BLOCK)
-    left = samples.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = voxels.withColumn("_block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
-    return left.join(right, "_block").drop("_block")
+    parts = -(-count // PART)
+    left = samples.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = voxels.withColumn("_part", F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int"))
+    return left.join(right, "_part").drop("_part")
+
+
+# ---------------------------------------------------------------- blocks
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
+    """A column of equally long lists of doubles as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.flatten(), np.float64).reshape(rows, -1)
+
+
+def _packer(id_: str, block: str, matrices: tuple[str, ...]) -> Callable[[pa.Table], pa.Table]:
+    """applyInArrow: the rows of a block -> one row with their ids and matrices as bytes, by id."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(id_)
+        ids = table.column(id_).to_numpy().astype(np.int64)
+        out = {block: table.column(block).slice(0, 1).combine_chunks(), f"{id_}s": pa.array([ids.tobytes()], pa.binary())}
+        for name in matrices:
+            out[name] = pa.array([_matrix(table.column(name), len(ids)).tobytes()], pa.binary())
+        return pa.table(out)
+
+    return run
+
+
+def packed(df: DataFrame, id_: str, matrices: dict[str, Column], blocks: int, block: str) -> DataFrame:
+    """``df`` in ``blocks`` rows: (block, ids, one binary of doubles for each of ``matrices``, arrays of doubles)."""
+    rows = df.select(F.col(id_).cast("long").alias(id_), *[c.cast("array<double>").alias(n) for n, c in matrices.items()])
+    rows = rows.withColumn(block, F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int"))
+    schema = f"{block} int, {id_}s binary, " + ", ".join(f"{n} binary" for n in matrices)
+    return rows.groupBy(block).applyInArrow(_packer(id_, block, tuple(matrices)), schema)
+
+
+def phase_factors(f: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """exp(2 pi i f g^T) of features by samples and by voxels."""
+    phase = f @ g.T
+    phase -= np.rint(phase)
+    phase *= 2 * np.pi
+    out = np.empty(phase.shape, complex)
+    np.cos(phase, out=out.real)
+    np.sin(phase, out=out.imag)
+    return out
+
+
+def _complex(data: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(data, complex).reshape(rows, -1)
+
+
+def _real(data: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(data, np.float64).reshape(rows, -1)
+
+
+def _sums(out: str, ids: str, product: Callable[[dict, int, int], np.ndarray]):
+    """mapInArrow over pairs of blocks sorted by the output's block: (id, c, re, im), summed over each run of one block."""
+
+    def emit(keys: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+        n, m = total.shape
+        flat = total.ravel()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(keys, m)), pa.array(np.tile(np.arange(m, dtype=np.int32), n)), pa.array(flat.real.copy()), pa.array(flat.imag.copy())],
+            names=["id", "c", "re", "im"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        now, keys, total = None, None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+                if row[out] != now:
+                    if now is not None:
+                        yield emit(keys, total)
+                    now, keys, total = row[out], np.frombuffer(row[ids], np.int64), 0
+                total = total + product(row, len(row["ps"]) // 8, len(row["vs"]) // 8)
+        if now is not None:
+            yield emit(keys, total)
+
+    return run
+
+
+def _factors(row: dict, m: int, n: int) -> np.ndarray:
+    if row.get("phase") is not None:
+        return _complex(row["phase"], m)
+    return phase_factors(_real(row["f"], m), _real(row["g"], n))
+
+
+def _derivative(row: dict, m: int, n: int) -> np.ndarray:
+    rate = _real(row["fd"], m) @ _real(row["g"], n)[:, 1:].T
+    return _factors(row, m, n) * (2j * np.pi * rate)
 
 
 class ExplicitOp:
     """The operator of samples (p, t, k) on voxels (v, b0, b), optionally with coil maps (v, c, re, im).
 
     ``k`` and ``b`` hold ``n_terms`` numbers; ``k_dot`` in samples gives the derivative of ``k``.
-    Voxels are the masked ones only; their number fixes the normalisation.
+    Voxels are the masked ones only; their number fixes the normalisation.  ``blocks`` gives the
+    numbers of sample and voxel blocks (default: by their counts and the cores at hand).
+    ``cache=True`` keeps all phase factors (16 bytes for each sample and voxel, at most ``cache_bytes``).
     """
 
-    def __init__(self, samples: DataFrame, voxels: DataFrame, n_terms: int, csm: DataFrame | None = None):
+    def __init__(self, samples: DataFrame, voxels: DataFrame, n_terms: int, csm: DataFrame | None = None, implementation: str = "block",
+                 blocks: tuple[int, int] | None = None, cache: bool = False, cache_bytes: int = CACHE_BYTES):
         if n_terms not in (9, 13, 16, 20):
             raise ValueError(f"{n_terms} terms")
-        self.samples, self.voxels, self.n, self.csm = samples, voxels, n_terms, csm
-        self.count = voxels.count()
-        if not self.count:
-            raise ValueError("no voxels")
+        if implementation not in ("block", "sql"):
+            raise ValueError(f"unknown implementation: {implementation}")
+        if cache and implementation != "block":
+            raise ValueError("only blocks can be cached")
+        self.samples, self.voxels, self.n, self.csm, self.implementation = samples, voxels, n_terms, csm, implementation
+        sizes = voxels.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("v").alias("d"), F.min(F.size("b")).alias("lo"), F.max(F.size("b")).alias("hi")).first()
+        rows = samples.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p").alias("d"), F.min(F.size("k")).alias("lo"), F.max(F.size("k")).alias("hi")).first()
+        self.count, self.sample_count = sizes["n"], rows["n"]
+        if not self.count or not self.sample_count:
+            raise ValueError("no voxels" if not self.count else "no samples")
+        if sizes["d"] != sizes["n"] or rows["d"] != rows["n"]:
+            raise ValueError("voxels and samples must be numbered uniquely")
+        for what, facts in (("voxels", sizes), ("samples", rows)):
+            if facts["lo"] != facts["hi"] or facts["lo"] < n_terms:
+                raise ValueError(f"{what} must have {n_terms} terms")
+        self.coils = 1 if csm is None else csm.agg(F.max("c").alias("c")).first()["c"] + 1
+        self._blocks, self._cached = blocks or self._default_blocks(), None
+        if min(self._blocks) < 1:
+            raise ValueError("there must be a block at least")
+        if cache:
+            need = 16 * self.count * self.sample_count
+            if need > cache_bytes:
+                raise ValueError(f"the phase factors take {need} bytes; {cache_bytes} are allowed")
+            self._cached = shared.cut(self._pairs(self._sample_blocks(), self._voxel_blocks()).mapInArrow(_phases, PHASES))
+
+    def _default_blocks(self) -> tuple[int, int]:
+        cores = self.voxels.sparkSession.sparkContext.defaultParallelism
+        size = lambda n, most: max(min(-(-n // (4 * cores)), most), min(LEAST, n))
+        return -(-self.sample_count // size(self.sample_count, SAMPLES)), -(-self.count // size(self.count, VOXELS))
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        """Rows (samples by coils) and columns (voxels)."""
+        return self.sample_count * self.coils, self.count
+
+    @property
+    def H(self) -> Adjoint:  # noqa: N802
+        return Adjoint(self)
+
+    def close(self) -> None:
+        """Lets go of the cached phase factors; products still work."""
+        self._cached = None
 
     def phase(self) -> Column:
         return F.col("t") * F.col("b0") + dot("k", "b", self.n)
 
+    # ---- blocks
+
+    def _sample_blocks(self, **more: Column) -> DataFrame:
+        f = F.concat(F.array("t"), F.slice("k", 1, self.n))
+        return packed(self.samples if not more else more.pop("of"), "p", {"f": f, **more}, self._blocks[0], "sb")
+
+    def _voxel_blocks(self, **more: Column) -> DataFrame:
+        g = F.concat(F.array("b0"), F.slice("b", 1, self.n))
+        return packed(self.voxels if not more else more.pop("of"), "v", {"g": g, **more}, self._blocks[1], "vb")
+
+    def _pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """Every sample block beside every voxel block."""
+        return left.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(self._blocks[1] - 1)))).join(right, "vb")
+
+    def _product(self, left: DataFrame, right: DataFrame, out: str, ids: str, product) -> DataFrame:
+        pairs = self._pairs(left, right)
+        if self._cached is not None:
+            pairs = pairs.join(self._cached, ["sb", "vb"]).drop("f")
+        # One row is a block: few of them go to Python at once.
+        pairs = pairs.repartition(self._blocks[0] if out == "sb" else self._blocks[1], out).sortWithinPartitions("sb", "vb")
+        rows = pairs.mapInArrow(_sums(out, ids, product), "id long, c int, re double, im double")
+        scale = self.count**-0.5
+        return rows.groupBy("id", "c").agg((F.sum("re") * scale).alias("re"), (F.sum("im") * scale).alias("im"))
+
+    def _coil_arrays(self, df: DataFrame, key: str, re: str, im: str) -> DataFrame:
+        """(key, z): re and im of all coils in turn; missing ones are 0."""
+        sums = [F.sum(F.when(F.col("c") == c, F.col(x)).otherwise(F.lit(0.0))) for c in range(self.coils) for x in (re, im)]
+        return df.groupBy(key).agg(F.array(*sums).alias("z"))
+
+    # ---- products
+
     def _weighted(self, image: DataFrame) -> DataFrame:
         """Voxels with x * csm as (zr, zi) for each coil c."""
         z = self.voxels.join(image.select("v", F.col("re").alias("xr"), F.col("im").alias("xi")), "v")
@@ -65,10 +243,16 @@ class ExplicitOp:
 
     def forward(self, image: DataFrame, derivative: bool = False) -> DataFrame:
         """Signal (p, c, re, im) of an image (v, re, im); ``derivative`` multiplies by 2 pi i k_dot . b."""
+        if self.implementation == "block":
+            voxels = self.voxels.join(self._coil_arrays(self._weighted(image).select("v", "c", "zr", "zi"), "v", "zr", "zi"), "v")
+            right = self._voxel_blocks(of=voxels, z=F.col("z"))
+            left = self._sample_blocks(of=self.samples, fd=F.slice("k_dot", 1, self.n)) if derivative else self._sample_blocks()
+            factors = _derivative if derivative else _factors
+            return self._product(left, right, "sb", "ps", lambda row, m, n: factors(row, m, n) @ _complex(row["z"], n)).withColumnRenamed("id", "p")
         z = self._weighted(image).groupBy("v").agg(
             F.first("b0").alias("b0"), F.first("b").alias("b"), F.sort_array(F.collect_list(F.struct("c", "zr", "zi"))).alias("z")
         )
-        both = meet(self.samples, z, self.count).withColumn("_phase", self.phase())
+        both = meet(self.samples, z, self.count, 64 + 8 * self.n + 48 * self.coils).withColumn("_phase", self.phase())
         er, ei = cplx.cis(F.col("_phase"))
         both = both.withColumns({"_er": er, "_ei": ei})
         if derivative:
@@ -81,33 +265,86 @@ class ExplicitOp:
 
     def adjoint(self, signal: DataFrame, grid: DataFrame | None = None) -> DataFrame:
         """Image (v, re, im) of a signal (p, c, re, im); on ``grid`` (v) voxels outside are 0."""
-        y = signal.groupBy("p").agg(F.sort_array(F.collect_list(F.struct("c", "re", "im"))).alias("y"))
-        s = self.samples.join(y, "p")
-        both = meet(s, self.voxels, self.count).withColumn("_phase", self.phase())
-        er, ei = cplx.cis(F.col("_phase"))
-        both = both.withColumns({"_er": er, "_ei": -ei}).select("v", "_er", "_ei", F.explode("y").alias("y"))
-        re, im = cplx.mul((F.col("y.re"), F.col("y.im")), (F.col("_er"), F.col("_ei")))
-        sums = both.groupBy("v", F.col("y.c").alias("c")).agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+        if self.implementation == "block":
+            signal = self._coil_arrays(signal, "p", "re", "im")
+            left = self._sample_blocks(of=self.samples.join(signal, "p"), z=F.col("z"))
+            sums = self._product(left, self._voxel_blocks(), "vb", "vs", lambda row, m, n: _factors(row, m, n).conj().T @ _complex(row["z"], m))
+            sums, scale = sums.withColumnRenamed("id", "v"), 1.0
+        else:
+            sums, scale = self._adjoint_sums(signal), self.count**-0.5
         if self.csm is not None:
             sums = sums.join(self.csm.select("v", "c", F.col("re").alias("cr"), F.col("im").alias("ci")), ["v", "c"])
             re, im = cplx.mul((F.col("re"), F.col("im")), (F.col("cr"), -F.col("ci")))
             sums = sums.groupBy("v").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
-        scale = self.count**-0.5
         out = sums.select("v", (F.col("re") * scale).alias("re"), (F.col("im") * scale).alias("im"))
         if grid is None:
             return out
         zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
         return grid.select("v").join(out, "v", "left").select("v", zero("re"), zero("im"))
 
+    def _adjoint_sums(self, signal: DataFrame) -> DataFrame:
+        y = signal.groupBy("p").agg(F.sort_array(F.collect_list(F.struct("c", "re", "im"))).alias("y"))
+        both = meet(self.samples.join(y, "p"), self.voxels, self.count, 64 + 8 * self.n).withColumn("_phase", self.phase())
+        er, ei = cplx.cis(F.col("_phase"))
+        both = both.withColumns({"_er": er, "_ei": -ei}).select("v", "_er", "_ei", F.explode("y").alias("y"))
+        re, im = cplx.mul((F.col("y.re"), F.col("y.im")), (F.col("_er"), F.col("_ei")))
+        return both.groupBy("v", F.col("y.c").alias("c")).agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+
     def normal(self, image: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-        """A^H D A x; ``weights`` (p, w) are real and not negative, without them D is 1."""
+        """A^H D A x; ``weights`` (p[, c], w) are real and not negative, without them D is 1."""
         y = self.forward(image)
         if weights is not None:
             if not weights.where("w is null or isnan(w) or w < 0").isEmpty():
                 raise ValueError("weights must be real numbers from 0")
-            y = y.join(weights, "p").select("p", "c", (F.col("re") * F.col("w")).alias("re"), (F.col("im") * F.col("w")).alias("im"))
+            keys = [c for c in ("p", "c") if c in weights.columns]
+            y = y.join(weights.select(*keys, "w"), keys).select("p", "c", (F.col("re") * F.col("w")).alias("re"), (F.col("im") * F.col("w")).alias("im"))
         return self.adjoint(y)
 
+    def mul(self, image: DataFrame, out: DataFrame | None = None, alpha: complex = 1.0, beta: complex = 0.0) -> DataFrame:
+        """alpha A x + beta out."""
+        return axpby(self.forward(image), out, ["p", "c"], alpha, beta)
+
+
+class Adjoint:
+    """The adjoint of an operator as an operator; its own adjoint is the operator."""
+
+    def __init__(self, of: ExplicitOp):
+        self.H = of
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return self.H.shape[::-1]
+
+    def forward(self, signal: DataFrame) -> DataFrame:
+        return self.H.adjoint(signal)
+
+    def adjoint(self, image: DataFrame) -> DataFrame:
+        return self.H.forward(image)
+
+    def mul(self, signal: DataFrame, out: DataFrame | None = None, alpha: complex = 1.0, beta: complex = 0.0) -> DataFrame:
+        return axpby(self.forward(signal), out, ["v"], alpha, beta)
+
+
+def axpby(x: DataFrame, y: DataFrame | None, keys: list[str], alpha: complex, beta: complex) -> DataFrame:
+    """alpha x + beta y of complex tables (keys, re, im); what one lacks is 0 there."""
+    scaled = lambda df, s: df.select(*keys, *[c.alias(n) for c, n in zip(cplx.mul((F.col("re"), F.col("im")), (F.lit(complex(s).real), F.lit(complex(s).imag))), ("re", "im"), strict=True)])
+    both = scaled(x, alpha) if y is None or beta == 0 else scaled(x, alpha).unionByName(scaled(y, beta))
+    return both.groupBy(*keys).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+
+
+PHASES = "sb int, vb int, phase binary"
+
+
+def _phases(batches: Iterator[pa.RecordBatch]):
+    """mapInArrow: pairs of blocks -> their phase factors."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+            phase = phase_factors(_real(row["f"], len(row["ps"]) // 8), _real(row["g"], len(row["vs"]) // 8))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row["sb"]], pa.int32()), pa.array([row["vb"]], pa.int32()), pa.array([phase.tobytes()], pa.binary())], names=["sb", "vb", "phase"]
+            )
+
 
 def delay_step(residual: DataFrame, slope: DataFrame, keys: list[str], factor: float) -> DataFrame:
     """factor * Re(<b, r> / <b, b>) of residual r and derivative signal b, both (keys, re, im)."""

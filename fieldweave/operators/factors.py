@@ -1,9 +1,9 @@
-"""Low-rank factors of the phase matrix H[s, v] = exp(2 pi i f_s . g_v) and products with them.
+"""Low-rank factors of the phase matrix H[s, v] = exp(2 pi i f_s . g_v), approximated by q S^H.
 
-Temporal features f (rows of readouts, small) live on the driver; spatial features g are a table
-(v, g array).  Every spatial factor is a table (v, s array of 2 R doubles, re and im in turn) that
-is built partition by partition in numpy; only matrices of rank by rank or samples by rank are
-summed to the driver.  H is approximated by q S^H.
+Temporal features f (samples by dims) and q (samples by rank) live on the driver; spatial features g
+are a table (v, g array).  Every spatial factor is a table (v, s array of 2 R doubles, re and im in
+turn) that is built partition by partition in numpy blocks of CHUNK samples by CHUNK voxels; only
+matrices of samples by rank or rank by rank are summed to the driver, in blocks of rows.
 """
 
 from __future__ import annotations
@@ -12,17 +12,34 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-CHUNK = 4096
+from .. import shared
+from .encode import phase_factors
+
+CHUNK = 2048
 #: Pairs of rows and voxels that choose a rank, and that confirm it.
 SELECTION_PAIRS, ACCEPTANCE_PAIRS = 100_000, 400_000
 
 
 def phase_block(f: np.ndarray, g: np.ndarray) -> np.ndarray:
-    return np.exp(2j * np.pi * (f @ g.T))
+    return phase_factors(np.asarray(f, float), np.asarray(g, float))
+
+
+def times(f: np.ndarray, g: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """H x for the voxels of g, never holding more than CHUNK rows of H."""
+    return np.concatenate([phase_block(f[a : a + CHUNK], g) @ x for a in range(0, len(f), CHUNK)]) if len(f) else np.zeros((0, x.shape[1]), complex)
+
+
+def times_h(f: np.ndarray, g: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """H^H y for the voxels of g."""
+    out = np.zeros((len(g), y.shape[1]), complex)
+    for a in range(0, len(f), CHUNK):
+        out += phase_block(f[a : a + CHUNK], g).conj().T @ y[a : a + CHUNK]
+    return out
 
 
 def pack(z: np.ndarray) -> list[np.ndarray]:
@@ -33,6 +50,10 @@ def unpack(column: pd.Series) -> np.ndarray:
     return np.ascontiguousarray(np.stack(column.to_numpy())).view(np.complex128)
 
 
+def spatial(pdf: pd.DataFrame) -> np.ndarray:
+    return np.stack(pdf["g"].to_numpy())
+
+
 def _gaussian(seed: int, v: np.ndarray, rank: int) -> np.ndarray:
     """Sketch values that depend on seed and voxel alone, so partitioning does not matter."""
     x = (v.astype(np.uint64)[:, None] * np.uint64(rank) + np.arange(rank, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
@@ -47,8 +68,18 @@ def _gaussian(seed: int, v: np.ndarray, rank: int) -> np.ndarray:
     return np.sqrt(-2 * np.log(np.maximum(a, 1e-300))) * np.cos(2 * np.pi * b)
 
 
+def _added(batches):
+    """mapInArrow: (at, x) -> the sums of equal ``at``, as bytes of complex numbers."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            z = np.frombuffer(x, complex)
+            total[at] = total[at] + z if at in total else z
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([z.tobytes() for z in total.values()], pa.binary())], names=["at", "x"])
+
+
 def summed(df: DataFrame, f: Callable[[pd.DataFrame], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
-    """Sum over all rows of a small complex matrix that f makes of each batch; partial sums by partition."""
+    """Sum over all rows of a complex matrix that f makes of each batch; partial sums by partition and block of rows."""
     n, m = shape
 
     def run(batches):
@@ -56,12 +87,16 @@ def summed(df: DataFrame, f: Callable[[pd.DataFrame], np.ndarray], shape: tuple[
         for pdf in batches:
             for at in range(0, len(pdf), CHUNK):
                 total += f(pdf.iloc[at : at + CHUNK])
-        yield pd.DataFrame({"i": np.repeat(np.arange(n), m), "j": np.tile(np.arange(m), n), "re": total.real.ravel(), "im": total.imag.ravel()})
+        starts = list(range(0, n, CHUNK))
+        yield pd.DataFrame({"at": starts, "x": [total[a : a + CHUNK].tobytes() for a in starts]})
 
-    rows = df.mapInPandas(run, "i int, j int, re double, im double").groupBy("i", "j").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    parts = df.mapInPandas(run, "at long, x binary")
+    # One number of a block takes 16 bytes; a task adds up whole blocks as they stream past.
+    rows = parts.repartition(int(max(-(-n // CHUNK), 1)), "at").mapInArrow(_added, "at long, x binary").collect()
     out = np.zeros(shape, complex)
-    got = rows.toPandas()
-    out[got["i"], got["j"]] = got["re"] + 1j * got["im"]
+    for r in rows:
+        block = np.frombuffer(r["x"], complex).reshape(-1, m) if m else np.zeros((0, 0), complex)
+        out[r["at"] : r["at"] + len(block)] = block
     return out
 
 
@@ -78,38 +113,130 @@ def mapped(df: DataFrame, f: Callable[[pd.DataFrame], np.ndarray], name: str = "
     return df.mapInPandas(run, f"{fields}, {name} array<double>")
 
 
-def rsvd(voxels: DataFrame, f: np.ndarray, rank: int, oversample: int = 5, seed: int = 1234, finalize: str = "gram") -> tuple[np.ndarray, DataFrame]:
+def gram(df: DataFrame, a: str, b: str, n: int, m: int, weight: str | None = None) -> np.ndarray:
+    """A^H diag(weight) B of two packed columns."""
+    w = (lambda pdf: pdf[weight].to_numpy()[:, None]) if weight else (lambda pdf: 1.0)
+    return summed(df, lambda pdf: unpack(pdf[a]).conj().T @ (w(pdf) * unpack(pdf[b])), (n, m))
+
+
+def triangle(df: DataFrame, name: str, n: int) -> np.ndarray:
+    """The triangular factor of a packed column by stacked QR: partitions first, then sixteen tasks, then the driver.
+
+    Its singular values keep their full precision, which those of the Gram matrix lose by squaring.
+    """
+
+    def own(batches):
+        now = np.zeros((0, n), complex)
+        for pdf in batches:
+            for at in range(0, len(pdf), CHUNK):
+                now = np.linalg.qr(np.concatenate([now, unpack(pdf[name].iloc[at : at + CHUNK])]), "r")
+        yield pd.DataFrame({"x": [now.tobytes()]})
+
+    def both(batches):
+        now = np.zeros((0, n), complex)
+        for pdf in batches:
+            for x in pdf["x"]:
+                now = np.linalg.qr(np.concatenate([now, np.frombuffer(x, complex).reshape(-1, n)]), "r")
+        yield pd.DataFrame({"x": [now.tobytes()]})
+
+    rows = df.mapInPandas(own, "x binary").repartition(16).mapInPandas(both, "x binary").collect()
+    return np.linalg.qr(np.concatenate([np.frombuffer(r["x"], complex).reshape(-1, n) for r in rows]), "r")
+
+
+# ---------------------------------------------------------------- factors of one readout and of each
+
+
+def _right(gram_: np.ndarray, rank: int) -> tuple[np.ndarray | None, np.ndarray]:
+    """The leading eigenvectors and the eigenvalues of a Gram matrix; no vectors where an eigenvalue is clearly negative."""
+    values, z = np.linalg.eigh((gram_ + gram_.conj().T) / 2)
+    values, z = values[::-1], z[:, ::-1]
+    if not np.isfinite(values).all() or values[-1] < -1e-10 * max(values[0], 0):
+        return None, values
+    return z[:, :rank], np.maximum(values, 0)
+
+
+def rsvd(voxels: DataFrame, f: np.ndarray, rank: int, oversample: int = 5, seed: int = 1234, finalize: str = "gram",
+         cut: Callable[[DataFrame], DataFrame] = shared.cut) -> tuple[np.ndarray, DataFrame]:
     """Randomised factors of one readout: q (samples by rank, orthonormal) and a table (v, s).
 
-    Two passes over the voxels: the sketch H Omega, then H^H Q and its Gram matrix.
+    Two passes over the voxels: the sketch H Omega, then B = H^H Q, which is kept.  ``finalize``
+    rotates B by the eigenvectors of its Gram matrix (``gram``) or by the right singular vectors of
+    its triangular factor (``svd``), which also stands in where the Gram matrix fails.
     """
     width = rank + oversample
-    if finalize not in ("gram", "svd") or width > len(f):
+    if finalize not in ("gram", "svd") or rank < 1 or oversample < 0 or width > len(f):
         raise ValueError("rank and oversampling exceed the samples, or no such finalisation")
-    g = lambda pdf: np.stack(pdf["g"].to_numpy())
-    sketch = summed(voxels, lambda pdf: phase_block(f, g(pdf)) @ _gaussian(seed, pdf["v"].to_numpy(), width), (len(f), width))
+    sketch = summed(voxels, lambda pdf: times(f, spatial(pdf), _gaussian(seed, pdf["v"].to_numpy(), width)), (len(f), width))
     q = np.linalg.qr(sketch)[0]
-    project = lambda pdf: phase_block(f, g(pdf)).conj().T @ q
-    gram = summed(voxels, lambda pdf: (b := project(pdf)).conj().T @ b, (width, width))
-    values, z = np.linalg.eigh((gram + gram.conj().T) / 2)
-    z = z[:, ::-1][:, :rank]
-    if finalize == "svd":
-        # The right vectors from a QR of stacked triangles would differ by rounding only.
-        z = np.linalg.svd(np.linalg.cholesky(gram + np.eye(width) * 1e-14 * values[-1]).conj().T)[2].conj().T[:, :rank]
-    return q @ z, mapped(voxels, lambda pdf: project(pdf) @ z)
+    b = cut(mapped(voxels, lambda pdf: times_h(f, spatial(pdf), q), "b"))
+    z = _right(gram(b, "b", "b", width, width), rank)[0] if finalize == "gram" else None
+    if z is None:
+        z = np.linalg.svd(triangle(b, "b", width))[2].conj().T[:, :rank]
+    return q @ z, mapped(b, lambda pdf: unpack(pdf["b"]) @ z)
 
 
-def gram(df: DataFrame, a: str, b: str, n: int, m: int, weight: str | None = None) -> np.ndarray:
-    """A^H diag(weight) B of two packed columns."""
-    w = (lambda pdf: pdf[weight].to_numpy()[:, None]) if weight else (lambda pdf: 1.0)
-    return summed(df, lambda pdf: unpack(pdf[a]).conj().T @ (w(pdf) * unpack(pdf[b])), (n, m))
+def per_readout(voxels: DataFrame, readouts: list[np.ndarray], rank: int, oversample: int = 5, seed: int = 1234, keep_bytes: int = 0,
+                cut: Callable[[DataFrame], DataFrame] = shared.cut) -> tuple[np.ndarray, DataFrame]:
+    """Factors of every readout of its own: q (all samples by rank) and a table (d, v, s).
+
+    Two passes over the voxels for all readouts together.  The table is made anew from small matrices
+    whenever it is read; as many evenly spaced readouts as ``keep_bytes`` hold are written once
+    instead.  A readout of fewer samples than ``rank`` has zero columns.
+    """
+    edges = [0, *np.cumsum([len(f) for f in readouts]).tolist()]
+    widths = [min(rank + oversample, len(f)) for f in readouts]
+    width = max(widths)
+
+    def sketch(pdf):
+        out, g, v = np.zeros((edges[-1], width), complex), spatial(pdf), pdf["v"].to_numpy()
+        for d, f in enumerate(readouts):
+            out[edges[d] : edges[d + 1], : widths[d]] = times(f, g, _gaussian(seed + d, v, widths[d]))
+        return out
+
+    total = summed(voxels, sketch, (edges[-1], width))
+    q = [np.linalg.qr(total[edges[d] : edges[d + 1], : widths[d]])[0] for d in range(len(readouts))]
+
+    def grams(pdf):
+        out, g = np.zeros((len(readouts) * width, width), complex), spatial(pdf)
+        for d, f in enumerate(readouts):
+            b = times_h(f, g, q[d])
+            out[d * width : d * width + widths[d], : widths[d]] = b.conj().T @ b
+        return out
+
+    total = summed(voxels, grams, (len(readouts) * width, width))
+    turns = []
+    for d, w in enumerate(widths):
+        values, z = np.linalg.eigh(total[d * width : d * width + w, :w])
+        turns.append(np.pad(z[:, ::-1][:, :rank], ((0, 0), (0, max(rank - w, 0)))))
+    u = np.concatenate([a @ z for a, z in zip(q, turns, strict=True)])
+    count = voxels.count()
+    held = min(int(keep_bytes // (16 * rank * count)) if count else 0, len(readouts))
+    stored = set(np.linspace(0, len(readouts) - 1, held).round().astype(int).tolist()) if held else set()
+
+    def table(which: list[int]) -> DataFrame:
+        def run(batches):
+            for pdf in batches:
+                for at in range(0, len(pdf), CHUNK):
+                    part = pdf.iloc[at : at + CHUNK]
+                    g = spatial(part)
+                    for d in which:
+                        yield pd.DataFrame({"d": np.full(len(part), d), "v": part["v"].to_numpy(), "s": pack(times_h(readouts[d], g, q[d]) @ turns[d])})
+
+        return voxels.mapInPandas(run, "d int, v long, s array<double>")
+
+    rest = table([d for d in range(len(readouts)) if d not in stored])
+    return u, rest.unionByName(cut(table(sorted(stored)))) if stored else rest
+
+
+# ---------------------------------------------------------------- one basis for all readouts
 
 
 def merge_basis(basis: DataFrame | None, coeff: list[np.ndarray], new: DataFrame, rank_new: int, tol: float, most: int) -> tuple[DataFrame, list[np.ndarray]]:
     """Adds to an orthonormal basis (v, s) the fewest directions that leave at most tol^2 of new's energy.
 
-    ``coeff`` holds V_d = S C_d of earlier readouts; they get zero rows.  More than ``most``
-    directions raise an error: the tolerance is never relaxed.
+    ``coeff`` holds V_d = S C_d of earlier readouts; they get zero rows.  Where the basis holds
+    enough already it stays as it is.  More than ``most`` directions raise an error: the tolerance
+    is never relaxed.
     """
     rank = coeff[0].shape[0] if coeff else 0
     both = new.withColumnRenamed("s", "x")
@@ -122,7 +249,11 @@ def merge_basis(basis: DataFrame | None, coeff: list[np.ndarray], new: DataFrame
         again = summed(both, lambda pdf: unpack(pdf["s"]).conj().T @ left(pdf, c), (rank, rank_new))
         c = c + again
         residual = mapped(both, lambda pdf: left(pdf, c), "y", ("v", "s", "x"))
-    energy = gram(both, "x", "x", rank_new, rank_new).trace().real
+    sizes = lambda pdf: np.array([[(np.abs(unpack(pdf[n])) ** 2).sum() for n in ("x", "y")] + [len(pdf)]], complex)
+    energy, rest, count = summed(residual, sizes, (1, 3)).real[0]
+    # The energies themselves are only so exact.
+    if basis is not None and rest <= tol**2 * energy - 64 * np.finfo(float).eps * count * rank_new:
+        return basis, [*coeff, c]
     g = gram(residual, "y", "y", rank_new, rank_new)
     values, w = np.linalg.eigh((g + g.conj().T) / 2)
     values, w = np.maximum(values[::-1], 0), w[:, ::-1]
@@ -139,78 +270,72 @@ def merge_basis(basis: DataFrame | None, coeff: list[np.ndarray], new: DataFrame
     return grown, [*extended, fresh]
 
 
-def shared_factors(voxels: DataFrame, readouts: list[np.ndarray], rank: int, tol: float = 1e-2, most: int = 128, oversample: int = 5,
-                   seed: int = 1234, cut: Callable[[DataFrame], DataFrame] = DataFrame.checkpoint) -> tuple[np.ndarray, DataFrame]:
-    """Incremental shared factors of all readouts: q (all samples by R) and one basis (v, s)."""
+def shared_factors(voxels: DataFrame, readouts: list[np.ndarray], rank: int, tol: float = 1e-2, most: int = 128, oversample: int = 5, seed: int = 1234,
+                   which: list[int] | None = None, cut: Callable[[DataFrame], DataFrame] = shared.cut) -> tuple[list[np.ndarray], list[np.ndarray], DataFrame]:
+    """Incremental shared basis of the readouts ``which`` (all): their U_d and C_d, so that H_d = U_d C_d^H S^H, and S (v, s)."""
     basis, coeff, us = None, [], []
-    for f in readouts:
-        u, spatial = rsvd(voxels, f, rank, oversample, seed)
+    for d in range(len(readouts)) if which is None else which:
+        u, spatial_ = rsvd(voxels, readouts[d], rank, oversample, seed + d, cut=cut)
         us.append(u)
-        basis, coeff = merge_basis(basis, coeff, spatial, rank, tol, most)
-        basis = cut(basis)
-    return np.concatenate([u @ c.conj().T for u, c in zip(us, coeff, strict=True)]), basis
+        before = basis
+        basis, coeff = merge_basis(basis, coeff, spatial_, rank, tol, most)
+        if basis is not before:
+            basis = cut(basis)
+    return us, coeff, basis
+
+
+def assemble(us: list[np.ndarray], coeff: list[np.ndarray]) -> np.ndarray:
+    """q of all readouts: U_d C_d^H, one below the other."""
+    return np.concatenate([u @ c.conj().T for u, c in zip(us, coeff, strict=True)])
+
+
+def readout_factor(basis: DataFrame, c: np.ndarray) -> DataFrame:
+    """The spatial factor S C_d (v, s) of one readout of a shared basis."""
+    return mapped(basis, lambda pdf: unpack(pdf["s"]) @ c)
+
+
+def normalized_weights(w: np.ndarray, count: int) -> np.ndarray:
+    """Metric weights with a mean of 1: real, finite, not negative, not all 0."""
+    w = np.asarray(w)
+    if np.iscomplexobj(w) or w.shape != (count,) or not np.isfinite(w).all() or (w < 0).any() or w.sum() <= 0:
+        raise ValueError(f"weights must be {count} finite numbers from 0, some of them positive")
+    return w * (count / w.sum())
 
 
 def recompress(q: np.ndarray, basis: DataFrame, tol: float | None = None, rank: int | None = None, time_weight: np.ndarray | None = None,
                weight: str | None = None) -> tuple[np.ndarray, DataFrame, float]:
     """Fewest directions of q S^H within tol (or ``rank`` of them), in metrics of time and voxel weights.
 
-    Returns new q, new basis, and the relative error, the root of the share of energy left out.
+    ``weight`` names a column of ``basis``.  Returns new q, new basis, and the relative error, the
+    root of the share of energy left out.
     """
     r = q.shape[1]
-    d = np.ones(len(q)) if time_weight is None else time_weight
+    if (tol is None) == (rank is None) or (tol is not None and tol < 0) or (rank is not None and not 1 <= rank <= r):
+        raise ValueError("give either a tolerance from 0 or a rank that the factors have")
+    d = np.ones(len(q)) if time_weight is None else normalized_weights(time_weight, len(q))
+    scale = 1.0
+    if weight is not None:
+        facts = basis.agg(F.sum(weight).alias("s"), F.count(F.lit(1)).alias("n"), F.min(weight).alias("lo"), F.max(F.isnan(weight).cast("int")).alias("nan")).first()
+        if facts["lo"] is None or facts["lo"] < 0 or facts["nan"] or not 0 < facts["s"] < float("inf"):
+            raise ValueError("weights must be finite numbers from 0, some of them positive")
+        scale = facts["n"] / facts["s"]
     g_q = q.conj().T @ (d[:, None] * q)
-    g_b = gram(basis, "s", "s", r, r, weight)
+    g_b = gram(basis, "s", "s", r, r, weight) * scale
     values, vectors = np.linalg.eigh((g_b + g_b.conj().T) / 2)
-    root = vectors * np.sqrt(np.maximum(values, 0)) @ vectors.conj().T
-    inverse = vectors / np.sqrt(np.maximum(values, values.max() * 1e-15)) @ vectors.conj().T
+    if values[0] <= values[-1] * 1e-12:
+        raise ValueError("the spatial factor is rank deficient in this metric")
+    root = vectors * np.sqrt(values) @ vectors.conj().T
+    inverse = vectors / np.sqrt(values) @ vectors.conj().T
     lam, z = np.linalg.eigh(root @ g_q @ root)
     lam, z = np.maximum(lam[::-1], 0), z[:, ::-1]
     tail = np.concatenate([np.cumsum(lam[::-1])[::-1], [0]])
     kept = rank if rank is not None else max(int(np.argmax(tail <= tol**2 * lam.sum())), 1)
     a, b = root @ z[:, :kept], inverse @ z[:, :kept]
-    return q @ a, mapped(basis, lambda pdf: unpack(pdf["s"]) @ b), float(np.sqrt(tail[kept] / lam.sum()))
-
-
-def k_centers(f: np.ndarray, metric: np.ndarray, count: int) -> np.ndarray:
-    """Greedy farthest points of feature rows under a metric (rows times its square root)."""
-    x = (f - f.mean(axis=0)) @ np.linalg.cholesky(metric + 1e-12 * np.trace(metric) * np.eye(len(metric)))
-    chosen = [int(np.argmax((x**2).sum(axis=1)))]
-    far = ((x - x[chosen[0]]) ** 2).sum(axis=1)
-    while len(chosen) < min(count, len(f)):
-        chosen.append(int(np.argmax(far)))
-        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
-    return np.array(chosen)
-
-
-def pivot_rows(s: np.ndarray, count: int) -> np.ndarray:
-    """Rows of s that a column-pivoted Gram-Schmidt of s^H picks first."""
-    left, chosen = s.copy(), []
-    for _ in range(min(count, s.shape[1])):
-        i = int(np.argmax((np.abs(left) ** 2).sum(axis=1)))
-        chosen.append(i)
-        u = left[i].conj() / max(np.linalg.norm(left[i]), 1e-300)
-        left = left - np.outer(left @ u, u.conj())
-    return np.array(chosen)
-
-
-def snapshot_basis(voxels: DataFrame, f: np.ndarray, snapshots: np.ndarray, rank: int) -> DataFrame:
-    """Orthonormal basis (v, s) of the rows of conj(H) at ``snapshots``, by the Gram matrix of the snapshots."""
-    own = f[snapshots]
-    k = len(own)
-    g = lambda pdf: np.stack(pdf["g"].to_numpy())
-    total = summed(voxels, lambda pdf: (b := phase_block(own, g(pdf)).conj().T).conj().T @ b, (k, k))
-    values, w = np.linalg.eigh((total + total.conj().T) / 2)
-    values, w = values[::-1], w[:, ::-1]
-    rank = min(rank, int((values > values[0] * 1e-13).sum()))
-    turn = w[:, :rank] / np.sqrt(values[:rank])
-    return mapped(voxels, lambda pdf: phase_block(own, g(pdf)).conj().T @ turn)
+    error = float(np.sqrt(tail[kept] / lam.sum())) if lam.sum() > 0 else 0.0
+    return q @ a, mapped(basis, lambda pdf: unpack(pdf["s"]) @ b), error
 
 
-def fit_coefficients(f: np.ndarray, points: pd.DataFrame) -> np.ndarray:
-    """q by least squares on the voxels of ``points`` (g, s): H[:, J] = q S[J]^H for every row of f."""
-    s, g = unpack(points["s"]), np.stack(points["g"].to_numpy())
-    return np.linalg.lstsq(s.conj(), phase_block(f, g).T, rcond=None)[0].T
+# ---------------------------------------------------------------- sampled voxels and rows
 
 
 def numbered(voxels: DataFrame, buckets: int = 1024) -> tuple[DataFrame, int]:
@@ -223,6 +348,18 @@ def numbered(voxels: DataFrame, buckets: int = 1024) -> tuple[DataFrame, int]:
     return own.withColumn("place", place).join(bases, "b").select("v", (F.col("first") + F.col("place")).alias("j")), int(counts["count"].sum())
 
 
+def drawn(rng: np.random.Generator, count: int, most: int) -> np.ndarray:
+    """Up to ``most`` different numbers below ``count``, in random order."""
+    return rng.choice(count, min(most, count), replace=False, shuffle=True)
+
+
+def rows_at(table: DataFrame, places: DataFrame, js: np.ndarray) -> pd.DataFrame:
+    """The rows of ``table`` (v, ...) of the voxels numbered ``js`` (a bounded sample), in that order."""
+    wanted = places.sparkSession.createDataFrame(pd.DataFrame({"j": np.asarray(js, np.int64)}), "j long")
+    got = table.join(places.join(F.broadcast(wanted), "j"), "v").toPandas().set_index("j")
+    return got.loc[np.asarray(js, np.int64)]
+
+
 def paired_errors(f: np.ndarray, q: np.ndarray, voxels: DataFrame, basis: DataFrame, seed: int, pairs: int) -> np.ndarray:
     """(rank, mean loss, standard error) for every prefix of the ranks on uniform (row, voxel) pairs.
 
@@ -230,13 +367,13 @@ def paired_errors(f: np.ndarray, q: np.ndarray, voxels: DataFrame, basis: DataFr
     """
     rng = np.random.default_rng(seed)
     places, count = numbered(voxels)
-    drawn = pd.DataFrame({"i": rng.integers(len(f), size=pairs), "j": rng.integers(count, size=pairs)})
-    drawn = voxels.sparkSession.createDataFrame(drawn, "i long, j long").groupBy("j").agg(F.collect_list("i").alias("i"))
-    both = drawn.join(places, "j").join(voxels, "v").join(basis, "v").select("i", "g", "s")
+    drawn_ = pd.DataFrame({"i": rng.integers(len(f), size=pairs), "j": rng.integers(count, size=pairs)})
+    drawn_ = voxels.sparkSession.createDataFrame(drawn_, "i long, j long").groupBy("j").agg(F.collect_list("i").alias("i"))
+    both = drawn_.join(places, "j").join(voxels, "v").join(basis, "v").select("i", "g", "s")
 
     def sums(pdf):
         i, at = np.concatenate(pdf["i"].to_numpy()), np.repeat(np.arange(len(pdf)), pdf["i"].map(len))
-        s, g, out = unpack(pdf["s"]), np.stack(pdf["g"].to_numpy()), np.zeros((2, q.shape[1]))
+        s, g, out = unpack(pdf["s"]), spatial(pdf), np.zeros((2, q.shape[1]))
         for a in range(0, len(i), CHUNK):
             r, v = i[a : a + CHUNK], at[a : a + CHUNK]
             exact = np.exp(2j * np.pi * (f[r] * g[v]).sum(axis=1))
@@ -250,69 +387,364 @@ def paired_errors(f: np.ndarray, q: np.ndarray, voxels: DataFrame, basis: DataFr
     return np.stack([np.arange(1, q.shape[1] + 1), mean, np.sqrt(spread / pairs)], axis=1)
 
 
-def adaptive_factors(voxels: DataFrame, f: np.ndarray, eps: float, snapshots: int = 8, most: int = 128, pool: int = 2048, seed: int = 1234):
-    """Snapshots doubled until a prefix of the ranks passes sqrt(mean + 4 se) < eps on two sets of pairs.
+def relative_error(voxels: DataFrame, basis: DataFrame, f: np.ndarray, q: np.ndarray) -> float:
+    """|H - q S^H| / |H| over all entries."""
+    both = basis.join(voxels, "v")
+
+    def loss(pdf):
+        g, s, bad = spatial(pdf), unpack(pdf["s"]), 0.0
+        for a in range(0, len(f), CHUNK):
+            bad += (np.abs(phase_block(f[a : a + CHUNK], g) - q[a : a + CHUNK] @ s.conj().T) ** 2).sum()
+        return np.array([[bad], [len(f) * len(pdf)]])
+
+    bad, all_ = summed(both, loss, (2, 1)).real.ravel()
+    return float(np.sqrt(bad / all_))
+
+
+def select_readouts(places: DataFrame, count: int, voxels: DataFrame, readouts: list[np.ndarray], wanted: int, probes: int = 1024, samples: int = 7, seed: int = 1234) -> list[int]:
+    """Representative readouts: farthest points of phase features at a few sample times, whitened by probe voxels; in order."""
+    if not 1 <= wanted <= len(readouts):
+        raise ValueError(f"cannot choose {wanted} of {len(readouts)} readouts")
+    g = spatial(rows_at(voxels, places, drawn(np.random.default_rng(seed), count, probes)))
+    metric = (g - g.mean(axis=0)).T @ (g - g.mean(axis=0)) / len(g)
+    values, vectors = np.linalg.eigh(metric)
+    root = vectors * np.sqrt(np.maximum(values, 0)) @ vectors.T
+    at = lambda f: np.round(np.linspace(0, len(f) - 1, samples)).astype(int)
+    x = np.stack([(f[at(f)] @ root).ravel() for f in readouts])
+    return sorted(farthest(x, ((x - x.mean(axis=0)) ** 2).sum(axis=1), wanted)[0])
+
+
+def farthest(x: np.ndarray, start: np.ndarray, count: int) -> tuple[list[int], np.ndarray]:
+    """Greedy farthest points, the first where ``start`` is largest, and how many rows are nearest to each."""
+    near, owner, chosen = np.full(len(x), np.inf), np.zeros(len(x), int), []
+    now = int(np.argmax(start))
+    for k in range(min(count, len(x))):
+        chosen.append(now)
+        far = ((x - x[now]) ** 2).sum(axis=1)
+        closer = far < near
+        near[closer], owner[closer] = far[closer], k
+        near[now], owner[now] = -np.inf, k
+        if near.max() <= 0:
+            break
+        now = int(np.argmax(near))
+    return chosen, np.bincount(owner, minlength=len(chosen))
+
+
+def k_centers(f: np.ndarray, metric: np.ndarray, count: int) -> np.ndarray:
+    """Greedy farthest points of feature rows under a metric (rows times its square root)."""
+    x = (f - f.mean(axis=0)) @ np.linalg.cholesky(metric + 1e-12 * np.trace(metric) * np.eye(len(metric)))
+    return np.array(farthest(x, (x**2).sum(axis=1), count)[0])
+
+
+def pivot_rows(s: np.ndarray, count: int) -> np.ndarray:
+    """Rows of s that a column-pivoted Gram-Schmidt of s^H picks first."""
+    left, chosen = s.copy(), []
+    for _ in range(min(count, *s.shape)):
+        i = int(np.argmax((np.abs(left) ** 2).sum(axis=1)))
+        chosen.append(i)
+        u = left[i].conj() / max(np.linalg.norm(left[i]), 1e-300)
+        left = left - np.outer(left @ u, u.conj())
+        left[i] = 0
+    return np.array(chosen)
+
+
+def fit_points(pool: pd.DataFrame, count: int, seed: int) -> pd.DataFrame:
+    """``count`` rows of a pool (g, s): those a pivoted factorisation picks first, the rest at random."""
+    anchors = pivot_rows(unpack(pool["s"]), min(count, len(pool["s"].iloc[0]) // 2))
+    rest = np.setdiff1d(np.random.default_rng(seed).permutation(len(pool)), anchors, assume_unique=True)
+    rest = np.random.default_rng(seed).permutation(rest)[: max(count - len(anchors), 0)]
+    return pool.iloc[np.concatenate([anchors, rest]).astype(int)]
+
+
+def fit_coefficients(f: np.ndarray, points: pd.DataFrame, rank: int | None = None) -> np.ndarray:
+    """q by least squares on the voxels of ``points`` (g, s): H[:, J] = q S[J]^H for every row of f, with the first ``rank`` columns."""
+    s, g = unpack(points["s"])[:, :rank], spatial(points)
+    inverse = np.linalg.pinv(s.conj()).T
+    return np.concatenate([phase_block(f[a : a + CHUNK], g) @ inverse for a in range(0, len(f), CHUNK)])
+
 
-    Returns (q, basis, report); q and basis are None when the budget of snapshots runs out.  Only
-    the voxels for fitting come from a pool, which is bounded by ``pool``; the pairs of the audit
-    come from all voxels.
+def refit(f: np.ndarray, voxels: DataFrame, basis: DataFrame, places: DataFrame, count: int, samples: int = 512, seed: int = 1234) -> tuple[np.ndarray, dict]:
+    """q of all rows by a fit on ``samples`` random voxels; refuses voxels on which the basis is rank deficient."""
+    js = drawn(np.random.default_rng(seed), count, samples)
+    points = rows_at(basis.join(voxels, "v"), places, js)
+    s = unpack(points["s"])
+    if len(s) < s.shape[1]:
+        raise ValueError(f"{len(s)} voxels cannot fit {s.shape[1]} directions")
+    values = np.linalg.svd(s, compute_uv=False)
+    if values[-1] <= values[0] * max(s.shape) * np.finfo(float).eps:
+        raise ValueError("the basis is rank deficient on the sampled voxels")
+    return fit_coefficients(f, points), {"fit_voxels": js, "condition": float(values[0] / values[-1])}
+
+
+def phase_check(f: np.ndarray, q: np.ndarray, voxels: DataFrame, basis: DataFrame, places: DataFrame, count: int, exclude: np.ndarray = (),
+                rows: int = 2048, most: int = 127, seed: int = 9876) -> dict:
+    """The relative error on sampled rows and voxels, the voxels none of ``exclude`` where there are others."""
+    rng = np.random.default_rng(seed)
+    i = np.sort(drawn(rng, len(f), rows))
+    js = drawn(rng, count, most + len(exclude))
+    held_out = np.setdiff1d(js, exclude, assume_unique=True)
+    js = rng.permutation(held_out if len(held_out) else js)[:most]
+    points = rows_at(basis.join(voxels, "v"), places, js)
+    exact = phase_block(f[i], spatial(points))
+    error = np.linalg.norm(exact - q[i] @ unpack(points["s"]).conj().T) / np.linalg.norm(exact)
+    return {"error": float(error), "rows": len(i), "voxels": len(js), "held_out": bool(len(held_out))}
+
+
+def sampled_shared(voxels: DataFrame, readouts: list[np.ndarray], rank: int, readout_count: int | None = None, samples: int = 512, tol: float = 1e-2,
+                   most: int = 128, oversample: int = 5, seed: int = 1234) -> tuple[np.ndarray, DataFrame, dict]:
+    """A shared basis built from representative readouts, fitted to all rows on sampled voxels and checked on others."""
+    places, count = numbered(voxels)
+    places = shared.cut(places)
+    chosen = list(range(len(readouts))) if readout_count is None else select_readouts(places, count, voxels, readouts, readout_count, seed=seed)
+    _, _, basis = shared_factors(voxels, readouts, rank, tol, most, oversample, seed, chosen)
+    f = np.concatenate(readouts)
+    q, report = refit(f, voxels, basis, places, count, samples, seed)
+    report["phase_check"] = phase_check(f, q, voxels, basis, places, count, report["fit_voxels"])
+    return q, basis, report | {"readouts": chosen, "rank": q.shape[1]}
+
+
+# ---------------------------------------------------------------- direct bases from snapshots
+
+
+def snapshot_selection(voxels: DataFrame, readouts: list[np.ndarray], count: int, seed: int, every: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that stand for all (numbered over all readouts), how many each stands for, and the readouts held out.
+
+    Candidates are every ``every``-th sample and the last one; a tenth of the readouts is held out
+    where there are four.  The distance is that of phases over all voxels, without their mean.
     """
+    dims = readouts[0].shape[1]
+    sums = lambda pdf: np.concatenate([(x := spatial(pdf)).T @ x, x.sum(axis=0)[None], np.full((1, dims), len(x))]) + 0j
+    total = summed(voxels, sums, (dims + 2, dims)).real
+    mean = total[dims] / total[-1, 0]
+    values, vectors = np.linalg.eigh(total[:dims] / total[-1, 0] - np.outer(mean, mean))
+    turn = vectors * np.sqrt(np.maximum(values, 0))
+    rng, n = np.random.default_rng(seed), len(readouts)
+    held = np.sort(rng.permutation(n)[: max(1, n // 10)]) if n >= 4 else np.zeros(0, int)
+    edges = np.concatenate([[0], np.cumsum([len(f) for f in readouts])])
+    rows = [edges[d] + np.unique(np.append(np.arange(0, len(readouts[d]), every), len(readouts[d]) - 1)) for d in range(n) if d not in held and len(readouts[d])]
+    rows = np.concatenate(rows)
+    x = np.concatenate(readouts)[rows] @ turn
+    chosen, weights = farthest(x, (x**2).sum(axis=1), count)
+    return rows[chosen], weights, held
+
+
+def snapshot_basis(voxels: DataFrame, f: np.ndarray, snapshots: np.ndarray, rank: int, weights: np.ndarray | None = None) -> DataFrame:
+    return snapshot_space(voxels, f, snapshots, rank, weights)[0]
+
+
+def snapshot_space(voxels: DataFrame, f: np.ndarray, snapshots: np.ndarray, rank: int, weights: np.ndarray | None = None) -> tuple[DataFrame, dict]:
+    """Orthonormal basis (v, s) of the weighted rows of conj(H) at ``snapshots``, by their Gram matrix, and what is known of it.
+
+    Directions that rounding cannot tell from nothing are left out; the basis is made orthonormal
+    once more by a Cholesky factor.
+    """
+    own = f[snapshots]
+    root = np.sqrt(np.ones(len(own)) if weights is None else np.asarray(weights, float))
+    k = len(own)
+    rows = lambda pdf: phase_block(own, spatial(pdf)).conj().T * root
+    total = summed(voxels, lambda pdf: (b := rows(pdf)).conj().T @ b, (k, k))
+    values, w = np.linalg.eigh((total + total.conj().T) / 2)
+    values, w = values[::-1], w[:, ::-1]
+    resolved = int((values > values[0] * k * np.finfo(float).eps).sum())
+    kept = min(rank, resolved)
+    tail = float(np.sqrt(np.maximum(values[kept:], 0).sum() / np.maximum(values, 0).sum()))
+    turn = w[:, :kept] / np.sqrt(values[:kept])
+    again = summed(voxels, lambda pdf: (b := rows(pdf) @ turn).conj().T @ b, (kept, kept))
+    turn = turn @ np.linalg.inv(np.linalg.cholesky((again + again.conj().T) / 2).conj().T)
+    return mapped(voxels, lambda pdf: rows(pdf) @ turn), {"resolved": resolved, "tail": tail, "rank": kept}
+
+
+def orthogonality(basis: DataFrame, rank: int) -> float:
+    """|S^H S - 1|."""
+    return float(np.linalg.norm(gram(basis, "s", "s", rank, rank) - np.eye(rank)))
+
+
+def sample_rows(lengths: list[int], seed: int, validation: int = 193, audit: int = 257, every: int = 16) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
+    """For each readout rows to validate and rows to audit, disjoint and none of the snapshot candidates where there are others.
+
+    The last value tells whether all of them are so.
+    """
+    rng, starts = np.random.default_rng(seed), np.concatenate([[0], np.cumsum(lengths)])
+    out, disjoint = ([], []), True
+    for start, n in zip(starts, lengths, strict=False):
+        free = np.setdiff1d(np.arange(n), np.append(np.arange(0, n, every), n - 1))
+        own = len(free) >= 2
+        disjoint &= own
+        free = rng.permutation(free if own else np.arange(n))
+        first = min(validation, max(1, len(free) // 2))
+        out[0].append(start + np.sort(free[:first]))
+        out[1].append(start + np.sort(free[first : first + audit] if own else free[:1]))
+    return *out, disjoint
+
+
+def sample_errors(f: np.ndarray, rows: list[np.ndarray], points: pd.DataFrame, q: Callable[[np.ndarray], np.ndarray], rank: int) -> np.ndarray:
+    """The relative error of each readout's ``rows`` on the voxels of ``points`` (g, s); q gives the rows' coefficients."""
+    g, s = spatial(points), unpack(points["s"])[:, :rank]
+    out = []
+    for own in rows:
+        exact = phase_block(f[own], g)
+        out.append(np.linalg.norm(exact - q(own) @ s.conj().T) / np.linalg.norm(exact))
+    return np.array(out)
+
+
+def joint_basis(voxels: DataFrame, readouts: list[np.ndarray], tol: float = 1e-2, snapshots: int = 256, samples: int = 512, most: int = 128, roi_tol: float | None = None,
+                seed: int = 1234, pool: int = 8192, random: int = 1024, roi: int = 128) -> tuple[np.ndarray | None, DataFrame | None, dict]:
+    """One basis for all readouts whose sampled errors are below 0.9 tol in every one, and below tol in an audit.
+
+    Snapshots give the basis, a fit on voxels of a pool the coefficients; ranks 1, 8, 16, ... are
+    tried, then twice the voxels.  Validation and audit take other voxels at random and, of all
+    voxels outside the pool, those of greatest |b0| (the first spatial feature).  q and basis are
+    None where the report's ``passed`` is False.
+    """
+    f, lengths = np.concatenate(readouts), [len(x) for x in readouts]
+    places, count = numbered(voxels)
+    places = shared.cut(places)
+    if count < 4 or tol <= 0:
+        raise ValueError("a joint basis needs four voxels and a positive tolerance")
     rng = np.random.default_rng(seed)
-    dims = f.shape[1]
-    total = summed(voxels, lambda pdf: (x := np.stack(pdf["g"].to_numpy())).T @ x + 0j, (dims, dims)).real
-    report = []
-    while snapshots <= most:
-        chosen = k_centers(f, total, snapshots)
-        basis = snapshot_basis(voxels, f, chosen, snapshots)
-        fit_on = basis.join(voxels, "v").orderBy(F.xxhash64("v"), "v").limit(pool).select("g", "s").toPandas()
-        anchors = pivot_rows(unpack(fit_on["s"]), snapshots)
-        rest = rng.permutation(len(fit_on))[: 4 * snapshots]
-        q = fit_coefficients(f, fit_on.iloc[np.unique(np.concatenate([anchors, rest]))])
-        sets = [paired_errors(f, q, voxels, basis, seed + 2 * len(report) + n, pairs) for n, pairs in ((1, SELECTION_PAIRS), (2, ACCEPTANCE_PAIRS))]
-        bound = np.maximum(*[np.sqrt(x[:, 1] + 4 * x[:, 2]) for x in sets])
-        report.append({"snapshots": snapshots, "bound": float(bound[-1])})
-        passed = np.flatnonzero(bound < eps)
-        if len(passed):
-            r = int(passed[0]) + 1
-            report[-1]["rank"] = r
-            return q[:, :r], mapped(basis, lambda pdf: unpack(pdf["s"])[:, :r]), report
-        snapshots *= 2
+    size = min(pool, count // 2)
+    many = drawn(rng, count, size + 2 * min(random, max(1, (count - size) // 2)))
+    own, rest = many[:size], many[size:]
+    n = max(len(rest) // 2, 1)
+    sets = [rest[:n], rest[n:] if len(rest) > n else rest[:n]]
+    top = voxels.join(places, "v").orderBy(F.desc(F.abs(F.col("g")[0])), "j").limit(size + 2 * n + roi).select("j").toPandas()["j"].to_numpy()
+    by_field = [top[~np.isin(top, np.concatenate([own, s]))][:roi] for s in sets]
+    check = sample_rows(lengths, seed + 2)
+    chosen, weights, held = snapshot_selection(voxels, readouts, snapshots, seed + 3)
+    basis, facts = snapshot_space(voxels, f, chosen, min(most, size, 2 * min(samples, size)), weights)
+    basis = shared.cut(basis)
+    both = basis.join(voxels, "v")
+    fit_on = rows_at(both, places, own)
+    points = [[rows_at(both, places, x) for x in pair] for pair in zip(sets, by_field, strict=True)]
+    report = {"snapshots": len(chosen), "held_out": held.tolist(), "disjoint_times": check[2], "tol": tol, **facts, "passed": False}
+    for number in sorted({min(samples, size), min(2 * samples, size)}):
+        fitted = fit_points(fit_on, number, seed + 4)
+        limit = min(facts["rank"], number)
+        for r in sorted({1, limit, *range(8, limit + 1, 8)}):
+            q = lambda rows, r=r: fit_coefficients(f[rows], fitted, r)  # noqa: E731, B023
+            errors = [sample_errors(f, check[0], p, q, r).max() if len(p) else 0.0 for p in points[0]]
+            report |= {"rank": r, "samples": number, "validation": float(errors[0]), "validation_roi": float(errors[1])}
+            if errors[0] <= 0.9 * tol and (roi_tol is None or errors[1] <= 0.9 * roi_tol):
+                q_all = fit_coefficients(f, fitted, r)
+                audit = [sample_errors(f, check[1], p, lambda rows: q_all[rows], r).max() if len(p) else 0.0 for p in points[1]]  # noqa: B023
+                report |= {"audit": float(audit[0]), "audit_roi": float(audit[1])}
+                report["passed"] = bool(audit[0] <= tol and (roi_tol is None or audit[1] <= roi_tol))
+                return (q_all, mapped(basis, lambda pdf: unpack(pdf["s"])[:, :r]), report) if report["passed"] else (None, None, report)  # noqa: B023
     return None, None, report
 
 
-def relative_error(voxels: DataFrame, basis: DataFrame, f: np.ndarray, q: np.ndarray) -> float:
-    """|H - q S^H| / |H| over all entries."""
+def coefficient_spectrum(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values and right singular vectors of q by QR of stacked triangles of blocks of rows."""
+    now = np.zeros((0, q.shape[1]), complex)
+    for a in range(0, len(q), CHUNK):
+        now = np.linalg.qr(np.concatenate([now, q[a : a + CHUNK]]), "r")
+    _, values, right = np.linalg.svd(now, full_matrices=False)
+    return values, right.conj().T
+
+
+def fixed_basis(voxels: DataFrame, readouts: list[np.ndarray], rank: int, parent: int | None = None, ordering: str = "snapshot", snapshots: int = 256,
+                samples: int = 512, pool: int = 8192, seed: int = 1234) -> tuple[np.ndarray, DataFrame, dict]:
+    """A basis of a given rank without any check: the first directions of the snapshots, or of the coefficients' spectrum."""
+    parent = rank if parent is None else parent
+    if ordering not in ("snapshot", "coefficients") or not 1 <= rank <= parent:
+        raise ValueError("no such ordering, or a rank that the parent basis does not have")
+    f = np.concatenate(readouts)
+    places, count = numbered(voxels)
+    places = shared.cut(places)
+    chosen, weights, _ = snapshot_selection(voxels, readouts, snapshots, seed + 3)
+    basis, facts = snapshot_space(voxels, f, chosen, parent, weights)
+    basis = shared.cut(basis)
+    if facts["rank"] < rank:
+        raise ValueError(f"the snapshots resolve {facts['rank']} directions; {rank} are wanted")
+    fitted = fit_points(rows_at(basis.join(voxels, "v"), places, drawn(np.random.default_rng(seed), count, pool)), min(samples, count), seed + 4)
+    if ordering == "snapshot":
+        return fit_coefficients(f, fitted, rank), mapped(basis, lambda pdf: unpack(pdf["s"])[:, :rank]), facts
+    q = fit_coefficients(f, fitted)
+    values, turn = coefficient_spectrum(q)
+    turn = turn[:, :rank]
+    return q @ turn, mapped(basis, lambda pdf: unpack(pdf["s"]) @ turn), facts | {"spectrum": values}
+
+
+def projection_diagnostic(voxels: DataFrame, basis: DataFrame, f: np.ndarray, q: np.ndarray, rows: int = 24, seed: int = 1234) -> dict:
+    """How much of the error of sampled rows over all voxels the space causes, and how much the fit.
+
+    The space's is that of the best coefficients, the fit's that of q against those.
+    """
+    i, r = np.sort(drawn(np.random.default_rng(seed), len(f), rows)), q.shape[1]
     both = basis.join(voxels, "v")
-    g = lambda pdf: np.stack(pdf["g"].to_numpy())
-    loss = lambda pdf: np.array([[(np.abs(phase_block(f, g(pdf)) - q @ unpack(pdf["s"]).conj().T) ** 2).sum()], [len(f) * len(pdf)]])
-    bad, all_ = summed(both, loss, (2, 1)).real.ravel()
-    return float(np.sqrt(bad / all_))
 
+    def products(pdf):
+        s = unpack(pdf["s"])
+        return np.concatenate([s.conj().T @ s, phase_block(f[i], spatial(pdf)) @ s])
 
-class LowRankOp:
-    """Forward and adjoint products with q, a basis and exact Fourier factors on the voxels' positions.
+    total = summed(both, products, (r + len(i), r))
+    best = np.linalg.solve(total[:r].conj(), total[r:].T).T
 
-    ``voxels`` (v, r array of d coordinates) joined with the basis; ``nodes`` is samples by d in cycles
-    per unit.  Each product is one pass over the voxels in numpy blocks; images are tables.
-    """
+    def losses(pdf):
+        s, exact = unpack(pdf["s"]).conj().T, phase_block(f[i], spatial(pdf))
+        return np.array([[(np.abs(x) ** 2).sum() for x in (exact - best @ s, (q[i] - best) @ s, exact - q[i] @ s)] + [exact.size]], complex)
+
+    space, fit, whole, size = summed(both, losses, (1, 4)).real[0]
+    return {"space": float(np.sqrt(space / size)), "fit": float(np.sqrt(fit / size)), "whole": float(np.sqrt(whole / size)), "defect": float((whole - space - fit) / size)}
 
-    def __init__(self, voxels: DataFrame, basis: DataFrame, q: np.ndarray, nodes: np.ndarray):
-        self.table, self.q, self.nodes, self.count = voxels.join(basis, "v"), q, nodes, voxels.count()
 
-    def _full(self) -> Callable[[pd.DataFrame], np.ndarray]:
-        nodes, q = self.nodes, self.q
-        return lambda pdf: phase_block(nodes, np.stack(pdf["r"].to_numpy())) * (q @ unpack(pdf["s"]).conj().T)
+def expansion(diagnostic: dict | None, eps: float, resolved: int, width: int, cap: int) -> str:
+    """What to enlarge after a failure: the fit, the parent basis or the snapshots."""
+    if diagnostic is None or diagnostic["space"] <= 0.9 * eps or diagnostic["fit"] > diagnostic["space"]:
+        return "fit"
+    return "parent" if resolved > width == cap else "snapshots"
 
-    def forward(self, image: DataFrame) -> np.ndarray:
-        full, joined = self._full(), self.table.join(image.select("v", "re", "im"), "v")
-        value = lambda pdf: (pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy())[:, None]
-        return summed(joined, lambda pdf: full(pdf) @ value(pdf), (len(self.q), 1))[:, 0] * self.count**-0.5
 
-    def adjoint(self, y: np.ndarray) -> DataFrame:
-        full, scale = self._full(), self.count**-0.5
-        out = mapped(self.table, lambda pdf: full(pdf).conj().T @ y[:, None] * scale)
-        return out.select("v", F.col("s")[0].alias("re"), F.col("s")[1].alias("im"))
+def adaptive_factors(voxels: DataFrame, f: np.ndarray | list[np.ndarray], eps: float, snapshots: int = 128, samples: int = 512, parent: int = 32, most: int = 128,
+                     most_snapshots: int = 512, most_samples: int = 2048, pool: int = 8192, attempts: int = 8, step: int = 16, condition: float = 1e4,
+                     seed: int = 1234) -> tuple[np.ndarray | None, DataFrame | None, list[dict]]:
+    """Factors with a global relative error below ``eps``, as far as paired entries of all of H tell.
 
-    def normal(self, image: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
-        y = self.forward(image)
-        return self.adjoint(y if weights is None else y * weights)
+    Snapshots give a parent basis, a fit on voxels of a bounded pool the coefficients, their
+    spectrum the order.  The first rank with sqrt(mean + 4 standard errors) < eps on two independent
+    sets of pairs is taken.  After a failure the voxels of the fit, the parent or the snapshots grow,
+    whichever the diagnostic blames.  Returns (q, basis, trials); q and basis are None when a budget
+    runs out.
+    """
+    readouts = f if isinstance(f, list) else [f]
+    f, trials = np.concatenate(readouts), []
+    if not 0 < eps < 1:
+        raise ValueError("eps must lie between 0 and 1")
+    places, count = numbered(voxels)
+    places = shared.cut(places)
+    samples, parent = min(samples, count), min(parent, most, count, len(f), samples)
+    js, basis = drawn(np.random.default_rng(seed), count, pool), None
+    for attempt in range(attempts):
+        if basis is None:
+            chosen, weights, _ = snapshot_selection(voxels, readouts, snapshots, seed + 3)
+            basis, facts = snapshot_space(voxels, f, chosen, parent, weights)
+            basis = shared.cut(basis)
+            fit_on = rows_at(basis.join(voxels, "v"), places, js)
+        trial = {"snapshots": len(chosen), "samples": samples, "parent": parent, "width": facts["rank"], "bound": float("inf"), "rank": None}
+        trials.append(trial)
+        fitted = fit_points(fit_on, samples, seed + 4)
+        values = np.linalg.svd(unpack(fitted["s"]), compute_uv=False)
+        diagnostic = None
+        if len(fitted) >= facts["rank"] and values[-1] * condition >= values[0]:
+            q = fit_coefficients(f, fitted)
+            _, turn = coefficient_spectrum(q)
+            q, turned = q @ turn, mapped(basis, lambda pdf: unpack(pdf["s"]) @ turn)  # noqa: B023
+            sets = [paired_errors(f, q, voxels, turned, seed + 1000 * n + attempt, pairs) for n, pairs in ((1, SELECTION_PAIRS), (2, ACCEPTANCE_PAIRS))]
+            bound = np.maximum(*[np.sqrt(x[:, 1] + 4 * x[:, 2]) for x in sets])
+            trial["bound"] = float(bound[-1])
+            passed = np.flatnonzero(bound < eps)
+            if len(passed):
+                r = trial["rank"] = int(passed[0]) + 1
+                return q[:, :r], mapped(turned, lambda pdf: unpack(pdf["s"])[:, :r]), trials
+            diagnostic = projection_diagnostic(voxels, turned, f, q, seed=seed + 3000)
+        cause = expansion(diagnostic, eps, facts["resolved"], facts["rank"], parent)
+        trial["cause"] = cause
+        if cause == "fit" and samples < min(most_samples, len(fit_on)):
+            samples = min(2 * samples, most_samples, len(fit_on))
+        elif cause == "parent" and parent < min(most, facts["resolved"], samples):
+            parent, basis = min(parent + step, most, facts["resolved"], samples), None
+        elif cause == "snapshots" and snapshots < most_snapshots:
+            snapshots, basis = min(2 * snapshots, most_snapshots), None
+        else:
+            break
+    return None, None, trials

@@ -172,6 +172,36 @@ def merge_geometries(geos: list[Geometry]) -> Geometry:
                     tuple(map(float, middle)), first.r_rps_pcs)
 
 
+def extract_geometries(profiles: DataFrame, vendor: str, fov: tuple[float, float, float], matrix: tuple[int, int, int], position: str = "HFS", decimals: int = 4) -> list[Geometry]:
+    """The geometries of acquired profiles (idx, t array, read array, phase array, slice array) by first occurrence.
+
+    Positions and directions come in millimetres and unit vectors; profiles equal after rounding are
+    one geometry, which keeps the values of its first profile.
+    """
+    flat = [(n, i) for n in ("t", "read", "phase", "slice") for i in range(3)]
+    rows = profiles.select("idx", *[F.get(n, F.lit(i)).cast("double").alias(f"{n}{i}") for n, i in flat])
+    found = unique_geometries(rows, [f"{n}{i}" for n, i in flat], "idx", decimals).orderBy("slice").collect()
+    vector = lambda r, n: [r[f"{n}{i}"] for i in range(3)]
+    turn = lambda r: _rows(np.array([vector(r, n) for n in ("read", "phase", "slice")]).T)
+    return [Geometry(vendor, fov, matrix, position, tuple(x * 1e-3 for x in vector(r, "t")), turn(r)) for r in found]
+
+
+def merged_slabs_geometry(geos: list[Geometry], slices: int) -> Geometry:
+    """The geometry of slabs merged to ``slices``: from the outer face of the first slab to that of the last one."""
+    first, last = geos[0], geos[-1]
+    normal = np.array(first.r_rps_pcs)[:, 2]
+    ends = np.array(first.t_pcs) - normal * first.fov[2] / 2, np.array(last.t_pcs) + normal * last.fov[2] / 2
+    fov = (*first.fov[:2], slices * first.fov[2] / first.matrix[2])
+    return Geometry(first.vendor, fov, (*first.matrix[:2], slices), first.position, tuple(map(float, (ends[0] + ends[1]) / 2)), first.r_rps_pcs)
+
+
+def decimated(grid: DataFrame, step: tuple[int, int, int]) -> DataFrame:
+    """Every step-th point (ix, iy, iz) of a grid, for display."""
+    if min(step) < 1:
+        raise ValueError("steps start from 1")
+    return grid.where(" AND ".join(f"{c} % {s} = 0" for c, s in zip(("ix", "iy", "iz"), step, strict=True)))
+
+
 def affine(geo: Geometry) -> np.ndarray:
     """3 x 4 voxel to world matrix in mm, patient axes turned from LPS to RAS."""
     step = np.array(geo.fov) / np.array(geo.matrix)

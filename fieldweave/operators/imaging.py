@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import cplx
+
 
 def minmax(df: DataFrame, image: list[str], value: str = "x") -> DataFrame:
     """Adds ``scaled`` from 0 to 1 within each image; NaN where an image is constant."""
@@ -56,6 +58,45 @@ def metrics(pairs: DataFrame) -> DataFrame:
     )
 
 
+def scale_to(pairs: DataFrame) -> DataFrame:
+    """The aligned pixels: (re, im) times the scale <x, ref> / <x, x>, ref unchanged."""
+    s = pairs.agg(
+        F.sum(F.col("re") * F.col("ref_re") + F.col("im") * F.col("ref_im")).alias("xr"), F.sum(F.col("re") * F.col("ref_im") - F.col("im") * F.col("ref_re")).alias("xi"),
+        F.sum(F.col("re") ** 2 + F.col("im") ** 2).alias("xx"),
+    )
+    s = s.select(F.when(F.col("xx") == 0, 1.0).otherwise(F.try_divide("xr", "xx")).alias("_sr"), F.when(F.col("xx") == 0, 0.0).otherwise(F.try_divide("xi", "xx")).alias("_si"))
+    both = pairs.join(F.broadcast(s))  # one row
+    re, im = cplx.mul((F.col("re"), F.col("im")), (F.col("_sr"), F.col("_si")))
+    return both.withColumns({"_re": re, "_im": im}).drop("re", "im", "_sr", "_si").withColumnsRenamed({"_re": "re", "_im": "im"})
+
+
+def aligned_magnitude_nrmse(pairs: DataFrame) -> DataFrame:
+    """The relative error of magnitudes after alignment."""
+    return metrics(scale_to(pairs)).select(F.col("magnitude_nrmse").alias("aligned_magnitude_nrmse"))
+
+
+def against(reference: DataFrame, image: DataFrame, keys: list[str]) -> DataFrame:
+    """Pixels (keys, re, im) of a reference and an image as pairs, the reference named first."""
+    return image.join(reference.select(*keys, F.col("re").alias("ref_re"), F.col("im").alias("ref_im")), keys)
+
+
+def reference_metrics(reference: DataFrame, image: DataFrame, keys: list[str]) -> DataFrame:
+    """(scale_re, scale_im, mse, rmse, nrmse) of an image against a reference, real parts for the first errors."""
+    return metrics(against(reference, image, keys)).select("scale_re", "scale_im", "mse", F.sqrt("mse").alias("rmse"), "nrmse")
+
+
+def cast_precision(df: DataFrame, kind: str, names: list[str] | None = None) -> DataFrame:
+    """Floating columns (all, or ``names``) and arrays of them as ``float`` or ``double``."""
+    if kind not in ("float", "double"):
+        raise ValueError(f"unknown precision: {kind}")
+    out = {}
+    for f in df.schema.fields:
+        plain = f.dataType.simpleString()
+        if (names is None or f.name in names) and plain in ("float", "double", "array<float>", "array<double>"):
+            out[f.name] = F.col(f.name).cast(f"array<{kind}>" if plain.startswith("array") else kind)
+    return df.withColumns(out)
+
+
 def center_start(size: int, want: int) -> int:
     """First index (from 0) of ``want`` places in the middle of ``size``."""
     return size // 2 - want // 2
@@ -162,10 +203,12 @@ def ssim(x: np.ndarray, ref: np.ndarray, sigma: float = 1.5, width: int = 11) ->
     g /= g.sum()
 
     def blur(a):
+        h = width // 2
         for axis in (0, 1):
             pad = [(0, 0), (0, 0)]
-            pad[axis] = (width // 2, width // 2)
-            a = np.apply_along_axis(lambda v: np.convolve(v, g, "valid"), axis, np.pad(a, pad, "symmetric"))
+            pad[axis] = (h, h)
+            wide = np.pad(a, pad, "symmetric")
+            a = sum(w * np.take(wide, range(i, i + a.shape[axis]), axis) for i, w in enumerate(g))
         return a
 
     mx, mr = blur(x), blur(ref)

@@ -87,6 +87,30 @@ def interpolate_akima(series: DataFrame, times: DataFrame, keys: list[str], dt:
     return got.withColumn(value, F.coalesce(out, F.lit(0.0))).drop("_a", "_b", "_ma", "_mb", "_f", "_u", "j")
 
 
+def resampled(series: DataFrame, keys: list[str], dt: float, delay: Column | float, value: str = "value", method: str = "akima") -> DataFrame:
+    """``series`` (keys, j, value) at its own times less ``delay``."""
+    at = series.select(*keys, F.col("j").alias("i"), (F.col("j") * dt + (F.lit(delay) if isinstance(delay, float | int) else delay)).alias("t"))
+    run = {"akima": interpolate_akima, "linear": interpolate_linear}[method]
+    return run(series, at, keys, dt, value).select(*keys, F.col("i").alias("j"), value)
+
+
+def with_time(series: DataFrame, dt: float) -> DataFrame:
+    """Adds ``ms``: the time of each sample, from 1, in milliseconds, as axes show it."""
+    return series.withColumn("ms", (F.col("j") + 1) * dt * 1e3)
+
+
+def gradient_units(df: DataFrame, names: list[str], gamma: float = 42.58e6) -> DataFrame:
+    """Gradients from Hz/m to mT/m."""
+    return df.withColumns({n: F.col(n) / gamma * 1e3 for n in names})
+
+
+def display_limits(df: DataFrame, names: list[str], margin: float = 0.1) -> DataFrame:
+    """(low, high): limits of all ``names`` together, wider by a share of the largest magnitude on each side."""
+    low, high = (f(*[g(n) for n in names]) if len(names) > 1 else g(names[0]) for f, g in ((F.least, F.min), (F.greatest, F.max)))
+    extra = F.greatest(F.abs(low), F.abs(high)) * margin
+    return df.agg((low - extra).alias("low"), (high + extra).alias("high"))
+
+
 def smooth_length(n: int) -> int:
     """The least length of at least n whose prime factors are 2, 3 and 5."""
     while True:
@@ -150,6 +174,24 @@ def expand_response(response, size: int, drop_bin: bool = True):
     return np.fft.fftshift(np.fft.fft(out, axis=0), axes=0)
 
 
+class ResponseModel:
+    """A response [frequency, 3, outputs] with its frequencies, applied to waveforms and split into its parts."""
+
+    def __init__(self, response, freqs=None):
+        import numpy as np
+
+        self.response = np.asarray(response)
+        if self.response.ndim != 3 or self.response.shape[1] != 3:
+            raise ValueError("a response has frequencies, three inputs and outputs")
+        self.freqs = np.arange(len(self.response)) if freqs is None else np.asarray(freqs)
+        if len(self.freqs) != len(self.response):
+            raise ValueError("there must be one frequency for each bin")
+
+    def apply(self, waves: DataFrame, key: str = "wave", bandwidth: float = 1.0) -> DataFrame:
+        """(key, o, j, value, part)."""
+        return split_outputs(apply_response(waves, self.response, key, bandwidth), self.response.shape[2])
+
+
 def split_outputs(predicted: DataFrame, n_out: int) -> DataFrame:
     """Adds ``part`` to channel rows: k0 (first), linear (next three), higher; under four all are linear."""
     o = F.col("o")

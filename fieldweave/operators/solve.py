@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import nufft
 from . import encode, series
 from .encode import ExplicitOp
 
@@ -47,43 +48,42 @@ def reconstruct(op: ExplicitOp, data: DataFrame, weights: DataFrame | None = Non
     return _table(spark, v, x)
 
 
-def density_weights(nodes: np.ndarray, shape: tuple[int, ...], iterations: int = 10, normalize: bool = False) -> np.ndarray:
+def density_weights(nodes: np.ndarray, shape: tuple[int, ...], iterations: int = 10, normalize: bool = False, kernel: str = "gridding") -> np.ndarray:
     """Root weights of sampling nodes (samples by d) by the Pipe-Menon iteration w <- w / |A A^H w|.
 
-    Nodes are scaled to [-1/2, 1/2); A is the exact transform of a grid of ``shape``.
+    Nodes are scaled to [-1/2, 1/2); A is the transform of a grid of ``shape``, so an iteration takes
+    one transform to the grid and one back, and memory for the samples and the grid alone.
     """
     k = nodes / (2 * np.abs(nodes).max()) if np.abs(nodes).max() > 0 else nodes
-    # A A^H is a product of one kernel for each axis.
-    kernel = np.ones((len(k), len(k)), complex)
-    for d, n in enumerate(shape):
-        x = np.arange(n) - n // 2
-        e = np.exp(2j * np.pi * np.outer(k[:, d], x))
-        kernel *= e @ e.conj().T
+    transform = nufft.KERNELS[kernel](k, shape)
     w = np.ones(len(k))
     for _ in range(iterations):
-        w = w / np.maximum(np.abs(kernel @ w), 1e-300)
+        w = w / np.maximum(np.abs(transform.forward(transform.adjoint(w.astype(complex)))), 1e-300)
     root = np.sqrt(w)
     return root / np.sqrt((root**2).mean()) if normalize else root
 
 
 def find_delay(voxels: DataFrame, data: DataFrame, field: DataFrame, times: DataFrame, dt: float, n_terms: int, jump: float = 3.0, least: float = 5e-3,
-               iterations: int = 10, most_rounds: int = 50, unit: float = 1e-6) -> float:
-    """Offset of the field clock, in ``unit`` seconds, from data (p, c, re, im) at times (shot, p, t).
-
-    ``field`` (shot, j, term, value) holds equispaced coefficients.  Each round interpolates field and
-    derivative at the present offset, reconstructs, and moves by ``jump`` times the least-squares
-    step; the jump halves when the step changes sign.  Raises after ``most_rounds``.
+               iterations: int = 10, most_rounds: int = 50, unit: float = 1e-6, csm: DataFrame | None = None, weights: DataFrame | None = None) -> float:
+    """Offset of the field clock, in ``unit`` seconds, from data (p, c, re, im) at times (shot, p, t[, start]).
+
+    ``field`` (shot, j, term, value) holds equispaced coefficients of each shot; ``start`` is the
+    offset of a shot's own clock that is known already.  Each round interpolates field and
+    derivative at the present offset, reconstructs from all shots, and moves by ``jump`` times the
+    least-squares step of all their residuals; the jump halves when the step changes sign.  Raises
+    after ``most_rounds``.
     """
     slopes = series.fir_derivative(field, ["shot", "term"], dt).select("shot", "term", "j", F.col("slope").alias("value"))
     terms = field.select("shot", "term").distinct()
+    start = F.col("start") if "start" in times.columns else F.lit(0.0)
     tau, step, moved = 0.0, float("inf"), None
     for _ in range(most_rounds):
-        at = times.join(terms, "shot").withColumns({"t0": F.col("t"), "t": F.col("t") + tau * unit})
+        at = times.join(terms, "shot").withColumns({"t0": F.col("t"), "t": F.col("t") + start + tau * unit})
         value = lambda s: series.interpolate_linear(s, at, ["shot", "term"], dt)
         stacked = lambda df, name: df.groupBy("p", "t0").agg(F.transform(F.sort_array(F.collect_list(F.struct("term", "value"))), lambda x: x["value"]).alias(name))
         samples = stacked(value(field), "k").join(stacked(value(slopes), "k_dot").drop("t0"), "p").withColumnRenamed("t0", "t").persist()
-        op = ExplicitOp(samples, voxels, n_terms)
-        image = reconstruct(op, data, iterations=iterations)
+        op = ExplicitOp(samples, voxels, n_terms, csm)
+        image = reconstruct(op, data, weights, iterations=iterations)
         model = op.forward(image).select("p", "c", F.col("re").alias("mr"), F.col("im").alias("mi"))
         residual = data.join(model, ["p", "c"]).select("p", "c", (F.col("re") - F.col("mr")).alias("re"), (F.col("im") - F.col("mi")).alias("im"))
         step = encode.delay_step(residual, op.forward(image, derivative=True), ["p", "c"], jump / unit).first()["delta"]

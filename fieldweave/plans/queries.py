@@ -13,11 +13,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import shared
 from ..functions import cplx, harmonics
 from ..functions.cplx import snapped
 from ..operators import channels as ch
-from ..operators import encode, factors, geometry, imaging, series, solve
+from ..operators import encode, factors, geometry, imaging, lowrank, series, solve
 from ..sources import roles
 
 QUERIES: dict = {}
@@ -104,15 +103,36 @@ def unique_geometries(spark, sf_dir):
     return geometry.unique_geometries(rows, ["at"], "s_suppkey", decimals=0)
 
 
-@query(f"""SELECT n_regionkey AS region, count(*) AS slices, {r('(max(n_nationkey) - min(n_nationkey)) * 0.005e0 + 0.004e0')} AS thickness,
- {r('(max(n_nationkey) + min(n_nationkey)) * 0.0025e0')} AS centre FROM nation GROUP BY 1""")
+@query(f"""WITH s AS (SELECT n_regionkey AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation)
+SELECT region, count(*) AS slices, {r('(count(*) - 1) * 0.005e0 + 0.004e0')} AS thickness, {r('region * 0.1e0 + (count(*) - 1) * 0.0025e0')} AS cx, {r('0.25e0')} AS cy,
+ {r('-0.125e0')} AS cz FROM s GROUP BY region""")
 def geometry_merge(spark, sf_dir):
-    """Slices of each slab to one volume, by aggregation: span of centres plus a slice, and their middle."""
-    at = F.col("n_nationkey") * 0.005
-    out = roles.read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(
-        F.count(F.lit(1)).alias("slices"), (F.max(at) - F.min(at) + 0.004).alias("thickness"), ((F.max(at) + F.min(at)) / 2).alias("centre")
-    )
-    return rounded(out, ["thickness", "centre"])
+    """The nations of a region as its slices, in any order, merged to one volume each."""
+    slices: dict[int, list] = {}
+    for row in roles.read(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey").orderBy("n_nationkey").collect():
+        slices.setdefault(row["n_regionkey"], []).append(row["n_nationkey"])
+    out = []
+    for region, keys in slices.items():
+        at = lambda i: (region * 0.1 + i * 0.005, 0.25, -0.125)  # noqa: E731, B023
+        geos = [geometry.Geometry("siemens", (0.2, 0.2, 0.004), (64, 64, 1), "HFS", at(i), GEO.r_rps_pcs) for i in range(len(keys))]
+        merged = geometry.merge_geometries(geos[1:] + geos[:1])
+        out.append((region, merged.matrix[2], merged.fov[2], *merged.t_pcs))
+    df = spark.createDataFrame(out, "region int, slices long, thickness double, cx double, cy double, cz double")
+    return rounded(df, ["thickness", "cx", "cy", "cz"])
+
+
+@query(f"""WITH p AS (SELECT s_suppkey AS idx, s_nationkey % 5 AS g FROM supplier), f AS (SELECT g, min(idx) AS idx FROM p GROUP BY g)
+SELECT row_number() OVER (ORDER BY idx) - 1 AS slice, {r('(g * 3e0 + idx * 0.00001e0) / 1000', 9)} AS x, {r('0.6e0')} AS r01, {r('-0.8e0')} AS r12 FROM f""")
+def extract_geometries(spark, sf_dir):
+    """Suppliers as profiles of five slices whose positions differ by less than the rounding."""
+    num = lambda *x: F.array(*[F.lit(float(v)) for v in x])
+    rows = roles.read(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("idx"), F.array((F.col("s_nationkey") % 5) * 3.0 + F.col("s_suppkey") * 0.00001, F.lit(0.0), F.lit(1.0)).alias("t"),
+        num(0, 0, 1).alias("read"), num(0.6, 0.8, 0).alias("phase"), num(0.8, -0.6, 0).alias("slice"),
+    )
+    geos = geometry.extract_geometries(rows, "siemens", (0.2, 0.2, 0.003), (64, 64, 1), decimals=1)
+    out = [(i, g.t_pcs[0], g.r_rps_pcs[0][1], -g.r_rps_pcs[0][2]) for i, g in enumerate(geos)]
+    return rounded(rounded(spark.createDataFrame(out, "slice long, x double, r01 double, r12 double"), ["x"], 9), ["r01", "r12"])
 
 
 _CORNER = "SELECT a, b, c, (2 * a - 1) * 6000e0 AS x, (2 * b - 1) * 2250e0 AS y, (2 * c - 1) * 5000e0 AS z FROM range(2) p(a), range(2) q(b), range(2) s(c)"
@@ -231,12 +251,45 @@ def interp_shots(spark, sf_dir):
     return rounded(out, ["value"]).select("u", "i", "value")
 
 
-@query()
+_AKIMA = f"""WITH s AS ({roles.SHOT_SQL}), d AS (SELECT *, (lead(value) OVER w - value) / 0.5e0 AS d FROM s WINDOW w AS (PARTITION BY u ORDER BY j)),
+ a AS (SELECT u, j, value, lag(d, 2) OVER w AS a, lag(d) OVER w AS b, d AS c, lead(d) OVER w AS e FROM d WINDOW w AS (PARTITION BY u ORDER BY j)),
+ b AS (SELECT u, j, value, a, b, coalesce(c, 2 * b - a, b) AS c, e FROM a), c AS (SELECT u, j, value, a, coalesce(b, 2 * c - e, c) AS b, c, e FROM b),
+ e AS (SELECT u, j, value, coalesce(a, 2 * b - c) AS a, b, c, coalesce(e, 2 * c - b) AS e FROM c),
+ l AS (SELECT u, j, value, b, c, abs(e - c) + abs(e + c) / 2 AS l, abs(b - a) + abs(b + a) / 2 AS r FROM e),
+ m AS (SELECT u, j, value, CASE WHEN l + r = 0 THEN 0 ELSE (l * b + r * c) / (l + r) END AS m FROM l),
+ n AS (SELECT u, j, value AS a, m, lead(value) OVER w AS b, lead(m) OVER w AS k FROM m WINDOW w AS (PARTITION BY u ORDER BY j)),
+ t AS (SELECT u, j AS i, j * 0.5e0 + 0.1875e0 AS t FROM s), x AS (SELECT u, i, floor(t / 0.5e0)::BIGINT AS j, t / 0.5e0 - floor(t / 0.5e0) AS f FROM t),
+ y AS (SELECT x.u, x.i, CASE WHEN b IS NOT NULL THEN (2*f*f*f - 3*f*f + 1) * a + (f*f*f - 2*f*f + f) * 0.5e0 * m + (3*f*f - 2*f*f*f) * b + (f*f*f - f*f) * 0.5e0 * k
+ WHEN f = 0 THEN a END AS value FROM x LEFT JOIN n ON n.u = x.u AND n.j = x.j)
+SELECT u, i, {r('coalesce(value, 0)')} AS value FROM y"""
+
+
+@query(_AKIMA)
 def interp_akima(spark, sf_dir):
     out = series.interpolate_akima(roles.shots(spark, sf_dir), _times(spark, sf_dir, F.lit(0.1875)), ["u"], DT)
     return rounded(out, ["value"]).select("u", "i", "value")
 
 
+@query(_AKIMA.replace("SELECT u, i, ", "SELECT u, i AS j, "))
+def resample_own_times(spark, sf_dir):
+    """Akima pieces at the series' own times, later by a delay."""
+    return rounded(series.resampled(roles.shots(spark, sf_dir), ["u"], DT, 0.1875), ["value"])
+
+
+@query(f"SELECT u, j, {r('(j + 1) * 0.5e0 * 1000')} AS ms, {r('value / 42.58e6 * 1000', 12)} AS value FROM {_SHOT}")
+def display_axes(spark, sf_dir):
+    """Time axes and units as plots show them."""
+    out = series.gradient_units(series.with_time(roles.shots(spark, sf_dir), DT), ["value"])
+    return rounded(rounded(out, ["ms"]), ["value"], 12).select("u", "j", "ms", "value")
+
+
+@query(f"""WITH m AS (SELECT least(min(value), min(-2 * value)) AS a, greatest(max(value), max(-2 * value)) AS b FROM {_SHOT})
+SELECT {r('a - 0.1e0 * greatest(abs(a), abs(b))')} AS low, {r('b + 0.1e0 * greatest(abs(a), abs(b))')} AS high FROM m""")
+def display_limits(spark, sf_dir):
+    both = roles.shots(spark, sf_dir).withColumn("other", F.col("value") * -2)
+    return rounded(series.display_limits(both, ["value", "other"]), ["low", "high"])
+
+
 def _response(n: int = 30, out: int = 5) -> np.ndarray:
     f = np.arange(n) - n // 2
     return np.stack([np.exp(-((f / 8.0) ** 2))[:, None] * np.exp(1j * 0.1 * f[:, None]) * (1 + 0.1 * i + 0.2 * np.arange(out)) for i in range(3)], axis=1)
@@ -247,11 +300,26 @@ def _waves(spark, sf_dir):
     return s.select(F.col("u").alias("wave"), (F.col("j") % 3).cast("int").alias("i"), F.floor(F.col("j") / 3).cast("long").alias("j"), "value")
 
 
-@query()
+_GIRF = f"""WITH g AS (SELECT u AS wave, (j % 3)::INT AS i, j // 3 AS j, value FROM {_SHOT}), n AS (SELECT wave, max(j) AS n FROM g GROUP BY wave),
+ f AS (SELECT t - 15 AS f FROM range(2, 28) q(t)),
+ s AS (SELECT wave, i, f, sum(value * cos({TAU!r}e0 * f * j / 30)) AS a, -sum(value * sin({TAU!r}e0 * f * j / 30)) AS b FROM g, f GROUP BY wave, i, f),
+ h AS (SELECT wave, f, o, sum(m * (a * cos(0.1e0 * f) - b * sin(0.1e0 * f))) AS a, sum(m * (a * sin(0.1e0 * f) + b * cos(0.1e0 * f))) AS b
+ FROM (SELECT *, exp(-(f / 8e0) * (f / 8e0)) * (1 + 0.1e0 * i + 0.2e0 * o) AS m FROM s, range(5) r(o)) q GROUP BY wave, f, o)
+SELECT h.wave, o::INT AS o, j, {{}}{r(f'sum(a * cos({TAU!r}e0 * f * j / 30) - b * sin({TAU!r}e0 * f * j / 30)) / 30')} AS value
+FROM h JOIN n ON n.wave = h.wave, range(30) t(j) WHERE j <= n GROUP BY h.wave, o, j"""
+
+
+@query(_GIRF.format(""))
 def girf_predict(spark, sf_dir):
     return rounded(series.apply_response(_waves(spark, sf_dir), _response(), bandwidth=0.9), ["value"])
 
 
+@query(_GIRF.format("CASE WHEN o = 0 THEN 'k0' WHEN o <= 3 THEN 'linear' ELSE 'higher' END AS part, "))
+def girf_model(spark, sf_dir):
+    """The response as a model whose output is split."""
+    return rounded(series.ResponseModel(_response()).apply(_waves(spark, sf_dir), bandwidth=0.9), ["value"]).select("wave", "o", "j", "part", "value")
+
+
 @query(f"""SELECT part, count(*) AS n, count(DISTINCT o)::BIGINT AS outputs FROM (SELECT o, CASE WHEN o = 0 THEN 'k0' WHEN o <= 3 THEN 'linear' ELSE 'higher' END AS part
  FROM {_SHOT}, range(5) t(o)) s GROUP BY part""")
 def girf_split_channels(spark, sf_dir):
@@ -306,6 +374,17 @@ def fit_compression(spark, sf_dir):
     return rounded(spark.createDataFrame(rows, "rank int, retained double, identity_error double, condition double"), ["retained", "identity_error", "condition"])
 
 
+@query(f"""WITH x AS ({roles.SIGNAL_SQL}), e AS (SELECT sum(re * re + im * im) AS e FROM x), m AS (SELECT sum(re * re + im * im) AS e FROM ({roles.COIL_SQL}) q)
+SELECT 5 AS channels, {r('e.e', 3)} AS energy, {r('m.e', 3)} AS map_energy, 1.0e0 AS retained, 1.0e0 AS scale FROM e, m""")
+def compress_coils(spark, sf_dir):
+    """Data and maps onto as many virtual channels as there are: a rotation, which keeps their energy."""
+    data, maps, fit = ch.compress_coils(roles.signal(spark, sf_dir), roles.coils(spark, sf_dir), 5, ["p"], count=5)
+    energy = lambda df, name: df.agg(F.sum(F.col("re") ** 2 + F.col("im") ** 2).alias(name))
+    out = energy(data, "energy").crossJoin(energy(maps, "map_energy"))
+    out = out.select(F.lit(fit.matrix.shape[1]).alias("channels"), "energy", "map_energy", F.lit(fit.retained).alias("retained"), F.lit(ch.inferred_scale(fit.matrix, np.eye(5))).alias("scale"))
+    return rounded(rounded(out, ["energy", "map_energy"], 3), ["retained", "scale"])
+
+
 @query(f"SELECT obs, {r('sqrt(sum(re * re + im * im))')} AS rss FROM {_CH} q GROUP BY obs")
 def rss_combine(spark, sf_dir):
     return rounded(ch.root_sum_of_squares(roles.channels(spark, sf_dir), ["obs"]), ["rss"])
@@ -336,9 +415,9 @@ _PHASE = f"{TAU!r}e0 * (t * b0 + " + " + ".join(f"k{i} * b{i + 1}" for i in rang
 _RATE = f"{TAU!r}e0 * (" + " + ".join(f"q{i} * b{i + 1}" for i in range(9)) + ")"
 
 
-def _op(spark, sf_dir, multi: bool = True):
+def _op(spark, sf_dir, multi: bool = True, **how):
     vox = roles.voxels(spark, sf_dir).where("masked")
-    return encode.ExplicitOp(roles.samples(spark, sf_dir), vox.select("v", "b0", "b"), 9, roles.coils(spark, sf_dir) if multi else None), vox.select("v", "re", "im")
+    return encode.ExplicitOp(roles.samples(spark, sf_dir), vox.select("v", "b0", "b"), 9, roles.coils(spark, sf_dir) if multi else None, **how), vox.select("v", "re", "im")
 
 
 @query(f"""WITH {_ENC}, e AS (SELECT p, re, im, cos({_PHASE}) AS c, sin({_PHASE}) AS s FROM samp, vox)
@@ -384,6 +463,35 @@ def normal_weighted(spark, sf_dir):
     return rounded(op.normal(image, roles.samples(spark, sf_dir).select("p", "w")), ["re", "im"], 4)
 
 
+@query(ORACLES["forward_explicit"])
+def forward_sql(spark, sf_dir):
+    """The forward product inside whole-stage code."""
+    op, image = _op(spark, sf_dir, multi=False, implementation="sql")
+    return rounded(op.forward(image), ["re", "im"])
+
+
+@query(ORACLES["adjoint_explicit"])
+def adjoint_sql(spark, sf_dir):
+    op, _ = _op(spark, sf_dir, implementation="sql")
+    return rounded(op.adjoint(roles.signal(spark, sf_dir), roles.voxels(spark, sf_dir)), ["re", "im"])
+
+
+@query(ORACLES["normal_weighted"])
+def normal_cached(spark, sf_dir):
+    """The normal product from cached phase factors."""
+    op, image = _op(spark, sf_dir, blocks=(4, 4), cache=True)
+    return rounded(op.normal(image, roles.samples(spark, sf_dir).select("p", "w")), ["re", "im"], 4)
+
+
+@query(f"""WITH {_ENC}, e AS (SELECT p, re, im, cos({_PHASE}) AS c, sin({_PHASE}) AS s FROM samp, vox),
+y AS (SELECT p, 0 AS c, sum(re * c - im * s) / any_value(n) AS re, sum(re * s + im * c) / any_value(n) AS im FROM e, n GROUP BY p)
+SELECT y.p, y.c, {r('2 * y.re + y.im + 0.5e0 * sig.re')} AS re, {r('2 * y.im - y.re + 0.5e0 * sig.im')} AS im FROM y JOIN sig ON sig.p = y.p AND sig.c = y.c""")
+def scaled_product(spark, sf_dir):
+    """(2 - i) A x + y / 2 of one coil."""
+    op, image = _op(spark, sf_dir, multi=False)
+    return rounded(op.mul(image, roles.signal(spark, sf_dir).where("c = 0"), 2 - 1j, 0.5), ["re", "im"])
+
+
 @query(f"""WITH s AS ({roles.SIGNAL_SQL}), b AS (SELECT p, c, re - im AS br, re + 2 * im AS bi, re, im FROM s)
 SELECT {r('3e0 * sum(br * re + bi * im) / sum(br * br + bi * bi)')} AS delta FROM b""")
 def delay_update_scalar(spark, sf_dir):
@@ -429,6 +537,31 @@ def image_metrics(spark, sf_dir):
     return rounded(rounded(out, ["mse"], 3), ["scale_re", "scale_im", "nrmse", "aligned_nrmse", "magnitude_nrmse"])
 
 
+_PAIRS = """SELECT o_orderkey, o_totalprice / 1000 AS rr, o_totalprice / 2000 AS ri, sum(l_extendedprice * (1 - l_discount)) / 1000 AS re, sum(l_extendedprice * l_tax) / 1000 AS im
+ FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_totalprice"""
+
+
+@query(f"""WITH p AS ({_PAIRS}), s AS (SELECT sum(re * rr + im * ri) / sum(re * re + im * im) AS a, sum(re * ri - im * rr) / sum(re * re + im * im) AS b, avg((re - rr) ** 2) AS mse,
+ sqrt(sum((re - rr) ** 2 + (im - ri) ** 2) / sum(rr * rr + ri * ri)) AS nrmse FROM p),
+m AS (SELECT sqrt(sum((sqrt((re * a - im * b) ** 2 + (re * b + im * a) ** 2) - sqrt(rr * rr + ri * ri)) ** 2) / sum(rr * rr + ri * ri)) AS x FROM p, s)
+SELECT {r('a')} AS scale_re, {r('b')} AS scale_im, {r('mse', 3)} AS mse, {r('sqrt(mse)', 3)} AS rmse, {r('nrmse')} AS nrmse, {r('x')} AS aligned_magnitude_nrmse FROM s, m""")
+def reference_metrics(spark, sf_dir):
+    """Figures with the reference named first, and the error of magnitudes after alignment."""
+    li = roles.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(
+        (F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 1000).alias("re"), (F.sum(F.col("l_extendedprice") * F.col("l_tax")) / 1000).alias("im")
+    )
+    ref = roles.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), (F.col("o_totalprice") / 1000).alias("re"), (F.col("o_totalprice") / 2000).alias("im"))
+    out = imaging.reference_metrics(ref, li, ["o"]).crossJoin(imaging.aligned_magnitude_nrmse(imaging.against(ref, li, ["o"])))
+    return rounded(rounded(out, ["mse", "rmse"], 3), ["scale_re", "scale_im", "nrmse", "aligned_magnitude_nrmse"])
+
+
+@query("SELECT p_partkey, (p_retailprice::FLOAT)::DOUBLE AS single FROM part")
+def cast_precision(spark, sf_dir):
+    """Prices in single precision, widened again."""
+    rows = roles.read(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("single"))
+    return imaging.cast_precision(imaging.cast_precision(rows, "float"), "double")
+
+
 @query(f"SELECT n, i - 1 AS i, j - 2 AS j, x FROM {_IMG} q WHERE i BETWEEN 1 AND 6 AND j BETWEEN 2 AND 6".replace("i - 1 AS i, j - 2 AS j", "(i - 1)::INT AS i, (j - 2)::INT AS j").replace("BETWEEN 2 AND 6", "BETWEEN 2 AND 6"))
 def centre_crop(spark, sf_dir):
     return imaging.center_window(roles.images(spark, sf_dir), (8, 8), (6, 5), ["n"])
@@ -440,9 +573,13 @@ def centre_pad(spark, sf_dir):
     return imaging.center_window(roles.images(spark, sf_dir), (8, 8), (11, 12), ["n"])
 
 
-@query(f"""SELECT g AS row, h AS col, coalesce(x, 0) AS x FROM range(32) a(g), range(40) b(h) LEFT JOIN {_IMG} q ON (n // 5) * 8 + i = g AND (n % 5) * 8 + j = h AND n < 20""")
+@query(f"""WITH s AS (SELECT ceil(sqrt(count(*)))::BIGINT AS k FROM embeddings), t AS (SELECT (n // k) * 8 + i AS row, (n % k) * 8 + j AS col, x FROM {_IMG} q, s)
+SELECT g AS row, h AS col, coalesce(x, 0) AS x FROM s, range((SELECT 8 * k FROM s)) a(g), range((SELECT 8 * k FROM s)) b(h) LEFT JOIN t ON row = g AND col = h""")
 def mosaic(spark, sf_dir):
-    return imaging.mosaic(roles.images(spark, sf_dir), (8, 8), 4, 5)
+    """All images in one square of tiles."""
+    img = roles.images(spark, sf_dir)
+    side = math.ceil(math.sqrt(img.select("n").distinct().count()))
+    return imaging.mosaic(img, (8, 8), side, side)
 
 
 @query(f"SELECT n, ((j + 7) % 8)::INT AS i, (7 - i)::INT AS j, x FROM {_IMG} q")
@@ -473,7 +610,16 @@ def display_window(spark, sf_dir):
     return rounded(imaging.display_window(roles.images(spark, sf_dir), ["n"]), ["vmin", "vmax"])
 
 
-@query()
+_SSIM = f"""WITH g AS (SELECT k, exp(-(k * k) / 4.5e0) / (SELECT sum(exp(-(k * k) / 4.5e0)) FROM range(-5, 6) t(k)) AS g FROM range(-5, 6) t(k)),
+w AS (SELECT o, CASE WHEN o + k < 0 THEN -(o + k) - 1 WHEN o + k > 7 THEN 15 - (o + k) ELSE o + k END AS at, sum(g) AS w FROM range(8) t(o), g GROUP BY 1, 2),
+p AS (SELECT n, i, j, abs(x) AS x, abs(x + 0.05e0 * sin(i + j)) AS y FROM {_IMG} q), m AS (SELECT n, max(y) AS m FROM p GROUP BY n),
+q AS (SELECT p.n, i, j, x / m AS x, y / m AS y FROM p JOIN m ON m.n = p.n),
+b AS (SELECT n, a.o AS i, b.o AS j, sum(a.w * b.w * x) AS x, sum(a.w * b.w * y) AS y, sum(a.w * b.w * x * x) AS xx, sum(a.w * b.w * y * y) AS yy, sum(a.w * b.w * x * y) AS xy
+ FROM q JOIN w a ON a.at = i JOIN w b ON b.at = j GROUP BY n, a.o, b.o)
+SELECT n, {r('avg((2 * x * y + 0.0001e0) * (2 * (xy - x * y) + 0.0009e0) / ((x * x + y * y + 0.0001e0) * ((xx - x * x) + (yy - y * y) + 0.0009e0)))')} AS ssim FROM b GROUP BY n"""
+
+
+@query(_SSIM)
 def ssim(spark, sf_dir):
     img = roles.images(spark, sf_dir)
     other = img.select("n", "i", F.col("j"), (F.col("x") + 0.05 * F.sin(F.col("i") * 1.0 + F.col("j"))).alias("ref"))
@@ -512,6 +658,55 @@ def resample_nearest(spark, sf_dir):
     return rounded(geometry.resample(_volumes(spark, sf_dir), SRC, {0: TGT}, "PCS", ["n"], nearest=True), ["x"])
 
 
+SRC3 = geometry.Geometry("GE", (0.08, 0.08, 0.02), (4, 4, 4))
+TGT3 = {0: geometry.Geometry("GE", (0.05, 0.04, 0.009), (5, 4, 3), t_pcs=(0.0025, -0.0025, 0.001)), 7: geometry.Geometry("GE", (0.06, 0.05, 0.008), (3, 5, 2), t_pcs=(-0.0025, 0.005, -0.002))}
+
+
+def _resample3_sql() -> str:
+    pieces = []
+    for number, geo in TGT3.items():
+        (nx, ny, nz), size = geo.matrix, [f / n for f, n in zip(geo.fov, geo.matrix, strict=True)]
+        index = (f"t.v % {nx}", f"t.v // {nx} % {ny}", f"t.v // {nx * ny}")
+        # Two points along x at a third of the voxel, one along y, two along z.
+        shift = (f"(2 * a.k - 1) * {size[0] / 6!r}e0", "0e0", f"(2 * b.k - 1) * {size[2] / 6!r}e0")
+        u = []
+        for axis in range(3):
+            at = f"({index[axis]} - {(geo.matrix[axis] - 1) / 2!r}e0) * {size[axis]!r}e0 + {geo.t_pcs[axis]!r}e0 + {shift[axis]}"
+            u.append(r(f"({at}) / {SRC3.fov[axis] / 4!r}e0 + 1.5e0", 9))
+        pieces.append(f"SELECT {number} AS target, t.v, {u[0]} AS x, {u[1]} AS y, {u[2]} AS z FROM range({nx * ny * nz}) t(v), range(2) a(k), range(2) b(k)")
+    weight = " * ".join(f"(CASE WHEN {k} = 1 THEN {c} - floor({c}) ELSE 1 - ({c} - floor({c})) END)" for c, k in zip("xyz", ("d.k", "e.k", "f.k"), strict=True))
+    inside = " AND ".join(f"{c} BETWEEN 0 AND 3" for c in "xyz")
+    return f"""WITH p AS ({' UNION ALL '.join(pieces)}), g AS (SELECT target, v, (floor(x) + d.k)::INT AS ix, (floor(y) + e.k)::INT AS iy, (floor(z) + f.k)::INT AS iz, {weight} / 4 AS w
+ FROM p, range(2) d(k), range(2) e(k), range(2) f(k) WHERE {inside}),
+ s AS (SELECT vec_id AS n, (a % 4)::INT AS ix, (a // 4 % 4)::INT AS iy, (a // 16)::INT AS iz, embedding[a + 1]::DOUBLE AS x FROM embeddings, range(64) q(a)),
+ y AS (SELECT target, n, v, sum(w * x) AS x FROM g JOIN s ON s.ix = g.ix AND s.iy = g.iy AND s.iz = g.iz GROUP BY target, n, v), o AS (SELECT DISTINCT target, v FROM p)
+SELECT o.target, vec_id AS n, o.v, {r('coalesce(x, 0)')} AS x FROM embeddings CROSS JOIN o LEFT JOIN y ON y.target = o.target AND y.n = vec_id AND y.v = o.v"""
+
+
+@query(_resample3_sql())
+def resample_volumes(spark, sf_dir):
+    """Volumes onto two targets at once, each voxel the mean of interior points."""
+    img = roles.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("n"), F.posexplode("embedding").alias("a", "x"))
+    vol = img.select("n", (F.col("a") % 4).alias("ix"), (F.floor(F.col("a") / 4) % 4).cast("int").alias("iy"), F.floor(F.col("a") / 16).cast("int").alias("iz"), F.col("x").cast("double").alias("x"))
+    return rounded(geometry.resample(vol, SRC3, TGT3, "PCS", ["n"], oversample=(2, 1, 2)), ["x"])
+
+
+@query(f"SELECT v, ix, iy, iz FROM (SELECT v, (v % 24)::INT AS ix, (v // 24 % 18)::INT AS iy, (v // 432)::INT AS iz FROM range(2160) t(v)) q WHERE ix % 3 = 0 AND iy % 2 = 0 AND iz % 5 = 0")
+def grid_decimated(spark, sf_dir):
+    return geometry.decimated(GRID.table(spark), (3, 2, 5)).select("v", "ix", "iy", "iz")
+
+
+@query(f"""SELECT n_regionkey AS slab, 18 AS slices, {r('18 * 0.002e0')} AS thickness, {r('n_regionkey * 0.1e0 + 0.012e0')} AS cx FROM nation GROUP BY n_regionkey""")
+def merged_slabs_geometry(spark, sf_dir):
+    """Three slabs of eight slices for each region, merged to eighteen slices."""
+    out = []
+    for region in sorted({row["n_regionkey"] for row in roles.read(spark, sf_dir, "nation").select("n_regionkey").collect()}):
+        geos = [geometry.Geometry("siemens", (0.2, 0.2, 0.016), (64, 64, 8), "HFS", (region * 0.1 + 0.012 * i, 0.0, 0.0), GEO.r_rps_pcs) for i in range(3)]
+        g = geometry.merged_slabs_geometry(geos, 18)
+        out.append((region, g.matrix[2], g.fov[2], g.t_pcs[0]))
+    return rounded(spark.createDataFrame(out, "slab int, slices int, thickness double, cx double"), ["thickness", "cx"])
+
+
 def _slabs(spark, sf_dir):
     """Runs of five embeddings as slabs of eight slices (j) with eight pixels (i)."""
     img = roles.images(spark, sf_dir)
@@ -537,15 +732,71 @@ def motsa_blend(spark, sf_dir):
     return rounded(geometry.merge_slabs(_slabs(spark, sf_dir), 8, 2, "blend"), ["x"])
 
 
-# ------------------------------------------------------------------ low-rank factors, solvers (figures only)
+# ------------------------------------------------------------------ low-rank products
+
+#: The voxels' grid; several voxels may share a cell.
+CELLS, SPACING = (20, 20, 3), (0.125, 0.125, 0.25)
+
+
+def _voxel_cells(spark, sf_dir) -> DataFrame:
+    vox = roles.voxels(spark, sf_dir).where("masked")
+    place = {"ix": F.col("v") % 20, "iy": F.floor(F.col("v") / 20) % 20, "iz": F.round(F.col("z") / SPACING[2]) + 1}
+    return vox.withColumns({n: c.cast("int") for n, c in place.items()})
+
+
+def _lowrank(spark, sf_dir, options: lowrank.Options | None = None, multi: bool = True, **how):
+    vox, samples = _voxel_cells(spark, sf_dir), roles.samples(spark, sf_dir)
+    if options is None:
+        # As many ranks as a readout has samples: nothing is left out.
+        options = lowrank.Options(method="per_readout", rank=samples.groupBy("d").count().agg(F.max("count")).first()[0], oversample=0)
+    csm = roles.coils(spark, sf_dir) if multi else None
+    return lowrank.LowRankOp(samples, vox, CELLS, SPACING, csm=csm, options=options, **how), vox.select("v", "re", "im")
+
+
+@query(ORACLES["forward_multicoil"])
+def lowrank_forward(spark, sf_dir):
+    """All ranks of all readouts and gridded transforms: the explicit signal."""
+    op, image = _lowrank(spark, sf_dir)
+    return rounded(op.forward(image), ["re", "im"])
+
+
+@query(ORACLES["forward_explicit"])
+def lowrank_forward_exact(spark, sf_dir):
+    """One coil, one basis for all readouts at full rank, separable transforms."""
+    options = lowrank.Options(rank=10, oversample=2, tol=1e-12, most=200)
+    op, image = _lowrank(spark, sf_dir, options, multi=False, kernel="separable")
+    return rounded(op.forward(image), ["re", "im"])
+
+
+@query(ORACLES["adjoint_explicit"])
+def lowrank_adjoint(spark, sf_dir):
+    op, _ = _lowrank(spark, sf_dir, coils=2)
+    return rounded(op.adjoint(roles.signal(spark, sf_dir), roles.voxels(spark, sf_dir)), ["re", "im"])
+
+
+@query(ORACLES["normal_weighted"])
+def lowrank_normal(spark, sf_dir):
+    """The signal is summed over all ranks before it is weighted."""
+    op, image = _lowrank(spark, sf_dir)
+    return rounded(op.normal(image, roles.samples(spark, sf_dir).select("p", "w")), ["re", "im"], 4)
+
+
+@query(ORACLES["normal_weighted"])
+def lowrank_normal_by_readout(spark, sf_dir):
+    """Each coil and readout from image to image in one task, by a normal operator."""
+    op, image = _lowrank(spark, sf_dir)
+    normal = op.normal_operator(roles.samples(spark, sf_dir).select("p", "w"), by="readout")
+    return rounded(normal.forward(image), ["re", "im"], 4)
+
+
+# ------------------------------------------------------------------ factors (figures only)
 
 
 def _features(spark, sf_dir):
     """Spatial features (v, g) of the masked voxels, and temporal ones of all samples by readout."""
-    vox = roles.voxels(spark, sf_dir).where("masked")
-    g = vox.select("v", F.concat(F.array("b0"), F.slice("b", 5, 5)).alias("g"))
+    g = lowrank.spatial_features(roles.voxels(spark, sf_dir).where("masked"), 9, False)
     s = roles.samples(spark, sf_dir).select("d", "p", "t", "k").orderBy("d", "p").toPandas()
-    f = np.column_stack([s["t"], np.stack(s["k"].to_numpy())[:, 4:9]])
+    f = lowrank.phase_features(s, 9, False)
     return g, [f[(s["d"] == d).to_numpy()] for d in sorted(s["d"].unique())]
 
 
@@ -559,36 +810,74 @@ def rsvd_factor_error(spark, sf_dir):
     f = np.concatenate(readouts)
     rank = min(30, len(f) - 5)
     q, basis = factors.rsvd(g, f, rank)
-    return _figures(spark, rank=rank, error=factors.relative_error(g, basis, f, q))
+    q2, basis2 = factors.rsvd(g, f, rank, finalize="svd")
+    return _figures(spark, rank=rank, error=factors.relative_error(g, basis, f, q), svd_error=factors.relative_error(g, basis2, f, q2))
+
+
+def _ranks(readouts, most: int) -> tuple[int, int]:
+    """Rank and oversampling that the shortest readout allows."""
+    width = min(len(f) for f in readouts)
+    over = min(5, max(width - 1, 0))
+    return max(min(most, width - over), 1), over
 
 
 @query()
 def incremental_shared_error(spark, sf_dir):
     g, readouts = _features(spark, sf_dir)
-    width = min(len(f) for f in readouts)
-    over = min(5, max(width - 1, 0))
-    rank = max(min(15, width - over), 1)
-    q, basis = factors.shared_factors(g, readouts, rank, oversample=min(over, width - rank), cut=shared.cut)
-    return _figures(spark, rank=q.shape[1], error=factors.relative_error(g, basis, np.concatenate(readouts), q))
+    rank, over = _ranks(readouts, 15)
+    us, coeff, basis = factors.shared_factors(g, readouts, rank, oversample=over)
+    q = factors.assemble(us, coeff)
+    last = factors.relative_error(g, factors.readout_factor(basis, coeff[-1]), readouts[-1], us[-1])
+    return _figures(spark, rank=q.shape[1], error=factors.relative_error(g, basis, np.concatenate(readouts), q), last=last, orthogonality=factors.orthogonality(basis, q.shape[1]))
+
+
+@query()
+def per_readout_error(spark, sf_dir):
+    """Factors of every readout, half of them kept: the error of each."""
+    g, readouts = _features(spark, sf_dir)
+    rank, over = _ranks(readouts, 8)
+    q, basis = factors.per_readout(g, readouts, rank, over, keep_bytes=16 * rank * g.count() * len(readouts) // 2)
+    edges = np.cumsum([0, *map(len, readouts)])
+    rows = [(d, float(factors.relative_error(g, basis.where(F.col("d") == d).drop("d"), f, q[edges[d] : edges[d + 1]]))) for d, f in enumerate(readouts)]
+    return rounded(spark.createDataFrame(rows, "d int, error double"), ["error"])
+
+
+@query()
+def sampled_shared_report(spark, sf_dir):
+    """A basis from half of the readouts, fitted on sampled voxels and checked on others."""
+    g, readouts = _features(spark, sf_dir)
+    rank, over = _ranks(readouts, 15)
+    q, basis, report = factors.sampled_shared(g, readouts, rank, max(len(readouts) // 2, 1), oversample=over)
+    error = factors.relative_error(g, basis, np.concatenate(readouts), q)
+    return _figures(spark, rank=report["rank"], checked=report["phase_check"]["error"], error=error, held_out=report["phase_check"]["held_out"])
 
 
 @query()
 def snapshot_basis_error(spark, sf_dir):
+    """Bases of a fixed rank in both orders, from snapshots, fitted on a pool of voxels."""
     g, readouts = _features(spark, sf_dir)
-    f = np.concatenate(readouts)
-    k = min(32, len(f))
-    chosen = factors.k_centers(f, np.eye(f.shape[1]), k)
-    basis = factors.snapshot_basis(g, f, chosen, k)
-    points = basis.join(g, "v").orderBy(F.xxhash64("v"), "v").limit(2048).select("g", "s").toPandas()
-    q = factors.fit_coefficients(f, points)
-    return _figures(spark, snapshots=k, error=factors.relative_error(g, basis, f, q))
+    f, rank = np.concatenate(readouts), 24
+    found = {}
+    for ordering in ("snapshot", "coefficients"):
+        q, basis, _ = factors.fixed_basis(g, readouts, rank, min(32, len(f)), ordering)
+        found[ordering] = factors.relative_error(g, basis, f, q)
+    return _figures(spark, rank=rank, **found)
+
+
+@query()
+def joint_basis_report(spark, sf_dir):
+    g, readouts = _features(spark, sf_dir)
+    q, basis, report = factors.joint_basis(g, readouts, tol=0.05)
+    error = factors.relative_error(g, basis, np.concatenate(readouts), q) if report["passed"] else float("nan")
+    return _figures(spark, rank=report["rank"], snapshots=report["snapshots"], validation=report["validation"], audit=report.get("audit", float("nan")), error=error, passed=report["passed"])
 
 
 @query()
 def adaptive_basis_report(spark, sf_dir):
     g, readouts = _features(spark, sf_dir)
-    _, _, report = factors.adaptive_factors(g, np.concatenate(readouts), 0.05)
-    return rounded(spark.createDataFrame([(x["snapshots"], x["bound"], x.get("rank")) for x in report], "snapshots int, bound double, rank int"), ["bound"])
+    _, _, trials = factors.adaptive_factors(g, readouts, 0.05, parent=16)
+    rows = [(x["snapshots"], x["samples"], x["parent"], x["width"], x["bound"], x["rank"], x.get("cause")) for x in trials]
+    return rounded(spark.createDataFrame(rows, "snapshots int, samples int, parent int, width int, bound double, rank int, cause string"), ["bound"])
 
 
 @query()
@@ -608,45 +897,102 @@ def recompress_error(spark, sf_dir):
     q, basis = factors.rsvd(g, f, min(30, len(f) - 5))
     q2, basis2, tail = factors.recompress(q, basis, tol=0.05)
     both = basis.withColumnRenamed("s", "o").join(basis2, "v")
-    loss = lambda pdf: np.array([[(np.abs(q @ factors.unpack(pdf["o"]).conj().T - q2 @ factors.unpack(pdf["s"]).conj().T) ** 2).sum()], [(np.abs(q @ factors.unpack(pdf["o"]).conj().T) ** 2).sum()]])
+
+    def loss(pdf):
+        old, new = factors.unpack(pdf["o"]).conj().T, factors.unpack(pdf["s"]).conj().T
+        return np.array([[(np.abs(q @ old - q2 @ new) ** 2).sum()], [(np.abs(q @ old) ** 2).sum()]])
+
     a, b = factors.summed(both, loss, (2, 1)).real.ravel()
     return _figures(spark, rank=q2.shape[1], predicted=tail, measured=math.sqrt(a / b))
 
 
 @query()
 def lowrank_forward_vs_explicit(spark, sf_dir):
-    vox = roles.voxels(spark, sf_dir).where("masked")
-    g, readouts = _features(spark, sf_dir)
-    f = np.concatenate(readouts)
-    s = roles.samples(spark, sf_dir).orderBy("d", "p").select("p", "k").toPandas()
-    k = np.stack(s["k"].to_numpy())
-    rank = min(40, len(f) - 5)
-    q, basis = factors.rsvd(g, f, rank)
-    op = factors.LowRankOp(vox.select("v", F.array(F.lit(1.0), "x", "y", "z").alias("r")), basis, q, k[:, :4])
-    explicit, image = _op(spark, sf_dir, multi=False)
-    y = op.forward(image)
-    want = explicit.forward(image).toPandas().set_index("p").loc[s["p"]]
-    ref = want["re"].to_numpy() + 1j * want["im"].to_numpy()
-    back = op.adjoint(ref).join(image.withColumnsRenamed({"re": "xr", "im": "xi"}), "v").agg(
-        F.sum(F.col("re") * F.col("xr") + F.col("im") * F.col("xi")).alias("a"), F.sum(F.col("im") * F.col("xr") - F.col("re") * F.col("xi")).alias("b")
-    ).first()
-    inner = np.vdot(y, ref)
-    return _figures(spark, rank=rank, error=np.linalg.norm(y - ref) / np.linalg.norm(ref), adjoint_gap=abs(inner - complex(back["a"], back["b"])) / abs(inner))
-
-
-@query()
+    """A recompressed, coil-weighted shared basis against the explicit product."""
+    shortest = roles.samples(spark, sf_dir).groupBy("d").count().agg(F.min("count")).first()[0]
+    options = lowrank.Options(rank=min(15, shortest - 2), oversample=2, tol=1e-4, recompress_tol=1e-3, coil_weighting=True)
+    op, image = _lowrank(spark, sf_dir, options, coils=5)
+    explicit, _ = _op(spark, sf_dir)
+    both = op.forward(image).join(explicit.forward(image).withColumnsRenamed({"re": "er", "im": "ei"}), ["p", "c"])
+    gap = both.agg(F.sqrt(F.sum((F.col("re") - F.col("er")) ** 2 + (F.col("im") - F.col("ei")) ** 2) / F.sum(F.col("er") ** 2 + F.col("ei") ** 2)).alias("error"))
+    return rounded(gap.withColumn("rank", F.lit(op.q.shape[1])), ["error"])
+
+
+# ------------------------------------------------------------------ solvers
+
+_NORMAL = """f{i} AS MATERIALIZED (SELECT p, c, sum(zr * co - zi * s) / any_value(n) AS yr, sum(zr * s + zi * co) / any_value(n) AS yi FROM (SELECT ph.p, coil.c, co, s,
+ x.re * coil.re - x.im * coil.im AS zr, x.re * coil.im + x.im * coil.re AS zi FROM ph JOIN p{i} x ON x.v = ph.v JOIN coil ON coil.v = ph.v) q, n GROUP BY p, c),
+a{i} AS MATERIALIZED (SELECT v, sum(ar * cr + ai * ci) / any_value(n) AS re, sum(ai * cr - ar * ci) / any_value(n) AS im FROM (SELECT ph.v, f.c, sum(yr * co + yi * s) AS ar,
+ sum(yi * co - yr * s) AS ai, any_value(coil.re) AS cr, any_value(coil.im) AS ci FROM ph JOIN f{i} f ON f.p = ph.p JOIN coil ON coil.v = ph.v AND coil.c = f.c GROUP BY ph.v, f.c) q, n GROUP BY v)"""
+
+
+def _gradients_sql(steps: int, l2: str) -> str:
+    """Conjugate gradients on the normal equations, one set of tables for each step."""
+    out = [f"{_ENC}", f"ph AS MATERIALIZED (SELECT p, v, cos({_PHASE}) AS co, sin({_PHASE}) AS s FROM samp, vox)",
+           """r0 AS MATERIALIZED (SELECT v, sum(ar * cr + ai * ci) / any_value(n) AS re, sum(ai * cr - ar * ci) / any_value(n) AS im FROM (SELECT ph.v, f.c, sum(f.re * co + f.im * s) AS ar,
+ sum(f.im * co - f.re * s) AS ai, any_value(coil.re) AS cr, any_value(coil.im) AS ci FROM ph JOIN sig f ON f.p = ph.p JOIN coil ON coil.v = ph.v AND coil.c = f.c GROUP BY ph.v, f.c) q, n GROUP BY v)""",
+           "p0 AS MATERIALIZED (SELECT * FROM r0)", "x0 AS MATERIALIZED (SELECT v, 0e0 AS re, 0e0 AS im FROM r0)"]
+    for i in range(steps):
+        out.append(_NORMAL.format(i=i))
+        out.append(f"h{i} AS MATERIALIZED (SELECT a.v, a.re + {l2} * p.re AS re, a.im + {l2} * p.im AS im FROM a{i} a JOIN p{i} p ON p.v = a.v)")
+        out.append(f"g{i} AS MATERIALIZED (SELECT (SELECT sum(re * re + im * im) FROM r{i}) / (SELECT sum(p.re * h.re + p.im * h.im) FROM p{i} p JOIN h{i} h ON h.v = p.v) AS g)")
+        out.append(f"x{i + 1} AS MATERIALIZED (SELECT x.v, x.re + g * p.re AS re, x.im + g * p.im AS im FROM x{i} x JOIN p{i} p ON p.v = x.v, g{i})")
+        out.append(f"r{i + 1} AS MATERIALIZED (SELECT r.v, r.re - g * h.re AS re, r.im - g * h.im AS im FROM r{i} r JOIN h{i} h ON h.v = r.v, g{i})")
+        out.append(f"b{i} AS MATERIALIZED (SELECT (SELECT sum(re * re + im * im) FROM r{i + 1}) / (SELECT sum(re * re + im * im) FROM r{i}) AS b)")
+        out.append(f"p{i + 1} AS MATERIALIZED (SELECT r.v, r.re + b * p.re AS re, r.im + b * p.im AS im FROM r{i + 1} r JOIN p{i} p ON p.v = r.v, b{i})")
+    return f"WITH {', '.join(out)} SELECT v, {r('re', 5)} AS re, {r('im', 5)} AS im FROM x{steps}"
+
+
+@query(_gradients_sql(3, "0.01e0"))
 def recon_cgnr(spark, sf_dir):
-    """Residual of the normal equations after the loop, against the start."""
+    """The image after three steps of conjugate gradients."""
     op, _ = _op(spark, sf_dir)
-    y = roles.signal(spark, sf_dir)
-    image = solve.reconstruct(op, y, iterations=4, l2=1e-2)
-    left = op.normal(image).join(image.withColumnsRenamed({"re": "xr", "im": "xi"}), "v").join(op.adjoint(y).withColumnsRenamed({"re": "br", "im": "bi"}), "v")
-    res = left.agg(F.sqrt(F.sum((F.col("re") + 1e-2 * F.col("xr") - F.col("br")) ** 2 + (F.col("im") + 1e-2 * F.col("xi") - F.col("bi")) ** 2) / F.sum(F.col("br") ** 2 + F.col("bi") ** 2)).alias("residual"))
-    return rounded(res, ["residual"])
+    return rounded(solve.reconstruct(op, roles.signal(spark, sf_dir), iterations=3, l2=1e-2), ["re", "im"], 5)
 
 
-@query()
+def _density_sql(steps: int) -> str:
+    """The kernel of all pairs of samples, and the weights after each step."""
+    axis = lambda d: f"(SELECT sum(cos({TAU!r}e0 * d{d} * x)) FROM range(-10, 10) t(x))"
+    # A sum over -10..9 is a cosine sum and one lone term.
+    parts = [f"k AS (SELECT p, k1 / (2 * m) AS a, k2 / (2 * m) AS b FROM ({roles.SAMP_SQL}) q, (SELECT max(greatest(abs(k1), abs(k2))) AS m FROM ({roles.SAMP_SQL}) q) t)",
+             "d AS (SELECT p.p, q.p AS q, p.a - q.a AS d1, p.b - q.b AS d2 FROM k p, k q)",
+             f"e AS MATERIALIZED (SELECT p, q, {axis(1)} AS c1, -sin({TAU!r}e0 * d1 * 10) AS s1, {axis(2)} AS c2, -sin({TAU!r}e0 * d2 * 10) AS s2 FROM d)",
+             "g AS MATERIALIZED (SELECT p, q, c1 * c2 - s1 * s2 AS a, c1 * s2 + s1 * c2 AS b FROM e)", "w0 AS (SELECT p, 1e0 AS w FROM k)"]
+    for i in range(steps):
+        parts.append(f"t{i} AS MATERIALIZED (SELECT g.p, sqrt(sum(a * w) ** 2 + sum(b * w) ** 2) AS s FROM g JOIN w{i} w ON w.p = g.q GROUP BY g.p)")
+        parts.append(f"w{i + 1} AS MATERIALIZED (SELECT w.p, w / s AS w FROM w{i} w JOIN t{i} t ON t.p = w.p)")
+    return f"WITH {', '.join(parts)} SELECT p, {r(f'sqrt(w) / sqrt((SELECT avg(w) FROM w{steps}))', 5)} AS w FROM w{steps}"
+
+
+@query(_density_sql(10))
 def density_weights(spark, sf_dir):
     s = roles.samples(spark, sf_dir).orderBy("p").select("p", "k").toPandas()
     w = solve.density_weights(np.stack(s["k"].to_numpy())[:, 1:3], (20, 20), normalize=True)
-    return rounded(spark.createDataFrame([(int(p), float(x)) for p, x in zip(s["p"], w, strict=True)], "p long, w double"), ["w"])
+    return rounded(spark.createDataFrame([(int(p), float(x)) for p, x in zip(s["p"], w, strict=True)], "p long, w double"), ["w"], 5)
+
+
+def _delayed(spark, sf_dir, shots: int) -> float:
+    """The offset found where the data were made with 2.5 microseconds, on eight points and ``shots`` readouts."""
+    n, dt, truth = 48, 1e-5, 2.5e-6
+    rng, j = np.random.default_rng(3), np.arange(n)
+    place = rng.uniform(-1, 1, (8, 3))
+    vox = spark.createDataFrame([(i, *map(float, x), 0.0) for i, x in enumerate(place)], "v long, x double, y double, z double, b0 double")
+    vox = vox.withColumn("b", harmonics.terms(range(1, 10))).select("v", "b0", "b").coalesce(1)
+    curve = lambda s, t: np.stack([3 * np.sin((t / dt + 5 * s) / 6), 3 * np.cos((t / dt + 3 * s) / 7)], axis=-1)
+    field = [(s, int(i), l, float(curve(s, i * dt)[l - 1]) if l in (1, 2) else 0.0) for s in range(shots) for i in j for l in range(9)]
+    starts, t = [0.0, 1.5e-6, -2e-6][:shots], np.arange(4, 40) * dt
+    x = rng.normal(size=8) + 1j * rng.normal(size=8)
+    data, times = [], []
+    for s in range(shots):
+        y = np.exp(2j * np.pi * curve(s, t + truth + starts[s]) @ place[:, :2].T) @ x / np.sqrt(8)
+        data += [(s * 100 + i, 0, float(z.real), float(z.imag)) for i, z in enumerate(y)]
+        times += [(s, s * 100 + i, float(u), starts[s]) for i, u in enumerate(t)]
+    return solve.find_delay(vox, spark.createDataFrame(data, "p long, c int, re double, im double").coalesce(1), spark.createDataFrame(field, "shot int, j long, term int, value double").coalesce(1),
+                            spark.createDataFrame(times, "shot int, p long, t double, start double").coalesce(1), dt, 9, jump=1.0, least=0.02, iterations=8)
+
+
+@query("SELECT 1 AS shots, 2.5e0 AS delay UNION ALL SELECT 3, 2.5e0")
+def find_delay(spark, sf_dir):
+    """Clock offsets of one readout and of three whose own clocks start apart."""
+    rows = [(n, _delayed(spark, sf_dir, n)) for n in (1, 3)]
+    return rounded(spark.createDataFrame(rows, "shots int, delay double"), ["delay"], 1)

@@ -7,8 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fieldweave.functions import harmonics
-from fieldweave.operators import channels, encode, factors, geometry, imaging, series, solve
+from fieldweave.functions import harmonics, nufft
+from fieldweave.operators import channels, encode, factors, geometry, imaging, lowrank, series, solve
 from fieldweave.sources import nifti
 
 RNG = np.random.default_rng(5)
@@ -59,13 +59,16 @@ def pixels(df, n):
     return out
 
 
-@pytest.mark.parametrize("limit", [encode.BROADCAST_VOXELS, 3])
-def test_explicit_products_against_the_dense_matrix(spark, monkeypatch, limit):
-    monkeypatch.setattr(encode, "BROADCAST_VOXELS", limit)
-    monkeypatch.setattr(encode, "BLOCK", 5)
+@pytest.mark.parametrize("kind", ["sql", "sql-parts", "block", "blocks", "cached"])
+def test_explicit_products_against_the_dense_matrix(spark, monkeypatch, kind):
+    if kind == "sql-parts":
+        monkeypatch.setattr(encode, "BROADCAST_BYTES", 100)
+        monkeypatch.setattr(encode, "PART", 5)
     v, s, k, kd, csm, x = problem()
     samp, vox, coil = frames(spark, v, s, k, kd, csm)
-    op, a = encode.ExplicitOp(samp, vox, 9, coil), dense(v, s, k, csm)
+    op = encode.ExplicitOp(samp, vox, 9, coil, kind.partition("-")[0] if "sql" in kind else "block", (3, 4) if kind in ("blocks", "cached") else None, kind == "cached")
+    a = dense(v, s, k, csm)
+    assert op.shape == (22, 14) and op.H.shape == (14, 22) and op.H.H is op
     y = signal(op.forward(image(spark, x)), (len(s), 2))
     np.testing.assert_allclose(y, np.stack([m @ x for m in a], axis=1), atol=1e-12)
     rate = 2j * np.pi * (kd @ basis(v).T)
@@ -78,8 +81,25 @@ def test_explicit_products_against_the_dense_matrix(spark, monkeypatch, limit):
     w = RNG.uniform(0, 2, len(s))
     wt = spark.createDataFrame(pd.DataFrame({"p": np.arange(len(s)), "w": w}))
     np.testing.assert_allclose(pixels(op.normal(image(spark, x), wt), len(v)), sum(m.conj().T @ (w * (m @ x)) for m in a), atol=1e-11)
+    by_coil = wt.crossJoin(spark.range(2).withColumnRenamed("id", "c")).withColumn("w", F.col("w") * (1 + F.col("c")))
+    np.testing.assert_allclose(pixels(op.normal(image(spark, x), by_coil), len(v)), sum((1 + c) * (m.conj().T @ (w * (m @ x))) for c, m in enumerate(a)), atol=1e-11)
     with pytest.raises(ValueError, match="weights"):
         op.normal(image(spark, x), wt.withColumn("w", F.lit(-1.0)))
+    both = signal(op.mul(image(spark, x), zt, 2 - 1j, 0.5j), (len(s), 2))
+    np.testing.assert_allclose(both, (2 - 1j) * y + 0.5j * z, atol=1e-11)
+    np.testing.assert_allclose(pixels(op.H.mul(zt, image(spark, x), 1j, 3), len(v)), 1j * back + 3 * x, atol=1e-11)
+    op.close()
+    np.testing.assert_allclose(signal(op.forward(image(spark, x)), (len(s), 2)), y, atol=1e-12)
+
+
+def test_explicit_operators_refuse_what_cannot_be(spark):
+    v, s, k, kd, csm, _ = problem()
+    samp, vox, coil = frames(spark, v, s, k, kd, csm)
+    for args, what in [((samp, vox, 10), "terms"), ((samp, vox, 16), "16 terms"), ((samp, vox.where("v < 0"), 9), "voxels"), ((samp.where("p < 0"), vox, 9), "samples"),
+                       ((samp, vox.union(vox), 9), "uniquely"), ((samp, vox, 9, coil, "gpu"), "implementation"), ((samp, vox, 9, coil, "sql", None, True), "cached"),
+                       ((samp, vox, 9, coil, "block", (0, 1)), "block"), ((samp, vox, 9, coil, "block", None, True, 1000), "bytes")]:
+        with pytest.raises(ValueError, match=what):
+            encode.ExplicitOp(*args)
 
 
 def test_reconstruction_is_the_weighted_least_squares_solution(spark):
@@ -145,26 +165,227 @@ def test_randomised_factors_approach_the_best_rank(spark, finalize):
 def test_shared_basis_meets_its_tolerance_or_raises(spark):
     table, g, f = features(spark)
     cut = lambda df: df
-    q, s = factors.shared_factors(table, f, 6, tol=0.02, oversample=3, cut=cut)
+    us, coeff, s = factors.shared_factors(table, f, 6, tol=0.02, oversample=3, cut=cut)
+    q = factors.assemble(us, coeff)
     basis_ = whole(s, 53, q.shape[1])
     np.testing.assert_allclose(basis_.conj().T @ basis_, np.eye(q.shape[1]), atol=1e-8)
+    assert factors.orthogonality(s, q.shape[1]) < 1e-7
     h = np.concatenate([factors.phase_block(x, g) for x in f])
     exact = np.linalg.norm(h - q @ basis_.conj().T) / np.linalg.norm(h)
     assert abs(exact - factors.relative_error(table, s, np.concatenate(f), q)) < 1e-9 and exact < 0.2
+    last = whole(factors.readout_factor(s, coeff[1]), 53, 6)
+    np.testing.assert_allclose(us[1] @ last.conj().T, q[len(f[0]) :] @ basis_.conj().T, atol=1e-9)
+    # A readout that the basis holds already adds nothing.
+    twice = factors.shared_factors(table, [f[0], f[0]], 6, tol=0.02, oversample=3, cut=cut)
+    assert twice[1][1].shape[0] == factors.shared_factors(table, f[:1], 6, tol=0.02, oversample=3, cut=cut)[1][0].shape[0]
     with pytest.raises(ValueError, match="allowed"):
         factors.shared_factors(table, f, 6, tol=1e-6, most=7, oversample=3, cut=cut)
     q2, s2, tail = factors.recompress(q, s, tol=0.1)
     lost = np.linalg.norm(q @ basis_.conj().T - q2 @ whole(s2, 53, q2.shape[1]).conj().T) / np.linalg.norm(q @ basis_.conj().T)
     assert abs(lost - tail) < 1e-8 and tail <= 0.1
+    for how in (dict(), dict(tol=0.1, rank=2), dict(rank=99), dict(tol=-1.0)):
+        with pytest.raises(ValueError):
+            factors.recompress(q, s, **how)
+
+
+def test_weighted_recompression_is_best_in_its_metric(spark):
+    table, g, f = features(spark)
+    us, coeff, s = factors.shared_factors(table, f, 6, tol=0.02, oversample=3, cut=lambda df: df)
+    q = factors.assemble(us, coeff)
+    w, u = RNG.uniform(0, 2, 53), RNG.uniform(0, 2, len(q))
+    w[:5] = 0
+    weighted = s.join(spark.createDataFrame(pd.DataFrame({"v": np.arange(53), "w": w})), "v")
+    q2, s2, tail = factors.recompress(q, weighted, rank=4, time_weight=u, weight="w")
+    root = np.sqrt(factors.normalized_weights(u, len(q)))[:, None], np.sqrt(factors.normalized_weights(w, 53))
+    m = root[0] * (q @ whole(s, 53, q.shape[1]).conj().T) * root[1]
+    left = root[0] * (q2 @ whole(s2, 53, 4).conj().T) * root[1]
+    best = np.sqrt((np.linalg.svd(m, compute_uv=False)[4:] ** 2).sum())
+    assert abs(np.linalg.norm(m - left) - best) < 1e-8 and abs(tail - best / np.linalg.norm(m)) < 1e-8
+    for bad in (w - 1, 0 * w, w + 1j, w[:3]):
+        with pytest.raises(ValueError, match="weights"):
+            factors.normalized_weights(bad, 53)
+
+
+def test_stacked_triangles_keep_small_singular_values(spark):
+    u, v = np.linalg.qr(RNG.normal(size=(3000, 6)))[0], np.linalg.qr(RNG.normal(size=(6, 6)))[0]
+    values = 10.0 ** -np.arange(0, 12, 2)
+    x = (u * values @ v).astype(complex)
+    table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(factors.pack(x))], "v long, s array<double>").repartition(5)
+    np.testing.assert_allclose(np.linalg.svd(factors.triangle(table, "s", 6), compute_uv=False), values, rtol=1e-4)
+    np.testing.assert_allclose(factors.coefficient_spectrum(x)[0], values, rtol=1e-4)
+
+
+def test_factors_of_every_readout(spark):
+    table, g, f = features(spark)
+    q, s = factors.per_readout(table, f, 9, 0)
+    kept = factors.per_readout(table, f, 9, 0, keep_bytes=16 * 9 * 53)[1]
+    for source in (s, kept):
+        for d, (a, b) in enumerate([(0, 9), (9, 21)]):
+            own = whole(source.where(F.col("d") == d).drop("d"), 53, 9)
+            h = factors.phase_block(f[d], g)
+            error = np.linalg.norm(h - q[a:b] @ own.conj().T) / np.linalg.norm(h)
+            assert error < (1e-10 if d == 0 else 0.2)
+
+
+def test_sampled_bases_are_checked_on_other_voxels(spark):
+    table, g, f = features(spark, 300, rows=(30, 30, 30, 30))
+    q, s, report = factors.sampled_shared(table, f, 10, 2, samples=80, tol=1e-3, oversample=4)
+    assert len(report["readouts"]) == 2 and report["phase_check"]["held_out"] and report["condition"] < 100
+    h = np.concatenate([factors.phase_block(x, g) for x in f])
+    exact = np.linalg.norm(h - q @ whole(s, 300, q.shape[1]).conj().T) / np.linalg.norm(h)
+    assert abs(exact - report["phase_check"]["error"]) < 0.1 and exact < 0.2
+    with pytest.raises(ValueError, match="cannot"):
+        factors.sampled_shared(table, f, 10, 2, samples=3, oversample=4)
+    with pytest.raises(ValueError, match="choose"):
+        factors.sampled_shared(table, f, 10, 9, oversample=4)
+
+
+def test_snapshots_stand_for_all_rows(spark):
+    table, g, f = features(spark, 200, rows=(33,) * 5)
+    rows, weights, held = factors.snapshot_selection(table, f, 8, 3)
+    assert len(held) == 1 and len(set(rows.tolist())) == len(rows) == 8 and weights.sum() == 4 * 3
+    assert all(r // 33 not in held and (r % 33) in (0, 16, 32) for r in rows)
+    s, facts = factors.snapshot_space(table, np.concatenate(f), rows, 6, weights)
+    assert facts["rank"] == 6 and factors.orthogonality(s, 6) < 1e-9
+    check, audit, disjoint = factors.sample_rows([33] * 5, 1)
+    assert disjoint and all(not set(a) & set(b) and set(a) <= set(range(33 * d, 33 * d + 33)) for d, (a, b) in enumerate(zip(check, audit, strict=True)))
+    assert factors.sample_rows([2, 2], 1)[2] is False
+
+
+def test_joint_bases_pass_their_audit_or_are_none(spark):
+    table, g, f = features(spark, 400, rows=(40, 40, 40, 40))
+    q, s, report = factors.joint_basis(table, f, tol=0.25, samples=64)
+    assert report["passed"] and report["audit"] <= 0.25 and report["disjoint_times"]
+    for d, x in enumerate(f):
+        h = factors.phase_block(x, g)
+        assert np.linalg.norm(h - q[40 * d : 40 * d + 40] @ whole(s, 400, q.shape[1]).conj().T) / np.linalg.norm(h) < 0.3
+    assert factors.joint_basis(table, f, tol=1e-9, snapshots=4)[0] is None
+    for ordering in ("snapshot", "coefficients"):
+        q, s, _ = factors.fixed_basis(table, f, 6, 10, ordering, samples=64)
+        assert q.shape[1] == 6 and factors.relative_error(table, s, np.concatenate(f), q) < 0.6
+    with pytest.raises(ValueError, match="ordering"):
+        factors.fixed_basis(table, f, 6, 10, "none")
+
+
+def test_the_diagnostic_tells_space_from_fit(spark):
+    table, g, f = features(spark, 300)
+    rows = np.concatenate(f)
+    q, s = factors.rsvd(table, rows, 8, 4)
+    found = factors.projection_diagnostic(table, s, rows, q)
+    assert abs(found["defect"]) < 1e-10 and found["fit"] < found["space"]
+    off = factors.projection_diagnostic(table, s, rows, q + 0.1)
+    assert off["fit"] > 1.5 * found["fit"] and abs(off["space"] - found["space"]) < 1e-9
+    assert factors.expansion(off | {"space": 1.0, "fit": 2.0}, 0.1, 9, 9, 9) == "fit" and factors.expansion(None, 0.1, 9, 9, 9) == "fit"
+    far = {"space": 1.0, "fit": 0.1}
+    assert factors.expansion(far, 0.1, 20, 9, 9) == "parent" and factors.expansion(far, 0.1, 9, 9, 9) == "snapshots"
+
+
+@pytest.mark.parametrize("kernel", ["gridding", "separable"])
+@pytest.mark.parametrize("shape", [(7,), (12, 13), (5, 4, 3), (8, 1)])
+def test_transforms_against_the_dense_matrix(kernel, shape):
+    nodes, x, y = RNG.uniform(-1.3, 1.3, (40, len(shape))), RNG.normal(size=shape) + 1j * RNG.normal(size=shape), RNG.normal(size=40) + 1j * RNG.normal(size=40)
+    grid = np.stack(np.meshgrid(*[np.arange(n) - n // 2 for n in shape], indexing="ij"), -1).reshape(-1, len(shape))
+    a, t = np.exp(2j * np.pi * nodes @ grid.T), nufft.KERNELS[kernel](nodes, shape)
+    np.testing.assert_allclose(t.forward(x), a @ x.ravel(), atol=1e-10)
+    np.testing.assert_allclose(t.adjoint(y).ravel(), a.conj().T @ y, atol=1e-10)
+    with pytest.raises(ValueError, match="nodes"):
+        nufft.KERNELS[kernel](nodes, (*shape, 2))
+
+
+def lowrank_problem(spark, shape, n_samp=9, readouts=2):
+    nx, ny, nz = shape
+    spacing = (0.8, 1.3, 1.0)
+    at = np.array([(ix, iy, iz) for iz in range(nz) for iy in range(ny) for ix in range(nx)])
+    keep = np.ones(len(at), bool)
+    keep[[0, -1]] = False
+    xyz = (at - (np.array(shape) - 1) / 2) * spacing
+    v = pd.DataFrame({"v": np.arange(len(at)), "ix": at[:, 0], "iy": at[:, 1], "iz": at[:, 2], "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2], "b0": RNG.uniform(-25, 20, len(at))})[keep]
+    s = pd.DataFrame({"p": np.arange(n_samp * readouts), "d": np.repeat(np.arange(readouts), n_samp), "t": np.tile(np.arange(n_samp) * 1e-3, readouts)})
+    k = RNG.normal(size=(len(s), 9)) * np.array([0.1, 0.2, 0.2, 0.2 if nz > 1 else 0.05, *[0.01] * 5])
+    csm = RNG.normal(size=(len(v), 2)) + 1j * RNG.normal(size=(len(v), 2))
+    vox = spark.createDataFrame(v).withColumn("b", harmonics.terms(range(1, 10)))
+    samp = spark.createDataFrame(s.assign(k=k.tolist()))
+    coil = spark.createDataFrame(pd.DataFrame([(int(v["v"].iloc[i]), c, z.real, z.imag) for (i, c), z in np.ndenumerate(csm)], columns=["v", "c", "re", "im"]))
+    return v, s, k, csm, vox, samp, coil, spacing
+
+
+@pytest.mark.parametrize(("shape", "how"), [
+    ((6, 5, 1), dict(options=lowrank.Options(method="per_readout", rank=9, oversample=0))),
+    ((4, 5, 3), dict(options=lowrank.Options(rank=9, oversample=0, tol=1e-12), kernel="separable", coils=2, ranks=3)),
+    ((4, 5, 3), dict(options=lowrank.Options(method="per_readout", rank=9, oversample=0, keep_bytes=10**6), ranks=4)),
+])
+def test_lowrank_products_against_the_dense_matrix(spark, shape, how):
+    v, s, k, csm, vox, samp, coil, spacing = lowrank_problem(spark, shape)
+    op, a = lowrank.LowRankOp(samp, vox, shape, spacing, csm=coil, **how), dense(v, s, k, csm)
+    tol = dict(atol=1e-9)
+    assert op.shape == (36, len(v)) and op.H.shape == (len(v), 36)
+    x = RNG.normal(size=len(v)) + 1j * RNG.normal(size=len(v))
+    xt = spark.createDataFrame(pd.DataFrame({"v": v["v"].to_numpy(), "re": x.real, "im": x.imag}))
+    y = signal(op.forward(xt), (len(s), 2))
+    np.testing.assert_allclose(y, np.stack([m @ x for m in a], axis=1), **tol)
+    z = RNG.normal(size=(len(s), 2)) + 1j * RNG.normal(size=(len(s), 2))
+    zt = spark.createDataFrame(pd.DataFrame([(p, c, u.real, u.imag) for (p, c), u in np.ndenumerate(z)], columns=["p", "c", "re", "im"]))
+    back = pixels(op.adjoint(zt), int(v["v"].max()) + 1)[v["v"]]
+    np.testing.assert_allclose(np.vdot(y, z), np.vdot(x, back), atol=1e-9)
+    w = RNG.uniform(0, 2, len(s))
+    wt = spark.createDataFrame(pd.DataFrame({"p": s["p"], "w": w}))
+    plain = pixels(op.normal(xt, wt), int(v["v"].max()) + 1)[v["v"]]
+    np.testing.assert_allclose(plain, sum(m.conj().T @ (w * (m @ x)) for m in a), **tol)
+    if not op.own:
+        np.testing.assert_allclose(pixels(op.normal(xt, wt, by="channel"), int(v["v"].max()) + 1)[v["v"]], plain, atol=1e-9)
+        with pytest.raises(ValueError, match="readout"):
+            op.normal(xt, wt, by="readout")
+    else:
+        np.testing.assert_allclose(pixels(op.normal(xt, wt, by="readout"), int(v["v"].max()) + 1)[v["v"]], plain, atol=1e-9)
+    normal = op.normal_operator(wt)
+    assert op.normal_operator(wt) is normal
+    with pytest.raises(ValueError, match="release"):
+        op.normal_operator()
+    op.release()
+    with pytest.raises(ValueError, match="released"):
+        normal.forward(xt)
+    made = []
+    assert lowrank.rebuild(op, lambda: made.append(1) or op) is op and made and op.normal_operator() is not normal
+
+
+def test_weights_of_normal_products(spark):
+    p = np.array([3, 1])
+    table = lambda rows: spark.createDataFrame(rows, "p long, c int, w double")
+    assert lowrank.normal_weights(None, p, 2) is None
+    assert lowrank.normal_weights(table([(1, 0, 2.0), (3, 0, 5.0), (1, 1, 2.0), (3, 1, 5.0)]), p, 2).tolist() == [5, 2]
+    assert lowrank.normal_weights(table([(1, 0, 2.0), (3, 0, 5.0)]).drop("c"), p, 2).tolist() == [5, 2]
+    for bad, what in [([(1, 0, 2.0), (3, 0, -5.0)], "every coil"), ([(1, 0, 2.0), (3, 0, 5.0), (1, 1, 2.0), (3, 1, 4.0)], "same"), ([(1, 0, -2.0), (3, 0, 5.0), (1, 1, -2.0), (3, 1, 5.0)], "from 0"),
+                      ([(1, 0, 2.0), (1, 1, 2.0)], "from 0")]:
+        with pytest.raises(ValueError, match=what):
+            lowrank.normal_weights(table(bad), p, 2)
+
+
+@pytest.mark.parametrize("bad", [
+    dict(method="none"), dict(strategy="global"), dict(method="direct_shared", strategy="none"), dict(rank=0), dict(rank=30), dict(tol=0.0),
+    dict(method="direct_shared", strategy="global"), dict(method="direct_shared", strategy="global", eps=2.0), dict(method="direct_shared", strategy="global", eps=0.1, roi_tol=0.1),
+    dict(eps=0.1), dict(roi_tol=0.1), dict(recompress_tol=0.1, recompress_rank=2), dict(recompress_tol=-0.1), dict(recompress_rank=0), dict(method="per_readout", recompress_tol=0.1),
+    dict(method="direct_shared", recompress_rank=3), dict(weights=np.ones(3)), dict(coil_weighting=True), dict(method="per_readout", fit_samples=5), dict(fit_samples=0),
+    dict(readout_count=1), dict(fit_samples=5, readout_count=9), dict(keep_bytes=5), dict(method="per_readout", keep_bytes=-1),
+])
+def test_options_that_do_not_go_together(bad):
+    with pytest.raises(ValueError):
+        lowrank.Options(**bad).check(4, 30)
+    lowrank.Options(method="direct_shared", strategy="global", eps=0.1).check(4, 30)
+
+
+def test_failures_name_their_phase(spark):
+    with pytest.raises(RuntimeError, match="fit of readout 3: no"), lowrank.phase(spark, "fit of readout 3"):
+        raise ValueError("no")
 
 
 def test_adaptive_factors_pass_their_audit_or_are_none(spark):
     table, g, f = features(spark, 400)
     rows = np.concatenate(f)
-    q, s, report = factors.adaptive_factors(table, rows, 0.1, snapshots=4, most=16)
-    assert q is not None and report[-1]["rank"] == q.shape[1]
-    assert np.linalg.norm(factors.phase_block(rows, g) - q @ whole(s, 400, q.shape[1]).conj().T) / np.sqrt(400 * len(rows)) < 0.12
-    assert factors.adaptive_factors(table, rows, 1e-9, snapshots=4, most=4)[0] is None
+    q, s, report = factors.adaptive_factors(table, f, 0.3, snapshots=1, samples=16, parent=4, most=16, step=4)
+    assert q is not None and report[-1]["rank"] == q.shape[1] and len(report) > 1
+    assert {r["cause"] for r in report[:-1]} <= {"fit", "parent", "snapshots"}
+    assert np.linalg.norm(factors.phase_block(rows, g) - q @ whole(s, 400, q.shape[1]).conj().T) / np.sqrt(400 * len(rows)) < 0.32
+    assert factors.adaptive_factors(table, rows, 1e-9, snapshots=4, samples=16, parent=4, most=4, most_snapshots=4, most_samples=16)[0] is None
 
 
 def test_paired_errors_draw_from_all_voxels(spark):
@@ -293,6 +514,19 @@ def test_density_weights_are_normalised():
     assert abs((w**2).mean() - 1) < 1e-12 and w[-1] > w[1]
 
 
+def test_stacks_are_written_in_the_order_of_their_numbers(tmp_path):
+    at = lambda z: geometry.Geometry("GE", (0.2, 0.2, 0.004), (4, 3, 1), t_pcs=(0, 0, z))
+    x = RNG.normal(size=(4, 3, 3)).astype(np.float32)
+    m = nifti.write_stack(x, [at(0.02), at(0.0), at(0.01)], [3, 1, 2], str(tmp_path / "s.nii.gz"))
+    back, again = nifti.read(str(tmp_path / "s.nii.gz"))
+    np.testing.assert_array_equal(back, x[:, :, [1, 2, 0]])
+    assert abs(np.linalg.norm(m[:, 2]) - 10) < 1e-4 and np.allclose(m, again) and abs(m[2, 3]) < 1e-6
+    nifti.write_complex_stack(x + 1j, [at(0.0), at(0.01), at(0.02)], [1, 2, 3], str(tmp_path / "c"))
+    np.testing.assert_allclose(nifti.read(str(tmp_path / "c_mag.nii.gz"))[0], np.hypot(x, 1), rtol=1e-6)
+    with pytest.raises(ValueError, match="one slice"):
+        nifti.write_stack(x, [at(0.0)], [1], str(tmp_path / "e.nii.gz"))
+
+
 def test_library_does_not_import_the_corpus_operators():
     import subprocess
     import sys
