@@ -272,13 +272,17 @@ def merge_basis(basis: DataFrame | None, coeff: list[np.ndarray], new: DataFrame
 
 def shared_factors(voxels: DataFrame, readouts: list[np.ndarray], rank: int, tol: float = 1e-2, most: int = 128, oversample: int = 5, seed: int = 1234,
                    which: list[int] | None = None, cut: Callable[[DataFrame], DataFrame] = shared.cut) -> tuple[list[np.ndarray], list[np.ndarray], DataFrame]:
-    """Incremental shared basis of the readouts ``which`` (all): their U_d and C_d, so that H_d = U_d C_d^H S^H, and S (v, s)."""
+    """Incremental shared basis of the readouts ``which`` (all): their U_d and C_d, so that H_d = U_d C_d^H S^H, and S (v, s).
+
+    Readouts of fewer samples than ``rank`` are taken at full rank.
+    """
     basis, coeff, us = None, [], []
     for d in range(len(readouts)) if which is None else which:
-        u, spatial_ = rsvd(voxels, readouts[d], rank, oversample, seed + d, cut=cut)
+        own = min(rank, len(readouts[d]))
+        u, spatial_ = rsvd(voxels, readouts[d], own, min(oversample, len(readouts[d]) - own), seed + d, cut=cut)
         us.append(u)
         before = basis
-        basis, coeff = merge_basis(basis, coeff, spatial_, rank, tol, most)
+        basis, coeff = merge_basis(basis, coeff, spatial_, own, tol, most)
         if basis is not before:
             basis = cut(basis)
     return us, coeff, basis
@@ -588,7 +592,7 @@ def sample_errors(f: np.ndarray, rows: list[np.ndarray], points: pd.DataFrame, q
 
 
 def joint_basis(voxels: DataFrame, readouts: list[np.ndarray], tol: float = 1e-2, snapshots: int = 256, samples: int = 512, most: int = 128, roi_tol: float | None = None,
-                seed: int = 1234, pool: int = 8192, random: int = 1024, roi: int = 128) -> tuple[np.ndarray | None, DataFrame | None, dict]:
+                seed: int = 1234, pool: int = 8192, random: int = 1024, roi: int = 128, every: int = 16) -> tuple[np.ndarray | None, DataFrame | None, dict]:
     """One basis for all readouts whose sampled errors are below 0.9 tol in every one, and below tol in an audit.
 
     Snapshots give the basis, a fit on voxels of a pool the coefficients; ranks 1, 8, 16, ... are
@@ -609,8 +613,8 @@ def joint_basis(voxels: DataFrame, readouts: list[np.ndarray], tol: float = 1e-2
     sets = [rest[:n], rest[n:] if len(rest) > n else rest[:n]]
     top = voxels.join(places, "v").orderBy(F.desc(F.abs(F.col("g")[0])), "j").limit(size + 2 * n + roi).select("j").toPandas()["j"].to_numpy()
     by_field = [top[~np.isin(top, np.concatenate([own, s]))][:roi] for s in sets]
-    check = sample_rows(lengths, seed + 2)
-    chosen, weights, held = snapshot_selection(voxels, readouts, snapshots, seed + 3)
+    check = sample_rows(lengths, seed + 2, every=every)
+    chosen, weights, held = snapshot_selection(voxels, readouts, snapshots, seed + 3, every)
     basis, facts = snapshot_space(voxels, f, chosen, min(most, size, 2 * min(samples, size)), weights)
     basis = shared.cut(basis)
     both = basis.join(voxels, "v")
@@ -643,7 +647,7 @@ def coefficient_spectrum(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fixed_basis(voxels: DataFrame, readouts: list[np.ndarray], rank: int, parent: int | None = None, ordering: str = "snapshot", snapshots: int = 256,
-                samples: int = 512, pool: int = 8192, seed: int = 1234) -> tuple[np.ndarray, DataFrame, dict]:
+                samples: int = 512, pool: int = 8192, seed: int = 1234, every: int = 16) -> tuple[np.ndarray, DataFrame, dict]:
     """A basis of a given rank without any check: the first directions of the snapshots, or of the coefficients' spectrum."""
     parent = rank if parent is None else parent
     if ordering not in ("snapshot", "coefficients") or not 1 <= rank <= parent:
@@ -651,7 +655,7 @@ def fixed_basis(voxels: DataFrame, readouts: list[np.ndarray], rank: int, parent
     f = np.concatenate(readouts)
     places, count = numbered(voxels)
     places = shared.cut(places)
-    chosen, weights, _ = snapshot_selection(voxels, readouts, snapshots, seed + 3)
+    chosen, weights, _ = snapshot_selection(voxels, readouts, snapshots, seed + 3, every)
     basis, facts = snapshot_space(voxels, f, chosen, parent, weights)
     basis = shared.cut(basis)
     if facts["rank"] < rank:
@@ -697,7 +701,7 @@ def expansion(diagnostic: dict | None, eps: float, resolved: int, width: int, ca
 
 def adaptive_factors(voxels: DataFrame, f: np.ndarray | list[np.ndarray], eps: float, snapshots: int = 128, samples: int = 512, parent: int = 32, most: int = 128,
                      most_snapshots: int = 512, most_samples: int = 2048, pool: int = 8192, attempts: int = 8, step: int = 16, condition: float = 1e4,
-                     seed: int = 1234) -> tuple[np.ndarray | None, DataFrame | None, list[dict]]:
+                     seed: int = 1234, every: int = 16) -> tuple[np.ndarray | None, DataFrame | None, list[dict]]:
     """Factors with a global relative error below ``eps``, as far as paired entries of all of H tell.
 
     Snapshots give a parent basis, a fit on voxels of a bounded pool the coefficients, their
@@ -716,7 +720,7 @@ def adaptive_factors(voxels: DataFrame, f: np.ndarray | list[np.ndarray], eps: f
     js, basis = drawn(np.random.default_rng(seed), count, pool), None
     for attempt in range(attempts):
         if basis is None:
-            chosen, weights, _ = snapshot_selection(voxels, readouts, snapshots, seed + 3)
+            chosen, weights, _ = snapshot_selection(voxels, readouts, snapshots, seed + 3, every)
             basis, facts = snapshot_space(voxels, f, chosen, parent, weights)
             basis = shared.cut(basis)
             fit_on = rows_at(basis.join(voxels, "v"), places, js)

@@ -78,7 +78,7 @@ class Options:
 
 def build(options: Options, voxels: DataFrame, readouts: list[np.ndarray], csm: DataFrame | None = None) -> tuple[np.ndarray, DataFrame, dict]:
     """q, the spatial factor (v, s) or (d, v, s), and a report, by the method of ``options``."""
-    o = options.check(len(readouts), min(map(len, readouts)))
+    o = options.check(len(readouts), max(map(len, readouts)))
     if o.method == "per_readout":
         q, basis = factors.per_readout(voxels, readouts, o.rank, o.oversample, o.seed, o.keep_bytes)
         return q, basis, {"rank": q.shape[1]}
