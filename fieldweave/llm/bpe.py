@@ -668,10 +668,11 @@ def word_counts(docs: DataFrame, tokenizer, text: str = "text") -> DataFrame:
     return counts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def encode(docs: DataFrame, tokenizer, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids): ids as little-endian unsigned 32-bit numbers, for every row of ``docs``.
+def encode(docs: DataFrame, tokenizer, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """(key, ids[, text]): ids as little-endian unsigned 32-bit numbers, for every row of ``docs``.
 
-    ``tokenizer`` comes from ``share``.  Special tokens are recognised in texts, none are added.
+    ``tokenizer`` comes from ``share`` or ``share_for``.  With ``decoded`` the ids are decoded in the
+    same task, as ``decode`` does it.  Special tokens are recognised in texts, none are added.
     Defined cases: null and empty texts give no ids; rows with equal keys stay apart; other
     columns are not read; an empty table gives no rows.
     """
@@ -680,17 +681,20 @@ def encode(docs: DataFrame, tokenizer, key: str = "doc_id", text: str = "text")
 
     def run(batches):
         tok = tokenizer_of(tokenizer)
+        read = tok.decoder() if decoded else None
         for batch in batches:
             at = 0
             for texts in text_runs(batch.column(1)):
                 flat, first = tok.encode(texts)
-                flat = flat.astype("<u4")
-                ids = pa.array([flat[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), ids], names=["key", "ids"])
+                flat, edges = flat.astype("<u4"), list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+                columns = [batch.column(0).slice(at, len(texts)), pa.array([flat[a:b].tobytes() for a, b in edges], pa.binary())]
+                if decoded:
+                    columns.append(pa.array([read(flat[a:b]) for a, b in edges], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "ids", "text"][: len(columns)])
                 at += len(texts)
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, ids binary").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, ids binary" + ", text string" * decoded).withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, tokenizer, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -718,7 +722,7 @@ def op2_bpe_transducer(spark, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     tokenizer = share_for(docs, public_tokenizers.path("word_bpe_49k.json"))
-    out = decode(encode(docs, tokenizer), tokenizer)
+    out = encode(docs, tokenizer, decoded=True)
     return out.select(
         "doc_id",
         F.expr("octet_length(ids) div 4").alias("n_tokens"),

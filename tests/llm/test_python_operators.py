@@ -436,6 +436,8 @@ def test_encode_and_decode_tables(spark, library):
         ids = lib.encode(t or "", add_special_tokens=False).ids
         want.append((k, np.array(ids, "<u4").tobytes(), lib.decode(ids, skip_special_tokens=False)))
     assert sorted(((r.doc_id, bytes(r.ids), r.text) for r in out), key=str) == sorted(want, key=str)
+    at_once = bpe.encode(table(spark, rows), shared, decoded=True).collect()
+    assert sorted(((r.doc_id, bytes(r.ids), r.text) for r in at_once), key=str) == sorted(want, key=str)
     assert bpe.encode(table(spark, []), shared).count() == 0
 
 
