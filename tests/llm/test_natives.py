@@ -166,6 +166,21 @@ def test_shards_are_even_and_gapless(spark, law):
     assert max(r.curve for r in out if r.shard == 2) <= min(r.curve for r in out if r.shard == 3)
 
 
+@pytest.mark.parametrize("law", ["rows", "bytes"])
+def test_shards_are_cut_from_the_order_of_the_curve_by_hand(spark, law):
+    rows = [(i * 37 % 151 if i % 11 else None, "w " * (i * i % 83)) for i in range(151)] + [(3, ""), (3, ""), (3, "")]
+    out = sharding.shard_by_curve(table(spark, rows), shards=9, law=law).collect()
+    ordered = sorted(out, key=lambda r: (r.curve, r.doc_id is not None, r.doc_id or 0, r.text_crc32))
+    weights = [1 if law == "rows" else r.size for r in ordered]
+    before, slots, want = 0, {}, []
+    for r, w in zip(ordered, weights, strict=True):
+        shard = before * 9 // sum(weights)
+        want.append((r.doc_id, r.text_crc32, shard, slots.setdefault(shard, 0)))
+        slots[shard] += 1
+        before += w
+    assert sorted(want, key=str) == sorted(((r.doc_id, r.text_crc32, r.shard, r.slot) for r in out), key=str)
+
+
 def test_no_shards_of_nothing_and_one_row(spark):
     assert sharding.shard_by_curve(table(spark, [])).count() == 0
     assert [(r.shard, r.slot) for r in sharding.shard_by_curve(table(spark, [(1, "a")])).collect()] == [(0, 0)]
