@@ -260,7 +260,8 @@ def resample(source: DataFrame, src: Geometry, targets: dict[int, Geometry], spa
     summed = stencil.join(src_rows, ["ix", "iy", "iz"]).groupBy("target", *keys, "v").agg(F.sum(F.col("_w") * F.col(value)).alias(value))
     frame = points.select("target", "v").distinct()
     if keys:
-        frame = frame.crossJoin(F.broadcast(src_rows.select(*keys).distinct()))
+        # Every volume gets the whole frame; neither side is of a known size.
+        frame = src_rows.select(*keys).distinct().crossJoin(frame)
     return frame.join(summed, ["target", *keys, "v"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
