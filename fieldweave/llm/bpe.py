@@ -63,10 +63,11 @@ class PairMap:
         self.shift = np.uint64(64 - (len(keys).bit_length() - 1))
 
     @staticmethod
-    def build(left, right, value) -> PairMap:
+    def build(left, right, value, room: float = 2.0) -> PairMap:
+        """``room`` slots at least for each pair: more of them are found faster and take more space."""
         key = (np.asarray(left, np.int64) << np.int64(21)) | np.asarray(right, np.int64)
         value = np.asarray(value, np.int64)
-        bits = max(int(len(key) * 5 // 4).bit_length(), 4)
+        bits = max(int(len(key) * room).bit_length(), 4)
         keys, values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
         slot = ((key.astype(np.uint64) * textvec._MULT) >> np.uint64(64 - bits)).astype(np.int64)
         left_over = np.arange(len(key))
@@ -240,7 +241,7 @@ class Tokenizer:
         lexicon = sorted({w for w in (self.meta["words"] if words is None else words) if w})
         table, final, root = compile_lexicon(lexicon)
         ids, counts = self.merge_words(lexicon)
-        arcs = PairMap.build(table[:, 0], table[:, 1], table[:, 2] << np.int64(21) | table[:, 3])
+        arcs = PairMap.build(table[:, 0], table[:, 1], table[:, 2] << np.int64(21) | table[:, 3], 1.25)
         arrays = self.a | {
             "arc_keys": arcs.keys, "arc_values": arcs.values, "final": final.astype(np.int8), "root": root,
             "word_ids": ids.astype(np.int32), "word_from": np.concatenate([[0], np.cumsum(counts)]).astype(np.int32),
