@@ -80,6 +80,26 @@ def rps_roundtrip(spark, sf_dir):
     return rounded(vox, ["x", "y", "z"])
 
 
+#: Every position of the one vendor that has them all, and the others' only one.
+_FRAMES = [("SIEMENS", p) for p in geometry.PATIENT_TO_DEVICE] + [(v, "HFS") for v in geometry.NOMINAL_SIGN if v != "SIEMENS"]
+_TURNS = ", ".join(f"('{v}', '{p}', {', '.join(f'{x}e0' for row in geometry.PATIENT_TO_DEVICE[p] for x in row)}, {geometry.NOMINAL_SIGN[v]}e0)" for v, p in _FRAMES)
+
+
+@query(f"""WITH t(vendor, position, a, b, c, d, e, f, g, h, i, s) AS (VALUES {_TURNS})
+SELECT vendor, position, {r('a * 0.125e0 + b * -0.25e0 + c * 0.5e0')} AS tx, {r('d * 0.125e0 + e * -0.25e0 + f * 0.5e0')} AS ty, {r('g * 0.125e0 + h * -0.25e0 + i * 0.5e0')} AS tz,
+ {r('s * (3 * (b * 0.6e0 + c * -0.8e0) + 5 * (b * 0.8e0 + c * 0.6e0) + 7 * a)')} AS gx, {r('s * (3 * (e * 0.6e0 + f * -0.8e0) + 5 * (e * 0.8e0 + f * 0.6e0) + 7 * d)')} AS gy,
+ {r('s * (3 * (h * 0.6e0 + i * -0.8e0) + 5 * (h * 0.8e0 + i * 0.6e0) + 7 * g)')} AS gz FROM t""")
+def geometry_frames(spark, sf_dir):
+    """Offsets and one gradient in device axes for every vendor and position."""
+    out = None
+    for vendor, position in _FRAMES:
+        geo = geometry.Geometry(vendor, GEO.fov, GEO.matrix, position, GEO.t_pcs, GEO.r_rps_pcs)
+        row = spark.createDataFrame([(vendor, position, *geo.t_dcs, 3.0, 5.0, 7.0)], "vendor string, position string, tx double, ty double, tz double, gx double, gy double, gz double")
+        row = geometry.rotate_gradients(row, geo)
+        out = row if out is None else out.unionByName(row)
+    return rounded(out, ["tx", "ty", "tz", "gx", "gy", "gz"])
+
+
 _GRAD = "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity AS gx, l_discount AS gy, l_tax AS gz FROM lineitem"
 
 
@@ -173,6 +193,14 @@ def recon_terms_select(spark, sf_dir):
     return rows.select("p", *[snapped(F.col("k")[i]).alias(f"k{i + 1}") for i in range(9)])
 
 
+@query(f"""SELECT p, {', '.join(f"{r(f'q{i}' if i in (1, 2, 3) else ('0e0' if i == 0 or i > 8 else f'k{i}'))} AS k{i + 1}" for i in range(16))} FROM ({roles.SAMP_SQL}) q""")
+def recon_terms_third_order(spark, sf_dir):
+    """Sixteen terms, of which the second order alone is kept and the first is nominal."""
+    wide = lambda c: F.concat(F.col(c), F.slice(c, 1, 7))
+    rows = roles.samples(spark, sf_dir).withColumn("k", harmonics.select_orders(wide("k"), wide("k_dot"), 16, "0010"))
+    return rows.select("p", *[snapped(F.col("k")[i]).alias(f"k{i + 1}") for i in range(16)])
+
+
 _ORDER = "CASE WHEN t = 1 THEN 0 WHEN t <= 4 THEN 1 WHEN t <= 9 THEN 2 ELSE 3 END"
 
 
@@ -201,6 +229,13 @@ def threshold_mask(spark, sf_dir):
     return imaging.magnitude_mask(roles.voxels(spark, sf_dir), 1.2).select("v", "masked")
 
 
+@query(f"SELECT v, v % 7 <> 0 AND sqrt(re * re + im * im) > 1.2e0 AS masked FROM {_VOX}")
+def threshold_mask_nan(spark, sf_dir):
+    """What is not a number is below every threshold."""
+    vox = roles.voxels(spark, sf_dir).withColumn("re", F.when(F.col("v") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("re")))
+    return imaging.magnitude_mask(vox, 1.2).select("v", "masked")
+
+
 # ------------------------------------------------------------------ time series
 
 _SHOT = f"({roles.SHOT_SQL}) q"
@@ -597,6 +632,14 @@ def resize_real(spark, sf_dir):
     return rounded(imaging.resize(roles.images(spark, sf_dir), (8, 8), (5, 12), ["n"]), ["x"])
 
 
+@query(f"""WITH a AS ({_STENCIL.format(n=5)}), b AS ({_STENCIL.format(n=12)}), q AS (SELECT n, i, j, sqrt(x * x + (0.5e0 * x + 0.3e0) ** 2) AS m, atan2(0.5e0 * x + 0.3e0, x) AS p FROM {_IMG} q),
+z AS (SELECT n, a.o::INT AS i, b.o::INT AS j, sum(m * a.w * b.w) AS m, sum(p * a.w * b.w) AS p FROM q JOIN a ON a.at = q.i JOIN b ON b.at = q.j GROUP BY 1, 2, 3)
+SELECT n, i, j, {r('m * cos(p)')} AS re, {r('m * sin(p)')} AS im FROM z""")
+def resize_complex(spark, sf_dir):
+    img = roles.images(spark, sf_dir).select("n", "i", "j", F.col("x").alias("re"), (F.col("x") * 0.5 + 0.3).alias("im"))
+    return rounded(imaging.resize_complex(img, (8, 8), (5, 12), ["n"]), ["re", "im"])
+
+
 @query(f"""WITH f AS (SELECT a::INT AS a, b::INT AS b, cos({TAU!r}e0 * (a - 4) * (b - 4) / 8) / 8 AS c, -sin({TAU!r}e0 * (a - 4) * (b - 4) / 8) / 8 AS s FROM range(8) p(a), range(8) q(b)),
 h AS (SELECT n, j, b AS i, sum(x * c) AS re, sum(x * s) AS im FROM {_IMG} q JOIN f ON a = i GROUP BY n, j, b)
 SELECT n, i, b AS j, {r('sum(re * c - im * s)')} AS re, {r('sum(re * s + im * c)')} AS im FROM h JOIN f ON a = j GROUP BY n, i, b""")
