@@ -117,7 +117,7 @@ def _placed(slim: DataFrame, shards: int, law: str, bits: int) -> DataFrame:
         cells = scratch.keep(cells, "name-cells").hint("merge")
         slim = slim.join(cells, F.col(name).eqNullSafe(F.col(f"_n{i}")))
     slim = slim.withColumn("curve", hilbert_index([*by_number, *[F.col(f"_c{i}") for i in range(len(names))]], bits))
-    slim = slim.select("_key", "size", "text_crc32", "curve", "_row")
+    slim = scratch.keep(slim.select("_key", "size", "text_crc32", "curve", "_row"), "curve")
     weight = F.lit(1).cast("long") if law == "rows" else F.col("size")
     placed = numbered(slim, ["curve", "_key", "text_crc32", "_row"], {"_at": weight, "_rank": F.lit(1).cast("long")})
     total = slim.agg(F.sum(weight).alias("n")).first()["n"] or 1
