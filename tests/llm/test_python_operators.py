@@ -573,6 +573,42 @@ def test_the_penalty_frees_group_names_from_blame(spark):
     assert gap[10.0] < 0.5 * gap[0.0]
 
 
+def test_features_are_the_words_and_their_beginnings():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["Abc", "abcdefghij", "é", "ab", "abd", "über-alles", "x" * 40]) for _ in range(rng.randrange(9))) for _ in range(40)] + [None, ""]
+    want = []
+    for t in texts:
+        words = [w.encode() for w in words_of(t)]
+        want.append({(w, 0) for w in words} | {(w[:k], k) for w in words for k in toxicity.PREFIXES if len(w) > k})
+    got = [set() for _ in texts]
+    for i, _, values, docs in toxicity.text_features(pa.array(texts, pa.string())):
+        for v, d in zip(values.tolist(), docs.tolist(), strict=True):
+            got[i + d].add(v)
+    assert list(map(len, got)) == list(map(len, want))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        assert len(got[a] & got[b]) == len(want[a] & want[b])
+
+
+def test_training_minimises_its_objective():
+    rng = np.random.default_rng(2)
+    x, y = (rng.random((200, 6)) < 0.4).astype(np.float32), (rng.random(200) < 0.3).astype(int)
+    c = rng.normal(size=(30, 6))
+    change = c.T @ c / 30
+    w, b = toxicity.train(x, y, change, l2=1e-2, counterfactual=0.3, steps=20_000)
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+
+    def loss(w, b):
+        z = x @ w + b
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() + 1e-2 * (w @ w) / 2 + 0.3 * (w @ change @ w) / 2
+
+    best = loss(w, b)
+    for _ in range(200):
+        step = rng.normal(size=7) * rng.choice([1e-3, 1e-2, 0.1])
+        assert loss(w + step[:6], b + step[6]) >= best - 1e-9
+    none = toxicity.train(x, y, 0 * change, l2=1e-2)[0]
+    assert none @ change @ none > w @ change @ w
+
+
 def test_every_sentence_of_a_text_is_rewritten():
     text = "The muslims met. Nothing here! A\n\nblack cat? " + "More words. " * 50
     got = list(toxicity.rewritten(text))
