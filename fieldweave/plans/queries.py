@@ -900,7 +900,8 @@ def sampled_shared_report(spark, sf_dir):
 def snapshot_basis_error(spark, sf_dir):
     """Bases of a fixed rank in both orders, from snapshots, fitted on a pool of voxels."""
     g, readouts = _features(spark, sf_dir)
-    f, rank = np.concatenate(readouts), 24
+    f = np.concatenate(readouts)
+    rank = min(24, -(-len(f) // 3))
     found = {}
     for ordering in ("snapshot", "coefficients"):
         q, basis, _ = factors.fixed_basis(g, readouts, rank, min(32, len(f)), ordering, every=2)
@@ -953,8 +954,9 @@ def recompress_error(spark, sf_dir):
 @query()
 def lowrank_forward_vs_explicit(spark, sf_dir):
     """A recompressed, coil-weighted shared basis against the explicit product."""
-    shortest = roles.samples(spark, sf_dir).groupBy("d").count().agg(F.min("count")).first()[0]
-    options = lowrank.Options(rank=min(15, shortest - 2), oversample=2, tol=1e-4, recompress_tol=1e-3, coil_weighting=True)
+    longest = roles.samples(spark, sf_dir).groupBy("d").count().agg(F.max("count")).first()[0]
+    rank = max(min(15, longest - 2), 1)
+    options = lowrank.Options(rank=rank, oversample=min(2, longest - rank), tol=1e-4, recompress_tol=1e-3, coil_weighting=True)
     op, image = _lowrank(spark, sf_dir, options, coils=5)
     explicit, _ = _op(spark, sf_dir)
     both = op.forward(image).join(explicit.forward(image).withColumnsRenamed({"re": "er", "im": "ei"}), ["p", "c"])
