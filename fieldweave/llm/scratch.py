@@ -68,7 +68,7 @@ def unused(docs: DataFrame, name: str) -> str:
 
 
 #: Bytes and rows that Arrow hands to Python at once: some texts have megabytes, and some rows few bytes.
-BATCH_BYTES, BATCH_ROWS = 2 << 20, 20_000
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 20_000
 
 
 def prepare(spark: SparkSession) -> None:
