@@ -2,8 +2,8 @@
 
 The words of the corpus are counted, and the driver compiles the frequent ones and their ids (or,
 without a corpus, the vocabulary's own words) into an automaton in which equal suffixes share states; each arc carries a number, and the sum along a word's path is the word's place in the table of
-ids.  The automaton is one blob of arrays that each executor writes to a file once and all its
-Python workers map into memory.
+ids.  The automaton is one blob of arrays that a Python worker writes to a nameless file once and maps
+into memory.
 
 A batch of texts is split into words in numpy; the distinct words walk the automaton in lockstep,
 and words it does not hold are merged exactly, all at once: in each round every word applies its
@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import os
 import tempfile
 import unicodedata
 from collections.abc import Iterator
@@ -171,11 +170,6 @@ def _arrays(data: np.ndarray) -> tuple[dict[str, np.ndarray], dict]:
     return out, head["meta"]
 
 
-def _digest(path: str) -> str:
-    with open(path, "rb") as f:
-        return hashlib.blake2b(f.read(), digest_size=12).hexdigest()
-
-
 # ---------------------------------------------------------------- the tokenizer
 
 
@@ -256,18 +250,16 @@ class Tokenizer:
 
     @staticmethod
     def mapped(blobs: tuple[bytes, bytes]) -> Tokenizer:
-        """A tokenizer whose lexicon is a memory-mapped file, written once per temporary folder."""
+        """A tokenizer whose lexicon is a memory-mapped file."""
         arrays, meta = _arrays(np.frombuffer(blobs[1], np.uint8))
         if not blobs[0]:
             return Tokenizer(arrays, meta)
-        digest = hashlib.blake2b(blobs[0], digest_size=12).hexdigest()
-        name = os.path.join(tempfile.gettempdir(), f"lexicon-{digest}")
-        if not os.path.exists(name) or _digest(name) != digest:
-            own = f"{name}.{os.getpid()}"
-            with open(own, "wb") as f:
-                f.write(blobs[0])
-            os.replace(own, name)
-        lexicon, _ = _arrays(np.asarray(np.memmap(name, np.uint8, "r")))
+        # The file has no name, so nothing is left of it when the process ends.
+        with tempfile.TemporaryFile() as f:
+            f.write(blobs[0])
+            f.flush()
+            mapped = np.memmap(f, np.uint8, "r")
+        lexicon, _ = _arrays(np.asarray(mapped))
         return Tokenizer(arrays | lexicon, meta)
 
     # ---- encoding
@@ -643,12 +635,37 @@ def share(spark, path: str, words: list[str] | None = None):
 def share_for(docs: DataFrame, path: str, text: str = "text", frequent: int = FREQUENT):
     """The tokenizer at ``path`` with the ``frequent`` most frequent words of ``docs`` as its lexicon, broadcast.
 
-    All words of all texts are counted (ties go by the word); only the chosen ones reach the driver.
+    All words of all texts are counted; only the chosen ones reach the driver.
     """
     spark, plain = docs.sparkSession, Tokenizer.load(path)
-    counts = word_counts(docs, _shared(spark, plain), text)
-    top = counts.orderBy(F.desc("n"), "word").limit(frequent).select("word").collect()
-    return _shared(spark, plain.with_words([r["word"] for r in top]))
+    counts = scratch.keep(word_counts(docs, _shared(spark, plain), text), "word-counts")
+    return _shared(spark, plain.with_words(_top_words(counts, frequent)))
+
+
+#: Steps between a power of two and the next one, by which counts are told apart at first.
+STEPS = 256
+
+
+def _top_words(counts: DataFrame, most: int) -> list[str]:
+    """The ``most`` most frequent words of (word, n), without sending more of them to the driver than that.
+
+    A histogram of the counts gives the least count that all fit above; of the words of that step
+    as many as there is room for are taken by a hash.
+    """
+    level = F.char_length(F.bin("n")) - 1
+    power = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+    step = F.floor((F.col("n") - power) * STEPS / power).cast("int")
+    placed = counts.withColumn("rank", level * STEPS + step)
+    sizes = placed.groupBy("rank").agg(F.count(F.lit(1)).alias("c")).collect()  # 64 * STEPS rows at most
+    room, cut, share = most, 0, 1.0
+    for r in sorted(sizes, key=lambda r: -r["rank"]):
+        if r["c"] > room:
+            cut, share = r["rank"], room / r["c"]
+            break
+        room -= r["c"]
+    chosen = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20))
+    top = placed.where((F.col("rank") > cut) | ((F.col("rank") == cut) & chosen)).select("word", "n").collect()
+    return [r["word"] for r in sorted(top, key=lambda r: (-r["n"], r["word"]))[:most]]
 
 
 def word_counts(docs: DataFrame, tokenizer, text: str = "text") -> DataFrame:

@@ -412,6 +412,19 @@ def test_frequent_words_of_a_corpus_are_compiled_and_serve_it(spark, library):
         assert flat[first[i] : first[i + 1]].tolist() == want.ids
 
 
+def test_the_most_frequent_words_are_chosen_within_their_number(spark):
+    rng = random.Random(6)
+    counts = {f"w{i}": rng.choice([1, 1, 1, 2, 3, 5, 8, 1000, 10**9 + i]) for i in range(3000)}
+    df = spark.createDataFrame(list(counts.items()), "word string, n long")
+    order = sorted(counts.values(), reverse=True)
+    for most in (0, 1, 10, 400, 1500, 2999, 3000, 9999):
+        got = bpe._top_words(df, most)
+        assert len(got) == len(set(got)) <= most and len(got) >= 0.9 * min(most, 3000) - 3
+        # Among words of about one count any may stand for another.
+        assert not got or min(counts[w] for w in got) >= order[min(most, 3000) - 1] * 0.99
+    assert bpe._top_words(df.where("n < 0"), 5) == []
+
+
 def test_word_counts_cover_all_texts(spark, library, monkeypatch):
     import public_tokenizers
 
