@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, embed_dedup, exact_dedup, line_dedup, near_dedup, packing, sharding, substring_dedup, toxicity
+from . import bpe, chat_format, embed_dedup, exact_dedup, filter_audit, line_dedup, near_dedup, packing, quality, sharding, spelling, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_embed_dedup": embed_dedup.op9_embed_dedup,
         "op10_hilbert_shards": sharding.op10_hilbert_shards,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_quality_discriminant": quality.op12_quality_discriminant,
+        "op13_spelling_variants": spelling.op13_spelling_variants,
     }
 
 
@@ -30,4 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": exact_dedup.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
         "op9_embed_dedup": embed_dedup.ORACLE,
+        "op11_filter_audit": filter_audit.ORACLE,
+        "op13_spelling_variants": spelling.ORACLE,
     }
