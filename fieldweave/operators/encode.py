@@ -6,9 +6,11 @@ Samples are (p, t, k array) and voxels (v, b0, b array).  There are two implemen
 
 ``block`` (the default) packs both sides into blocks of numbers, lets every sample block meet every
 voxel block by an equi-join, and multiplies matrices: a real product for the phases, one complex
-product over all coils.  A task adds up the blocks of one output before it hands on anything, so
-neither side is ever held whole and only partial sums of outputs are shuffled.  With a cache the
-blocks of phase factors are written once and serve all products.
+product over all coils.  Sample blocks are the smaller ones, so copies of them go to where the voxel
+blocks are (where those are few, samples are dealt to groups, and each group has the voxel blocks).
+The pairs are multiplied where they meet: what is shuffled afterwards is sums of outputs, added up
+within each task.  With a cache the blocks of phase factors are written once, bucketed by pair, and
+stay where they are: the blocks of values come to them.
 
 ``sql`` evaluates the phase inside whole-stage code: a voxel table of a proven size goes to every
 task, a larger one is cut into parts which every sample meets.
@@ -16,6 +18,8 @@ task, a larger one is cut into parts which every sample meets.
 
 from __future__ import annotations
 
+import copy
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,8 +36,12 @@ BROADCAST_BYTES = 64 << 20
 PART = 50_000
 #: Samples and voxels of a block, at most and at least.
 SAMPLES, VOXELS, LEAST = 1024, 8192, 64
+#: Voxels of a block whose phase factors are cached, at most: a block's factors are one value of a file.
+CACHED_VOXELS = 1024
 #: Bytes of cached phase factors, at most, unless the caller allows more.
 CACHE_BYTES = 8 << 30
+#: Bytes of unfinished sums that a task holds.
+HELD_BYTES = 64 << 20
 
 
 def dot(k: str, b: str, n: int) -> Column:
@@ -105,7 +113,10 @@ def _real(data: bytes, rows: int) -> np.ndarray:
 
 
 def _sums(out: str, ids: str, product: Callable[[dict, int, int], np.ndarray]):
-    """mapInArrow over pairs of blocks sorted by the output's block: (id, c, re, im), summed over each run of one block."""
+    """mapInArrow over pairs of blocks: (id, c, re, im), summed over the pairs of each output block that a task meets.
+
+    Sums of HELD_BYTES at most wait for further pairs; beyond that the one that waited longest is handed on.
+    """
 
     def emit(keys: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
         n, m = total.shape
@@ -116,21 +127,34 @@ def _sums(out: str, ids: str, product: Callable[[dict, int, int], np.ndarray]):
         )
 
     def run(batches: Iterator[pa.RecordBatch]):
-        now, keys, total = None, None, None
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        size = 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                if row[out] != now:
-                    if now is not None:
-                        yield emit(keys, total)
-                    now, keys, total = row[out], np.frombuffer(row[ids], np.int64), 0
-                total = total + product(row, len(row["ps"]) // 8, len(row["vs"]) // 8)
-        if now is not None:
-            yield emit(keys, total)
+            for row in block_rows(batch):
+                at, value = row[out], product(row, len(row["ps"]) // 8, len(row["vs"]) // 8)
+                keys, total = held.pop(at, (None, None))
+                if keys is None:
+                    keys, total = np.frombuffer(row[ids], np.int64).copy(), np.zeros_like(value)
+                    size += total.nbytes
+                total += value
+                held[at] = keys, total
+                while size > HELD_BYTES and len(held) > 1:
+                    oldest = held.pop(next(iter(held)))
+                    size -= oldest[1].nbytes
+                    yield emit(*oldest)
+        for part in held.values():
+            yield emit(*part)
 
     return run
 
 
+def block_rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch as dicts; binaries are not copied."""
+    columns = {n: batch.column(n) for n in batch.schema.names}
+    for i in range(batch.num_rows):
+        yield {n: c[i].as_buffer() if pa.types.is_binary(c.type) and c[i].is_valid else c[i].as_py() for n, c in columns.items()}
+
+
 def _factors(row: dict, m: int, n: int) -> np.ndarray:
     if row.get("phase") is not None:
         return _complex(row["phase"], m)
@@ -148,7 +172,7 @@ class ExplicitOp:
     ``k`` and ``b`` hold ``n_terms`` numbers; ``k_dot`` in samples gives the derivative of ``k``.
     Voxels are the masked ones only; their number fixes the normalisation.  ``blocks`` gives the
     numbers of sample and voxel blocks (default: by their counts and the cores at hand).
-    ``cache=True`` keeps all phase factors (16 bytes for each sample and voxel, at most ``cache_bytes``).
+    ``cache=True`` writes all phase factors to the shared folder (16 bytes for each sample and voxel, at most ``cache_bytes``).
     """
 
     def __init__(self, samples: DataFrame, voxels: DataFrame, n_terms: int, csm: DataFrame | None = None, implementation: str = "block",
@@ -171,19 +195,39 @@ class ExplicitOp:
             if facts["lo"] != facts["hi"] or facts["lo"] < n_terms:
                 raise ValueError(f"{what} must have {n_terms} terms")
         self.coils = 1 if csm is None else csm.agg(F.max("c").alias("c")).first()["c"] + 1
-        self._blocks, self._cached = blocks or self._default_blocks(), None
+        self._cached: str | None = None
+        self._blocks = blocks or self._default_blocks(CACHED_VOXELS if cache else VOXELS)
         if min(self._blocks) < 1:
             raise ValueError("there must be a block at least")
+        # Where voxel blocks are few, samples are dealt to groups, each with copies of the voxel blocks.
+        self._deals = min(-(-2 * self._cores() // self._blocks[1]), self._blocks[0])
         if cache:
             need = 16 * self.count * self.sample_count
             if need > cache_bytes:
                 raise ValueError(f"the phase factors take {need} bytes; {cache_bytes} are allowed")
-            self._cached = shared.cut(self._pairs(self._sample_blocks(), self._voxel_blocks()).mapInArrow(_phases, PHASES))
+            self._write_cache()
+
+    def _cores(self) -> int:
+        return self.voxels.sparkSession.sparkContext.defaultParallelism
 
-    def _default_blocks(self) -> tuple[int, int]:
-        cores = self.voxels.sparkSession.sparkContext.defaultParallelism
+    def _default_blocks(self, voxels: int) -> tuple[int, int]:
+        cores = self._cores()
         size = lambda n, most: max(min(-(-n // (4 * cores)), most), min(LEAST, n))
-        return -(-self.sample_count // size(self.sample_count, SAMPLES)), -(-self.count // size(self.count, VOXELS))
+        return -(-self.sample_count // SAMPLES), -(-self.count // size(self.count, voxels))
+
+    def _write_cache(self) -> None:
+        """Writes all phase factors as a table bucketed by pair, to which products bring their values."""
+        spark = self.voxels.sparkSession
+        name = f"fieldweave_phases_{uuid.uuid4().hex}"
+        # Not fewer buckets than shuffles have partitions, or Spark would shuffle the table rather than the values.
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * self._cores())
+        pairs = self._pairs(self._sample_blocks(), self._voxel_blocks()).withColumn("pair", self._pair()).repartition(buckets, "pair")
+        path = f"{shared.shared_dir(spark)}/fieldweave/{name}"
+        pairs.mapInArrow(_phases, PHASES).write.bucketBy(buckets, "pair").option("path", path).option("compression", "none").saveAsTable(name)
+        self._cached, self._path = name, path
+
+    def _pair(self) -> Column:
+        return F.col("sb").cast("long") * self._blocks[1] + F.col("vb")
 
     @property
     def shape(self) -> tuple[int, int]:
@@ -195,8 +239,12 @@ class ExplicitOp:
         return Adjoint(self)
 
     def close(self) -> None:
-        """Lets go of the cached phase factors; products still work."""
-        self._cached = None
+        """Deletes the cached phase factors; products made from now on still work, those not yet run do not."""
+        if self._cached is not None:
+            spark = self.voxels.sparkSession
+            spark.sql(f"DROP TABLE IF EXISTS {self._cached}")
+            shared.drop(spark, self._path)
+            self._cached = None
 
     def phase(self) -> Column:
         return F.col("t") * F.col("b0") + dot("k", "b", self.n)
@@ -213,14 +261,20 @@ class ExplicitOp:
 
     def _pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """Every sample block beside every voxel block."""
-        return left.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(self._blocks[1] - 1)))).join(right, "vb")
+        left = left.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(self._blocks[1] - 1)))).withColumn("deal", F.col("sb") % self._deals)
+        right = right.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(self._deals - 1))))
+        return left.join(right.hint("merge"), ["vb", "deal"])
 
     def _product(self, left: DataFrame, right: DataFrame, out: str, ids: str, product) -> DataFrame:
-        pairs = self._pairs(left, right)
-        if self._cached is not None:
-            pairs = pairs.join(self._cached, ["sb", "vb"]).drop("f")
-        # One row is a block: few of them go to Python at once.
-        pairs = pairs.repartition(self._blocks[0] if out == "sb" else self._blocks[1], out).sortWithinPartitions("sb", "vb")
+        if self._cached is None:
+            pairs = self._pairs(left, right)
+        else:
+            # The blocks of values, for each pair, meet the factors in the buckets those lie in.
+            one, other = ("vb", "sb") if out == "sb" else ("sb", "vb")
+            values = (right if out == "sb" else left).select(one, "z")
+            n = self._blocks[0] if other == "sb" else self._blocks[1]
+            values = values.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(self._pair().alias("pair"), "z")
+            pairs = self.voxels.sparkSession.table(self._cached).join(values.hint("shuffle_hash"), "pair")
         rows = pairs.mapInArrow(_sums(out, ids, product), "id long, c int, re double, im double")
         scale = self.count**-0.5
         return rows.groupBy("id", "c").agg((F.sum("re") * scale).alias("re"), (F.sum("im") * scale).alias("im"))
@@ -230,6 +284,16 @@ class ExplicitOp:
         sums = [F.sum(F.when(F.col("c") == c, F.col(x)).otherwise(F.lit(0.0))) for c in range(self.coils) for x in (re, im)]
         return df.groupBy(key).agg(F.array(*sums).alias("z"))
 
+    def _uncached(self) -> ExplicitOp:
+        op = copy.copy(self)
+        op._cached = None
+        return op
+
+    def _filled(self, rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+        """``rows`` with their z of ``values``, or zeros: blocks of values have all rows of a block, as those of factors do."""
+        zeros = F.array(*[F.lit(0.0)] * (2 * self.coils))
+        return rows.join(values, key, "left").withColumn("z", F.coalesce("z", zeros))
+
     # ---- products
 
     def _weighted(self, image: DataFrame) -> DataFrame:
@@ -244,11 +308,12 @@ class ExplicitOp:
     def forward(self, image: DataFrame, derivative: bool = False) -> DataFrame:
         """Signal (p, c, re, im) of an image (v, re, im); ``derivative`` multiplies by 2 pi i k_dot . b."""
         if self.implementation == "block":
-            voxels = self.voxels.join(self._coil_arrays(self._weighted(image).select("v", "c", "zr", "zi"), "v", "zr", "zi"), "v")
+            voxels = self._filled(self.voxels, self._coil_arrays(self._weighted(image).select("v", "c", "zr", "zi"), "v", "zr", "zi"), "v")
             right = self._voxel_blocks(of=voxels, z=F.col("z"))
             left = self._sample_blocks(of=self.samples, fd=F.slice("k_dot", 1, self.n)) if derivative else self._sample_blocks()
-            factors = _derivative if derivative else _factors
-            return self._product(left, right, "sb", "ps", lambda row, m, n: factors(row, m, n) @ _complex(row["z"], n)).withColumnRenamed("id", "p")
+            if derivative:  # the cache has no derivatives
+                return self._uncached()._product(left, right, "sb", "ps", lambda row, m, n: _derivative(row, m, n) @ _complex(row["z"], n)).withColumnRenamed("id", "p")
+            return self._product(left, right, "sb", "ps", lambda row, m, n: _factors(row, m, n) @ _complex(row["z"], n)).withColumnRenamed("id", "p")
         z = self._weighted(image).groupBy("v").agg(
             F.first("b0").alias("b0"), F.first("b").alias("b"), F.sort_array(F.collect_list(F.struct("c", "zr", "zi"))).alias("z")
         )
@@ -267,7 +332,7 @@ class ExplicitOp:
         """Image (v, re, im) of a signal (p, c, re, im); on ``grid`` (v) voxels outside are 0."""
         if self.implementation == "block":
             signal = self._coil_arrays(signal, "p", "re", "im")
-            left = self._sample_blocks(of=self.samples.join(signal, "p"), z=F.col("z"))
+            left = self._sample_blocks(of=self._filled(self.samples, signal, "p"), z=F.col("z"))
             sums = self._product(left, self._voxel_blocks(), "vb", "vs", lambda row, m, n: _factors(row, m, n).conj().T @ _complex(row["z"], m))
             sums, scale = sums.withColumnRenamed("id", "v"), 1.0
         else:
@@ -332,18 +397,17 @@ def axpby(x: DataFrame, y: DataFrame | None, keys: list[str], alpha: complex, be
     return both.groupBy(*keys).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
-PHASES = "sb int, vb int, phase binary"
+PHASES = "pair long, sb int, vb int, ps binary, vs binary, phase binary"
 
 
 def _phases(batches: Iterator[pa.RecordBatch]):
     """mapInArrow: pairs of blocks -> their phase factors."""
+    kinds = {"pair": pa.int64(), "sb": pa.int32(), "vb": pa.int32(), "ps": pa.binary(), "vs": pa.binary()}
     for batch in batches:
-        for i in range(batch.num_rows):
-            row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+        for row in block_rows(batch):
             phase = phase_factors(_real(row["f"], len(row["ps"]) // 8), _real(row["g"], len(row["vs"]) // 8))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row["sb"]], pa.int32()), pa.array([row["vb"]], pa.int32()), pa.array([phase.tobytes()], pa.binary())], names=["sb", "vb", "phase"]
-            )
+            own = [pa.array([row[n] if k != pa.binary() else row[n].to_pybytes()], k) for n, k in kinds.items()]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([phase.tobytes()], pa.binary())], names=[*kinds, "phase"])
 
 
 def delay_step(residual: DataFrame, slope: DataFrame, keys: list[str], factor: float) -> DataFrame:
