@@ -20,7 +20,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,9 +44,10 @@ FEW = 100_000
 SEED_ROWS = 1 << 16
 #: Texts are read so many times, each time for a part of the seeds: so the seeds on their way take less disk.
 PASSES = 2
-#: Of one document in SAMPLE the seeds are counted.  Those that HOT of them have, MOST_HOT at most, are dealt
-#: to SALTS tasks: that spreads the work and changes nothing else.
-SAMPLE, HOT, MOST_HOT, SALTS = 64, 100, 4096, 32
+#: Of one document in SAMPLE the seeds are counted.  Those that HOT of them have are dealt to SALTS tasks, ranges of the
+#: documents' order: that spreads the work and changes nothing else.  Of more than MOST_HOT the most frequent are dealt; any
+#: other seed then has less than one in MOST_HOT of all occurrences.
+SAMPLE, HOT, MOST_HOT, SALTS = 64, 100, 1 << 18, 32
 #: Words on either side of a seed of which its row tells two bits each.
 NEAR = 16
 #: Occurrences of a seed in one text that are nearer than this are one occurrence of a window.
@@ -127,45 +128,33 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(*sides) <= (NEAR + DROP) // 3
 
 
+def alike(a: Column, b: Column) -> Column:
+    """``_alike`` of two columns of surroundings."""
+    x = a.bitwiseXOR(b)
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
+    sides = F.bit_count(x.bitwiseAND(F.lit(0xFFFFFFFF))), F.bit_count(F.shiftrightunsigned(x, 32))
+    return F.least(*sides) <= (NEAR + DROP) // 3
+
+
 class Hot:
-    """Seeds that very many documents have, and the seeds that stand for them, one for each of SALTS parts of the documents."""
+    """Seeds that very many documents have: their occurrences are dealt to ranges of the documents' order."""
 
     def __init__(self, seeds_: np.ndarray):
-        salts = np.arange(SALTS, dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            parts = self.salted(np.repeat(seeds_, SALTS), np.tile(salts, len(seeds_)))
-        order = np.argsort(parts)
-        self.seeds, self.parts, self.of = np.sort(seeds_), parts[order], np.repeat(seeds_, SALTS)[order]
-
-    @staticmethod
-    def salted(h: np.ndarray, salt: np.ndarray) -> np.ndarray:
-        return textvec.mix(h + (salt.astype(np.uint64) + np.uint64(1)) * textvec._MULT)
-
-    @staticmethod
-    def _among(values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(values, x), max(len(values) - 1, 0))
-        return at, values[at] == x if len(values) else np.zeros(len(x), bool)
-
-    def spread(self, h: np.ndarray, salt: np.ndarray) -> np.ndarray:
-        """The seeds, hot ones by their parts."""
+        self.seeds = np.sort(seeds_)
+
+    def salts(self, h: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The range ``own`` of each document, from 1, for hot seeds, and 0 for others."""
         if not len(self.seeds):
-            return h
-        hot = np.flatnonzero(self._among(self.seeds, h)[1])
-        h = h.copy()
-        h[hot] = self.salted(h[hot], salt[hot])
-        return h
+            return np.zeros(len(h), np.int32)
+        at = np.minimum(np.searchsorted(self.seeds, h), len(self.seeds) - 1)
+        return np.where(self.seeds[at] == h, own, 0).astype(np.int32)
 
-    def is_part(self, h: np.ndarray) -> np.ndarray:
-        return self._among(self.parts, h)[1]
 
-    def whole(self, h: np.ndarray) -> np.ndarray:
-        """The seeds that parts stand for; others as they are."""
-        at, part = self._among(self.parts, h)
-        return np.where(part, self.of[at], h) if len(self.parts) else h
+NONE_HOT = Hot(np.zeros(0, np.uint64))
 
 
 def _seed_rows(turn_of: int | None, hot: Hot):
-    """mapInArrow: (k, t, text, salt) -> (h, k, t, p, near), one row for each seed whose h is ``turn_of`` modulo
+    """mapInArrow: (k, t, text, range) -> (h, k, t, p, near, salt), one row for each seed whose h is ``turn_of`` modulo
     PASSES (all where it is None).
 
     The n-th time a seed stands in a document, it is a seed of its own: so a text that repeats
@@ -188,44 +177,40 @@ def _seed_rows(turn_of: int | None, hot: Hot):
                         own = h % np.uint64(PASSES) == turn_of
                         at, h = at[own], h[own]
                     doc, near = words.doc[at], surroundings(words, at)
-                    h = hot.spread(h, batch.column(3).to_numpy()[i:j][doc])
+                    salt = hot.salts(h, batch.column(3).to_numpy()[i:j][doc])
                 p = (at - words.first[doc]).astype(np.int32)
                 for a in range(0, len(at), SEED_ROWS):
                     part = slice(a, a + SEED_ROWS)
                     rows = pa.array(doc[part] + i)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[part].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(p[part]), pa.array(near[part].view(np.int64))],
+                        [pa.array(h[part].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(p[part]), pa.array(near[part].view(np.int64)), pa.array(salt[part])],
                         names=SEED,
                     )
 
     return run
 
 
-SEED = ["h", "k", "t", "p", "near"]
-
-
-def _repeated(hot: Hot):
-    """mapInArrow over rows sorted by h: those whose h another row has, and all of parts of hot seeds."""
+SEED = ["h", "k", "t", "p", "near", "salt"]
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held[0], table])
-            h = table.column("h").to_numpy()
-            same = np.concatenate([[False], h[1:] == h[:-1], [False]])
-            keep = same[1:] | same[:-1] | hot.is_part(h.view(np.uint64))
-            # The last row may be met by the next batch.
-            last = bool(keep[-1])
-            if held is not None:
-                keep[0] = keep[0] and not held[1]
-            yield from table.take(pa.array(np.flatnonzero(keep))).combine_chunks().to_batches()
-            held = table.slice(len(h) - 1, 1), last
 
-    return run
+def _repeated(batches):
+    """mapInArrow over rows sorted by h and salt: those whose h and salt another row has, and all of hot seeds."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held[0], table])
+        h, salt = (table.column(c).to_numpy() for c in ("h", "salt"))
+        same = np.concatenate([[False], (h[1:] == h[:-1]) & (salt[1:] == salt[:-1]), [False]])
+        keep = same[1:] | same[:-1] | (salt > 0)
+        # The last row may be met by the next batch.
+        last = bool(keep[-1])
+        if held is not None:
+            keep[0] = keep[0] and not held[1]
+        yield from table.take(pa.array(np.flatnonzero(keep))).combine_chunks().to_batches()
+        held = table.slice(len(h) - 1, 1), last
 
 
 def _changed(column: pa.Array) -> np.ndarray:
@@ -241,44 +226,42 @@ def _changed(column: pa.Array) -> np.ndarray:
     return new
 
 
-def _linked(hot: Hot):
-    """mapInArrow over (h, k, t, p, near) sorted so -> (k, t, ck, ct, p, q, h, n, near): every later occurrence with
+MATCH = ["k", "t", "ck", "ct", "p", "q", "h", "n", "near", "salt", "bits"]
+
+
+def _linked(batches):
+    """mapInArrow over (h, k, t, p, near, salt) sorted by h, salt, k, t, p -> MATCH: every later occurrence with
     the first one of its seed, n earlier documents having it; near: their surroundings are alike.
 
     Rows stream past: only the first and the last occurrence of a seed are held from batch to batch.
-    The first occurrence of each part of a hot seed is told with itself, n holding its surroundings.
+    All occurrences of hot seeds are told, with the first one and the n of their range of documents, and their surroundings.
     """
-
-    def run(batches):
-        held, before = None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            table = table.combine_chunks()
-            new = _changed(table.column("h"))
-            doc = new | _changed(table.column("k")) | _changed(table.column("t"))
-            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            rank = np.cumsum(doc)
-            n = rank - rank[first]
-            later = n > 0
-            h, near = (table.column(c).to_numpy().view(np.uint64) for c in ("h", "near"))
-            alone = new & hot.is_part(h)
-            if held is not None:
-                later[:2] = alone[:2] = False
-                n[first == 0] += before - n[1]
-            at = np.flatnonzero(later | alone)
-            rows, firsts = table.take(pa.array(at)), table.take(pa.array(first[at]))
-            columns = [rows.column("k"), rows.column("t"), firsts.column("k"), firsts.column("t"), rows.column("p"), firsts.column("p")]
-            columns = [c.combine_chunks() for c in columns]
-            told = np.where(alone[at], near[at].view(np.int64), n[at])
-            more = [pa.array(hot.whole(h[at]).view(np.int64)), pa.array(told), pa.array(_alike(near[at], near[first[at]]) & ~alone[at])]
-            yield pa.RecordBatch.from_arrays([*columns, *more], names=["k", "t", "ck", "ct", "p", "q", "h", "n", "near"])
-            held, before = pa.concat_tables([table.slice(int(first[-1]), 1), table.slice(len(new) - 1, 1)]), int(n[-1])
-
-    return run
+    held, before = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        table = table.combine_chunks()
+        new = _changed(table.column("h")) | _changed(table.column("salt"))
+        doc = new | _changed(table.column("k")) | _changed(table.column("t"))
+        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        rank = np.cumsum(doc)
+        n = rank - rank[first]
+        salt = table.column("salt").to_numpy()
+        told = (n > 0) | (salt > 0)
+        near = table.column("near").to_numpy().view(np.uint64)
+        if held is not None:
+            told[:2] = False
+            n[first == 0] += before - n[1]
+        at = np.flatnonzero(told)
+        rows, firsts = table.take(pa.array(at)), table.take(pa.array(first[at]))
+        columns = [rows.column("k"), rows.column("t"), firsts.column("k"), firsts.column("t"), rows.column("p"), firsts.column("p"), rows.column("h")]
+        bits = pa.array(near[at].view(np.int64), mask=salt[at] == 0)
+        more = [pa.array(n[at].astype(np.int64)), pa.array(_alike(near[at], near[first[at]])), rows.column("salt").combine_chunks(), bits]
+        yield pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in columns], *more], names=MATCH)
+        held, before = pa.concat_tables([table.slice(int(first[-1]), 1), table.slice(len(new) - 1, 1)]), int(n[-1])
 
 
 # ---------------------------------------------------------------- chaining
@@ -491,8 +474,8 @@ def _rare(doc: np.ndarray, p: np.ndarray, n: np.ndarray, least: int) -> tuple[np
     return order[pick], lo[pick], hi[pick]
 
 
-def _window_rows(least: int):
-    """mapInArrow: (k, t, text, places) -> (h, k, t, p, near): the runs of ``least`` words that hold a seed at one of the places.
+def _window_rows(least: int, hot: Hot):
+    """mapInArrow: (k, t, text, places, range) -> (h, k, t, p, near, salt): the runs of ``least`` words that hold a seed at one of the places.
 
     Equal runs of a text less than APART words apart are told once: so a text that repeats itself has few.
     """
@@ -522,9 +505,10 @@ def _window_rows(least: int):
                         h.append(own[keep])
                         doc.append(np.full(len(keep), d))
                 at, h, doc = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, h, doc))
-                rows = pa.array(doc.astype(np.int64))
+                rows, h = pa.array(doc.astype(np.int64)), h.astype(np.uint64)
+                salt = hot.salts(h, batch.column(4).to_numpy()[doc.astype(np.int64)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.astype(np.uint64).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(np.zeros(len(at), np.int64))],
+                    [pa.array(h.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(np.zeros(len(at), np.int64)), pa.array(salt)],
                     names=SEED,
                 )
 
@@ -563,6 +547,34 @@ def _grown(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
     return size, int(same[:size].sum())
 
 
+#: An insertion or deletion of so many words at most is grown over where so many of the words after it agree.
+SHIFT, AFTER, AGREE = 3, 8, 6
+
+
+def _grown_over(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
+    """As ``_grown``, over insertions and deletions too: words of x, words of y, and how many agree."""
+    i = j = same = 0
+    while True:
+        n, more = _grown(x[i:], y[j:])
+        i, j, same = i + n, j + n, same + more
+        best, skip = AGREE - 1, None
+        for s in [(a, b) for a in range(SHIFT + 1) for b in range(SHIFT + 1) if a != b]:
+            left, right = x[i + s[0] : i + s[0] + AFTER], y[j + s[1] : j + s[1] + AFTER]
+            if len(left) == len(right) == AFTER and (left == right).sum() > best:
+                best, skip = int((left == right).sum()), s
+        if skip is None:
+            return i, j, same
+        i, j = i + skip[0], j + skip[1]
+
+
+def widened(x: np.ndarray, y: np.ndarray, x0: int, y0: int, span: list[int], same: int) -> tuple[list[int], int]:
+    """An aligned span with ``same`` equal words, grown at both ends over insertions and deletions."""
+    a, b, c, d = span
+    left, up, more = _grown_over(x[: a - x0][::-1], y[: c - y0][::-1])
+    right, down, rest = _grown_over(x[b - x0 :], y[d - y0 :])
+    return [a - left, b + right, c - up, d + down], same + more + rest
+
+
 def align(x: np.ndarray, y: np.ndarray, x0: int, y0: int, segs: np.ndarray, span: list[int]) -> tuple[list[int], int]:
     """The chain's span (a, b, c, d), grown at both ends, and how many of its words agree.
 
@@ -626,6 +638,9 @@ def found_in(x: np.ndarray, y: np.ndarray, x0: int, y0: int, segs: np.ndarray, s
     whole, same = align(x, y, x0, y0, segs, span)
     if whole[1] - whole[0] >= least and 100 * same >= percent * max(whole[1] - whole[0], whole[3] - whole[2]):
         return [(whole, same)]
+    wide, more = widened(x, y, x0, y0, whole, same)
+    if wide[1] - wide[0] >= least and 100 * more >= percent * max(wide[1] - wide[0], wide[3] - wide[2]):
+        return [(wide, more)]
     runs, out = _pieces(x, y, x0, y0, segs), []
     if not len(runs):
         return out
@@ -684,9 +699,10 @@ def _windows(batches):
 
 
 def _likely(batch: pa.RecordBatch, least: int, percent: int) -> np.ndarray:
-    """Which chains may hold a passage: of those of one segment, the ones with enough equal words on its diagonal.
+    """Which chains may hold a passage: of those of one segment, the ones with enough equal words near its diagonal.
 
-    Such a chain only grows along its diagonal, so a passage in it has percent * least / 100 equal words there.
+    Such a chain grows along its diagonal or, over insertions and deletions, beside it.  On each side of its start the words
+    are compared at shifts up to SHIFT; the best of both sides together must be what a passage of ``least`` words needs.
     """
     n = batch.num_rows
     sides = []
@@ -697,17 +713,29 @@ def _likely(batch: pa.RecordBatch, least: int, percent: int) -> np.ndarray:
         data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         sides.append((np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), "<u4"), (offsets - offsets[0]) // 4))
     (x, xs), (y, ys) = sides
-    a, c, lo, clo = (batch.column(name).to_numpy().astype(np.int64) for name in ("a", "c", "lo", "clo"))
+    sizes = np.frombuffer(batch.column("segs").buffers()[1], np.int32)[batch.column("segs").offset :][: n + 1]
+    lone = np.flatnonzero(np.diff(sizes) == 12)
+    a, c, lo, clo = (batch.column(name).to_numpy().astype(np.int64)[lone] for name in ("a", "c", "lo", "clo"))
     x0, y0 = np.maximum(lo, 0), np.maximum(clo, 0)
-    start = np.maximum(x0, y0 + a - c)
-    size = np.maximum(np.minimum(x0 + np.diff(xs), y0 + np.diff(ys) + a - c) - start, 0)
-    upto = np.concatenate([[0], np.cumsum(size)])
-    inside = np.arange(upto[-1]) - np.repeat(upto[:-1], size)
-    left = np.repeat(xs[:-1] + start - x0, size) + inside
-    right = np.repeat(ys[:-1] + start - (a - c) - y0, size) + inside
-    same = np.concatenate([[0], np.cumsum(x[left] == y[right])])
-    one = np.diff(np.frombuffer(batch.column("segs").buffers()[1], np.int32)[batch.column("segs").offset :][: n + 1]) == 12
-    return np.flatnonzero(~one | (100 * (same[upto[1:]] - same[upto[:-1]]) >= percent * least))
+    x_end, y_end = x0 + np.diff(xs)[lone], y0 + np.diff(ys)[lone]
+
+    def equal(start: np.ndarray, end: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """Equal words at places start..end of x and shift beyond them of y."""
+        start = np.maximum(np.maximum(start, x0), y0 - shift)
+        size = np.maximum(np.minimum(np.minimum(end, x_end), y_end - shift) - start, 0)
+        upto = np.concatenate([[0], np.cumsum(size)])
+        inside = np.arange(upto[-1]) - np.repeat(upto[:-1], size)
+        left = np.repeat(xs[lone] + start - x0, size) + inside
+        right = np.repeat(ys[lone] + start + shift - y0, size) + inside
+        same = np.concatenate([[0], np.cumsum(x[left] == y[right])])
+        return same[upto[1:]] - same[upto[:-1]]
+
+    before = after = np.zeros(len(lone), np.int64)
+    for s in range(-SHIFT, SHIFT + 1):
+        before, after = np.maximum(before, equal(x0, a, c - a + s)), np.maximum(after, equal(a, x_end, c - a + s))
+    likely = np.ones(n, bool)
+    likely[lone] = 100 * (before + after) >= percent * least
+    return np.flatnonzero(likely)
 
 
 def _aligned(least: int, percent: int):
@@ -742,29 +770,49 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("k"), F.hash(value).alias("t"), value.alias("text"))
 
 
-def _hot_seeds(rows: DataFrame, shape: str) -> Hot:
+def _in_ranges(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``range``, 1 to SALTS: ranges of the documents' order, of about as many documents each by a bounded sample."""
+    some = rows.select(F.struct("k", "t").alias("d")).orderBy(F.xxhash64("d")).limit(100 * SALTS)
+    edges = some.agg(F.sort_array(F.collect_list("d")).alias("ds")).select(
+        F.transform(F.sequence(F.lit(1), F.lit(SALTS - 1)), lambda i: F.get("ds", F.floor(i * F.size("ds") / SALTS).cast("int"))).alias("edges")
+    )
+    above = F.size(F.filter("edges", lambda e: e <= F.struct("k", "t")))
+    return rows.join(F.broadcast(edges)).withColumn("range", (above + 1).cast("int")).drop("edges")  # one row
+
+
+def _hot_seeds(rows: DataFrame, seeds_of, shape: str) -> Hot:
+    """The most frequent seeds of a sample of the documents; ``seeds_of`` makes a mapInArrow of the hot seeds known."""
     sample = rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(SAMPLE)) == 0)
-    counts = sample.mapInArrow(_seed_rows(None, Hot(np.zeros(0, np.uint64))), shape).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.where(F.col("n") >= HOT).orderBy(F.desc("n"), "h").limit(MOST_HOT).collect()
-    return Hot(np.array([r["h"] for r in top], np.int64).view(np.uint64))
+    counts = sample.mapInArrow(seeds_of(NONE_HOT), shape).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.where(F.col("n") >= HOT).orderBy(F.desc("n"), "h").limit(MOST_HOT).select("h").toArrow()  # 8 bytes each
+    return Hot(top.column("h").to_numpy().view(np.uint64))
 
 
 def _meetings(found: DataFrame, kind: str, hot: Hot) -> DataFrame:
-    """(k, t, ck, ct, p, q, h, n, near) of seeds (h, k, t, p, near): the later occurrences, each with the first one.
+    """(k, t, ck, ct, p, q, h, n, near) of seeds (h, k, t, p, near, salt): the later occurrences, each with the first one.
 
-    Occurrences of hot seeds meet the first one of their part, and those meet the first one of all.
+    The occurrences of a hot seed are ranked within ranges of the documents' order.  The first occurrence of all is that of
+    the first range that has one, and the documents of the ranges before are added to the rank: just as without ranges.
     """
-    shape = f"k {kind}, t int, ck {kind}, ct int, p int, q int, h long, n long, near boolean"
+    shape = f"k {kind}, t int, ck {kind}, ct int, p int, q int, h long, n long, near boolean, salt int, bits long"
     # Most seeds stand once: they go before the rows are put in the order of documents.
-    again = found.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated(hot), found.schema)
-    out = scratch.keep(again.sortWithinPartitions("h", "k", "t", "p").mapInArrow(_linked(hot), shape), "matches")
+    again = found.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_repeated, found.schema)
+    out = scratch.keep(again.sortWithinPartitions("h", "salt", "k", "t", "p").mapInArrow(_linked, shape), "matches")
     scratch.release(found.sparkSession)
+    plain = out.where("salt = 0").drop("salt", "bits")
     if not len(hot.seeds):
-        return out
-    alone = F.col("k").eqNullSafe(F.col("ck")) & (F.col("t") == F.col("ct"))
-    firsts = out.where(alone).select("h", "k", "t", "p", F.col("n").alias("near"))
-    firsts = firsts.repartition("h").sortWithinPartitions("h", "k", "t", "p").mapInArrow(_linked(Hot(np.zeros(0, np.uint64))), shape)
-    return out.where(~alone).unionByName(scratch.keep(firsts, "hot-matches"))
+        return plain
+    parts = out.where("salt > 0")
+    facts = parts.groupBy("h", "salt").agg((F.max("n") + 1).alias("docs"), F.min(F.struct("k", "t", "p", "bits")).alias("f"))
+    order = Window.partitionBy("h").orderBy("salt")  # SALTS rows at most
+    facts = facts.select(
+        "h", "salt", F.coalesce(F.sum("docs").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.first("f").over(order).alias("f")
+    )
+    facts = scratch.keep(facts, "hot-firsts")
+    parts = parts.join(facts.hint("merge"), ["h", "salt"]).withColumn("n", F.col("n") + F.col("before")).where("n > 0")
+    near = alike(F.col("bits"), F.col("f.bits"))
+    parts = parts.select("k", "t", F.col("f.k").alias("ck"), F.col("f.t").alias("ct"), "p", F.col("f.p").alias("q"), "h", "n", near.alias("near"))
+    return plain.unionByName(scratch.keep(parts, "hot-matches"))
 
 
 def _chains(matches: DataFrame, kind: str, size: int, least: int) -> DataFrame:
@@ -786,10 +834,10 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     scratch.prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rows = _keyed(docs, key, text)
-    shape = f"h long, k {kind}, t int, p int, near long"
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("t", "k"), F.lit(SALTS)).cast("int"))
-    hot = _hot_seeds(salted, shape)
-    parts = [_meetings(salted.mapInArrow(_seed_rows(i, hot), shape), kind, hot) for i in range(PASSES)]
+    shape = f"h long, k {kind}, t int, p int, near long, salt int"
+    ranged = _in_ranges(rows)
+    hot = _hot_seeds(ranged, lambda hot: _seed_rows(None, hot), shape)
+    parts = [_meetings(ranged.mapInArrow(_seed_rows(i, hot), shape), kind, hot) for i in range(PASSES)]
     matches = functools.reduce(DataFrame.unionByName, parts)
     chained = _chains(matches, kind, K, min_words)
     one = scratch.keep(_verified(rows, chained.where("kind = 0"), kind, min_words, percent), "passages")
@@ -801,8 +849,9 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     # Where those seeds stand: later places are in matches, and the first ones in what these point to.
     places = matches.select("h", "k", "t", "p").unionByName(matches.select("h", F.col("ck").alias("k"), F.col("ct").alias("t"), F.col("q").alias("p")))
     places = places.join(own.hint("merge"), "h", "left_semi").groupBy("k", "t").agg(F.collect_set("p").alias("places"))
-    texts = _texts(rows, scratch.keep(places, "places"), "places")
-    whole = _meetings(texts.mapInArrow(_window_rows(min_words), shape), kind, Hot(np.zeros(0, np.uint64)))
+    texts = _in_ranges(_texts(rows, scratch.keep(places, "places"), "places"))
+    hot = _hot_seeds(texts, lambda hot: _window_rows(min_words, hot), shape)
+    whole = _meetings(texts.mapInArrow(_window_rows(min_words, hot), shape), kind, hot)
     two = _verified(rows, _chains(whole, kind, min_words, min_words), kind, min_words, percent)
     return _longest(one.unionByName(scratch.keep(two, "passages")))
 

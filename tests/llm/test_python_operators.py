@@ -235,38 +235,86 @@ def test_both_ways_of_fetching_texts_agree(spark, monkeypatch):
 
 def test_links_do_not_depend_on_batches():
     rng = random.Random(2)
-    rows = sorted((rng.choice([0, 1, 2, 3, 4, *range(50, 500)]), rng.randrange(8), rng.randrange(2), rng.randrange(50), 0) for _ in range(300))
-    cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))]
+    rows = sorted((rng.choice([0, 1, 2, 3, 4, *range(50, 500)]), rng.randrange(8), rng.randrange(2), rng.randrange(50), 0, 0) for _ in range(300))
+    cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))]
     whole = pa.RecordBatch.from_arrays(cols, names=substring_dedup.SEED)
     want, count = [], {}
-    for h, k, t, p, _ in rows:
+    for h, k, t, p, *_ in rows:
         own = [r for r in rows if r[0] == h]
         count[h] = len(own)
         docs = sorted({r[1:3] for r in own})
         if (k, t) != docs[0]:
-            want.append((k, t, own[0][1], own[0][2], p, own[0][3], h, docs.index((k, t)), True))
-    cold = substring_dedup.Hot(np.zeros(0, np.uint64))
+            want.append((k, t, own[0][1], own[0][2], p, own[0][3], h, docs.index((k, t)), True, 0, None))
     for size in (1, 2, 7, 300):
         parts = [whole.slice(i, size) for i in range(0, 300, size)]
-        again = list(substring_dedup._repeated(cold)(parts))
+        again = list(substring_dedup._repeated(parts))
         assert [tuple(r.values()) for b in again for r in b.to_pylist()] == [r for r in rows if count[r[0]] > 1]
-        assert [tuple(r.values()) for b in substring_dedup._linked(cold)(again) for r in b.to_pylist()] == want
+        assert [tuple(r.values()) for b in substring_dedup._linked(again) for r in b.to_pylist()] == want
 
 
-def test_hot_seeds_are_dealt_to_parts_and_meet_all_the_same(spark, monkeypatch):
-    rng = random.Random(12)
-    p = prose(rng, 60, 10**6)
-    docs = [(i, prose(rng, 30, 10**6) + p + prose(rng, 30, 10**6)) for i in range(40)] + [(50, prose(rng, 90, 10**6))]
+def fuzzy(rng, words):
+    """The words with about one in ten substituted, inserted or deleted."""
+    out = []
+    for w in words:
+        kind = rng.choice("sid") if rng.random() < 0.1 else ""
+        out += {"": [w], "s": [f"x{rng.randrange(10**6)}"], "i": [w, f"x{rng.randrange(10**6)}"], "d": []}[kind]
+    return out
+
+
+def with_and_without(spark, monkeypatch, docs, **limits):
+    """All passages with seeds of so many documents dealt to ranges, and without."""
     monkeypatch.setattr(substring_dedup, "SAMPLE", 1)
-    got = {}
-    for hot in (10, 10**6):
+    found = []
+    for hot in (limits.get("hot", 10), 10**6):
         monkeypatch.setattr(substring_dedup, "HOT", hot)
-        found = substring_dedup.shared_passages(table(spark, [(k, " ".join(w)) for k, w in docs])).collect()
-        assert all(r.source_doc_id < r.doc_id for r in found)
-        got[hot] = {(r.doc_id, r.start, r.end) for r in found}
-        got[-hot] = {r.source_doc_id for r in found}
-        assert got[hot] >= {(i, 30, 90) for i in range(1, 40)}
-    assert 0 in got[-(10**6)] and len(got[-10]) > len(got[-(10**6)])
+        monkeypatch.setattr(substring_dedup, "SALTS", limits.get("salts", 32))
+        rows = substring_dedup.shared_passages(table(spark, [(k, " ".join(w)) for k, w in docs])).collect()
+        found.append({(r.doc_id, r.source_doc_id, r.start, r.end, r.source_start, r.source_end) for r in rows})
+    return found
+
+
+def test_copies_of_passages_whose_seeds_are_hot_are_found(spark, monkeypatch):
+    rng, docs, pairs = random.Random(12), [], []
+    own = lambda n: prose(rng, n, 10**6)
+    for _ in range(12):
+        p = own(68)
+        pairs.append((len(docs) + 1, len(docs)))
+        docs += [(len(docs), own(30) + p + own(30)), (len(docs) + 1, own(30) + p[:34] + own(3) + p[34:] + own(30))]
+        docs += [(len(docs) + i, own(20) + p[:34] + own(20)) for i in range(40)]
+    on, off = with_and_without(spark, monkeypatch, docs)
+    assert on == off and {r[:2] for r in on} >= set(pairs)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_dealing_hot_seeds_and_windows_changes_nothing(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    own = lambda n: prose(rng, n, 10**6)
+    bases = [own(90) for _ in range(4)]
+    docs = []
+    for i in range(90):
+        words = own(rng.choice([0, 5, 30]))
+        for _ in range(rng.randrange(1, 4)):
+            base, size = rng.choice(bases), rng.choice([20, 45, 52, 70, 90])
+            at = rng.randrange(len(base) - size + 1)
+            part = base[at : at + size]
+            words += (fuzzy(rng, part) if rng.random() < 0.4 else part) + own(rng.choice([1, 30]))
+        docs.append((i, words))
+    docs.append((None, bases[0]))
+    on, off = with_and_without(spark, monkeypatch, docs, hot=2 + 6 * seed, salts=[3, 32][seed - 1])
+    assert on == off and len(on) > 60
+
+
+def test_passages_with_words_substituted_inserted_and_deleted_are_found(spark):
+    rng, docs = random.Random(31), []
+    own = lambda n: prose(rng, n, 10**6)
+    while len(docs) < 300:
+        p = own(60)
+        q = fuzzy(rng, p)
+        if substring_dedup._common(np.array(p), np.array(q)) >= 0.8 * max(len(p), len(q)):
+            docs += [(len(docs), own(30) + p + own(30)), (len(docs) + 1, own(30) + q + own(30))]
+    rows = substring_dedup.shared_passages(table(spark, [(k, " ".join(w)) for k, w in docs])).collect()
+    assert all(r.similarity >= 0.8 and r.n_words >= 50 for r in rows)
+    assert len({(r.doc_id, r.source_doc_id) for r in rows} & {(2 * i + 1, 2 * i) for i in range(150)}) >= 135
 
 
 def test_surroundings_rule_out_only_what_cannot_grow():
