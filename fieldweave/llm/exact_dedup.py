@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 from . import scratch
 
 BLOCK_BYTES = 4096
+#: Columns of the result beside those of the documents.
+ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 NAME_BUCKETS = 256
 
 
@@ -133,10 +135,13 @@ def _by_content(docs, items, seen, text, block_bytes, buckets):
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All rows of ``docs`` without their text, and which row of each group of equal texts stays.
 
-    Adds keep_id (``key`` of the row that stays: the largest), group_size, kept and text_sha256.
-    Defined cases: a null text counts as empty; a null key is smaller than any other; of repeated
+    Adds keep_id (``key`` of the row that stays: the largest), group_size, kept and text_sha256; columns of ``docs``
+    with one of these names, whatever its case, are replaced; key and text cannot have one.  Defined cases: a null text counts as empty; a null key is smaller than any other; of repeated
     keys one row is kept; an empty table gives an empty result; other columns pass through.
     """
+    if {key.lower(), text.lower()} & set(ADDED):
+        raise ValueError(f"neither the key nor the text can be named {key} or {text}")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
     clash = {"_row", "_h", "_level", "_name", "_top"} & {c.lower() for c in docs.columns}
     renamed = docs.withColumnsRenamed({c: f"__{c}" for c in docs.columns if c.lower() in clash})
     sha = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)

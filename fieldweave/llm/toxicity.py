@@ -206,7 +206,7 @@ def _changes(draft: Model, groups: tuple[str, ...]):
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE,
         features: int = FEATURES, counterfactual: float = COUNTERFACTUAL, groups: tuple[str, ...] = GROUPS) -> Model:
-    """Fits the classifier on at most ``sample`` labelled texts of each class (in order of a hash of the key).
+    """Fits the classifier on at most ``sample`` labelled texts of each class (in order of a hash of the key), repeated keys or not.
 
     ``groups`` holds lines of names that can stand for one another; every sentence of the sample is
     rewritten with them, and ``counterfactual`` weighs the penalty on the change of the score.
@@ -220,8 +220,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     share = known.agg(F.avg("y").alias("p")).first()["p"]
     part = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(sample)
     chosen = F.broadcast(part(0).unionByName(part(1)))  # 2 * sample rows at most
-    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(chosen, "k").select("text", "y")
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(chosen, "k").withColumn("row", F.monotonically_increasing_id())
     texts = scratch.keep(texts, "labelled")
+    # Keys may repeat, in labels or in docs: of the rows that these keys have, so many again.
+    order = [F.xxhash64("k"), F.col("k"), F.xxhash64("text"), F.col("row")]
+    first = [texts.where(F.col("y") == y).select("row", *[c.alias(f"o{i}") for i, c in enumerate(order)]).orderBy("o0", "o1", "o2", "o3").limit(sample).select("row") for y in (0, 1)]
+    texts = scratch.keep(texts.join(F.broadcast(first[0].unionByName(first[1])), "row", "left_semi").select("text", "y"), "sampled")
     size = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(size) < 2:
         share = 0.5 if share is None else share

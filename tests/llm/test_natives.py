@@ -48,6 +48,16 @@ def test_exact_dedup_tells_contents_of_one_hash_apart(spark, monkeypatch):
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in out.collect()), key=str) == brute(rows)
 
 
+def test_exact_dedup_replaces_columns_of_its_names(spark):
+    names = ["keep_id", "Group_Size", "kept", "text_sha256"]
+    docs = table(spark, [(1, "a"), (2, "a"), (3, None)]).drop("kept").withColumns({n: F.lit("given") for n in names})
+    out = exact_dedup.exact_dedup(docs)
+    assert sorted(c.lower() for c in out.columns) == sorted({c.lower() for c in docs.columns} - {"text"})
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in out.collect()) == [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)]
+    with pytest.raises(ValueError, match="key"):
+        exact_dedup.exact_dedup(docs, key="kept")
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact_dedup.exact_dedup(table(spark, [])).count() == 0
 

@@ -602,6 +602,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept == {k for k, s in got.items() if s < 0.5}
 
 
+def test_repeated_keys_do_not_stretch_the_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 2, f"word{i % 2} text{i}") for i in range(600)], "doc_id long, text string").repartition(3)
+    taken, dense = [], toxicity._dense
+    monkeypatch.setattr(toxicity, "_dense", lambda lists, width: taken.append(len(lists)) or dense(lists, width))
+    for sample in (1, 7):
+        toxicity.fit(docs, spark.createDataFrame([(0, 0), (1, 1), (1, 1)], "doc_id long, toxic int"), sample=sample)
+    assert taken == [2, 14]
+
+
 def test_toxicity_without_classes(spark):
     docs = table(spark, [(1, "a"), (2, "b")])
     none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
