@@ -14,7 +14,7 @@ HELD = 1 << 21
 
 
 class Separable:
-    """The exact transform: one small matrix for each axis, multiplied in turn."""
+    """The exact transform: a matrix whose rows are products of one exponential for each axis, a part of it at a time."""
 
     def __init__(self, nodes: np.ndarray, shape: tuple[int, ...]):
         self.nodes, self.shape = np.asarray(nodes, float), tuple(shape)
@@ -22,28 +22,35 @@ class Separable:
             raise ValueError("nodes must have one column for each axis")
 
     def _parts(self):
-        step = max(HELD // max(int(np.prod(self.shape[1:])), 1), 1)
+        """Rows of the matrix: a product of one exponential for each axis."""
+        step = max(HELD // max(int(np.prod(self.shape)), 1), 1)
         for at in range(0, len(self.nodes), step):
             part = slice(at, at + step)
-            yield part, [np.exp(2j * np.pi * np.outer(self.nodes[part, d], np.arange(n) - n // 2)) for d, n in enumerate(self.shape)]
+            rows = np.ones((len(self.nodes[part]), 1), complex)
+            for d, n in enumerate(self.shape):
+                e = np.exp(2j * np.pi * np.outer(self.nodes[part, d], np.arange(n) - n // 2))
+                rows = (rows[:, :, None] * e[:, None, :]).reshape(len(rows), -1)
+            yield part, rows
+
+    def forward_many(self, x: np.ndarray) -> np.ndarray:
+        """The transforms of the columns of x (cells by columns)."""
+        out = np.empty((len(self.nodes), x.shape[1]), complex)
+        for part, rows in self._parts():
+            out[part] = rows @ x
+        return out
 
-    def forward(self, x: np.ndarray) -> np.ndarray:
-        out = np.empty(len(self.nodes), complex)
-        for part, factors in self._parts():
-            now = (factors[0] @ x.reshape(self.shape[0], -1)).reshape(-1, *self.shape[1:])
-            for e in factors[1:]:
-                now = np.einsum("pj,pj...->p...", e, now)
-            out[part] = now
+    def adjoint_many(self, y: np.ndarray) -> np.ndarray:
+        """The adjoint transforms of the columns of y (nodes by columns), cells by columns."""
+        out = np.zeros((int(np.prod(self.shape)), y.shape[1]), complex)
+        for part, rows in self._parts():
+            out += rows.conj().T @ y[part]
         return out
 
+    def forward(self, x: np.ndarray) -> np.ndarray:
+        return self.forward_many(x.reshape(-1, 1))[:, 0]
+
     def adjoint(self, y: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.shape[0], int(np.prod(self.shape[1:]))), complex)
-        for part, factors in self._parts():
-            now = y[part, None]
-            for e in factors[1:]:
-                now = (now[:, :, None] * e.conj()[:, None, :]).reshape(len(now), -1)
-            out += factors[0].conj().T @ now
-        return out.reshape(self.shape)
+        return self.adjoint_many(y[:, None]).reshape(self.shape)
 
 
 class Gridding:
@@ -83,25 +90,45 @@ class Gridding:
                 place = (place[:, :, None] * m + p[part][:, None, :]).reshape(len(place), -1)
             yield part, weight, place
 
-    def forward(self, x: np.ndarray) -> np.ndarray:
-        fine = np.zeros(self.fine, complex)
-        fine[self.spot] = x.reshape(self.shape) * self.scale
-        fine = np.fft.ifftn(fine).ravel()
-        out = np.empty(len(self.nodes), complex)
+    def forward_many(self, x: np.ndarray) -> np.ndarray:
+        """The transforms of the columns of x (cells by columns): one FFT, the windows' weights computed once for all."""
+        m = x.shape[1]
+        fine = np.zeros((*self.fine, m), complex)
+        fine[self.spot] = x.reshape(*self.shape, m) * self.scale[..., None]
+        fine = np.fft.ifftn(fine, axes=range(len(self.shape))).reshape(-1, m)
+        out = np.empty((len(self.nodes), m), complex)
         for part, weight, place in self._parts():
-            out[part] = (fine[place] * weight).sum(axis=1)
+            for k in range(m):
+                out[part, k] = (fine[:, k][place] * weight).sum(axis=1)
         return out
 
-    def adjoint(self, y: np.ndarray) -> np.ndarray:
-        size = int(np.prod(self.fine))
-        fine = np.zeros(size, complex)
+    def adjoint_many(self, y: np.ndarray) -> np.ndarray:
+        """The adjoint transforms of the columns of y (nodes by columns), cells by columns."""
+        size, m = int(np.prod(self.fine)), y.shape[1]
+        fine = np.zeros((m, size), complex)
         for part, weight, place in self._parts():
-            z = y[part, None] * weight
-            fine += np.bincount(place.ravel(), z.real.ravel(), size) + 1j * np.bincount(place.ravel(), z.imag.ravel(), size)
-        return np.fft.fftn(fine.reshape(self.fine))[self.spot] * self.scale / size
+            place = place.ravel()
+            for k in range(m):
+                z = (y[part, k, None] * weight).ravel()
+                fine[k] += np.bincount(place, z.real, size) + 1j * np.bincount(place, z.imag, size)
+        fine = np.fft.fftn(fine.reshape(m, *self.fine), axes=range(1, len(self.shape) + 1))
+        return (np.moveaxis(fine, 0, -1)[self.spot] * self.scale[..., None] / size).reshape(-1, m)
+
+    def forward(self, x: np.ndarray) -> np.ndarray:
+        return self.forward_many(x.reshape(-1, 1))[:, 0]
+
+    def adjoint(self, y: np.ndarray) -> np.ndarray:
+        return self.adjoint_many(y[:, None]).reshape(self.shape)
+
+
+def cheaper(nodes: np.ndarray, shape: tuple[int, ...]) -> Separable | Gridding:
+    """The transform that takes fewer multiplications for one column."""
+    fine = np.prod([max(2 * int(np.ceil(FINER * n / 2)), 2 * HALF) for n in shape])
+    gridded = fine * np.log2(fine) * 5 + len(nodes) * (2 * HALF) ** len(shape)
+    return Separable(nodes, shape) if len(nodes) * np.prod(shape) <= 4 * gridded else Gridding(nodes, shape)
 
 
-KERNELS = {"separable": Separable, "gridding": Gridding}
+KERNELS = {"separable": Separable, "gridding": Gridding, "auto": cheaper}
 
 
 def centre_phase(nodes: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:

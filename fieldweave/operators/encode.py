@@ -19,7 +19,6 @@ task, a larger one is cut into parts which every sample meets.
 from __future__ import annotations
 
 import copy
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -85,12 +84,16 @@ def _packer(id_: str, block: str, matrices: tuple[str, ...]) -> Callable[[pa.Tab
     return run
 
 
-def packed(df: DataFrame, id_: str, matrices: dict[str, Column], blocks: int, block: str) -> DataFrame:
-    """``df`` in ``blocks`` rows: (block, ids, one binary of doubles for each of ``matrices``, arrays of doubles)."""
-    rows = df.select(F.col(id_).cast("long").alias(id_), *[c.cast("array<double>").alias(n) for n, c in matrices.items()])
-    rows = rows.withColumn(block, F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int"))
-    schema = f"{block} int, {id_}s binary, " + ", ".join(f"{n} binary" for n in matrices)
-    return rows.groupBy(block).applyInArrow(_packer(id_, block, tuple(matrices)), schema)
+def packed(df: DataFrame, id_: str, matrices: dict[str, Column], block: Column, name: str) -> DataFrame:
+    """``df`` in one row for each ``block``: (name, ids, one binary of doubles for each of ``matrices``, arrays of doubles), by id."""
+    rows = df.select(block.cast("int").alias(name), F.col(id_).cast("long").alias(id_), *[c.cast("array<double>").alias(n) for n, c in matrices.items()])
+    schema = f"{name} int, {id_}s binary, " + ", ".join(f"{n} binary" for n in matrices)
+    return rows.groupBy(name).applyInArrow(_packer(id_, name, tuple(matrices)), schema)
+
+
+def dealt(id_: str, blocks: int) -> Column:
+    """The number of the block, of ``blocks``, that a row goes to."""
+    return F.pmod(F.xxhash64(F.col(id_).cast("long")), F.lit(blocks)).cast("int")
 
 
 def phase_factors(f: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -195,7 +198,7 @@ class ExplicitOp:
             if facts["lo"] != facts["hi"] or facts["lo"] < n_terms:
                 raise ValueError(f"{what} must have {n_terms} terms")
         self.coils = 1 if csm is None else csm.agg(F.max("c").alias("c")).first()["c"] + 1
-        self._cached: str | None = None
+        self._cached: shared.Bucketed | None = None
         self._blocks = blocks or self._default_blocks(CACHED_VOXELS if cache else VOXELS)
         if min(self._blocks) < 1:
             raise ValueError("there must be a block at least")
@@ -217,14 +220,8 @@ class ExplicitOp:
 
     def _write_cache(self) -> None:
         """Writes all phase factors as a table bucketed by pair, to which products bring their values."""
-        spark = self.voxels.sparkSession
-        name = f"fieldweave_phases_{uuid.uuid4().hex}"
-        # Not fewer buckets than shuffles have partitions, or Spark would shuffle the table rather than the values.
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * self._cores())
-        pairs = self._pairs(self._sample_blocks(), self._voxel_blocks()).withColumn("pair", self._pair()).repartition(buckets, "pair")
-        path = f"{shared.shared_dir(spark)}/fieldweave/{name}"
-        pairs.mapInArrow(_phases, PHASES).write.bucketBy(buckets, "pair").option("path", path).option("compression", "none").saveAsTable(name)
-        self._cached, self._path = name, path
+        pairs = self._pairs(self._sample_blocks(), self._voxel_blocks()).withColumn("pair", self._pair())
+        self._cached = shared.Bucketed(pairs, "pair", lambda df: df.mapInArrow(_phases, PHASES))
 
     def _pair(self) -> Column:
         return F.col("sb").cast("long") * self._blocks[1] + F.col("vb")
@@ -241,9 +238,7 @@ class ExplicitOp:
     def close(self) -> None:
         """Deletes the cached phase factors; products made from now on still work, those not yet run do not."""
         if self._cached is not None:
-            spark = self.voxels.sparkSession
-            spark.sql(f"DROP TABLE IF EXISTS {self._cached}")
-            shared.drop(spark, self._path)
+            self._cached.drop()
             self._cached = None
 
     def phase(self) -> Column:
@@ -253,11 +248,11 @@ class ExplicitOp:
 
     def _sample_blocks(self, **more: Column) -> DataFrame:
         f = F.concat(F.array("t"), F.slice("k", 1, self.n))
-        return packed(self.samples if not more else more.pop("of"), "p", {"f": f, **more}, self._blocks[0], "sb")
+        return packed(self.samples if not more else more.pop("of"), "p", {"f": f, **more}, dealt("p", self._blocks[0]), "sb")
 
     def _voxel_blocks(self, **more: Column) -> DataFrame:
         g = F.concat(F.array("b0"), F.slice("b", 1, self.n))
-        return packed(self.voxels if not more else more.pop("of"), "v", {"g": g, **more}, self._blocks[1], "vb")
+        return packed(self.voxels if not more else more.pop("of"), "v", {"g": g, **more}, dealt("v", self._blocks[1]), "vb")
 
     def _pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """Every sample block beside every voxel block."""
@@ -274,7 +269,7 @@ class ExplicitOp:
             values = (right if out == "sb" else left).select(one, "z")
             n = self._blocks[0] if other == "sb" else self._blocks[1]
             values = values.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(self._pair().alias("pair"), "z")
-            pairs = self.voxels.sparkSession.table(self._cached).join(values.hint("shuffle_hash"), "pair")
+            pairs = self._cached.read().join(values.hint("shuffle_hash"), "pair")
         rows = pairs.mapInArrow(_sums(out, ids, product), "id long, c int, re double, im double")
         scale = self.count**-0.5
         return rows.groupBy("id", "c").agg((F.sum("re") * scale).alias("re"), (F.sum("im") * scale).alias("im"))

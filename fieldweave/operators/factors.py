@@ -46,12 +46,50 @@ def pack(z: np.ndarray) -> list[np.ndarray]:
     return list(np.ascontiguousarray(z).view(np.float64).reshape(len(z), -1))
 
 
-def unpack(column: pd.Series) -> np.ndarray:
-    return np.ascontiguousarray(np.stack(column.to_numpy())).view(np.complex128)
+class Part:
+    """Some rows of an Arrow batch: columns of numbers as arrays, lists of doubles (equally long) as matrices, others as series."""
 
+    def __init__(self, batch: pa.RecordBatch):
+        self.batch = batch
 
-def spatial(pdf: pd.DataFrame) -> np.ndarray:
-    return np.stack(pdf["g"].to_numpy())
+    def __len__(self) -> int:
+        return self.batch.num_rows
+
+    def __getitem__(self, name: str):
+        column = self.batch.column(name)
+        if column.type == pa.list_(pa.float64()):
+            return np.asarray(column.flatten()).reshape(len(column), -1)
+        return column.to_pandas() if pa.types.is_nested(column.type) else column.to_numpy(zero_copy_only=False)
+
+
+def parts(batches, most: int | None = None):
+    """The rows of Arrow batches, at most CHUNK at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, most or CHUNK):
+            yield Part(batch.slice(at, most or CHUNK))
+
+
+def packed_column(z: np.ndarray) -> pa.ListArray:
+    """Rows of complex numbers as lists of doubles, re and im in turn."""
+    flat = np.ascontiguousarray(z, complex).view(np.float64).reshape(len(z), -1)
+    edges = np.arange(len(z) + 1, dtype=np.int32) * flat.shape[1]
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(flat.ravel()))
+
+
+def unpack(column: pd.Series | np.ndarray) -> np.ndarray:
+    if not isinstance(column, np.ndarray):
+        column = np.stack(column.to_numpy())
+    return np.ascontiguousarray(column).view(np.complex128)
+
+
+def spatial(rows: pd.DataFrame | Part) -> np.ndarray:
+    g = rows["g"]
+    return g if isinstance(g, np.ndarray) else np.stack(g.to_numpy())
+
+
+def spread(voxels: DataFrame) -> DataFrame:
+    """``voxels`` dealt to several tasks for each core: the work on a row, all samples by the rank, is far more than its bytes tell."""
+    return voxels.repartition(max(4 * voxels.sparkSession.sparkContext.defaultParallelism, int(voxels.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "v")
 
 
 def _gaussian(seed: int, v: np.ndarray, rank: int) -> np.ndarray:
@@ -84,15 +122,13 @@ def summed(df: DataFrame, f: Callable[[pd.DataFrame], np.ndarray], shape: tuple[
 
     def run(batches):
         total = np.zeros(shape, complex)
-        for pdf in batches:
-            for at in range(0, len(pdf), CHUNK):
-                total += f(pdf.iloc[at : at + CHUNK])
+        for part in parts(batches):
+            total += f(part)
         starts = list(range(0, n, CHUNK))
-        yield pd.DataFrame({"at": starts, "x": [total[a : a + CHUNK].tobytes() for a in starts]})
+        yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([total[a : a + CHUNK].tobytes() for a in starts], pa.binary())], names=["at", "x"])
 
-    parts = df.mapInPandas(run, "at long, x binary")
     # One number of a block takes 16 bytes; a task adds up whole blocks as they stream past.
-    rows = parts.repartition(int(max(-(-n // CHUNK), 1)), "at").mapInArrow(_added, "at long, x binary").collect()
+    rows = df.mapInArrow(run, "at long, x binary").repartition(int(max(-(-n // CHUNK), 1)), "at").mapInArrow(_added, "at long, x binary").collect()
     out = np.zeros(shape, complex)
     for r in rows:
         block = np.frombuffer(r["x"], complex).reshape(-1, m) if m else np.zeros((0, 0), complex)
@@ -104,18 +140,16 @@ def mapped(df: DataFrame, f: Callable[[pd.DataFrame], np.ndarray], name: str = "
     """df's ``keep`` columns and a packed complex row that f makes of each batch."""
 
     def run(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), CHUNK):
-                part = pdf.iloc[at : at + CHUNK]
-                yield part[list(keep)].assign(**{name: pack(f(part))})
+        for part in parts(batches):
+            yield pa.RecordBatch.from_arrays([*[part.batch.column(c) for c in keep], packed_column(f(part))], names=[*keep, name])
 
     fields = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.mapInPandas(run, f"{fields}, {name} array<double>")
+    return df.mapInArrow(run, f"{fields}, {name} array<double>")
 
 
 def gram(df: DataFrame, a: str, b: str, n: int, m: int, weight: str | None = None) -> np.ndarray:
     """A^H diag(weight) B of two packed columns."""
-    w = (lambda pdf: pdf[weight].to_numpy()[:, None]) if weight else (lambda pdf: 1.0)
+    w = (lambda pdf: np.asarray(pdf[weight])[:, None]) if weight else (lambda pdf: 1.0)
     return summed(df, lambda pdf: unpack(pdf[a]).conj().T @ (w(pdf) * unpack(pdf[b])), (n, m))
 
 
@@ -127,10 +161,9 @@ def triangle(df: DataFrame, name: str, n: int) -> np.ndarray:
 
     def own(batches):
         now = np.zeros((0, n), complex)
-        for pdf in batches:
-            for at in range(0, len(pdf), CHUNK):
-                now = np.linalg.qr(np.concatenate([now, unpack(pdf[name].iloc[at : at + CHUNK])]), "r")
-        yield pd.DataFrame({"x": [now.tobytes()]})
+        for part in parts(batches):
+            now = np.linalg.qr(np.concatenate([now, unpack(part[name])]), "r")
+        yield pa.RecordBatch.from_arrays([pa.array([now.tobytes()], pa.binary())], names=["x"])
 
     def both(batches):
         now = np.zeros((0, n), complex)
@@ -139,7 +172,7 @@ def triangle(df: DataFrame, name: str, n: int) -> np.ndarray:
                 now = np.linalg.qr(np.concatenate([now, np.frombuffer(x, complex).reshape(-1, n)]), "r")
         yield pd.DataFrame({"x": [now.tobytes()]})
 
-    rows = df.mapInPandas(own, "x binary").repartition(16).mapInPandas(both, "x binary").collect()
+    rows = df.mapInArrow(own, "x binary").repartition(16).mapInPandas(both, "x binary").collect()
     return np.linalg.qr(np.concatenate([np.frombuffer(r["x"], complex).reshape(-1, n) for r in rows]), "r")
 
 
@@ -166,7 +199,7 @@ def rsvd(voxels: DataFrame, f: np.ndarray, rank: int, oversample: int = 5, seed:
     width = rank + oversample
     if finalize not in ("gram", "svd") or rank < 1 or oversample < 0 or width > len(f):
         raise ValueError("rank and oversampling exceed the samples, or no such finalisation")
-    sketch = summed(voxels, lambda pdf: times(f, spatial(pdf), _gaussian(seed, pdf["v"].to_numpy(), width)), (len(f), width))
+    sketch = summed(voxels, lambda pdf: times(f, spatial(pdf), _gaussian(seed, np.asarray(pdf["v"]), width)), (len(f), width))
     q = np.linalg.qr(sketch)[0]
     b = cut(mapped(voxels, lambda pdf: times_h(f, spatial(pdf), q), "b"))
     z = _right(gram(b, "b", "b", width, width), rank)[0] if finalize == "gram" else None
@@ -188,7 +221,7 @@ def per_readout(voxels: DataFrame, readouts: list[np.ndarray], rank: int, oversa
     width = max(widths)
 
     def sketch(pdf):
-        out, g, v = np.zeros((edges[-1], width), complex), spatial(pdf), pdf["v"].to_numpy()
+        out, g, v = np.zeros((edges[-1], width), complex), spatial(pdf), np.asarray(pdf["v"])
         for d, f in enumerate(readouts):
             out[edges[d] : edges[d + 1], : widths[d]] = times(f, g, _gaussian(seed + d, v, widths[d]))
         return out
@@ -215,14 +248,13 @@ def per_readout(voxels: DataFrame, readouts: list[np.ndarray], rank: int, oversa
 
     def table(which: list[int]) -> DataFrame:
         def run(batches):
-            for pdf in batches:
-                for at in range(0, len(pdf), CHUNK):
-                    part = pdf.iloc[at : at + CHUNK]
-                    g = spatial(part)
-                    for d in which:
-                        yield pd.DataFrame({"d": np.full(len(part), d), "v": part["v"].to_numpy(), "s": pack(times_h(readouts[d], g, q[d]) @ turns[d])})
-
-        return voxels.mapInPandas(run, "d int, v long, s array<double>")
+            for part in parts(batches):
+                g = spatial(part)
+                for d in which:
+                    s = packed_column(times_h(readouts[d], g, q[d]) @ turns[d])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), d, np.int32)), part.batch.column("v"), s], names=["d", "v", "s"])
+
+        return voxels.mapInArrow(run, "d int, v long, s array<double>")
 
     rest = table([d for d in range(len(readouts)) if d not in stored])
     return u, rest.unionByName(cut(table(sorted(stored)))) if stored else rest

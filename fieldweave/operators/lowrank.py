@@ -3,9 +3,14 @@
 y[p, c] = sum_r q[p, r] sum_v x[v] csm[v, c] conj(S[v, r]) exp(2 pi i k_p . r_v)
 
 where k_p . r_v are the first-order terms (two of them on a single slice) on a Cartesian grid, and
-q S^H stands for all other terms, n^-1/2 and the zeroth-order phase included.  Every (coil group,
-rank group) is one task with a transform of its own; partial results meet in sums over groups.
-Samples and q live on the driver, voxels, maps and factors are tables.
+q S^H stands for all other terms but n^-1/2 and the zeroth-order phase.
+
+The grid is cut into tiles.  The voxels of a tile are one block (or several) that holds their spatial
+factors once, for all ranks, and their maps, for all coils; the samples are blocks that hold nodes and
+temporal factors.  Voxel blocks are written once, bucketed, and stay where they are: image values and
+sample blocks come to them.  Where two blocks meet, one transform between the tile and the block's
+nodes serves all coils and ranks, and the signal is summed over all ranks there, before anything
+weighs it; what is shuffled is those sums.
 """
 
 from __future__ import annotations
@@ -20,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import nufft
 from . import factors
-from .encode import Adjoint, axpby
+from .encode import CACHE_BYTES, SAMPLES, Adjoint, _complex, _real, _sums, axpby, block_rows, dealt, packed
 
 METHODS = ("per_readout", "incremental_shared", "direct_shared")
 
@@ -120,22 +126,30 @@ def phase_features(samples: pd.DataFrame, n_terms: int, flat: bool) -> np.ndarra
 def spatial_features(voxels: DataFrame, n_terms: int, flat: bool) -> DataFrame:
     """(v, g): b0 and the residual basis functions."""
     at = residual_terms(n_terms, flat)
-    return voxels.select("v", F.concat(F.array("b0"), F.slice("b", at.start + 1, len(at))).alias("g"))
+    return factors.spread(voxels.select("v", F.concat(F.array("b0"), F.slice("b", at.start + 1, len(at))).alias("g")))
+
+
+#: Voxels of a block, cells of a tile, and bytes of a block's factors and maps, at most.
+VOXELS, CELLS, BLOCK_BYTES = 8192, 8192, 16 << 20
+#: Numbers of a tile's columns that one transform takes at once.
+HELD = 1 << 22
 
 
 class LowRankOp:
     """The operator of samples (p, d, t, k) on voxels (v, ix, iy, iz, b0, b) of a grid, with coil maps (v, c, re, im).
 
     ``shape`` and ``spacing`` are those of the grid; voxels may share cells.  ``options`` choose the factors, ``kernel`` the
-    transform, ``centre`` whether cells of even axes lie half a cell off (they do on centred grids),
-    ``ranks`` and ``coils`` how many of them a task takes at once.
+    transform (``auto``: whichever is cheaper for a tile and the nodes that meet), ``centre`` whether cells of even axes lie half
+    a cell off (they do on centred grids), ``ranks`` and ``coils`` how many of them a transform takes at once, ``cells`` how many
+    cells a tile has at most.  ``hold_bytes`` of voxel blocks may be written once; beyond that each product makes them anew.
     """
 
     def __init__(self, samples: DataFrame, voxels: DataFrame, shape: tuple[int, int, int], spacing: tuple[float, float, float], n_terms: int = 9,
-                 csm: DataFrame | None = None, options: Options = Options(), kernel: str = "gridding", centre: bool = True, ranks: int = 16, coils: int = 1):
-        if n_terms not in (9, 13, 16, 20) or kernel not in nufft.KERNELS or min(ranks, coils, *shape) < 1:
+                 csm: DataFrame | None = None, options: Options = Options(), kernel: str = "auto", centre: bool = True, ranks: int = 16, coils: int = 8,
+                 cells: int = CELLS, hold_bytes: int = CACHE_BYTES):
+        if n_terms not in (9, 13, 16, 20) or kernel not in nufft.KERNELS or min(ranks, coils, cells, *shape) < 1:
             raise ValueError("no such number of terms, kernel, group or grid")
-        self.voxels, self.csm, self.ranks, self.coils, self.kernel = voxels, csm, ranks, coils, kernel
+        self.samples, self.voxels, self.csm, self.ranks, self.coils, self.kernel, self.hold_bytes = samples, voxels, csm, ranks, coils, kernel, hold_bytes
         rows = samples.select("p", "d", "t", "k").toPandas().sort_values(["d", "p"], kind="stable")
         if not len(rows) or rows["p"].duplicated().any():
             raise ValueError("samples must be there and numbered uniquely")
@@ -143,94 +157,131 @@ class LowRankOp:
         if not self.count:
             raise ValueError("no voxels")
         flat = shape[2] == 1
-        self.shape3, self.axes = shape, 2 if flat else 3
-        self.p, self.d = rows["p"].to_numpy(np.int64), rows["d"].to_numpy()
+        self.grid, self.axes, self.spacing, self.centre = shape, 2 if flat else 3, spacing, centre
+        d = rows["d"].to_numpy()
         f = phase_features(rows, n_terms, flat)
-        self.readouts = np.unique(self.d)
-        q, self.basis, self.report = build(options, spatial_features(voxels, n_terms, flat), [f[self.d == d] for d in self.readouts], csm)
-        k = np.stack(rows["k"].to_numpy())
-        self.nodes = k[:, 1 : 1 + self.axes] * np.array(spacing[: self.axes])
-        fold = np.exp(2j * np.pi * k[:, 0]) * self.count**-0.5
-        if centre:
-            fold = fold * nufft.centre_phase(self.nodes, shape[: self.axes])
-        self.q, self.own = q * fold[:, None], "d" in self.basis.columns
+        self.readouts, place = np.unique(d, return_inverse=True)
+        self.q, self.basis, self.report = build(options, spatial_features(voxels, n_terms, flat), [f[place == i] for i in range(len(self.readouts))], csm)
+        self.own = "d" in self.basis.columns
+        self.temporal = _temporal(samples.sparkSession, rows["p"].to_numpy(np.int64), place if self.own else np.full(len(rows), 0), self.q)
+        self.sample_count, longest = len(rows), int(np.bincount(place).max()) if self.own else len(rows)
         self.coil_count = 1 if csm is None else csm.agg(F.max("c").alias("c")).first()["c"] + 1
+        self.sets = len(self.readouts) if self.own else 1
+        self.sample_blocks = -(-longest // SAMPLES)
+        self._lay_tiles(cells)
+        self._blocks: shared.Bucketed | DataFrame | None = None
         self._normal: NormalOp | None = None
 
     @property
     def shape(self) -> tuple[int, int]:
         """Rows (samples by coils) and columns (voxels)."""
-        return len(self.p) * self.coil_count, self.count
+        return self.sample_count * self.coil_count, self.count
 
     @property
     def H(self) -> Adjoint:  # noqa: N802
         return Adjoint(self)
 
-    # ---- groups
-
-    def _grouped(self, image: DataFrame | None) -> DataFrame:
-        """Rows (d, r, cg, c, v, cell, cr, ci, s[, xr, xi]): each voxel for each group of readouts, ranks and coils, s cut to the ranks."""
-        groups = -(-self.q.shape[1] // self.ranks)
-        nx, ny = self.shape3[0], self.shape3[1]
-        cell = (F.col("iz") * ny + F.col("iy")) * nx + F.col("ix") if self.axes == 3 else F.col("iy") * nx + F.col("ix")
-        rows = self.voxels.select("v", cell.cast("long").alias("cell")).join(self.basis.select(*(["d"] if self.own else []), "v", "s"), "v")
-        if not self.own:
-            rows = rows.withColumn("d", F.lit(-1))
+    # ---- blocks
+
+    def _lay_tiles(self, cells: int) -> None:
+        """Cuts the longest axis of the tiles in half until they are small enough and there are enough for all cores."""
+        cores, tile = self.voxels.sparkSession.sparkContext.defaultParallelism, list(self.grid)
+        number = lambda: int(np.prod([-(-n // t) for n, t in zip(self.grid, tile, strict=True)]))
+        while max(tile) > 1 and (np.prod(tile) > cells or number() * self.sets < 2 * cores and np.prod(tile) > 64):
+            axis = int(np.argmax(tile))
+            tile[axis] = -(-tile[axis] // 2)
+        self.tile, self.tiles = tuple(tile), number()
+        most = max(min(VOXELS, BLOCK_BYTES // (16 * (self.q.shape[1] + self.coil_count))), 64)
+        self.parts = max(-(-self.count // (self.tiles * most)), 1)
+        self.voxel_blocks = self.tiles * self.parts
+
+    def _placed(self) -> DataFrame:
+        """Voxels with the number of their tile's part and their cell in the tile."""
+        (tx, ty, tz), (nx, ny, _) = self.tile, self.grid
+        at = lambda n, t: F.floor(F.col(n) / t).cast("int")
+        tile = (at("iz", tz) * -(-ny // ty) + at("iy", ty)) * -(-nx // tx) + at("ix", tx)
+        cell = (F.col("iz") % tz * ty + F.col("iy") % ty) * tx + F.col("ix") % tx
+        return self.voxels.select("v", (tile * self.parts + dealt("v", self.parts)).alias("tile"), cell.alias("cell"))
+
+    def _voxel_blocks(self) -> DataFrame:
+        """(vb, vs, cell, s, m): the blocks of every set of factors, from where they are held or made anew."""
+        if self._blocks is None:
+            rows = self._placed().join(self.basis, "v")
+            maps = F.array(F.lit(1.0), F.lit(0.0))
+            if self.csm is not None:
+                rows = rows.join(coil_arrays(self.csm, "v", self.coil_count).withColumnRenamed("z", "m"), "v", "left")
+                maps = F.coalesce("m", F.array(*[F.lit(0.0)] * (2 * self.coil_count)))
+            block = (F.col("d") * self.voxel_blocks if self.own else F.lit(0)) + F.col("tile")
+            blocks = packed(rows, "v", {"cell": F.array(F.col("cell")), "s": F.col("s"), "m": maps}, block, "vb")
+            need = 16 * self.count * (self.q.shape[1] * self.sets + self.coil_count)
+            self._blocks = shared.Bucketed(blocks, "vb") if need <= self.hold_bytes else blocks
+        return self._blocks.read() if isinstance(self._blocks, shared.Bucketed) else self._blocks
+
+    def _sample_blocks(self, signal: DataFrame | None = None) -> DataFrame:
+        """(sb, ps, node, fold, q[, y]): blocks of samples by set of factors, with the phase that their zeroth-order terms and grid have."""
+        node = [F.col("k")[1 + i] * self.spacing[i] for i in range(self.axes)]
+        fold = F.col("k")[0]
+        for i in range(self.axes):
+            if self.centre and self.grid[i] % 2 == 0:
+                fold = fold + 0.5 * node[i]
+        rows, more = self.samples.select("p", "k").join(self.temporal, "p"), {}
+        if signal is not None:
+            rows = rows.join(coil_arrays(signal, "p", self.coil_count).withColumnRenamed("z", "y"), "p", "left")
+            more = {"y": F.coalesce("y", F.array(*[F.lit(0.0)] * (2 * self.coil_count)))}
+        block = F.col("set") * self.sample_blocks + dealt("p", self.sample_blocks)
+        # Axes in the order of a tile's cells.
+        return packed(rows, "p", {"node": F.array(*node[::-1]), "fold": F.array(fold), "q": F.col("q"), **more}, block, "sb")
+
+    def _images(self, image: DataFrame) -> DataFrame:
+        """(tile, x): image values of each part of a tile, in the order of its voxels; 0 where there is none."""
+        rows = self._placed().join(image.select("v", F.array(F.col("re").cast("double"), F.col("im").cast("double")).alias("x")), "v", "left")
+        return packed(rows, "v", {"x": F.coalesce("x", F.array(F.lit(0.0), F.lit(0.0)))}, F.col("tile"), "tile").select("tile", "x")
+
+    def _in_every_set(self, values: DataFrame) -> DataFrame:
+        """(vb, x): the values of each tile beside the factors of every set."""
+        n = self.voxel_blocks
+        return values.select(F.explode(F.sequence(F.col("tile"), F.col("tile") + n * (self.sets - 1), F.lit(n))).alias("vb"), "x")
+
+    def _pairs(self, samples: DataFrame, image: DataFrame | None = None) -> DataFrame:
+        """Every voxel block beside every sample block of its set, where the voxel block lies."""
+        n, m = self.voxel_blocks, self.sample_blocks
+        pairs = self._voxel_blocks()
         if image is not None:
-            rows = rows.join(image.select("v", F.col("re").alias("xr"), F.col("im").alias("xi")), "v")
-        rows = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        rows = rows.withColumn("s", F.slice("s", F.col("r") * (2 * self.ranks) + 1, F.lit(2 * self.ranks)))
-        if self.csm is None:
-            rows = rows.withColumns({"c": F.lit(0), "cr": F.lit(1.0), "ci": F.lit(0.0)})
-        else:
-            rows = rows.join(self.csm.select("v", F.col("c").cast("int").alias("c"), F.col("re").cast("double").alias("cr"), F.col("im").cast("double").alias("ci")), "v")
-        return rows.withColumn("cg", F.floor(F.col("c") / self.coils).cast("int"))
-
-    def _kernels(self) -> Callable:
-        """(readout number or -1, first rank) -> rows of the samples, q of the ranks, the transform; for tasks."""
-        nodes, q, d, ranks, kernel, shape, names = self.nodes, self.q, self.d, self.ranks, self.kernel, self.shape3, self.readouts
-        shape = shape[: self.axes][::-1]
-
-        def of(readout: int, r: int):
-            rows = np.arange(len(q)) if readout < 0 else np.flatnonzero(d == names[readout])
-            return rows, q[rows, r * ranks : (r + 1) * ranks], nufft.KERNELS[kernel](nodes[rows][:, ::-1], shape)
+            pairs = pairs.join(self._in_every_set(self._images(image)).hint("merge"), "vb")
+        first = F.floor(F.col("sb") / m).cast("int") * n
+        own = samples.withColumn("vb", F.explode(F.sequence(first, first + n - 1)))
+        return pairs.join(own.hint("merge"), "vb")
+
+    def _kernel(self) -> Callable:
+        """A pair of blocks -> its transform and the samples' phases; for tasks."""
+        grid, tile, parts, n, kernel, norm = self.grid[: self.axes], self.tile[: self.axes], self.parts, self.voxel_blocks, nufft.KERNELS[self.kernel], self.count**-0.5
+        counts = [-(-g // t) for g, t in zip(grid, tile, strict=True)]
+
+        def of(row: dict, m: int):
+            node, fold = _real(row["node"], m), _real(row["fold"], m)[:, 0]
+            at, origin = row["vb"] % n // parts, []
+            for c, t in zip(counts, tile, strict=True):
+                origin.append(at % c * t)
+                at //= c
+            # The transform's cells are numbered from the middle of the tile.
+            shift = np.array([o + t // 2 - g // 2 for o, t, g in zip(origin, tile, grid, strict=True)][::-1])
+            return kernel(node, tile[::-1]), np.exp(2j * np.pi * (fold + node @ shift)) * norm
 
         return of
 
-    def forward(self, image: DataFrame) -> DataFrame:
-        """Signal (p, c, re, im) of an image (v, re, im)."""
-        of, numbers = self._kernels(), self.p
-
-        def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            rows, q, transform = of(key[0].as_py(), key[1].as_py())
-            part = Block(table)
-            y = part.signals(part.image(table), q, transform)
-            return _signal_table(numbers[rows], part.coils, y)
+    # ---- products
 
-        out = self._grouped(image).groupBy("d", "r", "cg").applyInArrow(run, "p long, c int, re double, im double")
-        return out.groupBy("p", "c").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    def forward(self, image: DataFrame) -> DataFrame:
+        """Signal (p, c, re, im) of an image (v, re, im); voxels without a value are 0."""
+        pairs = self._pairs(self._sample_blocks(), image)
+        rows = pairs.mapInArrow(_sums("sb", "ps", Pair(self._kernel(), self.ranks, self.coils).signals), "id long, c int, re double, im double")
+        return rows.groupBy(F.col("id").alias("p"), "c").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
     def adjoint(self, signal: DataFrame, grid: DataFrame | None = None) -> DataFrame:
         """Image (v, re, im) of a signal (p, c, re, im); missing samples are 0; on ``grid`` (v) voxels outside are 0."""
-        of, numbers = self._kernels(), self.p
-        order = np.argsort(numbers)
-
-        def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows or not right.num_rows:
-                return _image_table(np.zeros(0, np.int64), np.zeros(0, complex))
-            rows, q, transform = of(key[0].as_py(), key[1].as_py())
-            part = Block(right)
-            y = np.zeros((len(numbers), len(part.coils)), complex)
-            at, c = order[np.searchsorted(numbers[order], left.column("p").to_numpy())], np.searchsorted(part.coils, left.column("c").to_numpy())
-            y[at, c] = left.column("re").to_numpy() + 1j * left.column("im").to_numpy()
-            return _image_table(part.ids, part.images(y[rows], q, transform))
-
-        voxels = self._grouped(None)
-        keys = self.voxels.sparkSession.createDataFrame([(d, r) for d in (range(len(self.readouts)) if self.own else [-1]) for r in range(-(-self.q.shape[1] // self.ranks))], "d int, r int")
-        # One row for each group of readouts and ranks.
-        data = signal.select("p", F.col("c").cast("int").alias("c"), "re", "im").withColumn("cg", F.floor(F.col("c") / self.coils).cast("int")).join(F.broadcast(keys))
-        out = data.groupBy("d", "r", "cg").cogroup(voxels.groupBy("d", "r", "cg")).applyInArrow(run, "v long, re double, im double")
-        out = out.groupBy("v").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+        pairs = self._pairs(self._sample_blocks(signal))
+        rows = pairs.mapInArrow(_sums("vb", "vs", Pair(self._kernel(), self.ranks, self.coils).images), "id long, c int, re double, im double")
+        out = rows.groupBy(F.col("id").alias("v")).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
         if grid is None:
             return out
         zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
@@ -239,30 +290,29 @@ class LowRankOp:
     def normal(self, image: DataFrame, weights: DataFrame | None = None, by: str = "rank") -> DataFrame:
         """A^H D A x with ``weights`` (p[, c], w), real and not negative.
 
-        ``rank`` sums the signal over all ranks before it is weighted, so products of different
-        ranks are there; ``channel`` does a coil group from image to image in one task, with all
-        its ranks (and ``readout`` one of a readout of its own), and shuffles no signal.
+        ``rank`` sums the signal over all ranks and voxel blocks before it is weighted, and shuffles those sums;
+        ``readout`` does a readout with factors of its own from image to image in one task, with
+        all its voxels, and shuffles no signal; ``channel`` does so for each group of coils, with a copy of the factors for each.
         """
         if by not in ("rank", "channel", "readout") or (by == "readout" and not self.own):
             raise ValueError(f"normal products cannot go by {by} here")
-        d = normal_weights(weights, self.p, self.coil_count)
+        d = normal_weights(weights, self.samples, self.coil_count)
         if by == "rank":
             y = self.forward(image)
             if d is not None:
-                table = pd.DataFrame({"p": self.p, "w": d})
-                y = y.join(y.sparkSession.createDataFrame(table, "p long, w double"), "p").select("p", "c", (F.col("re") * F.col("w")).alias("re"), (F.col("im") * F.col("w")).alias("im"))
+                y = y.join(d, "p").select("p", "c", (F.col("re") * F.col("w")).alias("re"), (F.col("im") * F.col("w")).alias("im"))
             return self.adjoint(y)
-        whole = LowRankOp.__new__(LowRankOp)
-        whole.__dict__ |= self.__dict__ | {"ranks": self.q.shape[1]}
-        of = whole._kernels()
-
-        def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            rows, q, transform = of(key[0].as_py(), 0)
-            part = Block(table)
-            y = part.signals(part.image(table), q, transform)
-            return _image_table(part.ids, part.images(y if d is None else y * d[rows, None], q, transform))
-
-        out = whole._grouped(image).groupBy("d", "cg").applyInArrow(run, "v long, re double, im double")
+        groups = -(-self.coil_count // self.coils) if by == "channel" else 1
+        every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+        n, m = self.voxel_blocks, self.sample_blocks
+        left = self._voxel_blocks().join(self._in_every_set(self._images(image)).hint("merge"), "vb").withColumns({"set": F.floor(F.col("vb") / n), "g": every})
+        rows = self._sample_blocks()
+        if d is not None:
+            weighed = packed(self.temporal.select("p", "set").join(d, "p"), "p", {"w": F.array("w")}, F.col("set") * m + dealt("p", m), "sb").select("sb", "w")
+            rows = rows.join(weighed, "sb")
+        right = rows.withColumns({"set": F.floor(F.col("sb") / m), "g": every})
+        run = _image_to_image(Pair(self._kernel(), self.ranks, self.coils), self.coils if by == "channel" else self.coil_count)
+        out = left.groupBy("set", "g").cogroup(right.groupBy("set", "g")).applyInArrow(run, "v long, re double, im double")
         return out.groupBy("v").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
     def mul(self, image: DataFrame, out: DataFrame | None = None, alpha: complex = 1.0, beta: complex = 0.0) -> DataFrame:
@@ -285,18 +335,25 @@ class LowRankOp:
             self._normal.op, self._normal = None, None
 
     def close(self) -> None:
+        """Lets go of the normal operator and deletes the voxel blocks; later products make them anew."""
         self.release()
+        if isinstance(self._blocks, shared.Bucketed):
+            self._blocks.drop()
+        self._blocks = None
 
 
 class NormalOp:
     """A^H D A of an operator with weights fixed."""
 
     def __init__(self, op: LowRankOp, weights: DataFrame | None, by: str):
-        self.op, self.by, self.weights, self.values = op, by, weights, normal_weights(weights, op.p, op.coil_count)
+        self.op, self.by, self.weights = op, by, weights
+        self.values = normal_weights(weights, op.samples, op.coil_count)
 
     def same(self, weights: DataFrame | None, by: str) -> bool:
-        other = normal_weights(weights, self.op.p, self.op.coil_count)
-        return by == self.by and (other is None) == (self.values is None) and (other is None or np.array_equal(other, self.values))
+        other = normal_weights(weights, self.op.samples, self.op.coil_count)
+        if by != self.by or (other is None) != (self.values is None):
+            return False
+        return other is None or self.values.join(other.withColumnRenamed("w", "o"), "p", "full").where("not (w <=> o)").isEmpty()
 
     def forward(self, image: DataFrame) -> DataFrame:
         if self.op is None:
@@ -306,68 +363,111 @@ class NormalOp:
     adjoint = forward
 
 
-class Block:
-    """The voxels of one group: ids, cells, maps (voxel by coil) and spatial factors (voxel by rank)."""
+class Pair:
+    """Products of a voxel block and a sample block, all ranks and coils by one transform, some columns at a time."""
 
-    def __init__(self, table: pa.Table):
-        v, c = table.column("v").to_numpy().astype(np.int64), table.column("c").to_numpy()
-        self.ids, first, place = np.unique(v, return_index=True, return_inverse=True)
-        self.coils, coil = np.unique(c, return_inverse=True)
-        self.cells = table.column("cell").to_numpy()[first]
-        self.maps = np.zeros((len(self.ids), len(self.coils)), complex)
-        self.maps[place, coil] = table.column("cr").to_numpy() + 1j * table.column("ci").to_numpy()
-        s = np.asarray(table.column("s").combine_chunks().flatten(), np.float64).reshape(len(v), -1)[first]
-        self.s = np.ascontiguousarray(s).view(complex)
-        self.first = first
+    def __init__(self, kernel: Callable, ranks: int, coils: int):
+        self.kernel, self.ranks, self.coils = kernel, ranks, coils
 
-    def image(self, table: pa.Table) -> np.ndarray:
-        return table.column("xr").to_numpy()[self.first] + 1j * table.column("xi").to_numpy()[self.first]
+    def _columns(self, cells: int, ranks: int, coils: int):
+        r = min(self.ranks, ranks)
+        c = min(self.coils, coils, max(HELD // (cells * r), 1))
+        for a in range(0, ranks, r):
+            for b in range(0, coils, c):
+                yield slice(a, a + r), slice(b, b + c)
 
-    def signals(self, x: np.ndarray, q: np.ndarray, transform) -> np.ndarray:
+    def signals(self, row: dict, m: int, n: int) -> np.ndarray:
         """Samples by coils: sum over ranks of q times the transform of x conj(s) csm."""
-        out, size = np.zeros((len(q), len(self.coils)), complex), int(np.prod(transform.shape))
-        for r in range(self.s.shape[1]):
-            weighted = x * self.s[:, r].conj()
-            for c in range(len(self.coils)):
-                z = weighted * self.maps[:, c]
-                grid = np.bincount(self.cells, z.real, size) + 1j * np.bincount(self.cells, z.imag, size)
-                out[:, c] += q[:, r] * transform.forward(grid.reshape(transform.shape))
-        return out
-
-    def images(self, y: np.ndarray, q: np.ndarray, transform) -> np.ndarray:
-        """Voxels: sum over ranks and coils of s conj(csm) times the adjoint transform of conj(q) y."""
-        out = np.zeros(len(self.ids), complex)
-        for r in range(self.s.shape[1]):
-            own = np.zeros(len(self.ids), complex)
-            for c in range(len(self.coils)):
-                own += self.maps[:, c].conj() * transform.adjoint(q[:, r].conj() * y[:, c]).ravel()[self.cells]
-            out += self.s[:, r] * own
-        return out
-
-
-def _signal_table(p: np.ndarray, coils: np.ndarray, y: np.ndarray) -> pa.Table:
-    n, m = y.shape
-    return pa.table({"p": np.repeat(p, m), "c": np.tile(coils.astype(np.int32), n), "re": y.real.ravel().copy(), "im": y.imag.ravel().copy()})
-
-
-def _image_table(v: np.ndarray, x: np.ndarray) -> pa.Table:
-    return pa.table({"v": v, "re": x.real.copy(), "im": x.imag.copy()})
-
-
-def normal_weights(weights: DataFrame | None, p: np.ndarray, coils: int) -> np.ndarray | None:
-    """One weight for each sample: real, finite, not negative; weights by coil must be the same for all of them."""
+        transform, phase = self.kernel(row, m)
+        s, maps, q, x = (_complex(row[k], rows) for k, rows in (("s", n), ("m", n), ("q", m), ("x", n)))
+        order, starts, cells = _by_cell(_real(row["cell"], n)[:, 0])
+        size, out = int(np.prod(transform.shape)), np.zeros((m, maps.shape[1]), complex)
+        weighted, maps = (x * s.conj())[order], maps[order]
+        for r, c in self._columns(size, s.shape[1], maps.shape[1]):
+            both = weighted[:, r, None] * maps[:, None, c]
+            grid = np.zeros((size, both.shape[1] * both.shape[2]), complex)
+            grid[cells] = np.add.reduceat(both.reshape(n, -1), starts, axis=0)
+            y = transform.forward_many(grid).reshape(m, both.shape[1], both.shape[2])
+            out[:, c] += np.einsum("pr,prc->pc", q[:, r], y)
+        return out * phase[:, None]
+
+    def images(self, row: dict, m: int, n: int) -> np.ndarray:
+        """Voxels by one: sum over ranks and coils of s conj(csm) times the adjoint transform of conj(q) y."""
+        transform, phase = self.kernel(row, m)
+        s, maps, q, y = (_complex(row[k], rows) for k, rows in (("s", n), ("m", n), ("q", m), ("y", m)))
+        cell = _real(row["cell"], n)[:, 0].astype(np.int64)
+        size, out = int(np.prod(transform.shape)), np.zeros(n, complex)
+        y = y * phase.conj()[:, None]
+        for r, c in self._columns(size, s.shape[1], maps.shape[1]):
+            both = q[:, r, None].conj() * y[:, None, c]
+            z = transform.adjoint_many(both.reshape(m, -1))[cell].reshape(n, both.shape[1], both.shape[2])
+            out += np.einsum("nr,nc,nrc->n", s[:, r], maps[:, c].conj(), z, optimize=True)
+        return out[:, None]
+
+
+def _by_cell(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of voxels by cell, where each cell starts in it, and the cells."""
+    order = np.argsort(cell, kind="stable")
+    cells, starts = np.unique(cell[order].astype(np.int64), return_index=True)
+    return order, starts, cells
+
+
+def _image_to_image(pair: Pair, coils: int):
+    """Cogrouped applyInArrow: voxel blocks and sample blocks of one set, and group of coils -> their part of the image."""
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        voxels, samples = ([r for batch in t.combine_chunks().to_batches() for r in block_rows(batch)] for t in (left, right))
+        part = slice(key[1].as_py() * coils, (key[1].as_py() + 1) * coils)
+        ids, values = [np.zeros(0, np.int64)], [np.zeros(0, complex)]
+        for v in voxels:
+            n = len(v["vs"]) // 8
+            v["m"] = np.ascontiguousarray(_complex(v["m"], n)[:, part]).tobytes()
+        for s in samples:
+            m = len(s["ps"]) // 8
+            y = sum((pair.signals(v | s, m, len(v["vs"]) // 8) for v in voxels), np.zeros((m, 1), complex))
+            s["y"] = (y * _real(s["w"], m) if "w" in s else y).tobytes()
+        for v in voxels:
+            n = len(v["vs"]) // 8
+            total = sum((pair.images(v | s, len(s["ps"]) // 8, n) for s in samples), np.zeros((n, 1), complex))
+            ids.append(np.frombuffer(v["vs"], np.int64))
+            values.append(total[:, 0])
+        x = np.concatenate(values)
+        return pa.table({"v": np.concatenate(ids), "re": x.real.copy(), "im": x.imag.copy()})
+
+    return run
+
+
+def coil_arrays(df: DataFrame, key: str, coils: int) -> DataFrame:
+    """(key, z): re and im of all coils in turn; missing ones are 0."""
+    sums = [F.sum(F.when(F.col("c") == c, F.col(x).cast("double")).otherwise(F.lit(0.0))) for c in range(coils) for x in ("re", "im")]
+    return df.groupBy(key).agg(F.array(*sums).alias("z"))
+
+
+def _temporal(spark, p: np.ndarray, place: np.ndarray, q: np.ndarray) -> DataFrame:
+    """(p, set, q): the temporal factors as a table."""
+    flat = pa.array(np.ascontiguousarray(q).view(float).ravel())
+    rows = pa.FixedSizeListArray.from_arrays(flat, 2 * q.shape[1]).cast(pa.list_(pa.float64()))
+    return spark.createDataFrame(pa.table({"p": p, "set": place.astype(np.int32), "q": rows}))
+
+
+def normal_weights(weights: DataFrame | None, samples: DataFrame, coils: int) -> DataFrame | None:
+    """(p, w): one weight for each of ``samples`` (p), real, finite, not negative; weights by coil must be the same for all of them."""
     if weights is None:
         return None
-    rows = weights.select("p", F.col("c") if "c" in weights.columns else F.lit(-1).alias("c"), "w").toPandas()
-    by = rows.pivot(index="p", columns="c", values="w").reindex(p)
-    if "c" in weights.columns and len(by.columns) != coils:
+    by = "c" in weights.columns
+    w = F.col("w").cast("double")
+    bad = w.isNull() | F.isnan(w) | (w < 0) | (F.abs(w) == float("inf"))
+    rows = samples.select("p").join(weights, "p", "left").groupBy("p").agg(
+        F.max(bad).alias("bad"), F.min(w).alias("w"), F.max(w).alias("top"), (F.count_distinct("c") if by else F.lit(coils)).alias("n")
+    )
+    facts = rows.agg(F.max("bad").alias("bad"), F.max(F.col("w") != F.col("top")).alias("differ"), F.min("n").alias("n")).first()
+    if by and weights.select("c").distinct().count() != coils:
         raise ValueError("weights by coil must be given for every coil")
-    values = by.to_numpy(float)
-    if not np.isfinite(values).all() or (values < 0).any():
+    if facts["bad"] or facts["n"] != coils:
         raise ValueError("weights must be real numbers from 0, one for each sample")
-    if not (values == values[:, :1]).all():
+    if facts["differ"]:
         raise ValueError("weights must be the same for all coils")
-    return values[:, 0]
+    return rows.select("p", "w")
 
 
 def rebuild(old: LowRankOp | None, make: Callable[[], LowRankOp]) -> LowRankOp:

@@ -798,7 +798,7 @@ def _lowrank(spark, sf_dir, options: lowrank.Options | None = None, multi: bool
 
 @query(ORACLES["forward_multicoil"])
 def lowrank_forward(spark, sf_dir):
-    """All ranks of all readouts and gridded transforms: the explicit signal."""
+    """All ranks of all readouts: the explicit signal."""
     op, image = _lowrank(spark, sf_dir)
     return rounded(op.forward(image), ["re", "im"])
 
@@ -814,7 +814,7 @@ def lowrank_forward_exact(spark, sf_dir):
 
 @query(ORACLES["adjoint_explicit"])
 def lowrank_adjoint(spark, sf_dir):
-    op, _ = _lowrank(spark, sf_dir, coils=2)
+    op, _ = _lowrank(spark, sf_dir, coils=2, kernel="gridding")
     return rounded(op.adjoint(roles.signal(spark, sf_dir), roles.voxels(spark, sf_dir)), ["re", "im"])
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +36,22 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
+
+
+class Bucketed:
+    """A table in the shared folder, bucketed by one column: joins by that column bring the other side to it."""
+
+    def __init__(self, df: DataFrame, by: str, then: Callable[[DataFrame], DataFrame] = lambda df: df):
+        self.spark = df.sparkSession
+        self.name = f"fieldweave_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(self.spark)}/fieldweave/{self.name}"
+        # Not fewer buckets than shuffles have partitions, or Spark would shuffle the table rather than the other side.
+        buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 2 * self.spark.sparkContext.defaultParallelism)
+        then(df.repartition(buckets, by)).write.bucketBy(buckets, by).option("path", self.path).option("compression", "none").saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        drop(self.spark, self.path)
