@@ -7,7 +7,9 @@ Parquet in the shared folder and reads them back as the next stage's documents.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +18,22 @@ from pyspark.sql import functions as F
 from fieldweave.llm import bpe, exact_dedup, near_dedup, packing, scratch, substring_dedup, toxicity
 
 
+_run: ContextVar[str] = ContextVar("run", default="")
+
+
+def _owner(spark: SparkSession) -> str:
+    """Whose the tables of a stage are: this session's, and in ``run`` this run's."""
+    return f"pipeline-{spark._jsparkSession.sessionUUID()}-{_run.get()}"
+
+
 def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage owns the tables it keeps; those of earlier stages go, as their results are written by now."""
+    """A stage owns the tables it keeps; those of earlier stages of its run go, as their results are written by now."""
 
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        scratch.sweep(spark, "pipeline")
+        scratch.sweep(spark, _owner(spark))
         scratch.release(spark)
-        with scratch.owned("pipeline"):
+        with scratch.owned(_owner(spark)):
             return f(spark, docs, sf_dir)
 
     return run_stage
@@ -116,11 +126,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over all documents of ``sf_dir``."""
+    """The rows of the last stage over all documents of ``sf_dir``; what earlier stages wrote is deleted at the end."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{scratch.shared_dir(spark)}/fieldweave/pipeline"
-    for name, f in STAGES:
-        docs = scratch.write(f(spark, docs, sf_dir), folder, name)
+    token, paths = _run.set(uuid.uuid4().hex), []
+    try:
+        for name, f in STAGES:
+            out = f(spark, docs, sf_dir)
+            paths.append(f"{scratch.shared_dir(spark)}/fieldweave/pipeline/{name}-{_run.get()}")
+            out.write.parquet(paths[-1])
+            docs = spark.read.schema(out.schema).parquet(paths[-1])
+        scratch.drop(spark, *paths[:-1])
+        scratch.sweep(spark, _owner(spark))
+    finally:
+        _run.reset(token)
     return docs
 
 
