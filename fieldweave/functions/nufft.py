@@ -53,6 +53,26 @@ class Separable:
         return self.adjoint_many(y[:, None]).reshape(self.shape)
 
 
+def fine_size(n: int, half: int = HALF, finer: float = FINER) -> int:
+    """Cells of the finer grid for n cells of an axis."""
+    return max(2 * int(np.ceil(finer * n / 2)), 2 * half)
+
+
+def axis_scale(n: int, m: int, half: int) -> np.ndarray:
+    """What each of n cells is multiplied by for the window on m finer cells."""
+    b, k = np.pi * (2 - n / m), np.arange(n) - n // 2
+    return m / np.i0(half * np.sqrt(b * b - (2 * np.pi * k / m) ** 2))
+
+
+def windows(nodes: np.ndarray, n: int, m: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 2 * half finer cells around each node of an axis (some below 0 or beyond m, as axes are rings) and their weights."""
+    b, u = np.pi * (2 - n / m), (nodes % 1.0) * m
+    cell = np.floor(u)[:, None] + np.arange(1 - half, half + 1)
+    root = np.sqrt(np.maximum(half**2 - (u[:, None] - cell) ** 2, 0))
+    safe = np.where(root > 0, root, 1)
+    return cell.astype(np.int64), np.where(root > 0, np.sinh(b * safe) / (np.pi * safe), b / np.pi)
+
+
 class Gridding:
     """The transform by a finer FFT and a window of 2 * half cells on each axis (sinh window, Bessel weights)."""
 
@@ -62,18 +82,13 @@ class Gridding:
         self.nodes, self.shape, self.half = np.asarray(nodes, float), tuple(shape), half
         if self.nodes.ndim != 2 or self.nodes.shape[1] != len(self.shape):
             raise ValueError("nodes must have one column for each axis")
-        self.fine = tuple(max(2 * int(np.ceil(finer * n / 2)), 2 * half) for n in self.shape)
+        self.fine = tuple(fine_size(n, half, finer) for n in self.shape)
         self.weights, self.places, scale = [], [], []
         for d, (n, m) in enumerate(zip(self.shape, self.fine, strict=True)):
-            b = np.pi * (2 - n / m)
-            k = np.arange(n) - n // 2
-            scale.append(m / np.i0(half * np.sqrt(b * b - (2 * np.pi * k / m) ** 2)))
-            u = (self.nodes[:, d] % 1.0) * m
-            cell = np.floor(u)[:, None] + np.arange(1 - half, half + 1)
-            root = np.sqrt(np.maximum(half**2 - (u[:, None] - cell) ** 2, 0))
-            safe = np.where(root > 0, root, 1)
-            self.weights.append(np.where(root > 0, np.sinh(b * safe) / (np.pi * safe), b / np.pi))
-            self.places.append(cell.astype(np.int64) % m)
+            scale.append(axis_scale(n, m, half))
+            cell, weight = windows(self.nodes[:, d], n, m, half)
+            self.weights.append(weight)
+            self.places.append(cell % m)
         self.scale = scale[0]
         for s in scale[1:]:
             self.scale = self.scale[..., None] * s
@@ -123,7 +138,7 @@ class Gridding:
 
 def cheaper(nodes: np.ndarray, shape: tuple[int, ...]) -> Separable | Gridding:
     """The transform that takes fewer multiplications for one column."""
-    fine = np.prod([max(2 * int(np.ceil(FINER * n / 2)), 2 * HALF) for n in shape])
+    fine = np.prod([fine_size(n) for n in shape])
     gridded = fine * np.log2(fine) * 5 + len(nodes) * (2 * HALF) ** len(shape)
     return Separable(nodes, shape) if len(nodes) * np.prod(shape) <= 4 * gridded else Gridding(nodes, shape)
 

@@ -3,64 +3,68 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import nufft
+from .. import shared
 from . import encode, series
 from .encode import ExplicitOp
+from .transform import SlabTransform
 
 
-def _pixels(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = df.select("v", "re", "im").toPandas().sort_values("v")
-    return rows["v"].to_numpy(), rows["re"].to_numpy() + 1j * rows["im"].to_numpy()
-
-
-def _table(spark, v: np.ndarray, x: np.ndarray) -> DataFrame:
-    import pandas as pd
-
-    return spark.createDataFrame(pd.DataFrame({"v": v, "re": x.real, "im": x.imag}))
+def _squares(re: str, im: str) -> Column:
+    return F.coalesce(F.sum(F.col(re) * F.col(re) + F.col(im) * F.col(im)), F.lit(0.0))
 
 
 def reconstruct(op: ExplicitOp, data: DataFrame, weights: DataFrame | None = None, iterations: int = 20, l2: float = 0.0, tol: float = 1e-12) -> DataFrame:
     """The image minimising |W (A x - y)|^2 + l2 |x|^2 by conjugate gradients on the normal equations.
 
     ``weights`` (p, w_re, w_im) are applied to data and operator alike, so |w|^2 enters the normal
-    product.  The image vector stays on the driver between products (16 bytes a voxel).
+    product.  ``op`` is any operator with voxels, normal and adjoint.  Image, residual, direction and product are columns of
+    one table by voxel, which is written once a step, so lineage ends there; the driver gets four sums a step.
     """
-    spark, squared = data.sparkSession, None
-    y = data
+    squared, y = None, data
     if weights is not None:
         squared = weights.select("p", (F.col("w_re") ** 2 + F.col("w_im") ** 2).alias("w"))
         y = data.join(squared, "p").select("p", "c", (F.col("re") * F.col("w")).alias("re"), (F.col("im") * F.col("w")).alias("im"))
-    v, r = _pixels(op.adjoint(y, op.voxels))
-    x, p, rr = np.zeros_like(r), r.copy(), np.vdot(r, r).real
+    r = op.adjoint(y, op.voxels).withColumnsRenamed({"re": "r_re", "im": "r_im"})
+    state, sums = shared.cut_with(r, rr=_squares("r_re", "r_im"))
+    zero = F.lit(0.0)
+    state, rr = state.withColumns({"x_re": zero, "x_im": zero, "p_re": F.col("r_re"), "p_im": F.col("r_im")}), sums["rr"]
     stop = tol**2 * rr
     for _ in range(iterations):
         if rr <= stop or rr == 0:
             break
-        _, ap = _pixels(op.normal(_table(spark, v, p), squared))
-        ap = ap + l2 * p
-        alpha = rr / np.vdot(p, ap).real
-        x, r = x + alpha * p, r - alpha * ap
-        rr, old = np.vdot(r, r).real, rr
-        p = r + rr / old * p
-    return _table(spark, v, x)
-
-
-def density_weights(nodes: np.ndarray, shape: tuple[int, ...], iterations: int = 10, normalize: bool = False, kernel: str = "gridding") -> np.ndarray:
-    """Root weights of sampling nodes (samples by d) by the Pipe-Menon iteration w <- w / |A A^H w|.
-
-    Nodes are scaled to [-1/2, 1/2); A is the transform of a grid of ``shape``, so an iteration takes
-    one transform to the grid and one back, and memory for the samples and the grid alone.
+        product = op.normal(state.select("v", F.col("p_re").alias("re"), F.col("p_im").alias("im")), squared)
+        product = product.select("v", F.col("re").alias("h_re"), F.col("im").alias("h_im"))
+        both = state.join(product, "v", "left")
+        both = both.withColumns({f"h_{z}": F.coalesce(f"h_{z}", zero) + l2 * F.col(f"p_{z}") for z in ("re", "im")})
+        both, sums = shared.cut_with(both, ph=F.sum(F.col("p_re") * F.col("h_re") + F.col("p_im") * F.col("h_im")))
+        alpha = rr / sums["ph"]
+        move = lambda a, b, by: {f"{a}_{z}": F.col(f"{a}_{z}") + by * F.col(f"{b}_{z}") for z in ("re", "im")}
+        moved = both.withColumns(move("x", "p", alpha) | move("r", "h", -alpha))
+        rr, old = moved.agg(_squares("r_re", "r_im").alias("rr")).first()["rr"], rr
+        state = moved.withColumns({f"p_{z}": F.col(f"r_{z}") + rr / old * F.col(f"p_{z}") for z in ("re", "im")}).drop("h_re", "h_im")
+    return state.select("v", F.col("x_re").alias("re"), F.col("x_im").alias("im"))
+
+
+def density_weights(nodes: DataFrame, shape: tuple[int, ...], iterations: int = 10, normalize: bool = False, **how) -> DataFrame:
+    """Root weights (p, w) of sampling nodes (p, node array) by the Pipe-Menon iteration w <- w / |A A^H w|.
+
+    Nodes are scaled to [-1/2, 1/2); A is the transform of a grid of ``shape``, cut into slabs (``how``: their bounds), so an
+    iteration takes one transform to the grid and one back, all on tables, and ends with one written.
     """
-    k = nodes / (2 * np.abs(nodes).max()) if np.abs(nodes).max() > 0 else nodes
-    transform = nufft.KERNELS[kernel](k, shape)
-    w = np.ones(len(k))
+    top = nodes.agg(F.max(F.array_max(F.transform("node", lambda x: F.abs(x)))).alias("m")).first()["m"]
+    if top:
+        nodes = nodes.select("p", F.transform("node", lambda x: x / (2 * top)).alias("node"))
+    transform = SlabTransform(nodes, shape, **how)
+    w = nodes.select("p", F.lit(1.0).alias("w"))
     for _ in range(iterations):
-        w = w / np.maximum(np.abs(transform.forward(transform.adjoint(w.astype(complex)))), 1e-300)
-    root = np.sqrt(w)
-    return root / np.sqrt((root**2).mean()) if normalize else root
+        there = transform.forward(transform.adjoint(w.select("p", F.array("w", F.lit(0.0)).alias("z"))))
+        size = F.sqrt(F.col("z")[0] * F.col("z")[0] + F.col("z")[1] * F.col("z")[1])
+        w = shared.cut(w.join(there, "p").select("p", (F.col("w") / F.greatest(size, F.lit(1e-300))).alias("w")))
+    mean = w.agg(F.avg("w").alias("m")).first()["m"] if normalize else 1.0
+    return w.select("p", F.sqrt(F.col("w") / mean).alias("w"))
 
 
 def find_delay(voxels: DataFrame, data: DataFrame, field: DataFrame, times: DataFrame, dt: float, n_terms: int, jump: float = 3.0, least: float = 5e-3,

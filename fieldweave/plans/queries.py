@@ -1012,9 +1012,8 @@ def _density_sql(steps: int) -> str:
 
 @query(_density_sql(10))
 def density_weights(spark, sf_dir):
-    s = roles.samples(spark, sf_dir).orderBy("p").select("p", "k").toPandas()
-    w = solve.density_weights(np.stack(s["k"].to_numpy())[:, 1:3], (20, 20), normalize=True)
-    return rounded(spark.createDataFrame([(int(p), float(x)) for p, x in zip(s["p"], w, strict=True)], "p long, w double"), ["w"], 5)
+    nodes = roles.samples(spark, sf_dir).select("p", F.slice("k", 2, 2).alias("node"))
+    return rounded(solve.density_weights(nodes, (20, 20), normalize=True), ["w"], 5)
 
 
 def _delayed(spark, sf_dir, shots: int) -> float:

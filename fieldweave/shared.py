@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL = "spark.fieldweave.scratch"
 
@@ -38,6 +38,12 @@ def drop(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def cut_with(df: DataFrame, **sums: Column) -> tuple[DataFrame, dict]:
+    """``df`` checkpointed, and aggregates of it that the same job makes."""
+    seen = Observation()
+    return cut(df.observe(seen, *[c.alias(n) for n, c in sums.items()])), seen.get
+
+
 class Bucketed:
     """A table in the shared folder, bucketed by one column: joins by that column bring the other side to it."""
 

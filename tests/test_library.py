@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldweave.functions import harmonics, nufft
-from fieldweave.operators import channels, encode, factors, geometry, imaging, lowrank, series, solve
+from fieldweave.operators import channels, encode, factors, geometry, imaging, lowrank, series, solve, transform
 from fieldweave.sources import nifti
 
 RNG = np.random.default_rng(5)
@@ -508,13 +508,39 @@ def test_centre_window_fixed_and_as_established(spark):
     assert imaging.center_window(df, (8, 8), (8, 4), ["n"], compat=True).agg(F.sum("x")).first()[0] == 0
 
 
-def test_density_weights_are_normalised():
+def test_density_weights_are_normalised(spark):
     t = np.linspace(0, 1, 37)
     nodes = np.column_stack([t * np.cos(20 * t), t * np.sin(20 * t)])
-    w = solve.density_weights(nodes, (8, 8), normalize=True)
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(nodes)], "p long, node array<double>")
+    w = solve.density_weights(frame, (8, 8), iterations=3, normalize=True, held=18 * 16, samples=10).toPandas().sort_values("p")["w"].to_numpy()
+    grid = np.stack(np.meshgrid(np.arange(-4, 4), np.arange(-4, 4), indexing="ij"), -1).reshape(-1, 2)
+    a = np.exp(2j * np.pi * (nodes / (2 * np.abs(nodes).max())) @ grid.T)
+    want = np.ones(37)
+    for _ in range(3):
+        want = want / np.abs(a @ (a.conj().T @ want))
+    np.testing.assert_allclose(w, np.sqrt(want / want.mean()), rtol=1e-9)
     assert abs((w**2).mean() - 1) < 1e-12 and w[-1] > w[1]
 
 
+@pytest.mark.parametrize(("shape", "columns", "held", "samples"), [((70, 6), 2, 17 * 16 * 2, 5), ((9,), 1, 1, 1000), ((12, 5, 4), 2, 1, 7)])
+def test_slab_transforms_against_the_dense_matrix(spark, shape, columns, held, samples):
+    nodes = RNG.uniform(-1.3, 1.3, (60, len(shape)))
+    nodes[:20] *= 0.01  # a crowded slab is spread in parts
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(nodes)], "p long, node array<double>")
+    t = transform.SlabTransform(frame, shape, columns, held=held, samples=samples)
+    # No task holds more than a small part of the grid.
+    assert t.slabs >= t.fine[0] // 2 and (samples > 60 or max(t.parts) > 1)
+    grid = np.stack(np.meshgrid(*[np.arange(n) - n // 2 for n in shape], indexing="ij"), -1).reshape(-1, len(shape))
+    a = np.exp(2j * np.pi * nodes @ grid.T)
+    x, y = (RNG.normal(size=(n, columns)) + 1j * RNG.normal(size=(n, columns)) for n in (len(grid), 60))
+    rows = lambda z, name: spark.createDataFrame([(i, r.view(float).tolist()) for i, r in enumerate(z)], f"{name} long, z array<double>")
+    values = lambda df, name: np.stack(df.toPandas().sort_values(name)["z"].to_numpy()).view(complex)
+    np.testing.assert_allclose(values(t.forward(rows(x, "cell")), "p"), a @ x, atol=1e-10)
+    np.testing.assert_allclose(values(t.adjoint(rows(y, "p")), "cell"), a.conj().T @ y, atol=1e-10)
+    if columns == 2:  # missing values are 0
+        np.testing.assert_allclose(values(t.forward(rows(x, "cell").where("cell >= 5")), "p"), a[:, 5:] @ x[5:], atol=1e-10)
+
+
 def test_stacks_are_written_in_the_order_of_their_numbers(tmp_path):
     at = lambda z: geometry.Geometry("GE", (0.2, 0.2, 0.004), (4, 3, 1), t_pcs=(0, 0, z))
     x = RNG.normal(size=(4, 3, 3)).astype(np.float32)
