@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,34 +70,44 @@ def density_weights(nodes: DataFrame, shape: tuple[int, ...], iterations: int =
     return w.select("p", F.sqrt(F.col("w") / mean).alias("w"))
 
 
-def find_delay(voxels: DataFrame, data: DataFrame, field: DataFrame, times: DataFrame, dt: float, n_terms: int, jump: float = 3.0, least: float = 5e-3,
-               iterations: int = 10, most_rounds: int = 50, unit: float = 1e-6, csm: DataFrame | None = None, weights: DataFrame | None = None) -> float:
-    """Offset of the field clock, in ``unit`` seconds, from data (p, c, re, im) at times (shot, p, t[, start]).
-
-    ``field`` (shot, j, term, value) holds equispaced coefficients of each shot; ``start`` is the
-    offset of a shot's own clock that is known already.  Each round interpolates field and
-    derivative at the present offset, reconstructs from all shots, and moves by ``jump`` times the
-    least-squares step of all their residuals; the jump halves when the step changes sign.  Raises
-    after ``most_rounds``.
-    """
-    slopes = series.fir_derivative(field, ["shot", "term"], dt).select("shot", "term", "j", F.col("slope").alias("value"))
-    terms = field.select("shot", "term").distinct()
+def delay_rounds(voxels: DataFrame, data: DataFrame, field: DataFrame, times: DataFrame, dt: float, n_terms: int, jump: float = 3.0, iterations: int = 10,
+                 unit: float = 1e-6, csm: DataFrame | None = None, weights: DataFrame | None = None) -> Iterator[tuple[float, float, float]]:
+    """The rounds of ``find_delay`` without end: (step, offset after it, jump after it) of each, in ``unit`` seconds."""
+    slopes = series.fir_derivative(field, ["shot", "term"], dt).select("shot", "term", "j", F.col("slope").alias("slope"))
+    both = shared.cut(field.join(slopes, ["shot", "term", "j"]))
+    terms = both.select("shot", "term").distinct()
     start = F.col("start") if "start" in times.columns else F.lit(0.0)
-    tau, step, moved = 0.0, float("inf"), None
-    for _ in range(most_rounds):
+    tau, moved = 0.0, None
+    while True:
         at = times.join(terms, "shot").withColumns({"t0": F.col("t"), "t": F.col("t") + start + tau * unit})
-        value = lambda s: series.interpolate_linear(s, at, ["shot", "term"], dt)
+        k = series.interpolate_linear(both.select("shot", "term", "j", "value"), at, ["shot", "term"], dt)
+        kd = series.interpolate_linear(both.select("shot", "term", "j", F.col("slope").alias("value")), at, ["shot", "term"], dt)
         stacked = lambda df, name: df.groupBy("p", "t0").agg(F.transform(F.sort_array(F.collect_list(F.struct("term", "value"))), lambda x: x["value"]).alias(name))
-        samples = stacked(value(field), "k").join(stacked(value(slopes), "k_dot").drop("t0"), "p").withColumnRenamed("t0", "t").persist()
+        samples = shared.cut(stacked(k, "k").join(stacked(kd, "k_dot").drop("t0"), "p").withColumnRenamed("t0", "t"))
         op = ExplicitOp(samples, voxels, n_terms, csm)
         image = reconstruct(op, data, weights, iterations=iterations)
         model = op.forward(image).select("p", "c", F.col("re").alias("mr"), F.col("im").alias("mi"))
         residual = data.join(model, ["p", "c"]).select("p", "c", (F.col("re") - F.col("mr")).alias("re"), (F.col("im") - F.col("mi")).alias("im"))
         step = encode.delay_step(residual, op.forward(image, derivative=True), ["p", "c"], jump / unit).first()["delta"]
-        samples.unpersist()
         if moved is not None and np.sign(step) != np.sign(moved):
             jump = max(1.0, jump / 2)
         tau, moved = tau + step, step
+        yield step, tau, jump
+
+
+def find_delay(voxels: DataFrame, data: DataFrame, field: DataFrame, times: DataFrame, dt: float, n_terms: int, jump: float = 3.0, least: float = 5e-3,
+               iterations: int = 10, most_rounds: int = 50, unit: float = 1e-6, csm: DataFrame | None = None, weights: DataFrame | None = None) -> float:
+    """Offset of the field clock, in ``unit`` seconds, from data (p, c, re, im) at times (shot, p, t[, start]).
+
+    ``field`` (shot, j, term, value) holds equispaced coefficients of each shot; ``start`` is the
+    offset of a shot's own clock that is known already.  Each round interpolates field and
+    derivative at the present offset, reconstructs from all shots, and moves by ``jump`` times the
+    least-squares step of all their residuals; the jump halves when the step changes sign.  Raises
+    after ``most_rounds``.
+    """
+    rounds = delay_rounds(voxels, data, field, times, dt, n_terms, jump, iterations, unit, csm, weights)
+    step = float("inf")
+    for step, tau, jump in itertools.islice(rounds, most_rounds):
         if abs(step) <= least:
             return tau - step / jump * (jump - 1)
     raise RuntimeError(f"no convergence after {most_rounds} rounds; last step {step}")

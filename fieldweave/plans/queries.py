@@ -7,12 +7,14 @@ that tests hold against dense numpy.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import cplx, harmonics
 from ..functions.cplx import snapped
 from ..operators import channels as ch
@@ -1016,33 +1018,83 @@ def density_weights(spark, sf_dir):
     return rounded(solve.density_weights(nodes, (20, 20), normalize=True), ["w"], 5)
 
 
-def _delayed(spark, sf_dir, shots: int) -> float:
-    """The offset found where the data were made with 2.5 microseconds, on five points and ``shots`` readouts."""
-    n, dt, truth = 48, 1e-5, 2.5e-6
-    rng, j = np.random.default_rng(3), np.arange(n)
-    place = rng.uniform(-1, 1, (5, 3))
-    vox = spark.createDataFrame([(i, *map(float, x), 0.0) for i, x in enumerate(place)], "v long, x double, y double, z double, b0 double")
-    vox = vox.withColumn("b", harmonics.terms(range(1, 10))).select("v", "b0", "b").coalesce(1)
-    curve = lambda s, t: np.stack([3 * np.sin((t / dt + 5 * s) / 6), 3 * np.cos((t / dt + 3 * s) / 7)], axis=-1)
-    field = [(s, int(i), l, float(curve(s, i * dt)[l - 1]) if l in (1, 2) else 0.0) for s in range(shots) for i in j for l in range(9)]
-    starts, t = [0.0, 1.5e-6, -2e-6][:shots], np.arange(4, 40) * dt
-    x = rng.normal(size=5) + 1j * rng.normal(size=5)
-    data, times = [], []
-    for s in range(shots):
-        y = np.exp(2j * np.pi * curve(s, t + truth + starts[s]) @ place[:, :2].T) @ x / np.sqrt(5)
-        data += [(s * 100 + i, 0, float(z.real), float(z.imag)) for i, z in enumerate(y)]
-        times += [(s, s * 100 + i, float(u), starts[s]) for i, u in enumerate(t)]
-    return solve.find_delay(vox, spark.createDataFrame(data, "p long, c int, re double, im double").coalesce(1), spark.createDataFrame(field, "shot int, j long, term int, value double").coalesce(1),
-                            spark.createDataFrame(times, "shot int, p long, t double, start double").coalesce(1), dt, 9, jump=1.0, least=0.05, iterations=5)
-
-
-@query("SELECT 1 AS shots, 2.5e0 AS delay")
+# Clock offsets: the events of a user are the gradient of a readout, the nations are points.
+_POINTS = [("v", "CAST(n_nationkey AS BIGINT)"), ("x", f"({roles.D('n_nationkey % 5')} - 2E0) * 0.4E0"), ("y", f"({roles.D('floor(n_nationkey / 5E0)')} - 2E0) * 0.4E0"), ("z", "0E0"),
+           ("b0", f"({roles.D('n_nationkey % 7')} - 3E0) * 4E0"), ("re", f"1E0 + 0.1E0 * {roles.D('n_nationkey % 3')}"), ("im", f"0.05E0 * {roles.D('n_nationkey')} - 0.6E0")]
+_DT, _TRUTH, _ROUNDS, _STEPS, _JUMP = 1e-5, 2.5, 3, 3, 2.0
+
+
+def _start(many: bool) -> str:
+    """The offset of each readout's own clock."""
+    return f"({roles.D('u % 5')} - 2E0) * 1E-6" if many else "0E0"
+
+
+def _rounds_sql(many: bool) -> str:
+    """The rounds of the search: interpolation, conjugate gradients, residual and step, one set of tables each."""
+    at = lambda n: "".join([f"coalesce(lead(k{n}, 2) OVER w, 0e0) / 8 + coalesce(lead(k{n}) OVER w, 0e0) / 4", f" - coalesce(lag(k{n}) OVER w, 0e0) / 4 - coalesce(lag(k{n}, 2) OVER w, 0e0) / 8"])
+    value = lambda n: f"coalesce(CASE WHEN {n}_b IS NOT NULL THEN {n}_a + f * ({n}_b - {n}_a) WHEN f = 0 THEN {n}_a END, 0e0) AS {n}"
+    names = ("k1", "k2", "q1", "q2")
+    out = [f"vox AS ({roles.sql(_POINTS, 'nation')}), ev AS ({roles.SHOT_SQL})",
+           "g AS (SELECT u, j, coalesce((lag(value - 50e0) OVER w + value - 50e0) * 0.5e0, 0e0) AS d FROM ev WINDOW w AS (PARTITION BY u ORDER BY j))",
+           "kk AS (SELECT u, j, 0.004e0 * sum(d) OVER (PARTITION BY u ORDER BY j) AS k1, 2e0 * cos((j + 3e0 * u) / 7e0) AS k2 FROM g)",
+           f"kq AS (SELECT u, j, k1, k2, ({at(1)}) / {_DT} AS q1, ({at(2)}) / {_DT} AS q2 FROM kk WINDOW w AS (PARTITION BY u ORDER BY j))",
+           f"node AS MATERIALIZED (SELECT u, j, {', '.join(f'{n} AS {n}_a, lead({n}) OVER w AS {n}_b' for n in names)} FROM kq WINDOW w AS (PARTITION BY u ORDER BY j))",
+           f"samp AS MATERIALIZED (SELECT u, u * 1000000 + j AS p, (j + 0.25e0) * {_DT} AS t, {_start(many)} AS start FROM ev)"]
+
+    def phases(name: str, tau: str, source: str) -> list[str]:
+        return [f"i{name} AS (SELECT p, u, t, (t + start + {tau} * 1e-6) / {_DT} AS w FROM samp{source})",
+                f"k{name} AS MATERIALIZED (SELECT p, t, {', '.join(map(value, names))} FROM (SELECT p, t, w - floor(w) AS f, node.* FROM i{name} i LEFT JOIN node ON node.u = i.u AND node.j = floor(i.w)) s)",
+                f"ph{name} AS MATERIALIZED (SELECT p, v, cos(a) AS co, sin(a) AS s, rate FROM (SELECT p, v, {TAU!r}e0 * (t * b0 + k1 * x + k2 * y) AS a, {TAU!r}e0 * (q1 * x + q2 * y) AS rate FROM k{name}, vox) e)"]
+
+    there = lambda ph, x: f"SELECT p, 0.2e0 * sum(x.re * co - x.im * s) AS re, 0.2e0 * sum(x.re * s + x.im * co) AS im FROM {ph} JOIN {x} x USING (v) GROUP BY p"
+    back = lambda ph, y: f"SELECT v, 0.2e0 * sum(y.re * co + y.im * s) AS re, 0.2e0 * sum(y.im * co - y.re * s) AS im FROM {ph} JOIN {y} y USING (p) GROUP BY v"
+    out += phases("t", f"{_TRUTH}e0", "") + [f"data AS MATERIALIZED ({there('pht', 'vox')})", f"t0 AS (SELECT 0e0 AS tau, {_JUMP}e0 AS jump, NULL::DOUBLE AS moved)"]
+    for i in range(_ROUNDS):
+        ph = f"ph{i}"
+        out += phases(str(i), "tau", f", t{i}")
+        out += [f"r{i}_0 AS MATERIALIZED ({back(ph, 'data')})", f"p{i}_0 AS (SELECT * FROM r{i}_0)", f"x{i}_0 AS (SELECT v, 0e0 AS re, 0e0 AS im FROM vox)"]
+        for n in range(_STEPS):
+            a, b = f"{i}_{n}", f"{i}_{n + 1}"
+            out += [f"f{a} AS MATERIALIZED ({there(ph, 'p' + a)})", f"h{a} AS MATERIALIZED ({back(ph, 'f' + a)})",
+                    f"g{a} AS MATERIALIZED (SELECT (SELECT sum(re * re + im * im) FROM r{a}) / (SELECT sum(p.re * h.re + p.im * h.im) FROM p{a} p JOIN h{a} h USING (v)) AS g)",
+                    f"x{b} AS MATERIALIZED (SELECT x.v, x.re + g * p.re AS re, x.im + g * p.im AS im FROM x{a} x JOIN p{a} p USING (v), g{a})",
+                    f"r{b} AS MATERIALIZED (SELECT r.v, r.re - g * h.re AS re, r.im - g * h.im AS im FROM r{a} r JOIN h{a} h USING (v), g{a})",
+                    f"b{a} AS MATERIALIZED (SELECT (SELECT sum(re * re + im * im) FROM r{b}) / (SELECT sum(re * re + im * im) FROM r{a}) AS b)",
+                    f"p{b} AS MATERIALIZED (SELECT r.v, r.re + b * p.re AS re, r.im + b * p.im AS im FROM r{b} r JOIN p{a} p USING (v), b{a})"]
+        x = f"x{i}_{_STEPS}"
+        out += [f"m{i} AS ({there(ph, x)})",
+                f"d{i} AS (SELECT p, 0.2e0 * sum(rate * (-x.re * s - x.im * co)) AS re, 0.2e0 * sum(rate * (x.re * co - x.im * s)) AS im FROM {ph} JOIN {x} x USING (v) GROUP BY p)",
+                f"""s{i} AS MATERIALIZED (SELECT any_value(jump) / 1e-6 * sum(d.re * (y.re - m.re) + d.im * (y.im - m.im)) / sum(d.re * d.re + d.im * d.im) AS step
+ FROM data y JOIN m{i} m USING (p) JOIN d{i} d USING (p), t{i})""",
+                f"t{i + 1} AS MATERIALIZED (SELECT tau + step AS tau, CASE WHEN sign(step) <> sign(moved) THEN greatest(1e0, jump / 2) ELSE jump END AS jump, step AS moved FROM t{i}, s{i})"]
+    rows = " UNION ALL ".join(f"SELECT {i + 1} AS round, {r('moved', 4)} AS step, {r('tau', 4)} AS delay, jump FROM t{i + 1}" for i in range(_ROUNDS))
+    return f"WITH {', '.join(out)} {rows}"
+
+
+def _delays(spark, sf_dir, many: bool) -> DataFrame:
+    points = roles.view(roles.read(spark, sf_dir, "nation"), _POINTS).withColumn("b", harmonics.terms(range(1, 10)))
+    shots = roles.shots(spark, sf_dir).withColumn("value", F.col("value") - 50.0)
+    walk = series.cumulative_trapezoid(shots, ["u"], 1.0)
+    curve = [0.004 * F.col("integral"), 2.0 * F.cos((F.col("j") + 3.0 * F.col("u")) / 7.0)]
+    field = walk.select(F.col("u").alias("shot"), "j", F.posexplode(F.array(F.lit(0.0), *curve, *[F.lit(0.0)] * 6)).alias("term", "value"))
+    times = shots.select(F.col("u").alias("shot"), (F.col("u") * 1000000 + F.col("j")).alias("p"), ((F.col("j") + 0.25) * _DT).alias("t"), F.expr(_start(many)).alias("start"))
+    # The data are what the operator makes of the points where the field clock is _TRUTH late.
+    at = times.withColumns({"t0": F.col("t"), "t": F.col("t") + F.col("start") + _TRUTH * 1e-6}).crossJoin(F.broadcast(spark.range(9).select(F.col("id").cast("int").alias("term"))))
+    k = series.interpolate_linear(field, at, ["shot", "term"], _DT).groupBy("p", "t0").agg(F.transform(F.sort_array(F.collect_list(F.struct("term", "value"))), lambda x: x["value"]).alias("k"))
+    truth = encode.ExplicitOp(shared.cut(k.withColumnRenamed("t0", "t")), points.select("v", "b0", "b"), 9)
+    data = shared.cut(truth.forward(points.select("v", "re", "im")))
+    rounds = solve.delay_rounds(points.select("v", "b0", "b"), data, field, times, _DT, 9, jump=_JUMP, iterations=_STEPS)
+    rows = [(i + 1, *map(float, row)) for i, row in enumerate(itertools.islice(rounds, _ROUNDS))]
+    return rounded(spark.createDataFrame(rows, "round int, step double, delay double, jump double"), ["step", "delay"], 4)
+
+
+@query(_rounds_sql(False))
 def find_delay(spark, sf_dir):
-    """The clock offset of one readout."""
-    return rounded(spark.createDataFrame([(1, _delayed(spark, sf_dir, 1))], "shots int, delay double"), ["delay"], 1)
+    """The first rounds of the search for the offset of a clock that all readouts share."""
+    return _delays(spark, sf_dir, False)
 
 
-@query("SELECT 3 AS shots, 2.5e0 AS delay")
+@query(_rounds_sql(True))
 def find_delay_shots(spark, sf_dir):
-    """The clock offset of three readouts whose own clocks start apart."""
-    return rounded(spark.createDataFrame([(3, _delayed(spark, sf_dir, 3))], "shots int, delay double"), ["delay"], 1)
+    """The same where the readouts' own clocks start apart."""
+    return _delays(spark, sf_dir, True)
