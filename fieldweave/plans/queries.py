@@ -11,14 +11,14 @@ import itertools
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import shared
 from ..functions import cplx, harmonics
 from ..functions.cplx import snapped
 from ..operators import channels as ch
-from ..operators import encode, factors, geometry, imaging, lowrank, series, solve
+from ..operators import encode, factors, geometry, imaging, lowrank, relations, series, solve
 from ..sources import roles
 
 QUERIES: dict = {}
@@ -84,22 +84,38 @@ def rps_roundtrip(spark, sf_dir):
 
 #: Every position of the one vendor that has them all, and the others' only one.
 _FRAMES = [("SIEMENS", p) for p in geometry.PATIENT_TO_DEVICE] + [(v, "HFS") for v in geometry.NOMINAL_SIGN if v != "SIEMENS"]
-_TURNS = ", ".join(f"('{v}', '{p}', {', '.join(f'{x}e0' for row in geometry.PATIENT_TO_DEVICE[p] for x in row)}, {geometry.NOMINAL_SIGN[v]}e0)" for v, p in _FRAMES)
+_TURNS = ", ".join(f"({n}, '{v}', '{p}', {', '.join(f'{x}e0' for row in geometry.PATIENT_TO_DEVICE[p] for x in row)}, {geometry.NOMINAL_SIGN[v]}e0)" for n, (v, p) in enumerate(_FRAMES))
 
 
-@query(f"""WITH t(vendor, position, a, b, c, d, e, f, g, h, i, s) AS (VALUES {_TURNS})
-SELECT vendor, position, {r('a * 0.125e0 + b * -0.25e0 + c * 0.5e0')} AS tx, {r('d * 0.125e0 + e * -0.25e0 + f * 0.5e0')} AS ty, {r('g * 0.125e0 + h * -0.25e0 + i * 0.5e0')} AS tz,
- {r('s * (3 * (b * 0.6e0 + c * -0.8e0) + 5 * (b * 0.8e0 + c * 0.6e0) + 7 * a)')} AS gx, {r('s * (3 * (e * 0.6e0 + f * -0.8e0) + 5 * (e * 0.8e0 + f * 0.6e0) + 7 * d)')} AS gy,
- {r('s * (3 * (h * 0.6e0 + i * -0.8e0) + 5 * (h * 0.8e0 + i * 0.6e0) + 7 * g)')} AS gz FROM t""")
+@query(f"""WITH t(n, vendor, position, a, b, c, d, e, f, g, h, i, s) AS (VALUES {_TURNS}), q AS (SELECT s_suppkey, s_acctbal / 1000 AS x, {roles.D('s_suppkey')} * 0.25e0 AS y,
+ s_nationkey - 12e0 AS z, {roles.D('s_nationkey')} AS p, t.* FROM supplier JOIN t ON s_suppkey % {len(_FRAMES)} = n)
+SELECT s_suppkey, vendor, position, {r('a * x + b * y + c * z')} AS tx, {r('d * x + e * y + f * z')} AS ty, {r('g * x + h * y + i * z')} AS tz,
+ {r('s * (p * (b * 0.6e0 + c * -0.8e0) + 5 * (b * 0.8e0 + c * 0.6e0) + 7 * a)')} AS gx, {r('s * (p * (e * 0.6e0 + f * -0.8e0) + 5 * (e * 0.8e0 + f * 0.6e0) + 7 * d)')} AS gy,
+ {r('s * (p * (h * 0.6e0 + i * -0.8e0) + 5 * (h * 0.8e0 + i * 0.6e0) + 7 * g)')} AS gz FROM q""")
 def geometry_frames(spark, sf_dir):
-    """Offsets and one gradient in device axes for every vendor and position."""
-    out = None
-    for vendor, position in _FRAMES:
-        geo = geometry.Geometry(vendor, GEO.fov, GEO.matrix, position, GEO.t_pcs, GEO.r_rps_pcs)
-        row = spark.createDataFrame([(vendor, position, *geo.t_dcs, 3.0, 5.0, 7.0)], "vendor string, position string, tx double, ty double, tz double, gx double, gy double, gz double")
-        row = geometry.rotate_gradients(row, geo)
-        out = row if out is None else out.unionByName(row)
-    return rounded(out, ["tx", "ty", "tz", "gx", "gy", "gz"])
+    """Suppliers as geometries of every vendor and position: offsets and one gradient each in device axes."""
+    s = roles.read(spark, sf_dir, "supplier")
+    pick = lambda at: F.array(*[F.lit(f[at]) for f in _FRAMES])[(F.col("s_suppkey") % len(_FRAMES)).cast("int")]
+    geos = s.select(
+        "s_suppkey", pick(0).alias("vendor"), pick(1).alias("position"),
+        F.array(F.col("s_acctbal") / 1000, F.col("s_suppkey") * 0.25, F.col("s_nationkey") - 12.0).alias("t_pcs"), relations.rows_of(GEO.r_rps_pcs).alias("r_rps_pcs"),
+    )
+    offsets = relations.with_frames(geos).select("s_suppkey", "vendor", "position", *[F.col("t_dcs")[i].alias(f"t{c}") for i, c in enumerate("xyz")])
+    nominal = s.select("s_suppkey", F.col("s_nationkey").cast("double").alias("gx"), F.lit(5.0).alias("gy"), F.lit(7.0).alias("gz"))
+    return rounded(offsets.join(relations.rotated(nominal, geos, ["s_suppkey"]), "s_suppkey"), ["tx", "ty", "tz", "gx", "gy", "gz"])
+
+
+@query(f"""WITH g AS (SELECT n_nationkey, n_nationkey * 0.125e0 AS tx, n_regionkey - 2e0 AS ty FROM nation)
+SELECT v, {r('z + tx')} AS x, {r('0.6e0 * x + 0.8e0 * y + ty')} AS y, {r('-0.8e0 * x + 0.6e0 * y + 0.5e0')} AS z FROM ({roles.VOX_SQL}) q JOIN g ON v % 25 = n_nationkey""")
+def placed_in_geometries(spark, sf_dir):
+    """Every voxel in the patient coordinates of its nation's geometry; there and back again changes nothing."""
+    n = roles.read(spark, sf_dir, "nation")
+    geos = n.select(F.col("n_nationkey").alias("g"), F.lit("siemens").alias("vendor"), F.lit("FFP").alias("position"),
+                    F.array(F.col("n_nationkey") * 0.125, F.col("n_regionkey") - 2.0, F.lit(0.5)).alias("t_pcs"), relations.rows_of(GEO.r_rps_pcs).alias("r_rps_pcs"))
+    vox = roles.voxels(spark, sf_dir).select("v", (F.col("v") % 25).cast("int").alias("g"), "x", "y", "z")
+    there = relations.placed(vox, geos, ["g"], "DCS")
+    out = relations.placed(relations.placed(there, geos, ["g"], "DCS", back=True), geos, ["g"], "PCS")
+    return rounded(out.select("v", "x", "y", "z"), ["x", "y", "z"])
 
 
 _GRAD = "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity AS gx, l_discount AS gy, l_tax AS gz FROM lineitem"
@@ -130,17 +146,16 @@ SELECT region, count(*) AS slices, {r('(count(*) - 1) * 0.005e0 + 0.004e0')} AS
  {r('-0.125e0')} AS cz FROM s GROUP BY region""")
 def geometry_merge(spark, sf_dir):
     """The nations of a region as its slices, in any order, merged to one volume each."""
-    slices: dict[int, list] = {}
-    for row in roles.read(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey").orderBy("n_nationkey").collect():
-        slices.setdefault(row["n_regionkey"], []).append(row["n_nationkey"])
-    out = []
-    for region, keys in slices.items():
-        at = lambda i: (region * 0.1 + i * 0.005, 0.25, -0.125)  # noqa: E731, B023
-        geos = [geometry.Geometry("siemens", (0.2, 0.2, 0.004), (64, 64, 1), "HFS", at(i), GEO.r_rps_pcs) for i in range(len(keys))]
-        merged = geometry.merge_geometries(geos[1:] + geos[:1])
-        out.append((region, merged.matrix[2], merged.fov[2], *merged.t_pcs))
-    df = spark.createDataFrame(out, "region int, slices long, thickness double, cx double, cy double, cz double")
-    return rounded(df, ["thickness", "cx", "cy", "cz"])
+    order = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    rows = roles.read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("region"), "n_nationkey", (F.row_number().over(order) - 1).alias("i"))
+    slices = rows.select("region", "n_nationkey", *_constant((0.2, 0.2, 0.004), (64, 64, 1)), F.array(F.col("region") * 0.1 + F.col("i") * 0.005, F.lit(0.25), F.lit(-0.125)).alias("t_pcs"))
+    out = relations.merged(slices, ["region"], "n_nationkey")
+    return rounded(out.select("region", F.col("matrix")[2].cast("long").alias("slices"), F.col("fov")[2].alias("thickness"), *[F.col("t_pcs")[i].alias(f"c{c}") for i, c in enumerate("xyz")]), ["thickness", "cx", "cy", "cz"])
+
+
+def _constant(fov, matrix) -> list:
+    """The fields that all geometries of a query have alike."""
+    return [F.lit("siemens").alias("vendor"), F.lit("HFS").alias("position"), relations.numbers(*fov).alias("fov"), F.array(*map(F.lit, matrix)).alias("matrix"), relations.rows_of(GEO.r_rps_pcs).alias("r_rps_pcs")]
 
 
 @query(f"""WITH p AS (SELECT s_suppkey AS idx, s_nationkey % 5 AS g FROM supplier), f AS (SELECT g, min(idx) AS idx FROM p GROUP BY g)
@@ -152,9 +167,9 @@ def extract_geometries(spark, sf_dir):
         F.col("s_suppkey").alias("idx"), F.array((F.col("s_nationkey") % 5) * 3.0 + F.col("s_suppkey") * 0.00001, F.lit(0.0), F.lit(1.0)).alias("t"),
         num(0, 0, 1).alias("read"), num(0.6, 0.8, 0).alias("phase"), num(0.8, -0.6, 0).alias("slice"),
     )
-    geos = geometry.extract_geometries(rows, "siemens", (0.2, 0.2, 0.003), (64, 64, 1), decimals=1)
-    out = [(i, g.t_pcs[0], g.r_rps_pcs[0][1], -g.r_rps_pcs[0][2]) for i, g in enumerate(geos)]
-    return rounded(rounded(spark.createDataFrame(out, "slice long, x double, r01 double, r12 double"), ["x"], 9), ["r01", "r12"])
+    out = relations.extracted(rows, "siemens", (0.2, 0.2, 0.003), (64, 64, 1), decimals=1)
+    out = out.select("slice", F.col("t_pcs")[0].alias("x"), F.col("r_rps_pcs")[0][1].alias("r01"), (-F.col("r_rps_pcs")[0][2]).alias("r12"))
+    return rounded(rounded(out, ["x"], 9), ["r01", "r12"])
 
 
 _CORNER = "SELECT a, b, c, (2 * a - 1) * 6000e0 AS x, (2 * b - 1) * 2250e0 AS y, (2 * c - 1) * 5000e0 AS z FROM range(2) p(a), range(2) q(b), range(2) s(c)"
@@ -357,6 +372,25 @@ def girf_model(spark, sf_dir):
     return rounded(series.ResponseModel(_response()).apply(_waves(spark, sf_dir), bandwidth=0.9), ["value"]).select("wave", "o", "j", "part", "value")
 
 
+def _expanded_sql(n: int, size: str) -> str:
+    """A response of n bins on waveforms of any length up to ``size``: its impulse response by n bins, convolved in time, as zeros in the middle of it do."""
+    half = n // 2
+    lag = f"CASE WHEN m < {half} THEN m ELSE m - {n} END"
+    return f"""WITH g AS (SELECT u AS wave, (j % 3)::INT AS i, j // 3 AS j, value FROM {_SHOT}), n AS (SELECT wave, max(j) + 1 AS n FROM g GROUP BY wave),
+ f AS (SELECT t - {half} AS f FROM range({n}) q(t)),
+ h AS (SELECT i::INT AS i, o::INT AS o, {lag} AS lag, sum(exp(-(f / 8e0) * (f / 8e0)) * (1 + 0.1e0 * i + 0.2e0 * o) * cos(0.1e0 * f + {TAU!r}e0 * f * m / {n})) / {n} AS h
+ FROM f, range({n}) q(m), range(3) s(i), range(5) r(o) WHERE m <> {half} GROUP BY i, o, m),
+ z AS (SELECT n.wave, n, (SELECT min(s) FROM (VALUES {size}) v(s) WHERE s >= greatest(n, {n})) AS size FROM n)
+SELECT z.wave, h.o, t AS j, {r('coalesce(sum(g.value * h.h), 0)')} AS value FROM z, range(200) q(t), h JOIN g ON g.i = h.i
+WHERE g.wave = z.wave AND t < n AND (t - g.j - h.lag) % size = 0 GROUP BY z.wave, h.o, t"""
+
+
+@query(_expanded_sql(8, ", ".join(f"({series.smooth_length(k)})" for k in sorted({series.smooth_length(x) for x in range(8, 200)}))))
+def girf_expanded(spark, sf_dir):
+    """A response of fewer bins than the waveforms have steps, grown to their length."""
+    return rounded(series.apply_response(_waves(spark, sf_dir), _response(8)), ["value"])
+
+
 @query(f"""SELECT part, count(*) AS n, count(DISTINCT o)::BIGINT AS outputs FROM (SELECT o, CASE WHEN o = 0 THEN 'k0' WHEN o <= 3 THEN 'linear' ELSE 'higher' END AS part
  FROM {_SHOT}, range(5) t(o)) s GROUP BY part""")
 def girf_split_channels(spark, sf_dir):
@@ -744,12 +778,11 @@ def grid_decimated(spark, sf_dir):
 @query(f"""SELECT n_regionkey AS slab, 18 AS slices, {r('18 * 0.002e0')} AS thickness, {r('n_regionkey * 0.1e0 + 0.012e0')} AS cx FROM nation GROUP BY n_regionkey""")
 def merged_slabs_geometry(spark, sf_dir):
     """Three slabs of eight slices for each region, merged to eighteen slices."""
-    out = []
-    for region in sorted({row["n_regionkey"] for row in roles.read(spark, sf_dir, "nation").select("n_regionkey").collect()}):
-        geos = [geometry.Geometry("siemens", (0.2, 0.2, 0.016), (64, 64, 8), "HFS", (region * 0.1 + 0.012 * i, 0.0, 0.0), GEO.r_rps_pcs) for i in range(3)]
-        g = geometry.merged_slabs_geometry(geos, 18)
-        out.append((region, g.matrix[2], g.fov[2], g.t_pcs[0]))
-    return rounded(spark.createDataFrame(out, "slab int, slices int, thickness double, cx double"), ["thickness", "cx"])
+    regions = roles.read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("slab")).distinct()
+    slabs = regions.select("slab", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
+    slabs = slabs.select("slab", "i", *_constant((0.2, 0.2, 0.016), (64, 64, 8)), F.array(F.col("slab") * 0.1 + 0.012 * F.col("i"), F.lit(0.0), F.lit(0.0)).alias("t_pcs"))
+    out = relations.merged_slabs(slabs, ["slab"], "i", 18)
+    return rounded(out.select("slab", F.col("matrix")[2].alias("slices"), F.col("fov")[2].alias("thickness"), F.col("t_pcs")[0].alias("cx")), ["thickness", "cx"])
 
 
 def _slabs(spark, sf_dir):

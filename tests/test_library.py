@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldweave.functions import harmonics, nufft
-from fieldweave.operators import channels, encode, factors, geometry, imaging, lowrank, series, solve, transform
+from fieldweave.operators import channels, encode, factors, geometry, imaging, lowrank, relations, series, solve, transform
 from fieldweave.sources import nifti
 
 RNG = np.random.default_rng(5)
@@ -560,3 +560,42 @@ def test_library_does_not_import_the_corpus_operators():
 
     code = "import fieldweave.registry, sys; print(any(m.startswith('fieldweave.llm') for m in sys.modules))"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=str(__import__("pathlib").Path(__file__).parent.parent)).stdout.strip() == "False"
+
+
+def test_geometries_as_rows_agree_with_geometries_as_objects(spark):
+    turn = ((0.0, 0.0, 1.0), (0.6, 0.8, 0.0), (-0.8, 0.6, 0.0))
+    kinds = [("SIEMENS", p) for p in geometry.PATIENT_TO_DEVICE] + [("ge", "HFS"), ("Philips", "HFS"), ("UIH", "HFS")]
+    objects = [geometry.Geometry(v, (0.2, 0.1, 0.004), (8, 4, 1), p, tuple(RNG.normal(size=3).tolist()), turn) for v, p in kinds]
+    schema = "g long, i long, vendor string, position string, fov array<double>, matrix array<int>, t_pcs array<double>, r_rps_pcs array<array<double>>"
+    table = lambda rows: spark.createDataFrame(rows, schema)
+    row = lambda g, i, x: (g, i, x.vendor, x.position, list(x.fov), list(x.matrix), [float(t) for t in x.t_pcs], [list(r) for r in x.r_rps_pcs])
+    geos = table([row(g, 0, x) for g, x in enumerate(objects)])
+    points = spark.createDataFrame([(g, *RNG.normal(size=6).tolist()) for g in range(len(objects))], "g long, x double, y double, z double, gx double, gy double, gz double")
+    for space in ("PCS", "DCS"):
+        there = relations.placed(points, geos, ["g"], space)
+        back = {r.g: (r.x, r.y, r.z) for r in relations.placed(there, geos, ["g"], space, back=True).collect()}
+        got, turned = {r.g: r for r in there.collect()}, {r.g: r for r in relations.rotated(points, geos, ["g"]).collect()}
+        for p in points.collect():
+            r, t = objects[p.g].frame(space)
+            np.testing.assert_allclose([got[p.g].x, got[p.g].y, got[p.g].z], r @ [p.x, p.y, p.z] + t, atol=1e-12)
+            np.testing.assert_allclose(back[p.g], [p.x, p.y, p.z], atol=1e-12)
+            m = np.array(objects[p.g].r_rps_dcs) * geometry.NOMINAL_SIGN[objects[p.g].vendor]
+            np.testing.assert_allclose([turned[p.g].gx, turned[p.g].gy, turned[p.g].gz], m @ [p.gx, p.gy, p.gz], atol=1e-12)
+    again = relations.rotated(relations.rotated(points, geos, ["g"]), geos, ["g"], back=True).join(points.select("g", F.col("gx").alias("o")), "g")
+    assert again.where("abs(gx - o) > 1e-12").isEmpty()
+    stack = [geometry.Geometry("GE", (0.2, 0.1, 0.004), (8, 4, 1), "HFS", tuple(0.005 * i * np.array(turn)[:, 2]), turn) for i in (2, 0, 3, 1)]
+    want = geometry.merge_geometries(stack)
+    one = relations.merged(table([row(0, i, x) for i, x in enumerate(stack)]), ["g"], "i").first()
+    np.testing.assert_allclose([*one.fov, *one.t_pcs], [*want.fov, *want.t_pcs], atol=1e-12)
+    assert tuple(one.matrix) == want.matrix
+    slabs = [geometry.Geometry("GE", (0.2, 0.1, 0.016), (8, 4, 8), "HFS", tuple(0.012 * i * np.array(turn)[:, 2]), turn) for i in range(3)]
+    want = geometry.merged_slabs_geometry(slabs, 18)
+    one = relations.merged_slabs(table([row(0, i, x) for i, x in enumerate(slabs)]), ["g"], "i", 18).first()
+    np.testing.assert_allclose([*one.fov, *one.t_pcs], [*want.fov, *want.t_pcs], atol=1e-12)
+    other = geometry.Geometry("GE", (0.2, 0.1, 0.004), (8, 4, 1), "HFS", (0.0, 0.0, 0.0))
+    for bad, why in ((stack[:3], "evenly"), ([stack[0], other], "aligned")):
+        with pytest.raises(Exception, match=why):
+            relations.merged(table([row(0, i, x) for i, x in enumerate(bad)]), ["g"], "i").collect()
+    for bad in (("XX", "HFS"), ("ge", "FFP"), ("siemens", "none")):
+        with pytest.raises(Exception, match="no rotation"):
+            relations.with_frames(geos.limit(1).withColumns({"vendor": F.lit(bad[0]), "position": F.lit(bad[1])})).collect()
