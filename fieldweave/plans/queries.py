@@ -18,7 +18,7 @@ from .. import shared
 from ..functions import cplx, harmonics
 from ..functions.cplx import snapped
 from ..operators import channels as ch
-from ..operators import encode, factors, geometry, imaging, lowrank, relations, series, solve
+from ..operators import encode, factors, geometry, imaging, lowrank, relations, series, solve, tallfactors
 from ..sources import roles
 
 QUERIES: dict = {}
@@ -883,14 +883,68 @@ def _figures(spark, **values) -> DataFrame:
     return rounded(spark.createDataFrame([tuple(float(x) for x in values.values())], ", ".join(f"{k} double" for k in values)), list(values))
 
 
+def _sides(spark, sf_dir):
+    """Spatial features (v, g), temporal ones (p, f) and the image, all as tables."""
+    vox, samples = roles.voxels(spark, sf_dir).where("masked"), roles.samples(spark, sf_dir)
+    return lowrank.spatial_features(vox, 9, False), samples.select("p", F.concat(F.array("t"), F.slice("k", 5, 5)).alias("f")), vox.select("v", "re", "im")
+
+
 @query()
 def rsvd_factor_error(spark, sf_dir):
+    """The error of randomised factors, both sides of which are tables, and of those of one readout finished by triangles."""
+    g, samples, _ = _sides(spark, sf_dir)
+    n = samples.count()
+    rank = min(30, n - 5)
+    q, basis = tallfactors.rsvd(g, samples, rank)
+    _, readouts = _features(spark, sf_dir)
+    q2, basis2 = factors.rsvd(g, readouts[0], min(rank, len(readouts[0])), 0, finalize="svd")
+    return _figures(spark, rank=rank, error=tallfactors.relative_error(g, samples, q, basis), first_readout=factors.relative_error(g, basis2, readouts[0], q2))
+
+
+_RESIDUAL = f"""WITH {_ENC}, e AS (SELECT p, re, im, cos(a) AS c, sin(a) AS s FROM (SELECT p, vox.re, vox.im, {TAU!r}e0 * (t * b0 + {' + '.join(f'k{i} * b{i + 1}' for i in range(4, 9))}) AS a FROM samp, vox) q)
+SELECT p, {r('sum(re * c - im * s)', 4)} AS re, {r('sum(re * s + im * c)', 4)} AS im FROM e GROUP BY p"""
+
+
+@query(_RESIDUAL)
+def rsvd_full_rank(spark, sf_dir):
+    """Randomised factors of as many ranks as samples, times the image: what all residual phases make of it."""
+    g, samples, image = _sides(spark, sf_dir)
+    q, basis = tallfactors.rsvd(g, samples, samples.count(), 0)
+    return rounded(tallfactors.times_image(q, basis, image), ["re", "im"], 4)
+
+
+def _driver_factors(spark, sf_dir, q: np.ndarray, basis: DataFrame, image: DataFrame, digits: int) -> DataFrame:
+    """q S^H x for q in the order of readouts and samples."""
+    p = roles.samples(spark, sf_dir).select("d", "p").orderBy("d", "p").toPandas()["p"].to_numpy()
+    table = lowrank._temporal(spark, p, np.zeros(len(p)), q)
+    return rounded(tallfactors.times_image(table.select("p", "q"), basis, image), ["re", "im"], digits)
+
+
+@query(_RESIDUAL.replace("1e4", "1e1"))
+def recompressed_full_rank(spark, sf_dir):
+    """Factors recompressed in a metric of times and voxels to all their ranks: another basis, the same product."""
+    _, samples, image = _sides(spark, sf_dir)
     g, readouts = _features(spark, sf_dir)
     f = np.concatenate(readouts)
-    rank = min(30, len(f) - 5)
-    q, basis = factors.rsvd(g, f, rank)
-    q2, basis2 = factors.rsvd(g, f, rank, finalize="svd")
-    return _figures(spark, rank=rank, error=factors.relative_error(g, basis, f, q), svd_error=factors.relative_error(g, basis2, f, q2))
+    q, basis = factors.rsvd(g, f, len(f), 0)
+    weighted = basis.join(image.select("v", (1 + F.abs("re")).alias("w")), "v")
+    gram = factors.gram(basis, "s", "s", len(f), len(f))
+    # Ranks that hold nothing are left out first, as the metric must tell directions apart.
+    keep = int((np.linalg.eigvalsh(gram) > 1e-11 * np.linalg.norm(gram, 2)).sum())
+    basis = factors.mapped(weighted, lambda part: factors.unpack(part["s"])[:, :keep], keep=("v", "w"))
+    q, basis, _ = factors.recompress(q[:, :keep], basis, rank=keep, time_weight=1.0 + np.arange(len(f)) % 3, weight="w")
+    return _driver_factors(spark, sf_dir, q, basis, image, 1)
+
+
+@query("""SELECT d, 0e0 AS error FROM (SELECT DISTINCT s_suppkey % 8 AS d FROM supplier) q""")
+def per_readout_full_rank(spark, sf_dir):
+    """Factors of every readout at its full rank: the error of each, which is none."""
+    g, readouts = _features(spark, sf_dir)
+    names = sorted(r["d"] for r in roles.samples(spark, sf_dir).select("d").distinct().collect())
+    q, basis = factors.per_readout(g, readouts, max(map(len, readouts)), 0)
+    edges = np.cumsum([0, *map(len, readouts)])
+    rows = [(int(names[d]), float(factors.relative_error(g, basis.where(F.col("d") == d).drop("d"), f, q[edges[d] : edges[d + 1]]))) for d, f in enumerate(readouts)]
+    return rounded(spark.createDataFrame(rows, "d long, error double"), ["error"])
 
 
 def _ranks(readouts, most: int) -> tuple[int, int]:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldweave.functions import harmonics, nufft
-from fieldweave.operators import channels, encode, factors, geometry, imaging, lowrank, relations, series, solve, transform
+from fieldweave.operators import channels, encode, factors, geometry, imaging, lowrank, relations, series, solve, tallfactors, transform
 from fieldweave.sources import nifti
 
 RNG = np.random.default_rng(5)
@@ -599,3 +599,58 @@ def test_geometries_as_rows_agree_with_geometries_as_objects(spark):
     for bad in (("XX", "HFS"), ("ge", "FFP"), ("siemens", "none")):
         with pytest.raises(Exception, match="no rotation"):
             relations.with_frames(geos.limit(1).withColumns({"vendor": F.lit(bad[0]), "position": F.lit(bad[1])})).collect()
+
+
+@pytest.mark.parametrize(("rows", "width", "blocks"), [(300, 5, 40), (60, 7, 20), (3, 5, 2), (50, 4, 1)])
+def test_tall_tables_are_orthogonalised_by_a_tree(spark, monkeypatch, rows, width, blocks):
+    monkeypatch.setattr(tallfactors, "FAN", 3)
+    x = RNG.normal(size=(rows, width)) + 1j * RNG.normal(size=(rows, width))
+    if width == 7:
+        x[:, 3] = x[:, 1] * 2  # columns may depend on each other
+    at = np.sort(RNG.integers(0, blocks, rows))
+    table = spark.createDataFrame([(int(b), np.flatnonzero(at == b).astype(np.int64).tobytes(), x[at == b].tobytes()) for b in np.unique(at)], "sb int, ps binary, x binary")
+    q, r = tallfactors.orthogonal(table, "sb", blocks, width)
+    out = np.zeros((rows, len(r)), complex)
+    for row in q.collect():
+        out[np.frombuffer(row.ps, np.int64)] = np.frombuffer(row.x, complex).reshape(-1, len(r))
+    np.testing.assert_allclose(out.conj().T @ out, np.eye(len(r)), atol=1e-12)
+    np.testing.assert_allclose(out @ r, x, atol=1e-12)
+
+
+def test_factors_with_both_sides_as_tables(spark, monkeypatch):
+    monkeypatch.setattr(tallfactors, "SAMPLES", 7)
+    monkeypatch.setattr(tallfactors, "VOXELS", 50)
+    table, g, f = features(spark, 200, rows=(40,))
+    samples = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(f[0])], "p long, f array<double>")
+    exact = factors.phase_block(f[0], g)
+    best = np.linalg.svd(exact, compute_uv=False)
+    for rank in (3, 40):
+        q, basis = tallfactors.rsvd(table, samples, rank, min(5, 40 - rank))
+        qs = np.stack(q.toPandas().sort_values("p")["q"].to_numpy()).view(complex)
+        np.testing.assert_allclose(qs.conj().T @ qs, np.eye(rank), atol=1e-10)
+        error = np.linalg.norm(exact - qs @ whole(basis, 200, rank).conj().T) / np.linalg.norm(exact)
+        assert abs(tallfactors.relative_error(table, samples, q, basis) - error) < 1e-10
+        assert error <= 1.5 * np.sqrt((best[rank:] ** 2).sum()) / np.linalg.norm(exact) + 1e-9
+    with pytest.raises(ValueError, match="rank"):
+        tallfactors.rsvd(table, samples, 39, 5)
+
+
+def test_windows_are_computed_once_for_all_coils_and_ranks(monkeypatch):
+    calls, windows = [], nufft.windows
+    monkeypatch.setattr(nufft, "windows", lambda *a: calls.append(len(a[0])) or windows(*a))
+    m, n, rank = 30, 40, 4
+    node, cell = RNG.uniform(-0.5, 0.5, (m, 2)), RNG.integers(0, 48, n)
+    z = lambda *shape: RNG.normal(size=shape) + 1j * RNG.normal(size=shape)
+    q, s, x = z(m, rank), z(n, rank), z(n, 1)
+    grid = np.stack(np.meshgrid(np.arange(-3, 3), np.arange(-4, 4), indexing="ij"), -1).reshape(-1, 2)
+    exact = np.exp(2j * np.pi * node @ grid.T)[:, cell] * (q @ s.conj().T)
+    pair = lowrank.Pair(lambda row, m: (nufft.Gridding(np.frombuffer(row["node"]).reshape(m, 2), (6, 8)), np.ones(m)), 3, 2)
+    counts = []
+    for coils in (1, 5):
+        maps, y = z(n, coils), z(m, coils)
+        row = {k: v.tobytes() for k, v in {"node": node, "cell": cell.astype(float), "q": q, "s": s, "m": maps, "x": x, "y": y}.items()}
+        calls.clear()
+        np.testing.assert_allclose(pair.signals(row, m, n), exact @ (x * maps), atol=1e-9)
+        np.testing.assert_allclose(pair.images(row, m, n)[:, 0], (maps.conj() * (exact.conj().T @ y)).sum(axis=1), atol=1e-9)
+        counts.append(sum(calls))
+    assert counts[0] == counts[1] == 2 * 2 * m
