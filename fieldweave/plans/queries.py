@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -19,7 +20,7 @@ from ..functions import cplx, harmonics
 from ..functions.cplx import snapped
 from ..operators import channels as ch
 from ..operators import encode, factors, geometry, imaging, lowrank, relations, series, solve, tallfactors
-from ..sources import roles
+from ..sources import roles, volumes
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -1053,6 +1054,20 @@ def lowrank_forward_vs_explicit(spark, sf_dir):
     return rounded(gap.withColumn("rank", F.lit(op.q.shape[1])), ["error"])
 
 
+# ------------------------------------------------------------------ files
+
+
+@query(f"SELECT p_partkey AS v, (p_partkey % 20)::INT AS ix, (p_partkey // 20 % 20)::INT AS iy, (p_partkey // 400)::INT AS iz, {r('CAST(p_retailprice / 1000e0 AS FLOAT)::DOUBLE')} AS value FROM part")
+def volume_roundtrip(spark, sf_dir):
+    """All voxels written as a volume by ranges, members of one file, and read back by members."""
+    vox = roles.voxels(spark, sf_dir).select(F.col("v").alias("cell"), F.col("re").alias("value"))
+    depth = -(-(vox.agg(F.max("cell").alias("m")).first()["m"] + 1) // 400)
+    path = f"{shared.shared_dir(spark)}/fieldweave/volume-{uuid.uuid4().hex}.nii.gz"
+    volumes.write_volume(vox, path, (20, 20, depth), np.eye(3, 4))
+    got = volumes.read_volume(spark, path).withColumnRenamed("cell", "v")
+    return rounded(got.join(vox.select(F.col("cell").alias("v")), "v", "left_semi"), ["value"])
+
+
 # ------------------------------------------------------------------ solvers
 
 _NORMAL = """f{i} AS MATERIALIZED (SELECT p, c, sum(zr * co - zi * s) / any_value(n) AS yr, sum(zr * s + zi * co) / any_value(n) AS yi FROM (SELECT ph.p, coil.c, co, s,

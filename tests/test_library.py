@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
+import struct
+import zlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.functions import harmonics, nufft
 from fieldweave.operators import channels, encode, factors, geometry, imaging, lowrank, relations, series, solve, tallfactors, transform
-from fieldweave.sources import nifti
+from fieldweave.sources import matfiles, nifti, roles, volumes
 
 RNG = np.random.default_rng(5)
 
@@ -654,3 +658,101 @@ def test_windows_are_computed_once_for_all_coils_and_ranks(monkeypatch):
         np.testing.assert_allclose(pair.images(row, m, n)[:, 0], (maps.conj() * (exact.conj().T @ y)).sum(axis=1), atol=1e-9)
         counts.append(sum(calls))
     assert counts[0] == counts[1] == 2 * 2 * m
+
+
+def test_volumes_are_written_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(volumes, "BATCH", 50)
+    shape, path = (7, 5, 9), str(tmp_path / "v.nii.gz")
+    x = RNG.normal(size=315).astype(np.float32)
+    x[[0, 3, *range(100, 260), 314]] = 0
+    x[5] = np.nan
+    frame = spark.createDataFrame([(i, None if np.isnan(v) else float(v)) for i, v in enumerate(x.tolist()) if v != 0], "cell long, value double").repartition(3)
+    m = np.array([[2.0, 0, 0, -6], [0, 3, 0, -6], [0, 0, 4, 1]])
+    volumes.write_volume(frame, path, shape, m, tasks=4)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["v.nii.gz"]
+    with gzip.open(path) as f:
+        data = f.read()
+    np.testing.assert_array_equal(np.frombuffer(data[352:], "<f4"), x)
+    assert data[:348] == bytes(nifti_head(x.reshape(shape, order="F"), m, tmp_path))
+    for slices, file in ((0, path), (2, str(tmp_path / "plain.nii")), (0, str(tmp_path / "one.nii.gz"))):
+        if "plain" in file:
+            (tmp_path / "plain.nii").write_bytes(data)
+        if "one" in file:
+            (tmp_path / "one.nii.gz").write_bytes(gzip.compress(data))
+        back = volumes.read_volume(spark, file, slices)
+        assert back.rdd.getNumPartitions() >= {path: 4, str(tmp_path / "plain.nii"): 5}.get(file, 1)
+        rows = back.toPandas().sort_values("cell")
+        np.testing.assert_array_equal(rows["value"].to_numpy(np.float32), x)
+        assert (rows["ix"] + 7 * rows["iy"] + 35 * rows["iz"] == rows["cell"]).all()
+    for bad in ([(3, 1.0), (3, 2.0)], [(315, 1.0)]):
+        with pytest.raises(Exception, match="each once"):
+            volumes.write_volume(spark.createDataFrame(bad, "cell long, value double"), str(tmp_path / "bad.nii.gz"), shape, m)
+    volumes.write_volume(frame.limit(0), str(tmp_path / "none.nii.gz"), shape, m)
+    assert volumes.read_volume(spark, str(tmp_path / "none.nii.gz")).where("value = 0").count() == 315
+    assert not [p for p in tmp_path.iterdir() if "bad" in p.name or "parts" in p.name]
+    (tmp_path / "wrong.nii").write_bytes(b"no")
+    with pytest.raises(Exception, match="NIfTI"):
+        volumes.read_volume(spark, str(tmp_path / "wrong.nii")).count()
+
+
+def nifti_head(x, m, folder):
+    """The header that the other writer makes."""
+    path = str(folder / "other.nii.gz")
+    nifti._save(x, m.astype(np.float32), path)
+    with gzip.open(path) as f:
+        head = bytearray(f.read(348))
+    (folder / "other.nii.gz").unlink()
+    return head
+
+
+def mat_bytes(variables, compressed, order="<"):
+    """A MAT-file of version 5, written by hand."""
+    kinds = {"f8": (9, 6), "f4": (7, 7), "i2": (3, 10), "u1": (2, 9), "i4": (5, 12)}
+
+    def element(kind, data):
+        if len(data) <= 4 and len(data):
+            return struct.pack(order + "I", len(data) << 16 | kind) + data.ljust(4, b"\0")
+        return struct.pack(order + "II", kind, len(data)) + data + bytes(-len(data) % 8)
+
+    out = b"made by hand".ljust(124) + struct.pack(order + "H", 0x0100) + (b"IM" if order == "<" else b"MI")
+    for name, (x, kind) in variables.items():
+        code, cls = kinds.get(kind, (4, 4))
+        numbers = [x.real, x.imag] if np.iscomplexobj(x) else [x]
+        body = element(6, struct.pack(order + "II", cls | 0x800 * (len(numbers) == 2), 0)) + element(5, struct.pack(f"{order}{x.ndim}i", *x.shape)) + element(1, name.encode())
+        body += b"".join(element(code, np.asarray(n, order + kind).tobytes(order="F")) for n in numbers)
+        whole = struct.pack(order + "II", 14, len(body)) + body
+        packed = zlib.compress(whole)
+        out += struct.pack(order + "II", 15, len(packed)) + packed if compressed else whole
+    return out
+
+
+@pytest.mark.parametrize(("compressed", "order"), [(False, "<"), (True, "<"), (False, ">"), (True, ">")])
+def test_variables_of_mat_files_are_read_by_ranges(spark, tmp_path, monkeypatch, compressed, order):
+    monkeypatch.setattr(matfiles, "BATCH", 64)
+    monkeypatch.setattr(matfiles, "PIECE", 100)
+    folder = "/root/testdata/sf0.001"
+    csm = roles.coils(spark, folder).toPandas().sort_values(["c", "v"])
+    b0 = roles.voxels(spark, folder).toPandas().sort_values("v")["b0"].to_numpy()
+    maps = (csm["re"] + 1j * csm["im"]).to_numpy().reshape(5, -1).T
+    variables = {
+        "gre_csm": (maps, "f8"), "gre_b0": (b0.reshape(10, 20, order="F"), "f4"), "gre_mask": ((b0 > 0).reshape(10, 4, 5, order="F").astype(np.uint8), "u1"),
+        "label": (np.array([[65, 66]]), "u2"), "dt": (np.array([[7]]), "i2"), "z": (np.array([[1 - 2j]]), "i2"), "none": (np.zeros((0, 3)), "f8"), "k": (np.arange(300).reshape(3, 100) - 5, "i4"),
+    }
+    path = str(tmp_path / "scan.mat")
+    with open(path, "wb") as f:
+        f.write(mat_bytes(variables, compressed, order))
+    rows = matfiles.read_mat(spark, path, cells=100)
+    assert rows.rdd.getNumPartitions() >= (6 if compressed else 18)
+    found = {n: part.sort_values("cell") for n, part in rows.toPandas().groupby("name")}
+    assert set(found) == set(variables) - {"label", "none"}
+    for name, part in found.items():
+        x, kind = variables[name]
+        assert list(part["dims"].iloc[0]) == list(x.shape)
+        np.testing.assert_array_equal(part["re"].to_numpy() + 1j * part["im"].to_numpy(), np.asarray(x, "c16" if kind != "f4" else "f4").ravel(order="F"))
+    one = matfiles.axes(matfiles.read_mat(spark, path, "gre_mask"), "ix", "iy", "iz").toPandas()
+    assert (variables["gre_mask"][0][one["ix"], one["iy"], one["iz"]] == one["re"]).all() and len(one) == 200
+    for bad, why in ((b"short", "version 5"), (mat_bytes(variables, compressed, order)[:-9], "ends|early|element")):
+        with open(path, "wb") as f:
+            f.write(bad)
+        with pytest.raises(Exception, match=why):
+            matfiles.read_mat(spark, path).count()
