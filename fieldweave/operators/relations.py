@@ -128,3 +128,11 @@ def merged_slabs(slabs: DataFrame, by: list[str], order: str, slices: int) -> Da
         F.array(F.col("a.matrix")[0], F.col("a.matrix")[1], F.lit(slices)).alias("matrix"),
         F.zip_with(face("a", -1.0), face("b", 1.0), lambda a, b: (a + b) / 2).alias("t_pcs"), "a.r_rps_pcs",
     )
+
+
+def corners(geos: DataFrame, by: list[str], space: str = "PCS") -> DataFrame:
+    """(by, corner, x, y, z): the eight corners of every field of view in mm, ``corner`` 0 to 7 with the last axis fastest."""
+    sign = lambda place: (F.floor(F.col("corner") / place) % 2) - 0.5
+    logical = geos.withColumn("corner", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    logical = logical.select(*by, "corner", *[(sign(p) * F.col("fov")[i]).alias(c) for i, (c, p) in enumerate((("x", 4), ("y", 2), ("z", 1)))])
+    return placed(logical, geos, by, space).withColumns({c: F.col(c) * 1e3 for c in "xyz"})

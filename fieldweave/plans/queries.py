@@ -51,28 +51,40 @@ GRID = geometry.Grid((24, 18, 5), (0.5, 0.25, 2.0))
 GEO = geometry.Geometry("siemens", (0.24, 0.18, 0.01), (24, 18, 5), "HFDR", (0.125, -0.25, 0.5), ((0.0, 0.0, 1.0), (0.6, 0.8, 0.0), (-0.8, 0.6, 0.0)))
 
 
-@query(f"""SELECT v, (v % 24)::INT AS ix, (v // 24 % 18)::INT AS iy, (v // 432)::INT AS iz, {r('((v % 24) - 11.5e0) * 0.5e0')} AS x,
- {r('((v // 24 % 18) - 8.5e0) * 0.25e0')} AS y, {r('((v // 432) - 2e0) * 2e0')} AS z FROM range(2160) t(v)""")
+#: The grid that the parts fill: 20 by 20 cells, and as many planes as it takes.
+_PART_GRID = "SELECT p_partkey AS v, d, p_partkey % 20 AS ix, p_partkey // 20 % 20 AS iy, p_partkey // 400 AS iz FROM part, (SELECT max(p_partkey) // 400 + 1 AS d FROM part) m"
+
+
+def _part_grid(spark, sf_dir) -> tuple[tuple[int, int, int], DataFrame]:
+    """The shape of that grid, and the cells that are parts."""
+    parts = roles.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("v"))
+    return (20, 20, parts.agg(F.max("v").alias("m")).first()["m"] // 400 + 1), parts
+
+
+@query(f"""SELECT v, ix::INT AS ix, iy::INT AS iy, iz::INT AS iz, {r('(ix - 9.5e0) * 0.5e0')} AS x, {r('(iy - 9.5e0) * 0.25e0')} AS y, {r('(iz - (d - 1) / 2e0) * 2e0')} AS z FROM ({_PART_GRID}) t""")
 def grid_coords(spark, sf_dir):
-    return rounded(GRID.table(spark), ["x", "y", "z"])
+    shape, parts = _part_grid(spark, sf_dir)
+    return rounded(geometry.Grid(shape, GRID.spacing).table(spark).join(parts, "v"), ["x", "y", "z"])
 
 
-@query(f"""SELECT v, {r('((2159 - v) // 24 % 18 - 8.5e0) * 0.25e0')} AS x, {r('((v % 24) - 11.5e0) * 0.5e0')} AS y, {r('((v // 432) - 2e0) * 2e0')} AS z
- FROM range(2160) t(v)""")
+@query(f"""SELECT v, {r('((400 * d - 1 - v) // 20 % 20 - 9.5e0) * 0.25e0')} AS x, {r('(ix - 9.5e0) * 0.5e0')} AS y, {r('(iz - (d - 1) / 2e0) * 2e0')} AS z FROM ({_PART_GRID}) t""")
 def grid_exchanged_reversed(spark, sf_dir):
-    g = geometry.Grid(GRID.shape, GRID.spacing, exchange_xy=True, reverse=(True, False, False))
-    return rounded(g.table(spark).select("v", "x", "y", "z"), ["x", "y", "z"])
+    shape, parts = _part_grid(spark, sf_dir)
+    g = geometry.Grid(shape, GRID.spacing, exchange_xy=True, reverse=(True, False, False))
+    return rounded(g.table(spark).join(parts, "v").select("v", "x", "y", "z"), ["x", "y", "z"])
 
 
-_RPS = "SELECT v, ((v % 24) - 11.5e0) * 0.01e0 AS a, ((v // 24 % 18) - 8.5e0) * 0.01e0 AS b, ((v // 432) - 2e0) * 0.002e0 AS c FROM range(2160) t(v)"
+_RPS = f"SELECT v, (ix - 9.5e0) * 0.012e0 AS a, (iy - 9.5e0) * 0.009e0 AS b, (iz - (d - 1) / 2e0) * (0.01e0 / d) AS c FROM ({_PART_GRID}) t"
 
 
 @query(f"""SELECT v, {r('c + 0.125e0')} AS x, {r('0.6e0 * a + 0.8e0 * b - 0.25e0')} AS y, {r('-0.8e0 * a + 0.6e0 * b + 0.5e0')} AS z,
  {r('0.6e0 * a + 0.8e0 * b - 0.25e0')} AS dx, {r('c + 0.125e0')} AS dy, {r('0.8e0 * a - 0.6e0 * b - 0.5e0')} AS dz FROM ({_RPS}) q""")
 def rps_grid_affine(spark, sf_dir):
-    rps = geometry.rps_grid(spark, GEO).select("v", "x", "y", "z")
-    dcs = geometry.to_space(rps, GEO, "DCS").withColumnsRenamed({"x": "dx", "y": "dy", "z": "dz"})
-    return rounded(geometry.to_space(rps, GEO, "PCS").join(dcs, "v"), ["x", "y", "z", "dx", "dy", "dz"])
+    shape, parts = _part_grid(spark, sf_dir)
+    geo = geometry.Geometry(GEO.vendor, GEO.fov, shape, GEO.position, GEO.t_pcs, GEO.r_rps_pcs)
+    rps = geometry.rps_grid(spark, geo).join(parts, "v").select("v", "x", "y", "z")
+    dcs = geometry.to_space(rps, geo, "DCS").withColumnsRenamed({"x": "dx", "y": "dy", "z": "dz"})
+    return rounded(geometry.to_space(rps, geo, "PCS").join(dcs, "v"), ["x", "y", "z", "dx", "dy", "dz"])
 
 
 @query(f"SELECT v, {r('x')} AS x, {r('y')} AS y, {r('z')} AS z FROM ({roles.VOX_SQL}) q")
@@ -173,13 +185,16 @@ def extract_geometries(spark, sf_dir):
     return rounded(rounded(out, ["x"], 9), ["r01", "r12"])
 
 
-_CORNER = "SELECT a, b, c, (2 * a - 1) * 6000e0 AS x, (2 * b - 1) * 2250e0 AS y, (2 * c - 1) * 5000e0 AS z FROM range(2) p(a), range(2) q(b), range(2) s(c)"
-
-
-@query(f"SELECT {r('x')} AS x, {r('y')} AS y, {r('z')} AS z FROM ({_CORNER}) t")
+@query(f"""WITH g AS (SELECT s_suppkey, 0.2e0 + s_nationkey * 0.01e0 AS fx, 0.1e0 AS fy, 0.004e0 AS fz, s_acctbal / 1000 AS t FROM supplier),
+c AS (SELECT s_suppkey, t, k::INT AS corner, (k // 4 - 0.5e0) * fx AS x, (k // 2 % 2 - 0.5e0) * fy AS y, (k % 2 - 0.5e0) * fz AS z FROM g, range(8) q(k))
+SELECT s_suppkey, corner, {r('(z + t) * 1000', 4)} AS x, {r('(0.6e0 * x + 0.8e0 * y + 0.25e0) * 1000', 4)} AS y, {r('(-0.8e0 * x + 0.6e0 * y) * 1000', 4)} AS z FROM c""")
 def fov_faces(spark, sf_dir):
-    rows = [tuple(map(float, p)) for p in geometry.fov_faces(GRID)]
-    return rounded(spark.createDataFrame(rows, "x double, y double, z double"), ["x", "y", "z"])
+    """The corners of every supplier's field of view in patient coordinates."""
+    geos = roles.read(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.lit("siemens").alias("vendor"), F.lit("HFS").alias("position"), F.array(0.2 + F.col("s_nationkey") * 0.01, F.lit(0.1), F.lit(0.004)).alias("fov"),
+        F.array(F.col("s_acctbal") / 1000, F.lit(0.25), F.lit(0.0)).alias("t_pcs"), relations.rows_of(GEO.r_rps_pcs).alias("r_rps_pcs"),
+    )
+    return rounded(relations.corners(geos, ["s_suppkey"]), ["x", "y", "z"], 4)
 
 
 # ------------------------------------------------------------------ basis functions
@@ -222,10 +237,13 @@ def recon_terms_third_order(spark, sf_dir):
 _ORDER = "CASE WHEN t = 1 THEN 0 WHEN t <= 4 THEN 1 WHEN t <= 9 THEN 2 ELSE 3 END"
 
 
-@query(f"""SELECT t::INT AS term, 'h' || (t - 1) AS name, o::INT AS field_order, 'T' || ['', '/m', '/m²', '/m³'][o + 1] AS unit,
- ['', 'm⁻¹', 'm⁻²', 'm⁻³'][o + 1] AS integrated_unit FROM (SELECT t, {_ORDER} AS o FROM range(1, 17) s(t)) q""")
+@query(f"""SELECT v, t::INT AS term, 'h' || (t - 1) AS name, o::INT AS field_order, 'T' || ['', '/m', '/m²', '/m³'][o + 1] AS unit,
+ ['', 'm⁻¹', 'm⁻²', 'm⁻³'][o + 1] AS integrated_unit FROM (SELECT v, t, {_ORDER} AS o FROM (SELECT p_partkey AS v, p_size % 16 + 1 AS t FROM part) p) q""")
 def term_metadata(spark, sf_dir):
-    return harmonics.term_metadata(spark).drop("expression")
+    """Every part beside what is known of the term that its size stands for."""
+    parts = roles.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("v"), (F.col("p_size") % 16 + 1).alias("term"))
+    terms = F.broadcast(harmonics.term_metadata(spark).drop("expression"))  # sixteen rows
+    return parts.join(terms, "term").select("v", "term", "name", "field_order", "unit", "integrated_unit")
 
 
 @query(f"SELECT v, {r('z*z')} AS c1, {r('x*x+y*y')} AS c2, {r('x*z')} AS c3, {r('y*z')} AS c4 FROM {_VOX}")
@@ -392,11 +410,13 @@ def girf_expanded(spark, sf_dir):
     return rounded(series.apply_response(_waves(spark, sf_dir), _response(8)), ["value"])
 
 
-@query(f"""SELECT part, count(*) AS n, count(DISTINCT o)::BIGINT AS outputs FROM (SELECT o, CASE WHEN o = 0 THEN 'k0' WHEN o <= 3 THEN 'linear' ELSE 'higher' END AS part
+@query(f"""SELECT part, count(*) AS n, {r('sum(value * (o + 1))', 3)} AS total FROM (SELECT o, value, CASE WHEN o = 0 THEN 'k0' WHEN o <= 3 THEN 'linear' ELSE 'higher' END AS part
  FROM {_SHOT}, range(5) t(o)) s GROUP BY part""")
 def girf_split_channels(spark, sf_dir):
-    out = roles.shots(spark, sf_dir).select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("o"))
-    return series.split_outputs(out, 5).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o").alias("outputs"))
+    """Every step of every series as five outputs, each in its part."""
+    out = roles.shots(spark, sf_dir).select("value", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("o"))
+    parts = series.split_outputs(out, 5).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value") * (F.col("o") + 1)).alias("total"))
+    return rounded(parts, ["total"], 3)
 
 
 # ------------------------------------------------------------------ channels
@@ -771,9 +791,10 @@ def resample_volumes(spark, sf_dir):
     return rounded(geometry.resample(vol, SRC3, TGT3, "PCS", ["n"], oversample=(2, 1, 2)), ["x"])
 
 
-@query(f"SELECT v, ix, iy, iz FROM (SELECT v, (v % 24)::INT AS ix, (v // 24 % 18)::INT AS iy, (v // 432)::INT AS iz FROM range(2160) t(v)) q WHERE ix % 3 = 0 AND iy % 2 = 0 AND iz % 5 = 0")
+@query(f"SELECT v, ix::INT AS ix, iy::INT AS iy, iz::INT AS iz FROM ({_PART_GRID}) q WHERE ix % 3 = 0 AND iy % 2 = 0 AND iz % 5 = 0")
 def grid_decimated(spark, sf_dir):
-    return geometry.decimated(GRID.table(spark), (3, 2, 5)).select("v", "ix", "iy", "iz")
+    shape, parts = _part_grid(spark, sf_dir)
+    return geometry.decimated(geometry.Grid(shape, GRID.spacing).table(spark).join(parts, "v"), (3, 2, 5)).select("v", "ix", "iy", "iz")
 
 
 @query(f"""SELECT n_regionkey AS slab, 18 AS slices, {r('18 * 0.002e0')} AS thickness, {r('n_regionkey * 0.1e0 + 0.012e0')} AS cx FROM nation GROUP BY n_regionkey""")
