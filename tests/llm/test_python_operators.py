@@ -525,6 +525,25 @@ def test_best_fit_fills_bins_within_capacity(lengths):
     assert sum(1 for x in loads if x <= 10) <= 1
 
 
+def naive_best_fit(lengths, capacity):
+    """Loads of the bins when each item, longest first, goes to the fullest bin with room for it."""
+    loads = []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, x in enumerate(loads) if x + n <= capacity]
+        if fits:
+            loads[max(fits, key=lambda i: loads[i])] += n
+        else:
+            loads.append(n)
+    return sorted(loads)
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.integers(1, 50), max_size=80), st.integers(50, 64))
+def test_best_fit_against_the_naive_one(lengths, capacity):
+    bins = packing.best_fit(np.array(lengths, np.int64), capacity)
+    assert sorted(sum(lengths[i] for i in b) for b in bins) == naive_best_fit(lengths, capacity)
+
+
 def test_packing_in_rounds_is_about_as_good_as_in_one(spark, monkeypatch):
     rng = random.Random(31)
     lengths = [rng.choice([1, 2, 3, 5, 8, 13, 40, 70, 99, 100]) for _ in range(1500)]
@@ -537,7 +556,7 @@ def test_packing_in_rounds_is_about_as_good_as_in_one(spark, monkeypatch):
         for r in out:
             load[r.sequence_id] = load.get(r.sequence_id, 0) + r.length
         assert sorted(r.id for r in out) == list(range(1500)) and max(load.values()) <= 100 and {r.item for r in out} == {"x"}
-        assert len(load) <= best * 1.01 + 1 and len(load) >= -(-sum(lengths) // 100)
+        assert best == len(naive_best_fit(lengths, 100)) and len(load) <= best * 1.01 + 1 and len(load) >= -(-sum(lengths) // 100)
 
 
 def test_packing_places_every_token_once(spark, library):
