@@ -123,6 +123,12 @@ def phase_features(samples: pd.DataFrame, n_terms: int, flat: bool) -> np.ndarra
     return np.column_stack([samples["t"].to_numpy(), k[:, list(residual_terms(n_terms, flat))]])
 
 
+def temporal_features(samples: DataFrame, n_terms: int, flat: bool) -> DataFrame:
+    """(p, f): time and the residual coefficients, as a table."""
+    at = residual_terms(n_terms, flat)
+    return samples.select("p", F.concat(F.array("t"), F.slice("k", at.start + 1, len(at))).alias("f"))
+
+
 def spatial_features(voxels: DataFrame, n_terms: int, flat: bool) -> DataFrame:
     """(v, g): b0 and the residual basis functions."""
     at = residual_terms(n_terms, flat)
@@ -142,36 +148,49 @@ class LowRankOp:
     transform (``auto``: whichever is cheaper for a tile and the nodes that meet), ``centre`` whether cells of even axes lie half
     a cell off (they do on centred grids), ``ranks`` and ``coils`` how many of them a transform takes at once, ``cells`` how many
     cells a tile has at most.  ``hold_bytes`` of voxel blocks may be written once; beyond that each product makes them anew.
+    ``tables`` are factors that are there already, as ``tallfactors.rsvd`` makes them: q (p, q) and s (v, s) of the residual phases; then no
+    sample passes through the driver.
     """
 
     def __init__(self, samples: DataFrame, voxels: DataFrame, shape: tuple[int, int, int], spacing: tuple[float, float, float], n_terms: int = 9,
                  csm: DataFrame | None = None, options: Options = Options(), kernel: str = "auto", centre: bool = True, ranks: int = 16, coils: int = 8,
-                 cells: int = CELLS, hold_bytes: int = CACHE_BYTES):
+                 cells: int = CELLS, hold_bytes: int = CACHE_BYTES, tables: tuple[DataFrame, DataFrame] | None = None):
         if n_terms not in (9, 13, 16, 20) or kernel not in nufft.KERNELS or min(ranks, coils, cells, *shape) < 1:
             raise ValueError("no such number of terms, kernel, group or grid")
         self.samples, self.voxels, self.csm, self.ranks, self.coils, self.kernel, self.hold_bytes = samples, voxels, csm, ranks, coils, kernel, hold_bytes
-        rows = samples.select("p", "d", "t", "k").toPandas().sort_values(["d", "p"], kind="stable")
-        if not len(rows) or rows["p"].duplicated().any():
-            raise ValueError("samples must be there and numbered uniquely")
         self.count = voxels.count()
         if not self.count:
             raise ValueError("no voxels")
         flat = shape[2] == 1
         self.grid, self.axes, self.spacing, self.centre = shape, 2 if flat else 3, spacing, centre
-        d = rows["d"].to_numpy()
-        f = phase_features(rows, n_terms, flat)
-        self.readouts, place = np.unique(d, return_inverse=True)
-        self.q, self.basis, self.report = build(options, spatial_features(voxels, n_terms, flat), [f[place == i] for i in range(len(self.readouts))], csm)
-        self.own = "d" in self.basis.columns
-        self.temporal = _temporal(samples.sparkSession, rows["p"].to_numpy(np.int64), place if self.own else np.full(len(rows), 0), self.q)
-        self.sample_count, longest = len(rows), int(np.bincount(place).max()) if self.own else len(rows)
+        counts = samples.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("p").alias("p")).first()
+        self.sample_count = counts["n"]
+        if not self.sample_count or counts["p"] != self.sample_count:
+            raise ValueError("samples must be there and numbered uniquely")
+        if tables is not None:
+            self.temporal, self.basis = tables[0].select("p", F.lit(0).alias("set"), "q"), tables[1]
+            self.rank, self.own, self.sets, longest = len(tables[0].first()["q"]) // 2, False, 1, self.sample_count
+            self.report = {"rank": self.rank}
+        else:
+            longest = self._fit(samples, voxels, n_terms, options, csm)
         self.coil_count = 1 if csm is None else csm.agg(F.max("c").alias("c")).first()["c"] + 1
-        self.sets = len(self.readouts) if self.own else 1
         self.sample_blocks = -(-longest // SAMPLES)
         self._lay_tiles(cells)
         self._blocks: shared.Bucketed | DataFrame | None = None
         self._normal: NormalOp | None = None
 
+    def _fit(self, samples: DataFrame, voxels: DataFrame, n_terms: int, options: Options, csm: DataFrame | None) -> int:
+        """Makes the factors; returns the number of samples of the longest set.  Features of the samples pass through the driver."""
+        rows = samples.select("p", "d", "t", "k").toPandas().sort_values(["d", "p"], kind="stable")
+        flat = self.axes == 2
+        f = phase_features(rows, n_terms, flat)
+        readouts, place = np.unique(rows["d"].to_numpy(), return_inverse=True)
+        self.q, self.basis, self.report = build(options, spatial_features(voxels, n_terms, flat), [f[place == i] for i in range(len(readouts))], csm)
+        self.own, self.rank = "d" in self.basis.columns, self.q.shape[1]
+        self.sets = len(readouts) if self.own else 1
+        self.temporal = _temporal(samples.sparkSession, rows["p"].to_numpy(np.int64), place if self.own else np.zeros(len(rows)), self.q)
+        return int(np.bincount(place).max()) if self.own else len(rows)
+
     @property
     def shape(self) -> tuple[int, int]:
         """Rows (samples by coils) and columns (voxels)."""
@@ -191,7 +210,7 @@ class LowRankOp:
             axis = int(np.argmax(tile))
             tile[axis] = -(-tile[axis] // 2)
         self.tile, self.tiles = tuple(tile), number()
-        most = max(min(VOXELS, BLOCK_BYTES // (16 * (self.q.shape[1] + self.coil_count))), 64)
+        most = max(min(VOXELS, BLOCK_BYTES // (16 * (self.rank + self.coil_count))), 64)
         self.parts = max(-(-self.count // (self.tiles * most)), 1)
         self.voxel_blocks = self.tiles * self.parts
 
@@ -213,7 +232,7 @@ class LowRankOp:
                 maps = F.coalesce("m", F.array(*[F.lit(0.0)] * (2 * self.coil_count)))
             block = (F.col("d") * self.voxel_blocks if self.own else F.lit(0)) + F.col("tile")
             blocks = packed(rows, "v", {"cell": F.array(F.col("cell")), "s": F.col("s"), "m": maps}, block, "vb")
-            need = 16 * self.count * (self.q.shape[1] * self.sets + self.coil_count)
+            need = 16 * self.count * (self.rank * self.sets + self.coil_count)
             self._blocks = shared.Bucketed(blocks, "vb") if need <= self.hold_bytes else blocks
         return self._blocks.read() if isinstance(self._blocks, shared.Bucketed) else self._blocks
 

@@ -890,6 +890,16 @@ def lowrank_normal_by_readout(spark, sf_dir):
     return rounded(normal.forward(image), ["re", "im"], 4)
 
 
+@query(ORACLES["normal_weighted"])
+def lowrank_normal_tables(spark, sf_dir):
+    """Factors at full rank whose both sides are tables: no sample passes through the driver."""
+    vox, samples = _voxel_cells(spark, sf_dir), roles.samples(spark, sf_dir)
+    rank = samples.count()
+    tables = tallfactors.rsvd(lowrank.spatial_features(vox, 9, False), lowrank.temporal_features(samples, 9, False), rank, 0)
+    op = lowrank.LowRankOp(samples, vox, CELLS, SPACING, csm=roles.coils(spark, sf_dir), tables=tables)
+    return rounded(op.normal(vox.select("v", "re", "im"), samples.select("p", "w")), ["re", "im"], 4)
+
+
 # ------------------------------------------------------------------ factors (figures only)
 
 
@@ -908,7 +918,7 @@ def _figures(spark, **values) -> DataFrame:
 def _sides(spark, sf_dir):
     """Spatial features (v, g), temporal ones (p, f) and the image, all as tables."""
     vox, samples = roles.voxels(spark, sf_dir).where("masked"), roles.samples(spark, sf_dir)
-    return lowrank.spatial_features(vox, 9, False), samples.select("p", F.concat(F.array("t"), F.slice("k", 5, 5)).alias("f")), vox.select("v", "re", "im")
+    return lowrank.spatial_features(vox, 9, False), lowrank.temporal_features(samples, 9, False), vox.select("v", "re", "im")
 
 
 @query()
@@ -1072,7 +1082,7 @@ def lowrank_forward_vs_explicit(spark, sf_dir):
     explicit, _ = _op(spark, sf_dir)
     both = op.forward(image).join(explicit.forward(image).withColumnsRenamed({"re": "er", "im": "ei"}), ["p", "c"])
     gap = both.agg(F.sqrt(F.sum((F.col("re") - F.col("er")) ** 2 + (F.col("im") - F.col("ei")) ** 2) / F.sum(F.col("er") ** 2 + F.col("ei") ** 2)).alias("error"))
-    return rounded(gap.withColumn("rank", F.lit(op.q.shape[1])), ["error"])
+    return rounded(gap.withColumn("rank", F.lit(op.rank)), ["error"])
 
 
 # ------------------------------------------------------------------ files
