@@ -1,4 +1,4 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables in it."""
 
 from __future__ import annotations
 
@@ -44,6 +44,15 @@ def cut_with(df: DataFrame, **sums: Column) -> tuple[DataFrame, dict]:
     return cut(df.observe(seen, *[c.alias(n) for n, c in sums.items()])), seen.get
 
 
+_kept: dict[str, Bucketed] = {}
+
+
+def sweep() -> None:
+    """Deletes all bucketed tables that are still there; operators and results that read them become invalid."""
+    for table in list(_kept.values()):
+        table.drop()
+
+
 class Bucketed:
     """A table in the shared folder, bucketed by one column: joins by that column bring the other side to it."""
 
@@ -53,11 +62,13 @@ class Bucketed:
         self.path = f"{shared_dir(self.spark)}/fieldweave/{self.name}"
         # Not fewer buckets than shuffles have partitions, or Spark would shuffle the table rather than the other side.
         buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 2 * self.spark.sparkContext.defaultParallelism)
+        _kept[self.name] = self
         then(df.repartition(buckets, by)).write.bucketBy(buckets, by).option("path", self.path).option("compression", "none").saveAsTable(self.name)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
     def drop(self) -> None:
+        _kept.pop(self.name, None)
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         drop(self.spark, self.path)
