@@ -770,13 +770,18 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("k"), F.hash(value).alias("t"), value.alias("text"))
 
 
-def _in_ranges(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``range``, 1 to SALTS: ranges of the documents' order, of about as many documents each by a bounded sample."""
-    some = rows.select(F.struct("k", "t").alias("d")).orderBy(F.xxhash64("d")).limit(100 * SALTS)
-    edges = some.agg(F.sort_array(F.collect_list("d")).alias("ds")).select(
-        F.transform(F.sequence(F.lit(1), F.lit(SALTS - 1)), lambda i: F.get("ds", F.floor(i * F.size("ds") / SALTS).cast("int"))).alias("edges")
+def _range_edges(docs: DataFrame, key: str) -> DataFrame:
+    """One row with ``edges``: the keys that cut a bounded sample of the documents into SALTS ranges of about as many each."""
+    some = docs.select(F.col(key).alias("k")).orderBy(F.xxhash64("k")).limit(100 * SALTS)
+    edges = some.agg(F.sort_array(F.collect_list(F.struct("k"))).alias("ks")).select(
+        F.transform(F.sequence(F.lit(1), F.lit(SALTS - 1)), lambda i: F.get("ks", F.floor(i * F.size("ks") / SALTS).cast("int"))).alias("edges")
     )
-    above = F.size(F.filter("edges", lambda e: e <= F.struct("k", "t")))
+    return scratch.keep(edges, "range-edges")
+
+
+def _in_ranges(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` with ``range``, 1 to SALTS: which range of the documents' order each lies in."""
+    above = F.size(F.filter("edges", lambda e: e <= F.struct("k")))
     return rows.join(F.broadcast(edges)).withColumn("range", (above + 1).cast("int")).drop("edges")  # one row
 
 
@@ -835,7 +840,8 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     kind = docs.schema[key].dataType.simpleString()
     rows = _keyed(docs, key, text)
     shape = f"h long, k {kind}, t int, p int, near long, salt int"
-    ranged = _in_ranges(rows)
+    edges = _range_edges(docs, key)
+    ranged = _in_ranges(rows, edges)
     hot = _hot_seeds(ranged, lambda hot: _seed_rows(None, hot), shape)
     parts = [_meetings(ranged.mapInArrow(_seed_rows(i, hot), shape), kind, hot) for i in range(PASSES)]
     matches = functools.reduce(DataFrame.unionByName, parts)
@@ -849,7 +855,7 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     # Where those seeds stand: later places are in matches, and the first ones in what these point to.
     places = matches.select("h", "k", "t", "p").unionByName(matches.select("h", F.col("ck").alias("k"), F.col("ct").alias("t"), F.col("q").alias("p")))
     places = places.join(own.hint("merge"), "h", "left_semi").groupBy("k", "t").agg(F.collect_set("p").alias("places"))
-    texts = _in_ranges(_texts(rows, scratch.keep(places, "places"), "places"))
+    texts = _in_ranges(_texts(rows, scratch.keep(places, "places"), "places"), edges)
     hot = _hot_seeds(texts, lambda hot: _window_rows(min_words, hot), shape)
     whole = _meetings(texts.mapInArrow(_window_rows(min_words, hot), shape), kind, hot)
     two = _verified(rows, _chains(whole, kind, min_words, min_words), kind, min_words, percent)
