@@ -96,6 +96,29 @@ def test_explicit_products_against_the_dense_matrix(spark, monkeypatch, kind):
     np.testing.assert_allclose(signal(op.forward(image(spark, x)), (len(s), 2)), y, atol=1e-12)
 
 
+@pytest.mark.parametrize("kind", ["sql", "block", "cached"])
+def test_equal_samples_and_voxels_are_multiplied_once(spark, kind):
+    v, s, k, kd, csm, x = problem(14, 11)
+    at, to = np.arange(56) % 14, np.arange(33) % 11  # every voxel four times, every sample three times; values and k_dot differ
+    v, s, k, kd, csm = v.iloc[at].assign(v=np.arange(56)), s.iloc[to].assign(p=np.arange(33)), k[to], RNG.normal(size=(33, kd.shape[1])), RNG.normal(size=(56, 2)) + 1j * RNG.normal(size=(56, 2))
+    x = RNG.normal(size=56) + 1j * RNG.normal(size=56)
+    samp, vox, coil = frames(spark, v, s, k, kd, csm)
+    # The phases of all rows would take 16 * 56 * 33 bytes.
+    op = encode.ExplicitOp(samp, vox, 9, coil, kind.replace("cached", "block"), (2, 3) if kind == "cached" else None, kind == "cached", 16 * 14 * 11)
+    assert (op._s.count, op._v.count, op.shape) == (11, 14, (66, 56))
+    a = dense(v, s, k, csm)
+    y = signal(op.forward(image(spark, x)), (33, 2))
+    np.testing.assert_allclose(y, np.stack([m @ x for m in a], axis=1), atol=1e-11)
+    rate = 2j * np.pi * (kd @ basis(v).T)
+    np.testing.assert_allclose(signal(op.forward(image(spark, x), derivative=True), (33, 2)), np.stack([(m * rate) @ x for m in a], axis=1), atol=1e-10)
+    w = RNG.uniform(0, 2, 33)
+    wt = spark.createDataFrame(pd.DataFrame({"p": np.arange(33), "w": w}))
+    np.testing.assert_allclose(pixels(op.normal(image(spark, x), wt), 56), sum(m.conj().T @ (w * (m @ x)) for m in a), atol=1e-10)
+    some = image(spark, x).where("v % 3 = 0")
+    np.testing.assert_allclose(signal(op.forward(some), (33, 2)), np.stack([m[:, ::3] @ x[::3] for m in a], axis=1), atol=1e-11)
+    op.close()
+
+
 def test_explicit_operators_refuse_what_cannot_be(spark):
     v, s, k, kd, csm, _ = problem()
     samp, vox, coil = frames(spark, v, s, k, kd, csm)
