@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.functions import harmonics, nufft
 from fieldweave.operators import channels, encode, factors, geometry, imaging, lowrank, relations, series, solve, tallfactors, transform
+from fieldweave.plans import queries
 from fieldweave.sources import matfiles, nifti, roles, volumes
 
 RNG = np.random.default_rng(5)
@@ -119,6 +120,15 @@ def test_equal_samples_and_voxels_are_multiplied_once(spark, kind):
     op.close()
 
 
+def test_slices_are_as_many_with_more_suppliers(spark, tmp_path):
+    n = np.arange(7000)
+    pd.DataFrame({"s_suppkey": n, "s_nationkey": n * 7 % 25}).to_parquet(tmp_path / "supplier.parquet")
+    got = queries.extract_geometries(spark, str(tmp_path)).orderBy("slice").collect()
+    want = [(i, (i * 7 % 25 % 5 * 3 + i * 1e-5) / 1000) for i in range(5)]
+    assert [r["slice"] for r in got] == [i for i, _ in want]
+    np.testing.assert_allclose([r["x"] for r in got], [x for _, x in want], atol=1e-9)
+
+
 def test_explicit_operators_refuse_what_cannot_be(spark):
     v, s, k, kd, csm, _ = problem()
     samp, vox, coil = frames(spark, v, s, k, kd, csm)
