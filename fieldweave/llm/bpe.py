@@ -184,13 +184,18 @@ class Tokenizer:
         if "arc_keys" in arrays:
             self.arcs = PairMap(arrays["arc_keys"], arrays["arc_values"])
 
-    # ---- compiling, on the driver
+    # ---- compiling
 
     @staticmethod
     def load(path: str) -> Tokenizer:
         """Compiles the tokenizer at ``path``, without a lexicon."""
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        with open(path, "rb") as f:
+            return Tokenizer.compiled(f.read())
+
+    @staticmethod
+    def compiled(source: bytes) -> Tokenizer:
+        """Compiles a tokenizer's file, without a lexicon."""
+        spec = json.loads(source)
         model, vocab = spec["model"], spec["model"]["vocab"]
         suffix = model.get("end_of_word_suffix") or ""
         chars = byte_chars()
@@ -621,15 +626,27 @@ class Counter:
             yield pa.RecordBatch.from_arrays([pa.array(self.words[a : a + (1 << 14)], pa.string()), pa.array(self.counts[a : a + (1 << 14)])], names=["word", "n"])
 
 
-def _shared(spark, tokenizer: Tokenizer):
-    blobs = tokenizer.blobs()
+def _shared(spark, path: str, words: list[str] | None = None, lexicon: bool = True):
+    """The tokenizer at ``path``, broadcast.  It is compiled in a task: that takes some 300 MB for a moment, which the driver may not have."""
+    with open(path, "rb") as f:
+        source = f.read()
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                tokenizer = Tokenizer.compiled(source)
+                first, rest = (tokenizer.with_words(words) if lexicon else tokenizer).blobs()
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.binary()), pa.array([rest], pa.binary())], names=["lexicon", "rest"])
+
+    row = spark.range(0, 1, 1, 1).mapInArrow(run, "lexicon binary, rest binary").first()
+    blobs = bytes(row["lexicon"]), bytes(row["rest"])
     name = hashlib.blake2b(blobs[0] + blobs[1], digest_size=16).hexdigest()
     return spark.sparkContext.broadcast((name, *blobs))
 
 
 def share(spark, path: str, words: list[str] | None = None):
     """The tokenizer at ``path`` (read on the driver only), broadcast, with a lexicon of ``words`` (the vocabulary's own)."""
-    return _shared(spark, Tokenizer.load(path).with_words(words))
+    return _shared(spark, path, words)
 
 
 def share_for(docs: DataFrame, path: str, text: str = "text", frequent: int = FREQUENT):
@@ -637,9 +654,9 @@ def share_for(docs: DataFrame, path: str, text: str = "text", frequent: int = FR
 
     All words of all texts are counted; only the chosen ones reach the driver.
     """
-    spark, plain = docs.sparkSession, Tokenizer.load(path)
-    counts = scratch.keep(word_counts(docs, _shared(spark, plain), text), "word-counts")
-    return _shared(spark, plain.with_words(_top_words(counts, frequent)))
+    spark = docs.sparkSession
+    counts = scratch.keep(word_counts(docs, _shared(spark, path, lexicon=False), text), "word-counts")
+    return _shared(spark, path, _top_words(counts, frequent))
 
 
 #: Steps between a power of two and the next one, by which counts are told apart at first.

@@ -473,6 +473,18 @@ def test_the_most_frequent_words_are_chosen_within_their_number(spark):
     assert bpe._top_words(df.where("n < 0"), 5) == []
 
 
+def test_tokenizers_are_not_compiled_on_the_driver(spark, library, monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = bpe.Tokenizer.load(path).with_words(["the", "and"]).blobs()
+    with monkeypatch.context() as m:
+        m.setattr(bpe.Tokenizer, "__init__", lambda *_: pytest.fail("compiled on the driver"))
+        shared = bpe.share(spark, path, ["the", "and"])
+    assert shared.value[1:] == want
+    assert bpe.tokenizer_of(shared).encode(["the cat and é"])[0].tolist() == library["byte_bpe_50k.json"][0].encode("the cat and é", add_special_tokens=False).ids
+
+
 def test_word_counts_cover_all_texts(spark, library, monkeypatch):
     import public_tokenizers
 
