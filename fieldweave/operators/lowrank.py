@@ -11,6 +11,10 @@ temporal factors.  Voxel blocks are written once, bucketed, and stay where they
 sample blocks come to them.  Where two blocks meet, one transform between the tile and the block's
 nodes serves all coils and ranks, and the signal is summed over all ranks there, before anything
 weighs it; what is shuffled is those sums.
+
+Samples of one readout, time and coefficients have the same rows of the operator, and voxels of one cell and equal basis values
+the same columns but for their maps.  Where there are such copies (as explicit products tell), both are classes: values times maps are
+added up by class before the product, and each member gets its class's sum, times its own maps, after it.
 """
 
 from __future__ import annotations
@@ -26,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import shared
-from ..functions import nufft
+from ..functions import cplx, nufft
 from . import factors
-from .encode import CACHE_BYTES, SAMPLES, Adjoint, _complex, _real, _sums, axpby, block_rows, dealt, packed
+from .encode import CACHE_BYTES, SAMPLES, Adjoint, Classes, _complex, _real, _sums, axpby, block_rows, dealt, packed
 
 METHODS = ("per_readout", "incremental_shared", "direct_shared")
 
@@ -82,8 +86,8 @@ class Options:
         return self
 
 
-def build(options: Options, voxels: DataFrame, readouts: list[np.ndarray], csm: DataFrame | None = None) -> tuple[np.ndarray, DataFrame, dict]:
-    """q, the spatial factor (v, s) or (d, v, s), and a report, by the method of ``options``."""
+def build(options: Options, voxels: DataFrame, readouts: list[factors.Rows | np.ndarray], csm: DataFrame | None = None, classes: Classes | None = None) -> tuple[np.ndarray, DataFrame, dict]:
+    """q, the spatial factor (v, s) or (d, v, s), and a report, by the method of ``options``; voxels may be ``classes`` of those of the maps."""
     o = options.check(len(readouts), max(map(len, readouts)))
     if o.method == "per_readout":
         q, basis = factors.per_readout(voxels, readouts, o.rank, o.oversample, o.seed, o.keep_bytes)
@@ -106,8 +110,10 @@ def build(options: Options, voxels: DataFrame, readouts: list[np.ndarray], csm:
         weight = None
         if o.coil_weighting:
             energy = csm.groupBy("v").agg(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("w"))
+            if classes is not None and classes.members is not None:
+                energy = classes.of(energy).groupBy("v").agg(F.sum("w").alias("w")).join(voxels.select("v", "n"), "v").select("v", (F.col("w") / F.col("n")).alias("w"))
             basis, weight = basis.join(energy, "v"), "w"
-        q, basis, error = factors.recompress(q, basis, o.recompress_tol, o.recompress_rank, o.weights, weight)
+        q, basis, error = factors.recompress(q, basis, o.recompress_tol, o.recompress_rank, o.weights, weight, factors.Rows.joined(readouts))
         report |= {"rank": q.shape[1], "recompression_error": error}
     return q, basis, report
 
@@ -117,6 +123,16 @@ def residual_terms(n_terms: int, flat: bool) -> range:
     return range(3 if flat else 4, n_terms)
 
 
+def full_options(voxels: DataFrame, samples: DataFrame, n_terms: int, flat: bool, **more) -> Options:
+    """Options of as many ranks as doubles can tell apart, at most those of the longest readout's samples: nothing is left out."""
+    longest = samples.groupBy("d").count().agg(F.max("count")).first()[0]
+    rows = factors.rows_by_readout(readout_features(samples, n_terms, flat))[2]
+    most = max(len(x.f) for x in rows)
+    if most > 256:
+        most = min(most, factors.full_rank(factors.distinct_voxels(voxel_features(voxels, n_terms, flat)), factors.Rows.joined(rows)))
+    return Options(rank=min(most, longest), oversample=0, **more)
+
+
 def phase_features(samples: pd.DataFrame, n_terms: int, flat: bool) -> np.ndarray:
     """Temporal features: time and the residual coefficients."""
     k = np.stack(samples["k"].to_numpy())
@@ -129,10 +145,21 @@ def temporal_features(samples: DataFrame, n_terms: int, flat: bool) -> DataFrame
     return samples.select("p", F.concat(F.array("t"), F.slice("k", at.start + 1, len(at))).alias("f"))
 
 
-def spatial_features(voxels: DataFrame, n_terms: int, flat: bool) -> DataFrame:
-    """(v, g): b0 and the residual basis functions."""
+def readout_features(samples: DataFrame, n_terms: int, flat: bool) -> DataFrame:
+    """(d, p, f): the same beside the readout."""
     at = residual_terms(n_terms, flat)
-    return factors.spread(voxels.select("v", F.concat(F.array("b0"), F.slice("b", at.start + 1, len(at))).alias("g")))
+    return samples.select("d", "p", F.concat(F.array("t"), F.slice("k", at.start + 1, len(at))).alias("f"))
+
+
+def voxel_features(voxels: DataFrame, n_terms: int, flat: bool) -> DataFrame:
+    """(v, g[, n]): b0 and the residual basis functions."""
+    at = residual_terms(n_terms, flat)
+    return voxels.select("v", F.concat(F.array("b0"), F.slice("b", at.start + 1, len(at))).alias("g"), *[c for c in voxels.columns if c == "n"])
+
+
+def spatial_features(voxels: DataFrame, n_terms: int, flat: bool) -> DataFrame:
+    """The same, dealt to tasks for the making of factors."""
+    return factors.spread(voxel_features(voxels, n_terms, flat))
 
 
 #: Voxels of a block, cells of a tile, and bytes of a block's factors and maps, at most.
@@ -149,12 +176,12 @@ class LowRankOp:
     a cell off (they do on centred grids), ``ranks`` and ``coils`` how many of them a transform takes at once, ``cells`` how many
     cells a tile has at most.  ``hold_bytes`` of voxel blocks may be written once; beyond that each product makes them anew.
     ``tables`` are factors that are there already, as ``tallfactors.rsvd`` makes them: q (p, q) and s (v, s) of the residual phases; then no
-    sample passes through the driver.
+    sample passes through the driver.  A function makes them from voxels (v, g, n) and samples (p, f, n), rows that stand for n equal ones.
     """
 
     def __init__(self, samples: DataFrame, voxels: DataFrame, shape: tuple[int, int, int], spacing: tuple[float, float, float], n_terms: int = 9,
                  csm: DataFrame | None = None, options: Options = Options(), kernel: str = "auto", centre: bool = True, ranks: int = 16, coils: int = 8,
-                 cells: int = CELLS, hold_bytes: int = CACHE_BYTES, tables: tuple[DataFrame, DataFrame] | None = None):
+                 cells: int = CELLS, hold_bytes: int = CACHE_BYTES, tables: tuple[DataFrame, DataFrame] | Callable | None = None):
         if n_terms not in (9, 13, 16, 20) or kernel not in nufft.KERNELS or min(ranks, coils, cells, *shape) < 1:
             raise ValueError("no such number of terms, kernel, group or grid")
         self.samples, self.voxels, self.csm, self.ranks, self.coils, self.kernel, self.hold_bytes = samples, voxels, csm, ranks, coils, kernel, hold_bytes
@@ -167,29 +194,49 @@ class LowRankOp:
         self.sample_count = counts["n"]
         if not self.sample_count or counts["p"] != self.sample_count:
             raise ValueError("samples must be there and numbered uniquely")
+        self._find_classes(n_terms, own=tables is None, copies=tables is None or callable(tables))
+        if callable(tables):
+            tables = tables(factors.spread(voxel_features(self._voxels, n_terms, flat), True), temporal_features(self._samples, n_terms, flat))
         if tables is not None:
             self.temporal, self.basis = tables[0].select("p", F.lit(0).alias("set"), "q"), tables[1]
-            self.rank, self.own, self.sets, longest = len(tables[0].first()["q"]) // 2, False, 1, self.sample_count
+            self.rank, self.own, self.sets, longest = len(tables[0].first()["q"]) // 2, False, 1, self._s.count
             self.report = {"rank": self.rank}
         else:
-            longest = self._fit(samples, voxels, n_terms, options, csm)
+            longest = self._fit(n_terms, options, csm)
         self.coil_count = 1 if csm is None else csm.agg(F.max("c").alias("c")).first()["c"] + 1
         self.sample_blocks = -(-longest // SAMPLES)
         self._lay_tiles(cells)
         self._blocks: shared.Bucketed | DataFrame | None = None
         self._normal: NormalOp | None = None
 
-    def _fit(self, samples: DataFrame, voxels: DataFrame, n_terms: int, options: Options, csm: DataFrame | None) -> int:
-        """Makes the factors; returns the number of samples of the longest set.  Features of the samples pass through the driver."""
-        rows = samples.select("p", "d", "t", "k").toPandas().sort_values(["d", "p"], kind="stable")
+    def _find_classes(self, n_terms: int, own: bool, copies: bool) -> None:
+        """Classes of samples (by readout, if they may have factors of their ``own``) and voxels, and their first members as tables with n, how many there are."""
+        f = F.struct(*(["d"] if own else []), F.col("t").cast("double"), F.slice(F.col("k").cast("array<double>"), 1, n_terms).alias("k"))
+        g = F.struct("ix", "iy", "iz", F.col("b0").cast("double"), F.slice(F.col("b").cast("array<double>"), 1, n_terms).alias("b"))
+        found = []
+        for df, id_, key, count in ((self.samples, "p", f, self.sample_count), (self.voxels, "v", g, self.count)):
+            distinct = df.agg(F.approx_count_distinct(F.xxhash64(key), 0.02).alias("n")).first()["n"] if copies else count
+            c = Classes(df, id_, key, count, distinct)
+            rows = df.withColumn("n", F.lit(1).cast("long")) if c.members is None else shared.cut(df.join(c.members.groupBy(F.col("rep").alias(id_)).agg(F.count(F.lit(1)).alias("n")), id_))
+            found.append((c, rows))
+        (self._s, self._samples), (self._v, self._voxels) = found
+
+    def _fit(self, n_terms: int, options: Options, csm: DataFrame | None) -> int:
+        """Makes the factors; returns the number of samples (classes) of the longest set.  Features of the classes of samples pass through the driver."""
         flat = self.axes == 2
-        f = phase_features(rows, n_terms, flat)
-        readouts, place = np.unique(rows["d"].to_numpy(), return_inverse=True)
-        self.q, self.basis, self.report = build(options, spatial_features(voxels, n_terms, flat), [f[place == i] for i in range(len(readouts))], csm)
+        names, reps, readouts = factors.rows_by_readout(readout_features(self.samples, n_terms, flat))
+        voxels = factors.spread(voxel_features(self._voxels, n_terms, flat), self._v.members is not None)
+        self.q, self.basis, self.report = build(options, voxels, readouts, csm, self._v)
         self.own, self.rank = "d" in self.basis.columns, self.q.shape[1]
         self.sets = len(readouts) if self.own else 1
-        self.temporal = _temporal(samples.sparkSession, rows["p"].to_numpy(np.int64), place if self.own else np.zeros(len(rows)), self.q)
-        return int(np.bincount(place).max()) if self.own else len(rows)
+        # Samples of one class of the products have equal residual features, too: they find their factors by them.
+        place = np.repeat(np.arange(len(names)), [len(x) for x in reps])
+        table = _temporal(self.samples.sparkSession, np.concatenate(reps), place if self.own else np.zeros(len(place)), self.q).withColumnRenamed("p", "rep")
+        rows = readout_features(self._samples, n_terms, flat)
+        found = readout_features(self.samples, n_terms, flat).groupBy("d", "f").agg(F.min("p").alias("rep"))
+        self.temporal = shared.cut(rows.join(found, ["d", "f"]).select("p", "rep").join(table, "rep").select("p", "set", "q"))
+        counts = self._samples.groupBy("d").count().agg(F.max("count").alias("m"), F.sum("count").alias("n")).first()
+        return counts["m"] if self.own else counts["n"]
 
     @property
     def shape(self) -> tuple[int, int]:
@@ -211,7 +258,7 @@ class LowRankOp:
             tile[axis] = -(-tile[axis] // 2)
         self.tile, self.tiles = tuple(tile), number()
         most = max(min(VOXELS, BLOCK_BYTES // (16 * (self.rank + self.coil_count))), 64)
-        self.parts = max(-(-self.count // (self.tiles * most)), 1)
+        self.parts = max(-(-self._v.count // (self.tiles * most)), 1)
         self.voxel_blocks = self.tiles * self.parts
 
     def _placed(self) -> DataFrame:
@@ -220,19 +267,20 @@ class LowRankOp:
         at = lambda n, t: F.floor(F.col(n) / t).cast("int")
         tile = (at("iz", tz) * -(-ny // ty) + at("iy", ty)) * -(-nx // tx) + at("ix", tx)
         cell = (F.col("iz") % tz * ty + F.col("iy") % ty) * tx + F.col("ix") % tx
-        return self.voxels.select("v", (tile * self.parts + dealt("v", self.parts)).alias("tile"), cell.alias("cell"))
+        return self._voxels.select("v", (tile * self.parts + dealt("v", self.parts)).alias("tile"), cell.alias("cell"))
 
     def _voxel_blocks(self) -> DataFrame:
         """(vb, vs, cell, s, m): the blocks of every set of factors, from where they are held or made anew."""
         if self._blocks is None:
             rows = self._placed().join(self.basis, "v")
             maps = F.array(F.lit(1.0), F.lit(0.0))
-            if self.csm is not None:
+            if self.csm is not None and self._v.members is None:
                 rows = rows.join(coil_arrays(self.csm, "v", self.coil_count).withColumnRenamed("z", "m"), "v", "left")
                 maps = F.coalesce("m", F.array(*[F.lit(0.0)] * (2 * self.coil_count)))
             block = (F.col("d") * self.voxel_blocks if self.own else F.lit(0)) + F.col("tile")
-            blocks = packed(rows, "v", {"cell": F.array(F.col("cell")), "s": F.col("s"), "m": maps}, block, "vb")
-            need = 16 * self.count * (self.rank * self.sets + self.coil_count)
+            # Members of a class have maps of their own: those are taken before and after the product.
+            blocks = packed(rows, "v", {"cell": F.array(F.col("cell")), "s": F.col("s")} | ({"m": maps} if self._v.members is None else {}), block, "vb")
+            need = 16 * self._v.count * (self.rank * self.sets + self.coil_count)
             self._blocks = shared.Bucketed(blocks, "vb") if need <= self.hold_bytes else blocks
         return self._blocks.read() if isinstance(self._blocks, shared.Bucketed) else self._blocks
 
@@ -243,8 +291,9 @@ class LowRankOp:
         for i in range(self.axes):
             if self.centre and self.grid[i] % 2 == 0:
                 fold = fold + 0.5 * node[i]
-        rows, more = self.samples.select("p", "k").join(self.temporal, "p"), {}
+        rows, more = self._samples.select("p", "k").join(self.temporal, "p"), {}
         if signal is not None:
+            signal = self._s.of(signal.select("p", "c", "re", "im"))
             rows = rows.join(coil_arrays(signal, "p", self.coil_count).withColumnRenamed("z", "y"), "p", "left")
             more = {"y": F.coalesce("y", F.array(*[F.lit(0.0)] * (2 * self.coil_count)))}
         block = F.col("set") * self.sample_blocks + dealt("p", self.sample_blocks)
@@ -252,7 +301,16 @@ class LowRankOp:
         return packed(rows, "p", {"node": F.array(*node[::-1]), "fold": F.array(fold), "q": F.col("q"), **more}, block, "sb")
 
     def _images(self, image: DataFrame) -> DataFrame:
-        """(tile, x): image values of each part of a tile, in the order of its voxels; 0 where there is none."""
+        """(tile, x): image values of each part of a tile, in the order of its voxels; 0 where there is none.  Classes have the sums of values times maps, by coil."""
+        if self._v.members is not None:
+            values = image.select("v", F.lit(0).alias("c"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
+            if self.csm is not None:
+                values = values.drop("c").join(self.csm.select("v", "c", F.col("re").alias("cr"), F.col("im").alias("ci")), "v")
+                re, im = cplx.mul((F.col("re"), F.col("im")), (F.col("cr"), F.col("ci")))
+                values = values.select("v", "c", re.alias("re"), im.alias("im"))
+            sums = coil_arrays(self._v.of(values), "v", self.coil_count)
+            rows = self._placed().join(sums, "v", "left")
+            return packed(rows, "v", {"x": F.coalesce("z", F.array(*[F.lit(0.0)] * (2 * self.coil_count)))}, F.col("tile"), "tile").select("tile", "x")
         rows = self._placed().join(image.select("v", F.array(F.col("re").cast("double"), F.col("im").cast("double")).alias("x")), "v", "left")
         return packed(rows, "v", {"x": F.coalesce("x", F.array(F.lit(0.0), F.lit(0.0)))}, F.col("tile"), "tile").select("tile", "x")
 
@@ -294,18 +352,29 @@ class LowRankOp:
         """Signal (p, c, re, im) of an image (v, re, im); voxels without a value are 0."""
         pairs = self._pairs(self._sample_blocks(), image)
         rows = pairs.mapInArrow(_sums("sb", "ps", Pair(self._kernel(), self.ranks, self.coils).signals), "id long, c int, re double, im double")
-        return rows.groupBy(F.col("id").alias("p"), "c").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+        return self._s.each(rows.groupBy(F.col("id").alias("p"), "c").agg(F.sum("re").alias("re"), F.sum("im").alias("im")))
 
     def adjoint(self, signal: DataFrame, grid: DataFrame | None = None) -> DataFrame:
         """Image (v, re, im) of a signal (p, c, re, im); missing samples are 0; on ``grid`` (v) voxels outside are 0."""
         pairs = self._pairs(self._sample_blocks(signal))
         rows = pairs.mapInArrow(_sums("vb", "vs", Pair(self._kernel(), self.ranks, self.coils).images), "id long, c int, re double, im double")
-        out = rows.groupBy(F.col("id").alias("v")).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+        out = self._members_images(rows.withColumnRenamed("id", "v"))
         if grid is None:
             return out
         zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
         return grid.select("v").join(out, "v", "left").select("v", zero("re"), zero("im"))
 
+    def _members_images(self, rows: DataFrame) -> DataFrame:
+        """Parts (v, c, re, im) of the image added up; those of classes go to each member, whose maps weigh their coils."""
+        if self._v.members is None:
+            return rows.groupBy("v").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+        sums = self._v.each(rows.groupBy("v", "c").agg(F.sum("re").alias("re"), F.sum("im").alias("im")))
+        if self.csm is None:
+            return sums.select("v", "re", "im")
+        sums = sums.join(self.csm.select("v", "c", F.col("re").alias("cr"), F.col("im").alias("ci")), ["v", "c"], "left")
+        re, im = cplx.mul((F.col("re"), F.col("im")), (F.coalesce("cr", F.lit(0.0)), -F.coalesce("ci", F.lit(0.0))))
+        return sums.groupBy("v").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+
     def normal(self, image: DataFrame, weights: DataFrame | None = None, by: str = "rank") -> DataFrame:
         """A^H D A x with ``weights`` (p[, c], w), real and not negative.
 
@@ -326,13 +395,15 @@ class LowRankOp:
         n, m = self.voxel_blocks, self.sample_blocks
         left = self._voxel_blocks().join(self._in_every_set(self._images(image)).hint("merge"), "vb").withColumns({"set": F.floor(F.col("vb") / n), "g": every})
         rows = self._sample_blocks()
+        if self._s.members is not None:
+            d = self._samples.select("p", F.col("n").cast("double").alias("w")) if d is None else self._s.of(d).groupBy("p").agg(F.sum("w").alias("w"))
         if d is not None:
             weighed = packed(self.temporal.select("p", "set").join(d, "p"), "p", {"w": F.array("w")}, F.col("set") * m + dealt("p", m), "sb").select("sb", "w")
             rows = rows.join(weighed, "sb")
         right = rows.withColumns({"set": F.floor(F.col("sb") / m), "g": every})
         run = _image_to_image(Pair(self._kernel(), self.ranks, self.coils), self.coils if by == "channel" else self.coil_count)
-        out = left.groupBy("set", "g").cogroup(right.groupBy("set", "g")).applyInArrow(run, "v long, re double, im double")
-        return out.groupBy("v").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+        out = left.groupBy("set", "g").cogroup(right.groupBy("set", "g")).applyInArrow(run, "v long, c int, re double, im double")
+        return self._members_images(out)
 
     def mul(self, image: DataFrame, out: DataFrame | None = None, alpha: complex = 1.0, beta: complex = 0.0) -> DataFrame:
         """alpha A x + beta out."""
@@ -396,9 +467,10 @@ class Pair:
                 yield slice(a, a + r), slice(b, b + c)
 
     def signals(self, row: dict, m: int, n: int) -> np.ndarray:
-        """Samples by coils: sum over ranks of q times the transform of x conj(s) csm."""
+        """Samples by coils: sum over ranks of q times the transform of x conj(s) csm (without maps, x has the coils)."""
         transform, phase = self.kernel(row, m)
-        s, maps, q, x = (_complex(row[k], rows) for k, rows in (("s", n), ("m", n), ("q", m), ("x", n)))
+        s, q, x = (_complex(row[k], rows) for k, rows in (("s", n), ("q", m), ("x", n)))
+        maps, x = (_complex(row["m"], n), x) if "m" in row else (x, 1.0)
         order, starts, cells = _by_cell(_real(row["cell"], n)[:, 0])
         size, out = int(np.prod(transform.shape)), np.zeros((m, maps.shape[1]), complex)
         weighted, maps = (x * s.conj())[order], maps[order]
@@ -411,17 +483,21 @@ class Pair:
         return out * phase[:, None]
 
     def images(self, row: dict, m: int, n: int) -> np.ndarray:
-        """Voxels by one: sum over ranks and coils of s conj(csm) times the adjoint transform of conj(q) y."""
+        """Voxels by one: sum over ranks and coils of s conj(csm) times the adjoint transform of conj(q) y; without maps, voxels by coils."""
         transform, phase = self.kernel(row, m)
-        s, maps, q, y = (_complex(row[k], rows) for k, rows in (("s", n), ("m", n), ("q", m), ("y", m)))
+        s, q, y = (_complex(row[k], rows) for k, rows in (("s", n), ("q", m), ("y", m)))
+        maps = _complex(row["m"], n) if "m" in row else None
         cell = _real(row["cell"], n)[:, 0].astype(np.int64)
-        size, out = int(np.prod(transform.shape)), np.zeros(n, complex)
+        size, out = int(np.prod(transform.shape)), np.zeros((n, y.shape[1] if maps is None else 1), complex)
         y = y * phase.conj()[:, None]
-        for r, c in self._columns(size, s.shape[1], maps.shape[1]):
+        for r, c in self._columns(size, s.shape[1], y.shape[1]):
             both = q[:, r, None].conj() * y[:, None, c]
             z = transform.adjoint_many(both.reshape(m, -1))[cell].reshape(n, both.shape[1], both.shape[2])
-            out += np.einsum("nr,nc,nrc->n", s[:, r], maps[:, c].conj(), z, optimize=True)
-        return out[:, None]
+            if maps is None:
+                out[:, c] += np.einsum("nr,nrc->nc", s[:, r], z)
+            else:
+                out[:, 0] += np.einsum("nr,nc,nrc->n", s[:, r], maps[:, c].conj(), z, optimize=True)
+        return out
 
 
 def _by_cell(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -437,10 +513,10 @@ def _image_to_image(pair: Pair, coils: int):
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         voxels, samples = ([r for batch in t.combine_chunks().to_batches() for r in block_rows(batch)] for t in (left, right))
         part = slice(key[1].as_py() * coils, (key[1].as_py() + 1) * coils)
-        ids, values = [np.zeros(0, np.int64)], [np.zeros(0, complex)]
+        ids, coil, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, complex)]
         for v in voxels:
-            n = len(v["vs"]) // 8
-            v["m"] = np.ascontiguousarray(_complex(v["m"], n)[:, part]).tobytes()
+            name = "m" if "m" in v else "x"
+            v[name] = np.ascontiguousarray(_complex(v[name], len(v["vs"]) // 8)[:, part]).tobytes()
         for s in samples:
             m = len(s["ps"]) // 8
             y = sum((pair.signals(v | s, m, len(v["vs"]) // 8) for v in voxels), np.zeros((m, 1), complex))
@@ -448,10 +524,11 @@ def _image_to_image(pair: Pair, coils: int):
         for v in voxels:
             n = len(v["vs"]) // 8
             total = sum((pair.images(v | s, len(s["ps"]) // 8, n) for s in samples), np.zeros((n, 1), complex))
-            ids.append(np.frombuffer(v["vs"], np.int64))
-            values.append(total[:, 0])
+            ids.append(np.repeat(np.frombuffer(v["vs"], np.int64), total.shape[1]))
+            coil.append(np.tile(np.arange(total.shape[1], dtype=np.int32), n) + (0 if "m" in v else part.start))
+            values.append(total.ravel())
         x = np.concatenate(values)
-        return pa.table({"v": np.concatenate(ids), "re": x.real.copy(), "im": x.imag.copy()})
+        return pa.table({"v": np.concatenate(ids), "c": np.concatenate(coil).astype(np.int32), "re": x.real.copy(), "im": x.imag.copy()})
 
     return run
 

@@ -672,6 +672,102 @@ def test_factors_with_both_sides_as_tables(spark, monkeypatch):
         tallfactors.rsvd(table, samples, 39, 5)
 
 
+def copied_features(spark, n=60, rows=(21, 30)):
+    """Voxels of 20 kinds and samples of 7 for each readout, both shuffled; and the same, each kind once."""
+    g = (RNG.normal(size=(20, 3)) * 0.05)[np.arange(n) % 20]
+    f = [RNG.normal(size=(7, 3))[RNG.permutation(m) % 7] for m in rows]
+    table = spark.createDataFrame(pd.DataFrame({"v": np.arange(n), "g": g.tolist()}))
+    place = np.cumsum([0, *rows])
+    samples = spark.createDataFrame([(d, int(place[d] + i), x.tolist()) for d in range(len(f)) for i, x in enumerate(f[d])], "d long, p long, f array<double>")
+    return table, samples, g, f
+
+
+def test_factors_of_copies_are_those_of_all_rows(spark):
+    table, samples, g, f = copied_features(spark)
+    voxels = factors.distinct_voxels(table)
+    names, reps, rows = factors.rows_by_readout(samples)
+    assert names == [0, 1] and [len(r) for r in rows] == [21, 30] and all(r.f.shape == (7, 3) for r in rows) and voxels.count() == 20
+    for r, x in zip(rows, f, strict=True):
+        np.testing.assert_array_equal(r.f[r.at], x)
+    every, at = np.concatenate(f), np.arange(60) % 20
+    h, joined = factors.phase_block(every, g), factors.Rows.joined(rows)
+    expand = lambda s, rank: whole(s, 20, rank)[at]
+    assert factors.full_rank(voxels, joined) == 14
+    q, s = factors.rsvd(voxels, joined, 14, 2)
+    qs, ss = q[joined.at], expand(s, 14)
+    np.testing.assert_allclose(qs.conj().T @ qs, np.eye(14), atol=1e-6)
+    np.testing.assert_allclose(qs @ ss.conj().T, h, atol=1e-9)
+    low, ls = factors.rsvd(voxels, joined, 4)
+    error = np.linalg.norm(h - low[joined.at] @ expand(ls, 4).conj().T) / np.linalg.norm(h)
+    assert abs(factors.relative_error(voxels, ls, joined, low) - error) < 1e-9 and error < 1.3 * np.sqrt((np.linalg.svd(h)[1][4:] ** 2).sum()) / np.linalg.norm(h) + 1e-9
+    us, coeff, basis_ = factors.shared_factors(voxels, rows, 7, 1e-9)
+    assert factors.orthogonality(basis_, coeff[0].shape[0]) < 1e-6
+    shared_q = factors.assemble(us, coeff)
+    np.testing.assert_allclose(shared_q[joined.at] @ expand(basis_, coeff[0].shape[0]).conj().T, h, atol=1e-6)
+    w, u = RNG.uniform(1, 2, 60), RNG.uniform(0.5, 2, 51)
+    means = spark.createDataFrame(pd.DataFrame({"v": np.arange(20), "w": w.reshape(3, 20).mean(axis=0)}))
+    q2, s2, tail = factors.recompress(low, ls.join(means, "v"), rank=2, time_weight=u, weight="w", rows=joined)
+    root = np.sqrt(u / u.mean())[:, None], np.sqrt(w / w.mean())
+    m = root[0] * (low[joined.at] @ expand(ls, 4).conj().T) * root[1]
+    lost = np.linalg.norm(m - root[0] * (q2[joined.at] @ expand(s2, 2).conj().T) * root[1]) / np.linalg.norm(m)
+    assert abs(lost - tail) < 1e-8
+    places, count = factors.numbered(voxels)
+    got = places.toPandas()
+    assert count == 60 and sorted(got["j"]) == list(range(60)) and (got["v"].value_counts() == 3).all()
+    exact = (np.abs(h - low[joined.at] @ expand(ls, 4).conj().T) ** 2).mean()
+    _, loss, spread_ = factors.paired_errors(joined, low, voxels, ls, 1, 20_000)[-1]
+    assert abs(loss - exact) < 5 * spread_
+    plain, own = factors.snapshot_selection(table, f, 5, 3, 4), factors.snapshot_selection(voxels, rows, 5, 3, 4)
+    np.testing.assert_allclose(np.sort(joined.f[own[0]], axis=0), np.sort(every[plain[0]], axis=0))
+    assert sorted(own[1]) == sorted(plain[1]) and own[1].sum() == plain[1].sum()
+
+
+def test_tall_factors_of_copies(spark):
+    table, samples, g, f = copied_features(spark)
+    every, at = np.concatenate(f), np.arange(60) % 20
+    voxels, _ = tallfactors.classes(table, "v", "g")
+    own, members = tallfactors.classes(samples.select("p", "f"), "p", "f")
+    assert voxels.count() == 20 and own.count() == 14 and members.count() == 51
+    rep = dict(members.collect())
+    h = factors.phase_block(every, g)
+    for rank in (4, None):
+        q, s = tallfactors.rsvd(voxels, own, rank)
+        z = {r.p: np.array(r.q).view(complex) for r in q.collect()}
+        qs = np.stack([z[rep[i]] for i in range(51)])
+        np.testing.assert_allclose(qs.conj().T @ qs, np.eye(qs.shape[1]), atol=1e-6)
+        error = np.linalg.norm(h - qs @ whole(s, 20, qs.shape[1])[at].conj().T) / np.linalg.norm(h)
+        assert abs(tallfactors.relative_error(voxels, own, q, s) - error) < 1e-9 and (error < 1e-9 or rank)
+
+
+@pytest.mark.parametrize("how", ["per_readout", "shared", "tables", "no maps"])
+def test_lowrank_products_of_copies(spark, how):
+    v, s, k, csm, vox, samp, coil, spacing = lowrank_problem(spark, (4, 5, 3))
+    n, m = len(v), len(s)
+    # Every voxel three times with maps of its own, every sample twice in its readout.
+    v3, s2, k2 = pd.concat([v.assign(v=v["v"] + 1000 * i) for i in range(3)]), pd.concat([s, s.assign(p=s["p"] + m)]), np.concatenate([k, k])
+    csm3 = RNG.normal(size=(3 * n, 2)) + 1j * RNG.normal(size=(3 * n, 2))
+    vox3 = vox.crossJoin(spark.range(3)).withColumn("v", F.col("v") + 1000 * F.col("id")).drop("id")
+    samp2 = samp.crossJoin(spark.range(2)).withColumn("p", F.col("p") + m * F.col("id")).drop("id")
+    ids = v3["v"].to_numpy()
+    maps = spark.createDataFrame(pd.DataFrame([(int(ids[i]), c, z.real, z.imag) for (i, c), z in np.ndenumerate(csm3)], columns=["v", "c", "re", "im"]))
+    if how == "no maps":
+        maps, csm3 = None, np.ones((3 * n, 1))
+    more = {"tables": dict(tables=lambda g, f: tallfactors.rsvd(g, f, None)), "shared": dict(options=lowrank.Options(rank=9, oversample=0, tol=1e-12))}
+    op = lowrank.LowRankOp(samp2, vox3, (4, 5, 3), spacing, csm=maps, **more.get(how, dict(options=lowrank.full_options(vox3, samp2, 9, False, method="per_readout"))))
+    assert op.shape == (2 * m * csm3.shape[1], 3 * n) and (op._v.count, op._s.count) == (n, m)
+    a = dense(v3, s2, k2, csm3)
+    x = RNG.normal(size=3 * n) + 1j * RNG.normal(size=3 * n)
+    xt = spark.createDataFrame(pd.DataFrame({"v": ids, "re": x.real, "im": x.imag}))
+    y = signal(op.forward(xt), (2 * m, csm3.shape[1]))
+    np.testing.assert_allclose(y, np.stack([b @ x for b in a], axis=1), atol=1e-6)
+    w = RNG.uniform(0, 2, 2 * m)
+    wt, want = spark.createDataFrame(pd.DataFrame({"p": np.arange(2 * m), "w": w})), sum(b.conj().T @ (w * (b @ x)) for b in a)
+    for by in ("rank", "readout") if op.own else ("rank", "channel"):
+        np.testing.assert_allclose(pixels(op.normal(xt, wt, by=by), int(ids.max()) + 1)[ids], want, atol=1e-6)
+        np.testing.assert_allclose(pixels(op.normal(xt, by=by), int(ids.max()) + 1)[ids], sum(b.conj().T @ (b @ x) for b in a), atol=1e-6)
+    op.close()
+
+
 def test_windows_are_computed_once_for_all_coils_and_ranks(monkeypatch):
     calls, windows = [], nufft.windows
     monkeypatch.setattr(nufft, "windows", lambda *a: calls.append(len(a[0])) or windows(*a))
