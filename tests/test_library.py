@@ -172,6 +172,16 @@ def test_a_clock_offset_is_found(spark):
     assert abs(got - 2.5) < 0.3
 
 
+def test_compression_sums_where_all_rows_of_a_key_are(spark):
+    data = spark.createDataFrame([(p, c, float(p + c), float(p - c)) for p in range(20) for c in range(3)], "p long, c int, re double, im double")
+    matrix = spark.createDataFrame([(c, o, float(c + 1), float(o)) for c in range(3) for o in range(2)], "c int, out int, re double, im double")
+    out = channels.apply_compression(data, matrix, ["p"])
+    want = {(p, o): sum(complex(p + c, p - c) * complex(c + 1, o) for c in range(3)) for p in range(20) for o in range(2)}
+    assert {(r.p, r.c): complex(r.re, r.im) for r in out.collect()} == want
+    plan = channels.apply_compression(data, matrix, ["p"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange hashpartitioning")
+
+
 def features(spark, n=53, q=3, rows=(9, 12)):
     g = RNG.normal(size=(n, q)) * 0.05
     f = [RNG.normal(size=(m, q)) for m in rows]
