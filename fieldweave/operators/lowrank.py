@@ -86,11 +86,15 @@ class Options:
         return self
 
 
-def build(options: Options, voxels: DataFrame, readouts: list[factors.Rows | np.ndarray], csm: DataFrame | None = None, classes: Classes | None = None) -> tuple[np.ndarray, DataFrame, dict]:
-    """q, the spatial factor (v, s) or (d, v, s), and a report, by the method of ``options``; voxels may be ``classes`` of those of the maps."""
+def build(options: Options, voxels: DataFrame, readouts: list[factors.Rows | np.ndarray], csm: DataFrame | None = None, classes: Classes | None = None,
+          maker: list | None = None) -> tuple[np.ndarray, DataFrame, dict]:
+    """q, the spatial factor (v, s) or (d, v, s), and a report, by the method of ``options``; voxels may be ``classes`` of those of the maps.
+
+    ``maker`` gets what makes the factors of single readouts where voxels lie, unless some of them are kept.
+    """
     o = options.check(len(readouts), max(map(len, readouts)))
     if o.method == "per_readout":
-        q, basis = factors.per_readout(voxels, readouts, o.rank, o.oversample, o.seed, o.keep_bytes)
+        q, basis = factors.per_readout(voxels, readouts, o.rank, o.oversample, o.seed, o.keep_bytes, maker=None if o.keep_bytes else maker)
         return q, basis, {"rank": q.shape[1]}
     if o.method == "direct_shared":
         if o.strategy == "global":
@@ -194,6 +198,7 @@ class LowRankOp:
         self.sample_count = counts["n"]
         if not self.sample_count or counts["p"] != self.sample_count:
             raise ValueError("samples must be there and numbered uniquely")
+        self._maker: factors.Spatial | None = None
         self._find_classes(n_terms, own=tables is None, copies=tables is None or callable(tables))
         if callable(tables):
             tables = tables(factors.spread(voxel_features(self._voxels, n_terms, flat), True), temporal_features(self._samples, n_terms, flat))
@@ -207,6 +212,7 @@ class LowRankOp:
         self.sample_blocks = -(-longest // SAMPLES)
         self._lay_tiles(cells)
         self._blocks: shared.Bucketed | DataFrame | None = None
+        self._products = 0
         self._normal: NormalOp | None = None
 
     def _find_classes(self, n_terms: int, own: bool, copies: bool) -> None:
@@ -226,7 +232,10 @@ class LowRankOp:
         flat = self.axes == 2
         names, reps, readouts = factors.rows_by_readout(readout_features(self.samples, n_terms, flat))
         voxels = factors.spread(voxel_features(self._voxels, n_terms, flat), self._v.members is not None)
-        self.q, self.basis, self.report = build(options, voxels, readouts, csm, self._v)
+        maker: list[factors.Spatial] = []
+        self.q, self.basis, self.report = build(options, voxels, readouts, csm, self._v, maker)
+        if maker:
+            self._maker, self._features = maker[0], voxel_features(self._voxels, n_terms, flat)
         self.own, self.rank = "d" in self.basis.columns, self.q.shape[1]
         self.sets = len(readouts) if self.own else 1
         # Samples of one class of the products have equal residual features, too: they find their factors by them.
@@ -270,20 +279,50 @@ class LowRankOp:
         return self._voxels.select("v", (tile * self.parts + dealt("v", self.parts)).alias("tile"), cell.alias("cell"))
 
     def _voxel_blocks(self) -> DataFrame:
-        """(vb, vs, cell, s, m): the blocks of every set of factors, from where they are held or made anew."""
+        """(vb, vs, cell, s or g, m): the blocks of every set of factors, from where they are held or made anew.
+
+        Factors of single readouts are made in the blocks: until those are held, from the third product on (what a normal product reads is not
+        worth writing), they have features g instead, and the factors are made where blocks meet.  No factor is shuffled.
+        """
+        self._products += 1
         if self._blocks is None:
-            rows = self._placed().join(self.basis, "v")
-            maps = F.array(F.lit(1.0), F.lit(0.0))
-            if self.csm is not None and self._v.members is None:
-                rows = rows.join(coil_arrays(self.csm, "v", self.coil_count).withColumnRenamed("z", "m"), "v", "left")
-                maps = F.coalesce("m", F.array(*[F.lit(0.0)] * (2 * self.coil_count)))
-            block = (F.col("d") * self.voxel_blocks if self.own else F.lit(0)) + F.col("tile")
-            # Members of a class have maps of their own: those are taken before and after the product.
-            blocks = packed(rows, "v", {"cell": F.array(F.col("cell")), "s": F.col("s")} | ({"m": maps} if self._v.members is None else {}), block, "vb")
+            blocks = self._packed_blocks()
             need = 16 * self._v.count * (self.rank * self.sets + self.coil_count)
-            self._blocks = shared.Bucketed(blocks, "vb") if need <= self.hold_bytes else blocks
+            if need > self.hold_bytes or (self._maker is not None and self._products <= 2):
+                return blocks
+            self._blocks = shared.Bucketed(blocks, "vb", (lambda df: df) if self._maker is None else lambda df: df.mapInArrow(*self._made(df)))
         return self._blocks.read() if isinstance(self._blocks, shared.Bucketed) else self._blocks
 
+    def _packed_blocks(self) -> DataFrame:
+        """(vb, vs, cell, s or g, m): blocks of every set; those whose factors are made in them have features instead, dealt to the sets' tasks."""
+        rows, columns = self._placed(), {"cell": F.array(F.col("cell"))}
+        rows = rows.join(self.basis, "v") if self._maker is None else rows.join(self._features.select("v", "g"), "v")
+        columns |= {"s": F.col("s")} if self._maker is None else {"g": F.col("g")}
+        # Members of a class have maps of their own: those are taken before and after the product.
+        if self._v.members is None:
+            columns["m"] = F.array(F.lit(1.0), F.lit(0.0))
+            if self.csm is not None:
+                rows = rows.join(coil_arrays(self.csm, "v", self.coil_count).withColumnRenamed("z", "m"), "v", "left")
+                columns["m"] = F.coalesce("m", F.array(*[F.lit(0.0)] * (2 * self.coil_count)))
+        if self._maker is None:
+            return packed(rows, "v", columns, (F.col("d") * self.voxel_blocks if self.own else F.lit(0)) + F.col("tile"), "vb")
+        blocks, n = packed(rows, "v", columns, F.col("tile"), "tile"), self.voxel_blocks
+        every = F.explode(F.sequence(F.col("tile"), F.col("tile") + n * (self.sets - 1), F.lit(n))).alias("vb")
+        return blocks.select(every, *[c for c in blocks.columns if c != "tile"]).repartition(self._tasks(), "vb")
+
+    def _made(self, blocks: DataFrame) -> tuple[Callable, str]:
+        """mapInArrow over blocks of features, and its schema: their factors instead."""
+        maker, n, names = self._maker, self.voxel_blocks, [c if c != "g" else "s" for c in blocks.columns]
+
+        def run(batches):
+            for batch in batches:
+                for i, row in enumerate(block_rows(batch)):
+                    s = maker(row["vb"] // n, _real(row["g"], len(row["vs"]) // 8))
+                    kept = [pa.array([s.tobytes()], pa.binary()) if c == "s" else batch.column(c).slice(i, 1) for c in names]
+                    yield pa.RecordBatch.from_arrays(kept, names=names)
+
+        return run, ", ".join("vb int" if c == "vb" else f"{c} binary" for c in names)
+
     def _sample_blocks(self, signal: DataFrame | None = None) -> DataFrame:
         """(sb, ps, node, fold, q[, y]): blocks of samples by set of factors, with the phase that their zeroth-order terms and grid have."""
         node = [F.col("k")[1 + i] * self.spacing[i] for i in range(self.axes)]
@@ -327,8 +366,16 @@ class LowRankOp:
             pairs = pairs.join(self._in_every_set(self._images(image)).hint("merge"), "vb")
         first = F.floor(F.col("sb") / m).cast("int") * n
         own = samples.withColumn("vb", F.explode(F.sequence(first, first + n - 1)))
+        if "g" in pairs.columns:
+            own = own.repartition(self._tasks(), "vb")
         return pairs.join(own.hint("merge"), "vb")
 
+    def _tasks(self) -> int:
+        return 4 * self.voxels.sparkSession.sparkContext.defaultParallelism
+
+    def _pair(self) -> Pair:
+        return Pair(self._kernel(), self.ranks, self.coils, self._maker, self.voxel_blocks)
+
     def _kernel(self) -> Callable:
         """A pair of blocks -> its transform and the samples' phases; for tasks."""
         grid, tile, parts, n, kernel, norm = self.grid[: self.axes], self.tile[: self.axes], self.parts, self.voxel_blocks, nufft.KERNELS[self.kernel], self.count**-0.5
@@ -351,13 +398,13 @@ class LowRankOp:
     def forward(self, image: DataFrame) -> DataFrame:
         """Signal (p, c, re, im) of an image (v, re, im); voxels without a value are 0."""
         pairs = self._pairs(self._sample_blocks(), image)
-        rows = pairs.mapInArrow(_sums("sb", "ps", Pair(self._kernel(), self.ranks, self.coils).signals), "id long, c int, re double, im double")
+        rows = pairs.mapInArrow(_sums("sb", "ps", self._pair().signals), "id long, c int, re double, im double")
         return self._s.each(rows.groupBy(F.col("id").alias("p"), "c").agg(F.sum("re").alias("re"), F.sum("im").alias("im")))
 
     def adjoint(self, signal: DataFrame, grid: DataFrame | None = None) -> DataFrame:
         """Image (v, re, im) of a signal (p, c, re, im); missing samples are 0; on ``grid`` (v) voxels outside are 0."""
         pairs = self._pairs(self._sample_blocks(signal))
-        rows = pairs.mapInArrow(_sums("vb", "vs", Pair(self._kernel(), self.ranks, self.coils).images), "id long, c int, re double, im double")
+        rows = pairs.mapInArrow(_sums("vb", "vs", self._pair().images), "id long, c int, re double, im double")
         out = self._members_images(rows.withColumnRenamed("id", "v"))
         if grid is None:
             return out
@@ -401,7 +448,7 @@ class LowRankOp:
             weighed = packed(self.temporal.select("p", "set").join(d, "p"), "p", {"w": F.array("w")}, F.col("set") * m + dealt("p", m), "sb").select("sb", "w")
             rows = rows.join(weighed, "sb")
         right = rows.withColumns({"set": F.floor(F.col("sb") / m), "g": every})
-        run = _image_to_image(Pair(self._kernel(), self.ranks, self.coils), self.coils if by == "channel" else self.coil_count)
+        run = _image_to_image(self._pair(), self.coils if by == "channel" else self.coil_count)
         out = left.groupBy("set", "g").cogroup(right.groupBy("set", "g")).applyInArrow(run, "v long, c int, re double, im double")
         return self._members_images(out)
 
@@ -456,8 +503,18 @@ class NormalOp:
 class Pair:
     """Products of a voxel block and a sample block, all ranks and coils by one transform, some columns at a time."""
 
-    def __init__(self, kernel: Callable, ranks: int, coils: int):
-        self.kernel, self.ranks, self.coils = kernel, ranks, coils
+    def __init__(self, kernel: Callable, ranks: int, coils: int, maker: factors.Spatial | None = None, blocks: int = 1):
+        self.kernel, self.ranks, self.coils, self.maker, self.blocks = kernel, ranks, coils, maker, blocks
+        self.made: dict[int, np.ndarray] = {}
+
+    def _spatial(self, row: dict, n: int) -> np.ndarray:
+        """The spatial factor of a voxel block, as it is or made of features; that of the last block is kept, as blocks meet others in turn."""
+        if "s" in row:
+            return _complex(row["s"], n)
+        if row["vb"] not in self.made:
+            self.made.clear()
+            self.made[row["vb"]] = self.maker(row["vb"] // self.blocks, _real(row["g"], n))
+        return self.made[row["vb"]]
 
     def _columns(self, cells: int, ranks: int, coils: int):
         r = min(self.ranks, ranks)
@@ -469,7 +526,7 @@ class Pair:
     def signals(self, row: dict, m: int, n: int) -> np.ndarray:
         """Samples by coils: sum over ranks of q times the transform of x conj(s) csm (without maps, x has the coils)."""
         transform, phase = self.kernel(row, m)
-        s, q, x = (_complex(row[k], rows) for k, rows in (("s", n), ("q", m), ("x", n)))
+        s, q, x = self._spatial(row, n), _complex(row["q"], m), _complex(row["x"], n)
         maps, x = (_complex(row["m"], n), x) if "m" in row else (x, 1.0)
         order, starts, cells = _by_cell(_real(row["cell"], n)[:, 0])
         size, out = int(np.prod(transform.shape)), np.zeros((m, maps.shape[1]), complex)
@@ -485,7 +542,7 @@ class Pair:
     def images(self, row: dict, m: int, n: int) -> np.ndarray:
         """Voxels by one: sum over ranks and coils of s conj(csm) times the adjoint transform of conj(q) y; without maps, voxels by coils."""
         transform, phase = self.kernel(row, m)
-        s, q, y = (_complex(row[k], rows) for k, rows in (("s", n), ("q", m), ("y", m)))
+        s, q, y = self._spatial(row, n), _complex(row["q"], m), _complex(row["y"], m)
         maps = _complex(row["m"], n) if "m" in row else None
         cell = _real(row["cell"], n)[:, 0].astype(np.int64)
         size, out = int(np.prod(transform.shape)), np.zeros((n, y.shape[1] if maps is None else 1), complex)
