@@ -9,6 +9,8 @@ import numpy as np
 
 #: Half width of the gridding window in cells of the finer grid, and how much finer that is.
 HALF, FINER = 8, 2.0
+#: Finer cells for each cell of a window up to which windows are rows of a matrix over all finer cells.
+SMALL = 4
 #: Numbers held at once beside the grids.
 HELD = 1 << 21
 
@@ -95,6 +97,22 @@ class Gridding:
         # Cell j - n // 2 of the grid in the order of the FFT.
         self.spot = np.ix_(*[(np.arange(n) - n // 2) % m for n, m in zip(self.shape, self.fine, strict=True)])
 
+    def _small(self) -> bool:
+        """Whether windows cover so much of the finer grid that matrix products over all of it take less time."""
+        return int(np.prod(self.fine)) <= SMALL * (2 * self.half) ** len(self.shape)
+
+    def _rows(self):
+        """Windows as rows of a real matrix over all finer cells, a part of them at a time."""
+        step = max(HELD // int(np.prod(self.fine)), 1)
+        for at in range(0, len(self.nodes), step):
+            part = slice(at, at + step)
+            rows = np.ones((len(self.nodes[part]), 1))
+            for w, p, m in zip(self.weights, self.places, self.fine, strict=True):
+                axis = np.zeros((len(rows), m))
+                np.put_along_axis(axis, p[part], w[part], axis=1)  # an axis has at least as many cells as a window
+                rows = (rows[:, :, None] * axis[:, None, :]).reshape(len(rows), -1)
+            yield part, rows
+
     def _parts(self):
         step = max(HELD // (2 * self.half) ** len(self.shape), 1)
         for at in range(0, len(self.nodes), step):
@@ -112,6 +130,10 @@ class Gridding:
         fine[self.spot] = x.reshape(*self.shape, m) * self.scale[..., None]
         fine = np.fft.ifftn(fine, axes=range(len(self.shape))).reshape(-1, m)
         out = np.empty((len(self.nodes), m), complex)
+        if self._small():
+            for part, rows in self._rows():
+                out[part] = (rows @ np.ascontiguousarray(fine).view(float)).view(complex)
+            return out
         for part, weight, place in self._parts():
             for k in range(m):
                 out[part, k] = (fine[:, k][place] * weight).sum(axis=1)
@@ -120,6 +142,12 @@ class Gridding:
     def adjoint_many(self, y: np.ndarray) -> np.ndarray:
         """The adjoint transforms of the columns of y (nodes by columns), cells by columns."""
         size, m = int(np.prod(self.fine)), y.shape[1]
+        if self._small():
+            fine = np.zeros((size, 2 * m))
+            for part, rows in self._rows():
+                fine += rows.T @ np.ascontiguousarray(y[part], complex).view(float)
+            fine = np.fft.fftn(fine.view(complex).reshape(*self.fine, m), axes=range(len(self.shape)))
+            return (fine[self.spot] * self.scale[..., None] / size).reshape(-1, m)
         fine = np.zeros((m, size), complex)
         for part, weight, place in self._parts():
             place = place.ravel()

@@ -279,10 +279,10 @@ class LowRankOp:
         return self._voxels.select("v", (tile * self.parts + dealt("v", self.parts)).alias("tile"), cell.alias("cell"))
 
     def _voxel_blocks(self) -> DataFrame:
-        """(vb, vs, cell, s or g, m): the blocks of every set of factors, from where they are held or made anew.
+        """(vb, vs, cell, s or feat, m): the blocks of every set of factors, from where they are held or made anew.
 
         Factors of single readouts are made in the blocks: until those are held, from the third product on (what a normal product reads is not
-        worth writing), they have features g instead, and the factors are made where blocks meet.  No factor is shuffled.
+        worth writing), they have features (feat) instead, and the factors are made where blocks meet.  No factor is shuffled.
         """
         self._products += 1
         if self._blocks is None:
@@ -294,10 +294,10 @@ class LowRankOp:
         return self._blocks.read() if isinstance(self._blocks, shared.Bucketed) else self._blocks
 
     def _packed_blocks(self) -> DataFrame:
-        """(vb, vs, cell, s or g, m): blocks of every set; those whose factors are made in them have features instead, dealt to the sets' tasks."""
+        """(vb, vs, cell, s or feat, m): blocks of every set; those whose factors are made in them have features instead, dealt to the sets' tasks."""
         rows, columns = self._placed(), {"cell": F.array(F.col("cell"))}
         rows = rows.join(self.basis, "v") if self._maker is None else rows.join(self._features.select("v", "g"), "v")
-        columns |= {"s": F.col("s")} if self._maker is None else {"g": F.col("g")}
+        columns |= {"s": F.col("s")} if self._maker is None else {"feat": F.col("g")}
         # Members of a class have maps of their own: those are taken before and after the product.
         if self._v.members is None:
             columns["m"] = F.array(F.lit(1.0), F.lit(0.0))
@@ -312,12 +312,12 @@ class LowRankOp:
 
     def _made(self, blocks: DataFrame) -> tuple[Callable, str]:
         """mapInArrow over blocks of features, and its schema: their factors instead."""
-        maker, n, names = self._maker, self.voxel_blocks, [c if c != "g" else "s" for c in blocks.columns]
+        maker, n, names = self._maker, self.voxel_blocks, [c if c != "feat" else "s" for c in blocks.columns]
 
         def run(batches):
             for batch in batches:
                 for i, row in enumerate(block_rows(batch)):
-                    s = maker(row["vb"] // n, _real(row["g"], len(row["vs"]) // 8))
+                    s = maker(row["vb"] // n, _real(row["feat"], len(row["vs"]) // 8))
                     kept = [pa.array([s.tobytes()], pa.binary()) if c == "s" else batch.column(c).slice(i, 1) for c in names]
                     yield pa.RecordBatch.from_arrays(kept, names=names)
 
@@ -366,7 +366,7 @@ class LowRankOp:
             pairs = pairs.join(self._in_every_set(self._images(image)).hint("merge"), "vb")
         first = F.floor(F.col("sb") / m).cast("int") * n
         own = samples.withColumn("vb", F.explode(F.sequence(first, first + n - 1)))
-        if "g" in pairs.columns:
+        if "feat" in pairs.columns:
             own = own.repartition(self._tasks(), "vb")
         return pairs.join(own.hint("merge"), "vb")
 
@@ -513,7 +513,7 @@ class Pair:
             return _complex(row["s"], n)
         if row["vb"] not in self.made:
             self.made.clear()
-            self.made[row["vb"]] = self.maker(row["vb"] // self.blocks, _real(row["g"], n))
+            self.made[row["vb"]] = self.maker(row["vb"] // self.blocks, _real(row["feat"], n))
         return self.made[row["vb"]]
 
     def _columns(self, cells: int, ranks: int, coils: int):
@@ -574,6 +574,7 @@ def _image_to_image(pair: Pair, coils: int):
         for v in voxels:
             name = "m" if "m" in v else "x"
             v[name] = np.ascontiguousarray(_complex(v[name], len(v["vs"]) // 8)[:, part]).tobytes()
+            v["s"] = pair._spatial(v, len(v["vs"]) // 8).tobytes()
         for s in samples:
             m = len(s["ps"]) // 8
             y = sum((pair.signals(v | s, m, len(v["vs"]) // 8) for v in voxels), np.zeros((m, 1), complex))

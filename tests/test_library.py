@@ -795,6 +795,43 @@ def test_lowrank_products_of_copies(spark, how):
     op.close()
 
 
+def test_factors_of_single_readouts_are_made_where_blocks_meet(spark):
+    v, s, k, csm, vox, samp, coil, spacing = lowrank_problem(spark, (4, 5, 3))
+    op = lowrank.LowRankOp(samp, vox, (4, 5, 3), spacing, csm=coil, options=lowrank.full_options(vox, samp, 9, False, method="per_readout"))
+    assert "feat" in op._voxel_blocks().columns and "s" not in op._voxel_blocks().columns  # features travel, not factors
+    x = RNG.normal(size=len(v)) + 1j * RNG.normal(size=len(v))
+    xt = spark.createDataFrame(pd.DataFrame({"v": v["v"].to_numpy(), "re": x.real, "im": x.imag}))
+    held = signal(op.forward(xt), (len(s), csm.shape[1]))  # the third product: factors are written
+    assert op._blocks is not None and "s" in op._blocks.read().columns
+    op.close()
+    op._products = 0
+    made = signal(op.forward(xt), (len(s), csm.shape[1]))
+    assert op._blocks is None
+    np.testing.assert_allclose(made, held, atol=1e-10)
+    np.testing.assert_allclose(made, np.stack([b @ x for b in dense(v, s, k, csm)], axis=1), atol=1e-6)
+
+
+def test_sums_of_rows_are_those_of_all_voxels(spark):
+    table, g, f = features(spark, 50, rows=(40,))
+    x = RNG.normal(size=(50, 3))
+    for edges in (factors.row_edges(40), [0, 20, 40], [0, 40]):
+        got = factors.summed_rows(table, lambda part, a, b: factors.times(f[0][a:b], factors.spatial(part), x[np.asarray(part["v"])]), edges, 3)  # noqa: B023
+        np.testing.assert_allclose(got, factors.phase_block(f[0], g) @ x, atol=1e-12)
+
+
+@pytest.mark.parametrize("shape", [(10, 7, 3), (40, 40), (5, 1, 2)])
+def test_windows_on_small_grids_are_matrix_products(monkeypatch, shape):
+    nodes = RNG.uniform(-0.5, 0.5, (60, len(shape)))
+    transform, exact = nufft.Gridding(nodes, shape), nufft.Separable(nodes, shape)
+    small = transform._small()
+    assert small == (shape != (40, 40))
+    if small:  # no column goes through its windows cell by cell
+        monkeypatch.setattr(nufft.Gridding, "_parts", None)
+    x, y = (RNG.normal(size=(n, 5)) + 1j * RNG.normal(size=(n, 5)) for n in (int(np.prod(shape)), 60))
+    np.testing.assert_allclose(transform.forward_many(x), exact.forward_many(x), atol=1e-9)
+    np.testing.assert_allclose(transform.adjoint_many(y), exact.adjoint_many(y), atol=1e-9)
+
+
 def test_windows_are_computed_once_for_all_coils_and_ranks(monkeypatch):
     calls, windows = [], nufft.windows
     monkeypatch.setattr(nufft, "windows", lambda *a: calls.append(len(a[0])) or windows(*a))
