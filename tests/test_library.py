@@ -152,6 +152,20 @@ def test_reconstruction_is_the_weighted_least_squares_solution(spark):
     np.testing.assert_allclose(got, np.linalg.lstsq(ww * a, ww[:, 0] * y, rcond=None)[0], atol=1e-6)
 
 
+def test_maps_are_one_row_a_voxel_and_meet_sums_of_all_coils(spark):
+    v, s, k, kd, csm, x = problem(6, 15)
+    samp, vox, coil = frames(spark, v, s, k, kd, csm)
+    op = encode.ExplicitOp(samp, vox, 9, coil)
+    a = dense(v, s, k, csm)
+    y = RNG.normal(size=(len(a), len(s))) + 1j * RNG.normal(size=(len(a), len(s)))
+    rows = [(int(p), c, float(y[c, i].real), float(y[c, i].imag)) for c in range(len(a)) for i, p in enumerate(s["p"])]
+    image = op.adjoint(spark.createDataFrame(rows, "p long, c int, re double, im double"))
+    assert op._coil_maps().count() == len(v)
+    plan = image._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(v#" in line and ", c#" in line.split("hashpartitioning")[1]]
+    np.testing.assert_allclose(pixels(image, len(v)), sum(m.conj().T @ z for m, z in zip(a, y, strict=True)), atol=1e-9)
+
+
 def test_a_clock_offset_is_found(spark):
     n, dt = 60, 1e-5
     j = np.arange(n)
