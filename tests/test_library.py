@@ -186,6 +186,31 @@ def test_a_clock_offset_is_found(spark):
     assert abs(got - 2.5) < 0.3
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_rounds_where_voxels_go_to_all_samples_equal_those_of_blocks(spark, monkeypatch, weighted):
+    v, s, k, kd, csm, x = problem(6, 15)
+    _, vox, coil = frames(spark, v, s, k, kd, csm)
+    curve = np.cumsum(RNG.normal(size=(2, 10, 9)) * 0.1, axis=1)
+    field = spark.createDataFrame([(u, j, t, float(curve[u, j, t])) for u in range(2) for j in range(10) for t in range(9) if j != 4], "shot int, j int, term int, value double")
+    times = spark.createDataFrame([(u, u * 100 + j, (j + 0.25) * 1e-5, u * 1e-6) for u in range(2) for j in range(10)], "shot int, p long, t double, start double")
+    y = RNG.normal(size=(20, 4))
+    data = spark.createDataFrame([(u * 100 + j, c, float(y[u * 10 + j, 2 * c]), float(y[u * 10 + j, 2 * c + 1])) for u in range(2) for j in range(10) for c in range(2)], "p long, c int, re double, im double")
+    weights = times.where("p != 103").select("p", (0.5 + F.col("p") % 3).alias("w_re"), F.lit(0.25).alias("w_im")) if weighted else None
+
+    def first():
+        rounds = solve.delay_rounds(vox, data, field, times, 1e-5, 9, iterations=2, csm=coil, weights=weights)
+        return next(rounds)
+
+    near = first()
+    samples = spark.createDataFrame([(int(p), 0.1, [0.5] * 9, [1.0, 0.0] * 2) for p in range(12)], "p long, t double, k array<double>, y array<double>")
+    op = encode.NearOp(samples, vox, 9, coil)
+    plan = op.normal(image(spark, x))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "SortMergeJoin" not in plan[plan.index("BroadcastNestedLoopJoin") :].split("BroadcastExchange")[0]
+    op.close()
+    monkeypatch.setattr(encode, "NEAR", 0)
+    np.testing.assert_allclose(near, first(), rtol=1e-7)
+
+
 def test_compression_sums_where_all_rows_of_a_key_are(spark):
     data = spark.createDataFrame([(p, c, float(p + c), float(p - c)) for p in range(20) for c in range(3)], "p long, c int, re double, im double")
     matrix = spark.createDataFrame([(c, o, float(c + 1), float(o)) for c in range(3) for o in range(2)], "c int, out int, re double, im double")
